@@ -1,6 +1,7 @@
 """Registry of the corpus operators' queries; SQL is given where SQL can express the operator."""
 
 from codequarry.llm.langid import op1_language_id
+from codequarry.llm.secrets import op2_secrets
 
-QUERIES = {"op1_language_id": op1_language_id}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets)}
 ORACLES: dict[str, str] = {}
