@@ -44,6 +44,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with value computed once per row: a lambda's variable is bound, whereas a column
+    that is used twice may be inlined, and inside another lambda computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def native_words(text: Column) -> Column:
     """Words of a text as an array, by DataFrame functions; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")

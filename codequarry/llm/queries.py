@@ -1,8 +1,10 @@
 """Registry of the corpus operators' queries; SQL is given where SQL can express the operator."""
 
+from codequarry.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
+from codequarry.llm.decontaminate import op10_decontaminate
 from codequarry.llm.langid import op1_language_id
 from codequarry.llm.pii import op6_pii
 from codequarry.llm.secrets import op2_secrets
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op6_pii)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op6_pii, op10_decontaminate)}
+ORACLES: dict[str, str] = {"op10_decontaminate": DECONTAMINATE_SQL}
