@@ -3,9 +3,10 @@
 from codequarry.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from codequarry.llm.decontaminate import op10_decontaminate
 from codequarry.llm.langid import op1_language_id
+from codequarry.llm.mixture import op4_mixture
 from codequarry.llm.pii import op6_pii
 from codequarry.llm.quality import op3_quality
 from codequarry.llm.secrets import op2_secrets
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op6_pii, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_mixture, op6_pii, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op10_decontaminate": DECONTAMINATE_SQL}
