@@ -87,8 +87,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, byte starts and byte ends of the words in raw UTF-8 bytes (A-Z lowered).
+def word_hashes(raw: np.ndarray, lower: bool = True, gaps: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, byte starts and byte ends of the words in raw UTF-8 bytes (A-Z lowered); gaps flags the bytes between words.
 
     Each hash is a polynomial over randomised byte codes, so it depends on the word alone and not
     on where it stands; words of one length collide with probability near 2**-64."""
@@ -97,7 +97,7 @@ def word_hashes(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.nda
         return z.astype(_U), z, z
     if lower:
         raw = _LOWER[raw]
-    gap = _IS_SPACE[raw]
+    gap = gaps[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):

@@ -7,8 +7,9 @@ from codequarry.llm.mixture import op4_mixture
 from codequarry.llm.pii import op6_pii
 from codequarry.llm.quality import op3_quality
 from codequarry.llm.secrets import op2_secrets
+from codequarry.llm.toxicity import op7_toxicity
 from codequarry.llm.warc import ORACLE as WARC_SQL
 from codequarry.llm.warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_mixture, op6_pii, op9_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_mixture, op6_pii, op7_toxicity, op9_warc, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op9_warc": WARC_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
