@@ -2,6 +2,8 @@
 
 from codequarry.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from codequarry.llm.decontaminate import op10_decontaminate
+from codequarry.llm.jaccard import ORACLE as JACCARD_SQL
+from codequarry.llm.jaccard import op5_jaccard
 from codequarry.llm.langid import op1_language_id
 from codequarry.llm.mixture import op4_mixture
 from codequarry.llm.pii import op6_pii
@@ -11,5 +13,5 @@ from codequarry.llm.toxicity import op7_toxicity
 from codequarry.llm.warc import ORACLE as WARC_SQL
 from codequarry.llm.warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_mixture, op6_pii, op7_toxicity, op9_warc, op10_decontaminate)}
-ORACLES: dict[str, str] = {"op9_warc": WARC_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_mixture, op5_jaccard, op6_pii, op7_toxicity, op9_warc, op10_decontaminate)}
+ORACLES: dict[str, str] = {"op5_jaccard": JACCARD_SQL, "op9_warc": WARC_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
