@@ -31,6 +31,8 @@ WINDOW, STRIDE = 64, 48
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 1200, 2400
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 INPUTS, HIDDEN, EPOCHS, BATCH, RATE = 8, 8, 8, 64, 4e-3
+#: Rate of the embeddings' own descent, share of words hidden while training, and texts that shrink a log-odds by half.
+EMBED_RATE, DROP, SHRINK = 0.05, 0.1, 20
 #: Bytes of text that are turned into features at once, and windows that the network reads at once.
 BYTES_AT_ONCE, WINDOWS_AT_ONCE = 1 << 20, 1024
 GRAMS = (4, 5, 6, 7)
@@ -51,6 +53,7 @@ class Words:
         raws = [(t or "").encode() for t in texts]
         raw = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
         hashes, starts, ends = word_hashes(raw, gaps=_GAP)
+        self.raw, self.starts, self.ends = raw, starts, ends
         self.word = (hashes >> np.uint64(48)).astype(np.int64) & (WORD_ROWS - 1)
         self.n = len(self.word)
         offsets = np.cumsum([0] + [len(r) + 1 for r in raws])
@@ -71,7 +74,7 @@ class Words:
         padded = np.concatenate((np.zeros(1, np.uint64), code, np.zeros(n, np.uint64)))
         for i in range(n):
             h = h * np.uint64(0x100000001B3) + padded[i : i + len(code)]
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64) & (GRAM_ROWS - 1)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32) & (GRAM_ROWS - 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -106,16 +109,6 @@ class ToxicNet:
         x[:, 7] = np.maximum.reduceat(best, words.at)
         return x
 
-    def inputs_of(self, words: Words, some: np.ndarray) -> np.ndarray:
-        """inputs() of some of the words, by their places."""
-        part = object.__new__(Words)
-        ends = np.append(words.at, len(words.trigram))
-        length = ends[some + 1] - ends[some]
-        part.n, part.word, part.at = len(some), words.word[some], np.cumsum(length) - length
-        inside = np.arange(int(length.sum())) - np.repeat(part.at, length) + np.repeat(ends[some], length)
-        part.trigram, part.longer = words.trigram[inside], [g[inside] for g in words.longer]
-        return self.inputs(part)
-
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):  # noqa: ANN201
         """Scores of windows x (WINDOW, B, INPUTS) with mask (WINDOW, B); with keep also what backward() needs."""
         steps, b = mask.shape
@@ -188,28 +181,37 @@ class ToxicNet:
         grad |= {"u": d_u, "w": x.reshape(-1, INPUTS).T @ flat, "b": flat.sum(axis=0)}
         return grad, (flat @ self.p["w"].T).reshape(steps, b, INPUTS), loss
 
+    def window_scores(self, words: Words, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0)
+        gates = self.inputs(words) @ self.p["w"] + self.p["b"]
+        out = []
+        for k in range(0, len(start), WINDOWS_AT_ONCE):
+            at = start[k : k + WINDOWS_AT_ONCE] + np.arange(WINDOW)[:, None]
+            out.append(self._read(gates[np.minimum(at, words.n - 1)], at < stop[k : k + WINDOWS_AT_ONCE], keep=False))
+        return np.concatenate(out)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Of whole texts: the highest window's."""
         out = np.zeros(len(texts))
-        begin = 0
-        while begin < len(texts):
-            size, end = 0, begin
-            while end < len(texts) and (end == begin or size + len(texts[end] or "") <= BYTES_AT_ONCE):
-                size += len(texts[end] or "")
-                end += 1
-            words = Words(texts[begin:end])
+        for begin, words in _portions(texts):
             owner, start, stop = windows(words)
-            if len(owner):
-                gates = self.inputs(words) @ self.p["w"] + self.p["b"]
-                for k in range(0, len(owner), WINDOWS_AT_ONCE):
-                    at = start[k : k + WINDOWS_AT_ONCE] + np.arange(WINDOW)[:, None]
-                    mask = at < stop[k : k + WINDOWS_AT_ONCE]
-                    score = self._read(gates[np.minimum(at, words.n - 1)], mask, keep=False)
-                    np.maximum.at(out, begin + owner[k : k + WINDOWS_AT_ONCE], score)
-            begin = end
+            np.maximum.at(out, begin + owner, self.window_scores(words, start, stop))
         return out
 
 
+def _portions(texts: list[str | None]) -> Iterator[tuple[int, Words]]:
+    """The texts' words, of BYTES_AT_ONCE at a time or one longer text, and the first text's place."""
+    begin = 0
+    while begin < len(texts):
+        size, end = 0, begin
+        while end < len(texts) and (end == begin or size + len(texts[end] or "") <= BYTES_AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        yield begin, Words(texts[begin:end])
+        begin = end
+
+
 def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and end (of its text) of every window."""
     size = words.last - words.first
@@ -219,67 +221,72 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, words.first[owner] + turn * STRIDE, words.last[owner]
 
 
-def _log_odds(rows: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
-    """Per row of an embedding, shrunk log-odds of texts that hold it, positive against negative."""
-    count = np.zeros((2, size))
-    for r, y in zip(rows, label):
-        count[int(y), np.unique(r)] += 1
-    odds = np.log((count[1] + 0.5) / (label.sum() + 1)) - np.log((count[0] + 0.5) / (len(label) - label.sum() + 1))
+def _log_odds(rows: Iterator[tuple[int, np.ndarray]], size: int) -> np.ndarray:
+    """Per row of an embedding, shrunk log-odds of texts that hold it, positive against negative; rows: label and rows of each text."""
+    count, texts = np.zeros((2, size)), np.zeros(2)
+    for y, r in rows:
+        count[y, np.unique(r)] += 1
+        texts[y] += 1
+    odds = np.log((count[1] + 0.5) / (texts[1] + 1)) - np.log((count[0] + 0.5) / (texts[0] + 1))
     seen = count.sum(axis=0)
-    return (odds * seen / (seen + 20)).astype(np.float32)
+    return (odds * seen / (seen + SHRINK)).astype(np.float32)
+
+
+def _rows_of(texts: list[str], label: np.ndarray, grams: bool) -> Iterator[tuple[int, np.ndarray]]:
+    for begin, words in _portions(texts):
+        ends = np.append(words.at, len(words.trigram))
+        for k, (a, b) in enumerate(zip(words.first, words.last)):
+            rows = np.concatenate([g[ends[a] : ends[b]] for g in (words.trigram, *words.longer)]) if grams else words.word[a:b]
+            yield int(label[begin + k]), rows
+
+
+def _top_windows(net: ToxicNet, texts: list[str], trained: bool) -> dict[int, str]:
+    """The text of each text's highest window; before training, that of the one with the strongest log-odds."""
+    top = {}
+    for begin, words in _portions(texts):
+        owner, start, stop = windows(words)
+        if trained:
+            score = net.window_scores(words, start, stop)
+        else:
+            x = net.inputs(words)
+            strongest = np.maximum(x[:, 0], x[:, 7])
+            score = np.array([strongest[s : min(s + WINDOW, e)].max() for s, e in zip(start, stop)])
+        order = np.lexsort((score, owner))
+        for w in order[np.append(np.flatnonzero(np.diff(owner[order])), len(order) - 1)] if len(order) else order:
+            last = min(start[w] + WINDOW, stop[w]) - 1
+            top[begin + int(owner[w])] = words.raw[words.starts[start[w]] : words.ends[last]].tobytes().decode()
+    return top
 
 
 def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ToxicNet:
-    """Fit on texts with 0/1 labels, of which both occur."""
+    """Fit on texts with 0/1 labels, of which both occur. Memory holds the texts and one portion's features."""
     net, rng = ToxicNet(seed), np.random.default_rng(seed)
     label = np.asarray(label, dtype=np.float32)
-    words = Words(texts)
-    by_text = [np.arange(a, b) for a, b in zip(words.first, words.last)]
-    ends = np.append(words.at, len(words.trigram))
-    grams_of = lambda a, b: np.concatenate([g[ends[a] : ends[b]] for g in (words.trigram, *words.longer)])
-    net.p["word"][:, 0] = _log_odds([words.word[r] for r in by_text], label, WORD_ROWS)
-    net.p["gram"][:, 0] = _log_odds([grams_of(a, b) for a, b in zip(words.first, words.last)], label, GRAM_ROWS)
-    owner, start, stop = windows(words)
-    x = net.inputs(words)
-    strongest = np.maximum(x[:, 0], x[:, 7])
-    score = np.array([strongest[s : min(s + WINDOW, e)].max() for s, e in zip(start, stop)])
+    net.p["word"][:, 0] = _log_odds(_rows_of(texts, label, grams=False), WORD_ROWS)
+    net.p["gram"][:, 0] = _log_odds(_rows_of(texts, label, grams=True), GRAM_ROWS)
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())).astype(np.float32) * len(label)
-    moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
+    moment = {k: [np.zeros_like(net.p[k]), np.zeros_like(net.p[k])] for k in ("w", "u", "b", "a", "o", "c")}
     turn = 0
     for epoch in range(epochs):
-        if epoch:
-            score = net_scores(net, words, start, stop)
-        order = np.lexsort((score, owner))
-        top = order[np.append(np.flatnonzero(np.diff(owner[order])), len(order) - 1)] if len(order) else order
-        for part in np.array_split(rng.permutation(top), max(1, len(top) // BATCH)):
-            at = start[part] + np.arange(WINDOW)[:, None]
-            mask = at < stop[part]
+        top = _top_windows(net, texts, trained=epoch > 0)
+        for part in np.array_split(rng.permutation(sorted(top)), max(1, len(top) // BATCH)):
+            words = Words([top[i] for i in part])
+            at = words.first + np.arange(WINDOW)[:, None]
+            mask = at < words.last
             at = np.minimum(at, words.n - 1)
-            used, place = np.unique(at, return_inverse=True)
-            x = net.inputs_of(words, used)[place.reshape(at.shape)]
-            x *= (rng.random(x.shape[:2] + (1,)) > 0.1).astype(np.float32)
-            grad, d_x, _ = net.backward(x, mask, label[owner[part]], weight[owner[part]] / len(part))
-            d_used = np.zeros((len(used), INPUTS), np.float32)
-            np.add.at(d_used, place.reshape(-1), (d_x * mask[:, :, None]).reshape(-1, INPUTS))
+            x = net.inputs(words)[at]
+            x *= (rng.random(x.shape[:2] + (1,)) > DROP).astype(np.float32)
+            grad, d_x, _ = net.backward(x, mask, label[part], weight[part] / len(part))
             turn += 1
             for k, g in grad.items():
                 m, v = moment[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.p[k] -= (RATE * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)).astype(np.float32)
-            np.add.at(net.p["word"][:, 1:], words.word[used], -0.05 * d_used[:, 1:4])
+            np.add.at(net.p["word"][:, 1:], words.word[at[mask]], -EMBED_RATE * d_x[mask][:, 1:4])
     return net
 
 
-def net_scores(net: ToxicNet, words: Words, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    gates = net.inputs(words) @ net.p["w"] + net.p["b"]
-    out = []
-    for k in range(0, len(start), WINDOWS_AT_ONCE):
-        at = start[k : k + WINDOWS_AT_ONCE] + np.arange(WINDOW)[:, None]
-        out.append(net._read(gates[np.minimum(at, words.n - 1)], at < stop[k : k + WINDOWS_AT_ONCE], keep=False))
-    return np.concatenate(out) if out else np.zeros(0)
-
-
 def fit(docs: DataFrame, labels: DataFrame, positive: int = TRAIN_POSITIVE, negative: int = TRAIN_NEGATIVE) -> ToxicNet | None:
     """Train on a bounded sample of docs(doc_id, text) with labels(doc_id, toxic); None without both labels."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
