@@ -38,6 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def sided(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """df (a few columns of ids or spans) materialised for the small side of a join: marked for broadcast while it has
+    at most so many rows, left to a shuffle join beyond."""
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The fixed evaluation fold: crc32 of the id's decimal text is divisible by 5. A null id
     can't be in the training fold either, and counts as held out."""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, let, table
+from codequarry.llm.common import durable, let, sided, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Signature hashes that may stand in the plan as constants (12 bytes each); more go through a join.
@@ -83,6 +83,12 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that contain no item of benchmark, with all their columns."""
+    held = sided(contained_items(docs, benchmark).select("doc_id").distinct())
+    return docs.join(held, docs["doc_id"].eqNullSafe(held["doc_id"]), "left_anti")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, mix64, table, word_hashes
+from codequarry.llm.common import durable, mix64, sided, table, word_hashes
 from codequarry.llm.spans import SPANS, count_of, joined, of_kinds, ordered
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -219,7 +219,8 @@ def _cleaned(text: str, spans: list) -> str:
 def sanitise(docs: DataFrame, **options: float) -> DataFrame:
     """docs with text cleaned: entities and telling terms with digits or a capital are generalised to a
     bracketed class, other telling terms are removed. Rows and other columns stay as they are."""
-    spans = find_personal_data(docs, **options).where(F.size("spans") > 0).dropDuplicates(["key"]).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    found = find_personal_data(docs, **options).where(F.size("spans") > 0).dropDuplicates(["key"])
+    spans = sided(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), 100_000)
     schema = docs.schema
     joined_ = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(spans, "__key", "left").drop("__key")
 

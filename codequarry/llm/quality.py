@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, let, native_words, table
+from codequarry.llm.common import durable, let, native_words, sided, table
 
 # The word rules of the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -180,7 +180,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFr
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    bad = judge(docs).where(~F.col("kept")).select(F.col("key").alias("__key")).distinct()
+    bad = sided(judge(docs).where(~F.col("kept")).select(F.col("key").alias("__key")).distinct())
     return docs.withColumn("__key", F.xxhash64("doc_id", "text", "lang", "source")).join(bad, "__key", "left_anti").drop("__key")
 
 
