@@ -13,7 +13,7 @@ def matching_files(files: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, path: files(path) that a glob of docs(doc_id, patterns) matches. A map is made by hand and small; its patterns are grouped
     first, and a file is tested against all in one pass."""
     globs = docs.select("doc_id", F.explode("patterns").alias("pattern")).select("doc_id", glob_regex(F.col("pattern")).alias("regex"))
-    return files.join(F.broadcast(globs) if globs.count() <= 10_000 else globs, F.col("path").rlike(F.col("regex"))).select("doc_id", "path").distinct()
+    return files.join(F.broadcast(globs) if globs.count() <= 10_000 else globs, F.regexp("path", F.col("regex"))).select("doc_id", "path").distinct()
 
 
 def relevant_files(files: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:

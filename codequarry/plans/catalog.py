@@ -1,4 +1,559 @@
-"""Named queries over the given tables, each beside the SQL that says the same."""
+"""Named queries over the given tables, each beside the SQL that says the same.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+documents stand for files (path = source/lang/doc_<id>.txt), links between pages and trade between nations for imports, customers and
+suppliers for symbols. What needs source code runs on the small corpus of plans/corpus.py."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codequarry.functions import files as f
+from codequarry.operators import chunking, docmap, graph, imports, index, metadata, patterns, render, retrieval, state, symbols
+from codequarry.plans import corpus
+from codequarry.session import durable, table
+from codequarry.sources import files as sources
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: documents as files, for the SQL side.
+FILES_SQL = "files AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, lang AS language, len(string_split(text, chr(10))) AS lines, length(text) AS size, text AS content FROM documents)"
+LINKS_SQL = """links AS (SELECT p.source_file, p.target_module, k.path AS target_file, k.path IS NULL AS is_external FROM
+  (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS source_file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target_module FROM pages) p
+  LEFT JOIN (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages UNION SELECT regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^/[^/?#]+') FROM pages) k ON k.path = regexp_replace(regexp_replace(p.target_module, '^[a-z]+://[^/]*', ''), '[?#].*$', ''))"""
+TRADE_SQL = """trade AS (SELECT DISTINCT s.s_nationkey AS src, c.c_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
+  JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE l.l_quantity = 50 AND l.l_discount = 0.0)"""
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(fn: Callable) -> Callable:
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return sources.document_files(table(spark, d, "documents"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return sources.page_links(table(spark, d, "pages"))
+
+
+def _trade(spark: SparkSession, d: str) -> DataFrame:
+    """Nations whose supplier sold an undiscounted lot of fifty to a customer of another: a sparse graph."""
+    lots = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount = 0").select("l_orderkey", "l_suppkey")
+    o, c, s = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    joined = lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
+
+
+def _paths(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in corpus.PATHS], "path string")
+
+
+PATHS_SQL = corpus.values([(p,) for p in corpus.PATHS], "path")
+LANG_CASES = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts.split())}) THEN '{lang}'" for lang, exts in f.LANGUAGES.items()) + " ELSE 'unknown' END"
+IN = lambda xs: "(" + ", ".join(corpus.quoted(x) for x in xs) + ")"
+
+# ---- files ---------------------------------------------------------------------------------------
+
+
+@query("file_language_breakdown", f"WITH {FILES_SQL} SELECT language, count(*) AS n_files FROM files GROUP BY language ORDER BY n_files DESC, language LIMIT 10")
+def file_language_breakdown(spark, d):  # noqa: ANN001, ANN201
+    return index.language_breakdown(_files(spark, d))
+
+
+@query("file_total_lines", f"WITH {FILES_SQL} SELECT count(*) AS n_files, sum(lines)::BIGINT AS total_lines FROM files")
+def file_total_lines(spark, d):  # noqa: ANN001, ANN201
+    return _files(spark, d).agg(F.count("*").alias("n_files"), F.sum("lines").alias("total_lines"))
+
+
+@query(
+    "detect_language",
+    f"""WITH p AS (SELECT path, lower(string_split(path, '/')[-1]) AS name FROM {PATHS_SQL}), e AS (SELECT *, regexp_extract(name, '^.+\\.([^.]+)$', 1) AS ext FROM p)
+SELECT path, CASE WHEN name = 'dockerfile' OR name LIKE 'dockerfile.%' THEN 'dockerfile' WHEN name = 'makefile' THEN 'makefile' ELSE {LANG_CASES} END AS language FROM e""",
+)
+def detect_language(spark, d):  # noqa: ANN001, ANN201
+    return _paths(spark).select("path", f.language(F.col("path")).alias("language"))
+
+
+@query(
+    "file_roles",
+    f"""WITH p AS (SELECT path, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM {PATHS_SQL})
+SELECT path, name IN {IN(f.CONFIG_NAMES)} AS is_config, (name IN {IN(f.ENTRY_NAMES)} OR (len(parts) >= 2 AND parts[-2] IN {IN(f.ENTRY_DIRS)})) AS is_entrypoint,
+  regexp_matches(lower(name), '({"|".join(s.replace(".", chr(92) + ".") for s in f.SKIP_SUFFIXES)})$') AS skipped, list_has_any(parts[1:-2], {list(f.SKIP_DIRS)}) OR len(list_filter(parts[1:-2], lambda x: x LIKE '%.egg-info')) > 0 AS in_skipped_dir,
+  regexp_matches(path, '{f.NOISE}') AS is_noise FROM p""",
+)
+def file_roles(spark, d):  # noqa: ANN001, ANN201
+    p = F.col("path")
+    return _paths(spark).select("path", f.is_config(p).alias("is_config"), f.is_entrypoint(p).alias("is_entrypoint"), f.has_skipped_suffix(p).alias("skipped"), f.in_skipped_dir(p).alias("in_skipped_dir"), f.is_noise(p).alias("is_noise"))
+
+
+@query(
+    "scan_order",
+    f"""WITH p AS (SELECT path, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM {PATHS_SQL})
+SELECT path, row_number() OVER (ORDER BY CASE WHEN name IN {IN(f.CONFIG_NAMES)} THEN 0 WHEN name IN {IN(f.ENTRY_NAMES)} OR (len(parts) >= 2 AND parts[-2] IN {IN(f.ENTRY_DIRS)}) THEN 1 ELSE 2 END, path)::INTEGER AS place FROM p""",
+)
+def scan_order(spark, d):  # noqa: ANN001, ANN201
+    from pyspark.sql import Window
+
+    return _paths(spark).select("path", F.row_number().over(Window.orderBy(f.scan_rank(F.col("path")), "path")).alias("place"))
+
+
+@query("size_filter", f"WITH {FILES_SQL} SELECT path, size FROM files WHERE size > 0 AND size <= 10000")
+def size_filter(spark, d):  # noqa: ANN001, ANN201
+    return sources.wanted(_files(spark, d), max_bytes=10_000).select("path", "size")
+
+
+@query(
+    "minified_filter",
+    f"""WITH m AS (SELECT doc_id, translate(text, chr(10), ' ') AS one, text FROM documents), l AS (SELECT doc_id, one, len(one) AS longest FROM m)
+SELECT doc_id, longest >= 1000 AS looks_minified FROM l""",
+)
+def minified_filter(spark, d):  # noqa: ANN001, ANN201
+    one = F.translate("text", "\n", " ")
+    return table(spark, d, "documents").select("doc_id", f.looks_minified(F.lit("a.js"), one).alias("looks_minified"))
+
+
+@query(
+    "module_names",
+    f"""WITH {FILES_SQL}, p AS (SELECT path FROM files UNION ALL SELECT path FROM {PATHS_SQL}), q AS (SELECT path, string_split(path, '/') AS s FROM p)
+SELECT CASE WHEN len(s) <= 1 THEN 'root' WHEN s[1] IN {IN(f.WRAPPER_DIRS)} AND len(s) > 2 THEN s[2] ELSE s[1] END AS module, CASE WHEN len(s) <= 1 THEN 'root' ELSE s[1] END AS top, s[1] AS first, count(*) AS n
+FROM q GROUP BY ALL""",
+)
+def module_names(spark, d):  # noqa: ANN001, ANN201
+    p = F.col("path")
+    every = _files(spark, d).select("path").union(_paths(spark))
+    return every.groupBy(f.module_name(p).alias("module"), f.top_folder(p).alias("top"), f.first_part(p).alias("first")).agg(F.count("*").alias("n"))
+
+
+@query("preview_lines", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS preview FROM documents")
+def preview_lines(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "documents").select("doc_id", f.preview(F.col("text"), 3).alias("preview"))
+
+
+@query("content_hashes", "SELECT doc_id, substr(sha256(text), 1, 24) AS content_hash, md5(text) AS page_hash FROM documents")
+def content_hashes(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "documents").select("doc_id", f.content_hash(F.col("text")).alias("content_hash"), F.md5("text").alias("page_hash"))
+
+
+@query("git_urls", None)
+def git_urls(spark, d):  # noqa: ANN001, ANN201
+    return spark.createDataFrame([(u,) for u in corpus.URLS], "url string").select("url", *f.git_url_parts(F.col("url")))
+
+
+@query("project_name", None)
+def project_name(spark, d):  # noqa: ANN001, ANN201
+    rows = [("package.json", '{"name": "@acme/tool"}'), ("pyproject.toml", '[project]\nname = "other"\n'), ("a.py", "name = 1")]
+    return sources.project_name(spark.createDataFrame(rows, "path string, content string"), "folder")
+
+
+@query("file_tree", f"WITH {FILES_SQL}, p AS (SELECT string_split(path, '/') AS s FROM files), e AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS entry, (i - 1)::INTEGER AS depth, i < len(s) AS is_dir FROM p, unnest(range(1, len(s) + 1)) AS t(i)) SELECT * FROM e")
+def file_tree(spark, d):  # noqa: ANN001, ANN201
+    return docmap.tree_entries(_files(spark, d))
+
+
+# ---- chunks and retrieval ------------------------------------------------------------------------
+
+
+@query(
+    "rag_chunks",
+    f"WITH {FILES_SQL}, l AS (SELECT path, string_split(content, chr(10)) AS s FROM files), c AS (SELECT path, i, s FROM l, unnest(range(0, ((len(s) + 29) // 30)::BIGINT)) AS t(i))\n"
+    "SELECT path, i::INTEGER AS chunk_no, (30 * i + 1)::INTEGER AS start_line, least(30 * i + 30, len(s))::INTEGER AS end_line, md5(array_to_string(s[30 * i + 1:30 * i + 30], chr(10))) AS hash FROM c WHERE trim(array_to_string(s[30 * i + 1:30 * i + 30], chr(10)), ' ' || chr(10)) <> ''",
+)
+def rag_chunks(spark, d):  # noqa: ANN001, ANN201
+    return chunking.line_chunks(_files(spark, d)).select("path", "chunk_no", "start_line", "end_line", F.md5("content").alias("hash"))
+
+
+def _chunks(spark, d):  # noqa: ANN001, ANN202
+    """Chunks by an id that sorts as files and chunks do."""
+    rows = chunking.line_chunks(_files(spark, d))
+    return rows.select(F.concat("path", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 6, "0")).alias("chunk_id"), "content", "path", "start_line", "end_line")
+
+
+CHUNKS_SQL = f"""{FILES_SQL}, lined AS (SELECT path, string_split(content, chr(10)) AS s FROM files), chunks AS (SELECT path || '#' || lpad(i::VARCHAR, 6, '0') AS chunk_id, array_to_string(s[30 * i + 1:30 * i + 30], chr(10)) AS content
+  FROM lined, unnest(range(0, ((len(s) + 29) // 30)::BIGINT)) AS t(i)),
+kept AS (SELECT * FROM chunks WHERE trim(content, ' ' || chr(10)) <> ''),
+words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-zA-Z_][\\p{{L}}\\p{{N}}_]*')) AS token FROM kept),
+tf AS (SELECT chunk_id, token, count(*) AS tf FROM words GROUP BY ALL), n AS (SELECT count(*) AS n FROM kept),
+idf AS (SELECT token, ln((SELECT n FROM n) / (count(*) + 1)) AS idf FROM tf GROUP BY token)"""
+
+
+@query("rag_tf", f"WITH {CHUNKS_SQL} SELECT token, sum(tf)::BIGINT AS tf, count(*) AS df FROM tf GROUP BY token")
+def rag_tf(spark, d):  # noqa: ANN001, ANN201
+    return retrieval.term_frequencies(_chunks(spark, d)).groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+@query("rag_norms", f"WITH {CHUNKS_SQL} SELECT chunk_id, round(sqrt(sum(tf * idf * tf * idf)), 4) AS norm FROM tf JOIN idf USING (token) WHERE idf <> 0 GROUP BY chunk_id")
+def rag_norms(spark, d):  # noqa: ANN001, ANN201
+    chunks = _chunks(spark, d)
+    tf = retrieval.term_frequencies(chunks)
+    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("n")))).select("token", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"))
+    return retrieval.norms(retrieval.weighted(tf, idf)).select("chunk_id", F.round("norm", 4).alias("norm"))
+
+
+@query(
+    "rag_topk",
+    f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, token, tf * idf AS w FROM tf JOIN idf USING (token) WHERE idf <> 0), norm AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY chunk_id),
+q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z_][\\p{{L}}\\p{{N}}_]*')) AS token FROM benchmark),
+qw AS (SELECT query_id, token, count(*) * any_value(idf) AS qw FROM q JOIN idf USING (token) WHERE idf <> 0 GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY query_id),
+s AS (SELECT query_id, chunk_id, round(sum(w * qw) / (any_value(norm) * any_value(qn)), 6) AS score FROM w JOIN qw USING (token) JOIN norm USING (chunk_id) JOIN qn USING (query_id) GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC)::INTEGER AS rank, chunk_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 5""",
+)
+def rag_topk(spark, d):  # noqa: ANN001, ANN201
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
+    return retrieval.top_chunks(_chunks(spark, d).select("chunk_id", "content"), asked)
+
+
+@query(
+    "chat_context",
+    "SELECT conv_id AS query_id, string_agg('### ' || role || ' (lines ' || turn || '-' || turn || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context, count(*)::INTEGER AS n_refs FROM conversations GROUP BY conv_id",
+)
+def chat_context(spark, d):  # noqa: ANN001, ANN201
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("path"), F.col("turn").alias("start_line"), F.col("turn").alias("end_line"), F.col("text").alias("content"))
+    return retrieval.chat_context(turns).select("query_id", "context", F.size("refs").alias("n_refs"))
+
+
+@query("structural_chunks", None)
+def structural_chunks(spark, d):  # noqa: ANN001, ANN201
+    every = corpus.code_files(spark).select("path", "content").union(_files(spark, d).select("path", "content"))
+    return chunking.structural_chunks(every).select("path", "chunk_id", "start_line", "end_line", "chunk_type", "chunk_name")
+
+
+@query("line_chunks_code", None)
+def line_chunks_code(spark, d):  # noqa: ANN001, ANN201
+    return chunking.line_chunks(corpus.code_files(spark)).select("path", "chunk_no", "start_line", "end_line")
+
+
+# ---- imports and their index ---------------------------------------------------------------------
+
+CODE_SQL = "code AS (SELECT * FROM " + corpus.values(corpus.FILES, "path, language, content") + ")"
+
+
+@query(
+    "parse_imports_rust",
+    f"""WITH {CODE_SQL}, l AS (SELECT path, s[i] AS raw0, i::INTEGER AS line FROM (SELECT path, string_split(content, chr(10)) AS s FROM code WHERE language = 'rust'), unnest(range(1, len(s) + 1)) AS t(i)),
+c AS (SELECT path, line, trim(string_split(raw0, '//')[1]) AS raw FROM l)
+SELECT path AS source_file, regexp_extract(raw, '^use\\s+([\\w:]+)', 1) AS module, 'import' AS kind, line, NOT regexp_matches(raw, '^use\\s+(crate|super|self)') AS is_external, raw FROM c WHERE regexp_matches(raw, '^use\\s+[\\w:]')
+UNION ALL SELECT path, regexp_extract(raw, '^mod\\s+(\\w+)', 1), 'mod', line, false, raw FROM c WHERE regexp_matches(raw, '^mod\\s+\\w')""",
+)
+def parse_imports_rust(spark, d):  # noqa: ANN001, ANN201
+    return imports.parse_imports(corpus.code_files(spark).where("language = 'rust'")).select("source_file", "module", "kind", "line", "is_external", "raw")
+
+
+@query("parse_imports", None)
+def parse_imports(spark, d):  # noqa: ANN001, ANN201
+    return imports.parse_imports(corpus.code_files(spark))
+
+
+@query("resolve_imports", None)
+def resolve_imports(spark, d):  # noqa: ANN001, ANN201
+    code = corpus.code_files(spark)
+    return imports.resolve_imports(imports.parse_imports(code), code).select("source_file", "language", "module", "line", "target_file", "is_external")
+
+
+@query("importers", f"WITH {LINKS_SQL} SELECT target_file, count(*) AS n_imports, count(DISTINCT source_file) AS n_files FROM links WHERE NOT is_external GROUP BY target_file")
+def importers(spark, d):  # noqa: ANN001, ANN201
+    return _links(spark, d).where("not is_external").groupBy("target_file").agg(F.count("*").alias("n_imports"), F.count_distinct("source_file").alias("n_files"))
+
+
+@query("external_index", f"WITH {LINKS_SQL} SELECT target_module, count(DISTINCT source_file) AS n_files FROM links WHERE is_external GROUP BY target_module")
+def external_index(spark, d):  # noqa: ANN001, ANN201
+    return _links(spark, d).where("is_external").groupBy("target_module").agg(F.count_distinct("source_file").alias("n_files"))
+
+
+@query(
+    "entry_points",
+    f"WITH {LINKS_SQL}, f AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages), n AS (SELECT target_file, count(*) AS n FROM links WHERE target_file IS NOT NULL GROUP BY target_file)\nSELECT path, coalesce(n, 0) AS n_imports FROM f LEFT JOIN n ON n.target_file = f.path WHERE coalesce(n, 0) <= 1",
+)
+def entry_points(spark, d):  # noqa: ANN001, ANN201
+    links = _links(spark, d)
+    return index.entry_points(links.select(F.col("source_file").alias("path")).union(table(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*", ""), r"[?#].*$", ""))).distinct(), links)
+
+
+@query("module_dependencies", f"WITH {TRADE_SQL}, n AS (SELECT t.*, a.n_regionkey AS ra, b.n_regionkey AS rb FROM trade t JOIN nation a ON a.n_nationkey = t.src JOIN nation b ON b.n_nationkey = t.dst)\nSELECT DISTINCT 'r' || ra AS src_module, 'r' || rb AS dst_module FROM n WHERE ra <> rb")
+def module_dependencies(spark, d):  # noqa: ANN001, ANN201
+    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("path"))
+    t = _trade(spark, d).join(n.select(F.col("n_nationkey").alias("src"), F.col("path").alias("source_file")), "src").join(n.select(F.col("n_nationkey").alias("dst"), F.col("path").alias("target_file")), "dst")
+    return index.module_dependencies(t.withColumn("is_external", F.lit(False)))
+
+
+FILE_LINKS_SQL = f"{LINKS_SQL}, pf AS (SELECT DISTINCT source_file AS path, 'l' || length(source_file) % 3 AS language, length(source_file) AS lines FROM links)"
+
+
+def _link_files(links: DataFrame) -> DataFrame:
+    n = F.length("source_file")
+    return links.select(F.col("source_file").alias("path"), F.concat(F.lit("l"), (n % 3).cast("string")).alias("language"), n.cast("long").alias("lines")).distinct()
+
+
+@query(
+    "dependency_statistics",
+    f"WITH {FILE_LINKS_SQL} SELECT (SELECT count(*) FROM pf) AS total_files, (SELECT count(DISTINCT CASE WHEN len(string_split(path, '/')) <= 1 THEN 'root' ELSE string_split(path, '/')[1] END) FROM pf) AS module_count, (SELECT count(DISTINCT language) FROM pf) AS language_count, (SELECT count(*) FROM links) AS total_imports, (SELECT count(DISTINCT target_module) FROM links WHERE is_external) AS external_dependencies, (SELECT list_sort(list(DISTINCT target_module))[1:50] FROM links WHERE is_external) AS top_external",
+)
+def dependency_statistics(spark, d):  # noqa: ANN001, ANN201
+    links = _links(spark, d)
+    return index.statistics(_link_files(links), links)
+
+
+@query("language_statistics", f"WITH {FILE_LINKS_SQL}, n AS (SELECT source_file AS path, count(*) AS n FROM links GROUP BY 1) SELECT language, count(*) AS file_count, sum(coalesce(n, 0))::BIGINT AS total_imports, round(avg(coalesce(n, 0)), 6) AS avg_imports_per_file FROM pf LEFT JOIN n USING (path) GROUP BY language")
+def language_statistics(spark, d):  # noqa: ANN001, ANN201
+    links = _links(spark, d)
+    return index.language_statistics(_link_files(links), links)
+
+
+@query("module_statistics", f"WITH {FILE_LINKS_SQL}, n AS (SELECT source_file AS path, count(*) FILTER (WHERE NOT is_external) AS i, count(*) FILTER (WHERE is_external) AS e FROM links GROUP BY 1), m AS (SELECT CASE WHEN len(string_split(path, '/')) <= 1 THEN 'root' ELSE string_split(path, '/')[1] END AS module, lines, i, e FROM pf LEFT JOIN n USING (path))\nSELECT module, count(*) AS file_count, sum(lines)::BIGINT AS total_lines, sum(coalesce(i, 0))::BIGINT AS internal_imports, sum(coalesce(e, 0))::BIGINT AS external_imports FROM m GROUP BY module")
+def module_statistics(spark, d):  # noqa: ANN001, ANN201
+    links = _links(spark, d)
+    return index.module_statistics(_link_files(links), links)
+
+
+@query("search_files", f"WITH {FILES_SQL} SELECT path FROM files WHERE contains(lower(path), 'doc_1') AND language = 'en' AND string_split(path, '/')[1] = 'src1'")
+def search_files(spark, d):  # noqa: ANN001, ANN201
+    return index.search_files(_files(spark, d), "DOC_1", language="en", module="src1").select("path")
+
+
+# ---- graphs --------------------------------------------------------------------------------------
+
+
+@query(
+    "pagerank_files",
+    f"""WITH RECURSIVE {TRADE_SQL}, e AS (SELECT * FROM trade WHERE src <> dst), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY src), v AS (SELECT n_nationkey AS id FROM nation),
+pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v UNION ALL
+  SELECT p.turn + 1, v.id, 0.85 * (coalesce(sum(CASE WHEN e.dst = v.id THEN p.score / deg.deg END), 0) + sum(CASE WHEN deg.deg IS NULL AND coalesce(e.first, true) THEN p.score ELSE 0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
+  FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.src = p.id LEFT JOIN (SELECT src, dst, false AS first FROM e) e ON e.src = p.id AND e.dst = v.id WHERE p.turn < 20 GROUP BY p.turn, v.id)
+SELECT id, round(score, 6) AS score FROM pr WHERE turn = 20""",
+)
+def pagerank_files(spark, d):  # noqa: ANN001, ANN201
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
+    return graph.page_rank(nations, _trade(spark, d), most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
+
+
+@query("core_files", None)
+def core_files(spark, d):  # noqa: ANN001, ANN201
+    links = _links(spark, d).where("not is_external").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst"))
+    return graph.page_rank(links.select(F.col("src").alias("id")).distinct(), links).orderBy(F.col("score").desc(), "id").limit(10).select("id", F.round("score", 6).alias("score"))
+
+
+BUYS_SQL = "buys AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50), both_ways AS (SELECT a AS src, b AS dst FROM buys UNION SELECT b, a FROM buys)"
+
+
+def _buys(spark, d):  # noqa: ANN001, ANN202
+    lots = table(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_suppkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+
+
+@query("related_files_d1", f"WITH {BUYS_SQL} SELECT src AS start, dst AS id, 1 AS depth FROM both_ways WHERE src IN ('s1', 's2')")
+def related_files_d1(spark, d):  # noqa: ANN001, ANN201
+    return graph.related(_buys(spark, d), spark.createDataFrame([("s1",), ("s2",)], "id string"), 1)
+
+
+@query("related_files_d2", f"WITH RECURSIVE {BUYS_SQL}, r AS (SELECT 's1' AS id, 0 AS depth UNION SELECT b.dst, r.depth + 1 FROM r JOIN both_ways b ON b.src = r.id WHERE r.depth < 2) SELECT 's1' AS start, id, min(depth)::INTEGER AS depth FROM r WHERE id <> 's1' GROUP BY id")
+def related_files_d2(spark, d):  # noqa: ANN001, ANN201
+    return graph.related(_buys(spark, d), spark.createDataFrame([("s1",)], "id string"), 2)
+
+
+CALLS_SQL = "calls AS (SELECT * FROM " + corpus.values(corpus.CALLS, "src, dst") + ")"
+
+
+@query("call_chains", f"WITH RECURSIVE {CALLS_SQL}, p AS (SELECT ['a'] AS chain UNION ALL SELECT list_append(chain, dst) FROM p JOIN calls ON src = chain[-1] WHERE chain[-1] <> 'e' AND NOT list_contains(chain, dst) AND len(chain) <= 5) SELECT array_to_string(chain, '>') AS chain FROM p WHERE chain[-1] = 'e'")
+def call_chains(spark, d):  # noqa: ANN001, ANN201
+    return graph.call_chains(spark.createDataFrame(corpus.CALLS, "src string, dst string"), "a", "e", 5).select(F.array_join("chain", ">").alias("chain"))
+
+
+@query("cycles", f"WITH RECURSIVE {CALLS_SQL}, e AS (SELECT DISTINCT src, dst FROM calls WHERE src <> dst), p AS (SELECT [src, dst] AS path, false AS closed FROM e WHERE dst > src UNION ALL SELECT list_append(path, dst), dst = path[1] FROM p JOIN e ON src = path[-1] WHERE NOT closed AND (dst = path[1] OR (dst > path[1] AND NOT list_contains(path, dst))) AND len(path) <= 10)\nSELECT array_to_string(path, '>') AS cycle FROM p WHERE closed")
+def cycles(spark, d):  # noqa: ANN001, ANN201
+    return graph.cycles(spark.createDataFrame(corpus.CALLS, "src string, dst string")).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+@query("topo_levels", f"WITH RECURSIVE i AS (SELECT * FROM {corpus.values(corpus.STEPS, 'id, ord')}), n AS (SELECT x.* FROM {corpus.values(corpus.NEEDS, 'id, need').replace(' AS t(', ' AS x(')} WHERE x.need IN (SELECT id FROM i)), bad AS (SELECT id FROM n WHERE id IN ('x', 'y', 'z')), l AS (SELECT id, 0 AS level FROM i WHERE id NOT IN (SELECT id FROM bad) UNION SELECT n.id, l.level + 1 FROM l JOIN n ON n.need = l.id WHERE n.id NOT IN (SELECT id FROM bad))\nSELECT i.id, coalesce(max(l.level), -1)::INTEGER AS level, any_value(i.ord)::INTEGER AS ord FROM i LEFT JOIN l USING (id) GROUP BY i.id")
+def topo_levels(spark, d):  # noqa: ANN001, ANN201
+    return graph.levels(spark.createDataFrame(corpus.STEPS, "id string, ord int"), spark.createDataFrame(corpus.NEEDS, "id string, on string")).select("id", F.coalesce("level", F.lit(-1)).alias("level"), "ord")
+
+
+@query("topo_order", "SELECT * FROM " + corpus.values([("c", 0), ("e", 1), ("a", 2), ("b", 3), ("d", 4), ("x", 5), ("y", 6), ("z", 7)], "id, place"))
+def topo_order(spark, d):  # noqa: ANN001, ANN201
+    order = graph.topological_order(spark.createDataFrame(corpus.STEPS, "id string, ord int"), spark.createDataFrame(corpus.NEEDS, "id string, on string"))
+    return spark.createDataFrame([(x, i) for i, x in enumerate(order)], "id string, place int")
+
+
+# ---- symbols and patterns ------------------------------------------------------------------------
+
+
+@query(
+    "symbols_go",
+    f"""WITH {CODE_SQL}, l AS (SELECT path, s[i] AS x, i::INTEGER AS line FROM (SELECT path, string_split(content, chr(10)) AS s FROM code WHERE language = 'go'), unnest(range(1, len(s) + 1)) AS t(i)),
+m AS (SELECT path, line, regexp_extract(x, '^func\\s+(\\w+)\\s*\\(', 1) AS fn, regexp_extract(x, '^type\\s+(\\w+)\\s+struct', 1) AS st, regexp_extract(x, '^type\\s+(\\w+)\\s+interface', 1) AS it FROM l)
+SELECT path AS file, fn || st || it AS name, CASE WHEN fn <> '' THEN 'function' WHEN st <> '' THEN 'class' ELSE 'interface' END AS kind, line, CASE WHEN fn <> '' THEN 'func ' || fn || '(...)' ELSE 'type ' || st || it END AS signature FROM m WHERE fn || st || it <> ''""",
+)
+def symbols_go(spark, d):  # noqa: ANN001, ANN201
+    return symbols.parse_symbols(corpus.code_files(spark).where("language = 'go'")).select("file", "name", "kind", "line", "signature")
+
+
+@query("symbols_all", None)
+def symbols_all(spark, d):  # noqa: ANN001, ANN201
+    return symbols.parse_symbols(corpus.code_files(spark))
+
+
+@query("call_edges", None)
+def call_edges(spark, d):  # noqa: ANN001, ANN201
+    code = corpus.code_files(spark)
+    return symbols.call_edges(code, symbols.parse_symbols(code))
+
+
+@query("symbol_kinds", None)
+def symbol_kinds(spark, d):  # noqa: ANN001, ANN201
+    return symbols.kind_counts(symbols.parse_symbols(corpus.code_files(spark)))
+
+
+ARCH_VALUES = corpus.values([(n.upper(), w, k.split()) for n, (k, w, _) in patterns.ARCHITECTURE.items()], "pattern, weight, keywords")
+
+
+@query(
+    "arch_patterns",
+    f"""WITH s AS (SELECT lower(p_type) AS name, max(p_partkey) AS id FROM part GROUP BY 1 UNION ALL SELECT lower(event_type) || 'event', max(event_id) FROM events GROUP BY 1), a AS (SELECT * FROM {ARCH_VALUES}), k AS (SELECT pattern, weight, len(keywords) AS n, unnest(keywords) AS keyword FROM a)
+SELECT pattern, round(least(count(*) / any_value(n) + any_value(weight), 1.0), 6)::DOUBLE AS confidence, count(*) AS n_hits FROM k JOIN s ON contains(s.name, k.keyword) GROUP BY pattern HAVING count(*) >= 2""",
+)
+def arch_patterns(spark, d):  # noqa: ANN001, ANN201
+    parts = table(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("id"))
+    events = table(spark, d, "events").select(F.concat("event_type", F.lit("event")).alias("name"), F.col("event_id").alias("id"))
+    return patterns.recognise(parts.union(events)).select("pattern", "confidence", "n_hits")
+
+
+@query(
+    "design_patterns",
+    "WITH k AS (SELECT * FROM " + corpus.values([(k, n, x.split()) for k, (n, x, _) in patterns.DESIGN.items()], "pattern_key, pattern, features") + "), s AS (SELECT lower(event_type) || CASE WHEN event_id % 2 = 0 THEN 'Event' ELSE 'listener' END AS name FROM events), h AS (SELECT pattern_key, pattern FROM k, s WHERE len(list_filter(features, lambda x: contains(lower(s.name), x))) > 0)\nSELECT pattern_key, pattern, count(*) AS n_matches, least(count(*) / 4, 1.0)::DOUBLE AS confidence FROM h GROUP BY ALL HAVING count(*) >= 2",
+)
+def design_patterns(spark, d):  # noqa: ANN001, ANN201
+    tail = F.when(F.col("event_id") % 2 == 0, "Event").otherwise("listener")
+    return patterns.design_patterns(table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat("event_type", tail).alias("name")))
+
+
+# ---- document maps, metadata, state --------------------------------------------------------------
+
+
+def _glob_rows(spark, d):  # noqa: ANN001, ANN202
+    return spark.createDataFrame([("en", ["*/en/*"], []), ("ones", ["src?/*/doc_*1.txt"], ["en"]), ("low", ["src[0-4]/[!e]*/*9.txt"], [])], "doc_id string, patterns array<string>, depends_on array<string>")
+
+
+@query(
+    "relevant_files_glob",
+    f"""WITH {FILES_SQL} SELECT 'en' AS doc_id, path FROM files WHERE regexp_full_match(path, '.*/en/.*') UNION SELECT 'ones', path FROM files WHERE regexp_full_match(path, 'src./.*/doc_.*1\\.txt') OR regexp_full_match(path, '.*/en/.*')
+UNION SELECT 'low', path FROM files WHERE regexp_full_match(path, 'src[0-4]/[^e].*/.*9\\.txt')""",
+)
+def relevant_files_glob(spark, d):  # noqa: ANN001, ANN201
+    none = spark.createDataFrame([], "src string, dst string")
+    return docmap.relevant_files(_files(spark, d), _glob_rows(spark, d), none)
+
+
+@query("category_tree", f"WITH RECURSIVE c AS (SELECT * FROM {corpus.values(corpus.CATEGORIES, 'id, parent_id, title')}), t AS (SELECT id, 0 AS depth, title AS path FROM c WHERE coalesce(parent_id, '') = '' UNION ALL SELECT c.id, t.depth + 1, t.path || '/' || c.title FROM t JOIN c ON c.parent_id = t.id) SELECT id, depth::INTEGER AS depth, path FROM t")
+def category_tree(spark, d):  # noqa: ANN001, ANN201
+    return docmap.tree_paths(spark.createDataFrame(corpus.CATEGORIES, "id string, parent_id string, title string"))
+
+
+@query("region_tree", "SELECT 'r' || r_regionkey AS id, 0 AS depth, r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 's' || s_suppkey, 2, r_name || '/' || n_name || '/' || s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+def region_tree(spark, d):  # noqa: ANN001, ANN201
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), "s_name")
+    return docmap.tree_paths(r.union(n).union(s))
+
+
+@query("catalog_upsert", "SELECT DISTINCT n_name AS name, 'r' || n_regionkey AS parent_id, substr(sha256('r' || n_regionkey || chr(31) || n_name), 1, 32) AS id FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def catalog_upsert(spark, d):  # noqa: ANN001, ANN201
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
+    return metadata.catalogs(rows).select("name", "parent_id", "id")
+
+
+NOW = "2030-01-01"
+
+
+@query("cache_latest_ttl", "WITH l AS (SELECT user_id AS key, ts AS created_at, event_type AS op, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), m AS (SELECT max(ts) AS now FROM events) SELECT key, op, round(value, 6) AS value FROM l, m WHERE rn = 1 AND epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) <= 604800")
+def cache_latest_ttl(spark, d):  # noqa: ANN001, ANN201
+    events = table(spark, d, "events")
+    now = events.agg(F.max("ts").alias("now"))
+    log = events.select(F.col("user_id").alias("key"), F.col("ts").alias("created_at"), F.col("event_id").alias("eid"), F.col("event_type").alias("op"), "value")
+    second = lambda c: F.unix_seconds(F.date_trunc("second", F.col(c)).cast("timestamp"))
+    kept = state.latest(log).crossJoin(F.broadcast(now)).where(second("now") - second("created_at") <= state.TTL_SECONDS)
+    return kept.select("key", "op", F.round("value", 6).alias("value"))
+
+
+@query("generation_status", "SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'success' WHEN quality = 0 THEN 'failed' END, 'pending') AS status FROM documents LEFT JOIN labels USING (doc_id)")
+def generation_status(spark, d):  # noqa: ANN001, ANN201
+    records = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "success").otherwise("failed").alias("status"))
+    return state.statuses(table(spark, d, "documents"), records)
+
+
+@query("incremental_diff", "SELECT doc_id AS id, md5(text) AS hash FROM documents WHERE doc_id % 3 <> 0")
+def incremental_diff(spark, d):  # noqa: ANN001, ANN201
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    before = docs.where("id % 3 <> 1").select("id", F.when(F.col("id") % 3 == 0, F.md5("content")).otherwise("stale").alias("hash"))
+    return state.changed(docs, before).select("id", "hash")
+
+
+@query("json_props", "SELECT event_type, sum((props->>'k')::BIGINT)::BIGINT AS sum_k, count(*) AS n FROM events GROUP BY event_type")
+def json_props(spark, d):  # noqa: ANN001, ANN201
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count("*").alias("n"))
+
+
+# ---- rendering -----------------------------------------------------------------------------------
+
+
+@query("mermaid_edges", f"WITH {LINKS_SQL} SELECT DISTINCT source_file AS src, target_file AS dst, '  ' || regexp_replace(source_file, '[^a-zA-Z0-9_]', '_', 'g') || ' --> ' || regexp_replace(target_file, '[^a-zA-Z0-9_]', '_', 'g') AS line FROM links WHERE NOT is_external")
+def mermaid_edges(spark, d):  # noqa: ANN001, ANN201
+    return render.edge_lines(_links(spark, d).where("not is_external").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst")))
+
+
+@query("module_diagram", None)
+def module_diagram(spark, d):  # noqa: ANN001, ANN201
+    return render.module_diagram(_files(spark, d), module_dependencies(spark, d))
+
+
+@query("markdown_to_html", "SELECT * FROM " + corpus.values([
+    (1, "<h1>Title &amp; more</h1>\n<br>\n<p>text <strong>bold</strong> and <code>code</code> &lt;tag&gt;</p>\n<li>item</li>\n<li>first</li>\n<blockquote>quote</blockquote>"),
+    (2, '<pre><code class="language-python">x = &quot;&lt;a&gt;&quot;</code></pre>\n<p>after</p>'), (3, '<div class="mermaid">graph TD</div>'),
+    (4, '<h2>Two <a href="http://a?b=1&amp;c=2">link</a></h2>\n<h3>Three</h3>\n<pre><code class="language-text">plain</code></pre>'),
+], "id, html"))
+def markdown_to_html(spark, d):  # noqa: ANN001, ANN201
+    return spark.createDataFrame(corpus.MARKDOWN, "id int, text string").select("id", render.markdown_to_html(F.col("text")).alias("html"))
+
+
+@query("category_pages", "WITH n AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS no FROM nation) SELECT 'r' || r_regionkey AS category_id, any_value(r_name) AS title, count(*) AS n_docs, '# ' || any_value(r_name) || chr(10) || chr(10) || string_agg(no || '. **' || n_name || '**: nation ' || n_nationkey, chr(10) ORDER BY no) AS content FROM n JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey HAVING count(*) >= 3")
+def category_pages(spark, d):  # noqa: ANN001, ANN201
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), F.concat(F.lit("r"), "n_regionkey").alias("category_id"), F.concat(F.lit("nation "), "n_nationkey").alias("purpose"), F.col("n_nationkey").alias("ord"))
+    return render.category_pages(r, n)
+
+
+@query("sidebar", None)
+def sidebar(spark, d):  # noqa: ANN001, ANN201
+    tree = docmap.tree_paths(spark.createDataFrame(corpus.CATEGORIES, "id string, parent_id string, title string"))
+    return render.sidebar(tree.select(F.col("path").alias("sort_path"), "depth", F.element_at(F.split("path", "/"), -1).alias("title"), F.when(F.col("depth") > 1, F.col("id")).otherwise("").alias("page_id")))
+
+
+@query("streaming_file_ingest", "SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
+def streaming_file_ingest(spark, d):  # noqa: ANN001, ANN201
+    import tempfile
+
+    from codequarry.streaming.ingest import counts_by_language, stream_table
+
+    found: list[DataFrame] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        found.append(durable(batch))
+
+    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    import uuid
+
+    stream = counts_by_language(stream_table(spark, d, "documents"))
+    done = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{where}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return found[-1]

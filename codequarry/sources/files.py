@@ -54,10 +54,11 @@ def document_files(documents: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """source_file, target_module, target_file, is_external: the links of pages(page_id, url, html), pages being named by the path of their
-    address. A link to the path of a known page is internal."""
+    address. A link to the path of a known page, or to the first folder of one, is internal."""
     path = lambda u: F.regexp_replace(F.regexp_replace(u, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
     links = pages.select(path(F.col("url")).alias("source_file"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target_module"))
-    known = pages.select(path(F.col("url")).alias("target_file")).distinct()
+    here = path(F.col("url"))
+    known = pages.select(F.explode(F.array(here, F.regexp_extract(here, "^/[^/]+", 0))).alias("target_file")).distinct()
     out = links.withColumn("k", path(F.col("target_module"))).join(known, F.col("k") == F.col("target_file"), "left")
     return out.select("source_file", "target_module", "target_file", F.col("target_file").isNull().alias("is_external"))
 
