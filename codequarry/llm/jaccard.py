@@ -14,10 +14,9 @@ which each pair meets. In a tile, sets outside each other's size band are skippe
 rest: the bits in which two bitmaps differ are at most the size of the symmetric difference, which bounds the overlap
 from above. What passes is verified by intersecting the sorted arrays.
 
-A tile does not emit all passing pairs: it emits a spanning forest of them that starts at the set with most
-partners, two times, with sets contracted to the classes found so far; only pairs between classes that are then still
-apart are emitted in full. So a group of thousands of near copies costs a verification a member, and no link between
-classes is lost.
+A tile does not emit all passing pairs: it first emits a minimum spanning forest of them by the bitmaps' difference. The
+links that this verifies make classes, and then the passing pairs between different classes are emitted in full. So a group of
+thousands of near copies costs about a verification a member, and no link between classes is lost.
 
 Defined results: texts without words have empty sets and stand alone; texts of one or two words are one shingle; equal
 sets are linked; null ids count as larger than all others; repeated rows are linked; extra columns are ignored.
@@ -32,43 +31,120 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, mix64, table, window_hashes, word_hashes
+from codequarry.llm.common import durable, mix64, sided, table, window_hashes, word_hashes
 from codequarry.llm.components import components
 
 WORDS, PERCENT = 3, 90
-#: Sets that a tile compares at once; bits of a bitmap.
-TILE, BITS = 1024, 1024
-#: Lowest part of the hash range in which shingles are counted, and how many of the most frequent (with so many texts) go last.
-ZONE, HOT, HOT_TEXTS = 0.1875, 65_536, 32
+#: Sets that a tile compares at once; bits of a bitmap at most. A set of n shingles has at least n / 2 of them, and LEAST_BITS.
+TILE, BITS, LEAST_BITS = 1024, 4096, 256
+#: Shingles are counted in the lowest part of the hash range, this many times the share that prefixes take; how many of the most frequent (with so many texts) go last.
+ZONE, HOT, HOT_TEXTS = 1.4, 65_536, 32
 #: Parts that equal sets are dealt over when classes go back to documents.
 SALT = 32
 #: Bits of the filter over ids whose sets are needed: 4 MB, whatever the corpus.
 FILTER_BITS = 1 << 25
+#: Bytes of text that are hashed at once; what stands for a null id, so that it comes last.
+BYTES_AT_ONCE, NO_ID = 1 << 20, 2**63 - 1
+
+
+class Sets:
+    """Shingle sets of several texts in one array: set k is grams[at[k]:at[k + 1]], sorted and distinct."""
+
+    def __init__(self, texts: list[str | None], n: int = WORDS):
+        raws = [(t or "").encode() for t in texts]
+        words, starts, _ = word_hashes(np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8))
+        bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
+        windows = window_hashes(words, n)
+        sets = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if b - a >= n:
+                s = np.sort(windows[a : b - n + 1])
+                sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+            else:
+                sets.append(window_hashes(words[a:b], b - a) if b > a else words[:0])
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        self.grams = np.concatenate(sets) if sets else words[:0]
+        self.mixed = mix64(self.grams)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.grams[self.at[k] : self.at[k + 1]]
+
+    def _reduce(self, op: np.ufunc, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.size), dtype=np.uint64)
+        full = self.size > 0
+        if full.any():
+            out[full] = op.reduceat(values, self.at[:-1][full])
+        return out
+
+    def digests(self) -> np.ndarray:
+        """Identity of each set: 64 bits, of its size and the sum and the exclusive or of its elements' hashes."""
+        parts = (self._reduce(np.add, self.mixed), self._reduce(np.bitwise_xor, mix64(self.grams ^ np.uint64(0xABCDEF))), self.size.astype(np.uint64))
+        h = np.zeros(len(self.size), dtype=np.uint64)
+        for i, x in enumerate(parts):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + mix64(x ^ np.uint64(i + 1)))
+        return h.view(np.int64)
+
+    def bitmaps(self) -> list[bytes]:
+        """Parity of the number of elements at each bit. The low bits of an element's hash choose the bit, so folding a bitmap,
+        the exclusive or of its halves, gives that of half the length."""
+        width = 2 ** np.ceil(np.log2(np.clip(self.size / 2, LEAST_BITS, BITS))).astype(np.int64)
+        begin = np.concatenate(([0], np.cumsum(width)))
+        cell = np.repeat(begin[:-1], self.size) + ((self.mixed >> np.uint64(33)).astype(np.int64) & np.repeat(width - 1, self.size))
+        packed = np.packbits((np.bincount(cell, minlength=int(begin[-1])) & 1).astype(bool))
+        return [packed[a >> 3 : b >> 3].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def _differences(bits: list[bytes]) -> np.ndarray:
+    """In how many bits each two bitmaps differ. Those of one length are compared as they are and with those of twice the length,
+    folded; sets whose bitmaps differ more in length are of no comparable size (and get 0)."""
+    out = np.zeros((len(bits), len(bits)), dtype=np.int32)
+    length = np.array([len(b) for b in bits])
+    rows = {w: np.frombuffer(b"".join(b for b in bits if len(b) == w), dtype=np.uint64).reshape(-1, w // 8) for w in np.unique(length).tolist()}
+
+    def fill(at: np.ndarray, to: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        step = max(1, (1 << 20) // max(1, b.size))
+        for k in range(0, len(a), step):
+            found = np.bitwise_count(a[k : k + step, None, :] ^ b[None]).sum(axis=2, dtype=np.int32)
+            out[np.ix_(at[k : k + step], to)] = found
+            out[np.ix_(to, at[k : k + step])] = found.T
+
+    for w, a in rows.items():
+        at = np.flatnonzero(length == w)
+        fill(at, at, a, a)
+        if 2 * w in rows:
+            twice = rows[2 * w]
+            fill(at, np.flatnonzero(length == 2 * w), a, twice[:, : w // 8] ^ twice[:, w // 8 :])
+    return out
 
 
-def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = word_hashes(np.frombuffer((text or "").encode(), dtype=np.uint8))[0]
-    return np.unique(window_hashes(words, min(n, len(words)))) if len(words) else words
-
-
-def _digest(s: np.ndarray) -> int:
-    """Identity of a set: 64 bits, of the sum and the exclusive or of its elements' hashes."""
-    folded = np.array([mix64(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s ^ np.uint64(0xABCDEF)), initial=np.uint64(0)), len(s)], dtype=np.uint64)
-    return int(window_hashes(folded, 3).view(np.int64)[0])
+def _portions(texts: list[str | None], words: int) -> Iterator[tuple[int, int, Sets]]:
+    """Sets of BYTES_AT_ONCE of text at a time, or of one longer text, with the range of texts they are of."""
+    begin = 0
+    while begin < len(texts):
+        size, end = 0, begin
+        while end < len(texts) and (end == begin or size + len(texts[end] or "") <= BYTES_AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        yield begin, end, Sets(texts[begin:end], words)
+        begin = end
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
+def _zone(percent: int) -> np.uint64:
+    return np.uint64(int(min(0.999, ZONE * (1 - percent / 100)) * 2**64))
+
+
+def _hot_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
     """The most frequent shingles of the zone, HOT at most."""
-    limit = np.uint64(int(ZONE * 2**64))
+    limit = _zone(percent)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kept = [s[: np.searchsorted(s, limit)] for s in (shingle_set(t, words) for t in pdf["text"])]
+            kept = [part.grams[part.grams < limit] for _, _, part in _portions(list(pdf["text"]), words)]
             token, n = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.uint64), return_counts=True)
             yield pd.DataFrame({"token": token.view(np.int64), "n": n})
 
@@ -78,29 +154,32 @@ def _hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, rid (identity of the set), n, prefix: one row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, words))
+    """doc_id, rid (identity of the set), n, bits, prefix: one row for each row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, words, percent))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frequent(grams: np.ndarray) -> np.ndarray:
         hot = shared.value
+        out = np.zeros(len(grams), dtype=bool)
+        low = np.flatnonzero(grams < _zone(percent)) if len(hot) else []
+        if len(low):
+            at = np.minimum(np.searchsorted(hot, grams[low]), len(hot) - 1)
+            out[low] = hot[at] == grams[low]
+        return out
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rid, size, prefix = [], [], []
-            for text in pdf["text"]:
-                s = shingle_set(text, words)
-                p = prefix_length(len(s), percent) if len(s) else 0
-                last = np.isin(s, hot, assume_unique=True) if len(hot) else np.zeros(len(s), dtype=bool)
-                rid.append(_digest(s))
-                size.append(len(s))
-                prefix.append(np.concatenate((s[~last][:p], s[last]))[:p].view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "rid": rid, "n": size, "prefix": prefix})
+            for begin, end, sets in _portions(list(pdf["text"]), words):
+                last, prefix = frequent(sets.grams), []
+                for a, b in zip(sets.at[:-1].tolist(), sets.at[1:].tolist()):
+                    s, late, p = sets.grams[a:b], last[a:b], prefix_length(b - a, percent) if b > a else 0
+                    prefix.append((np.concatenate((s[~late][:p], s[late]))[:p] if late.any() else s[:p]).view(np.int64))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[begin:end].to_numpy(), "rid": sets.digests(), "n": sets.size, "bits": sets.bitmaps(), "prefix": prefix})
 
-    return durable(docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, rid long, n long, prefix array<long>"))
+    return durable(_nulls_last(docs).mapInPandas(sign, "doc_id long, rid long, n long, bits binary, prefix array<long>"))
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of elements at each bit."""
-    odd = np.bincount((mix64(s) >> np.uint64(33)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
+def _nulls_last(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
 
 
 def _filter_at(ids: np.ndarray) -> np.ndarray:
@@ -108,7 +187,7 @@ def _filter_at(ids: np.ndarray) -> np.ndarray:
 
 
 def _arrays(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """rid, n, bits, grams of the sets whose first document is in needed(doc_id), and of a few more: documents
+    """rid, grams of the sets whose first document is in needed(doc_id), and of a few more: documents
     outside a filter of fixed size over the ids are passed over without being hashed."""
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,84 +204,78 @@ def _arrays(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
         for pdf in batches:
             at = _filter_at(pdf["doc_id"].to_numpy())
             hit = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
-            sets = [s for s in (shingle_set(t, words) for t in pdf["text"][hit]) if len(s)]
-            for k in range(0, len(sets), 500):
-                part = sets[k : k + 500]
-                yield pd.DataFrame({"rid": [_digest(s) for s in part], "n": [len(s) for s in part], "bits": [_bitmap(s) for s in part], "grams": [s.view(np.int64) for s in part]})
+            for _, _, sets in _portions(list(pdf["text"][hit]), words):
+                yield pd.DataFrame({"rid": sets.digests(), "grams": [sets[k].view(np.int64) for k in range(len(sets.size))]})
 
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**62))).alias("doc_id"), "text")
-    return keyed.mapInPandas(collect, "rid long, n long, bits binary, grams array<long>").dropDuplicates(["rid"])
+    return _nulls_last(docs).mapInPandas(collect, "rid long, grams array<long>").dropDuplicates(["rid"])
 
 
 def _routes(reps: DataFrame) -> DataFrame:
-    """token, rid, n, members: shingles in the prefix of several sets, one for each different membership."""
-    rows = reps.select("rid", "n", F.explode("prefix").alias("token"))
+    """token, rid, members: shingles in the prefix of several sets, one for each different membership."""
+    rows = reps.select("rid", F.explode("prefix").alias("token")).repartition("token")
     tokens = rows.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rid")).alias("look")).where("members > 1")
     kept = tokens.groupBy("look", "members").agg(F.min("token").alias("token"))
     return rows.join(kept.select("token", "members"), "token")
 
 
-def _tiles(routes: DataFrame, percent: int) -> DataFrame:
-    """key, part, rid, n: members of tiles. Pairs of a tile with two parts are those across the parts."""
-    small = routes.where(F.col("members") <= TILE).select(F.xxhash64("token").alias("key"), F.lit(-1).alias("part"), "rid", "n")
+def _tiles(routes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """key, part, rid: members of tiles. Pairs of a tile with two parts are those across the parts."""
+    small = routes.where(F.col("members") <= TILE).select(F.xxhash64("token").alias("key"), F.lit(-1).alias("part"), "rid")
     step = float(-np.log(percent / 100))
     band = F.floor(F.log("n") / step).cast("long")
-    large = routes.where(F.col("members") > TILE).select("token", "rid", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    large = routes.where(F.col("members") > TILE).join(sizes, "rid").select("token", "rid", F.explode(F.array(band, band + 1)).alias("band"))
     sized = large.groupBy("token", "band").agg(F.ceil(F.count("*") * 2 / TILE).cast("int").alias("parts"))
     cut = large.join(sized, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return small.union(cut.select(F.xxhash64("token", "band", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "part", "rid", "n"))
+    return small.union(cut.select(F.xxhash64("token", "band", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "part", "rid"))
 
 
-def _passing(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _passing(n: np.ndarray, differ: np.ndarray, comp: np.ndarray, part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs may be similar enough and are not in one class yet (matrix), and their bitmaps' differences."""
-    m = len(n)
-    differ = np.empty((m, m), dtype=np.int32)
-    for k in range(0, m, 64):
-        differ[k : k + 64] = np.bitwise_count(bits[k : k + 64, None, :] ^ bits[None]).sum(axis=2, dtype=np.int32)
     total = n[:, None] + n[None]
     ok = (100 + percent) * (total - differ) >= 2 * percent * total
     ok &= 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
     ok &= comp[:, None] != comp[None]
-    if part[0] != part[-1] or len(np.unique(part)) > 1:
+    if len(np.unique(part)) > 1:
         ok &= part[:, None] != part[None]
     return ok, differ
 
 
 def _forest(ok: np.ndarray, differ: np.ndarray) -> list[tuple[int, int]]:
-    """Breadth-first forest of the pairs, each tree from the member with most partners; a member hangs on its closest."""
-    out, todo, degree = [], ok.any(axis=1), ok.sum(axis=1)
+    """Minimum spanning forest of the pairs by their bitmaps' difference (Prim): each member hangs on the closest one, which links it
+    if any does, but for the bitmaps' error."""
+    far = np.int32(1 << 30)
+    cost, out = np.where(ok, differ, far), []
+    todo = ok.any(axis=1)
     while todo.any():
-        root = int(np.argmax(np.where(todo, degree, -1)))
-        level = np.array([root])
+        root = int(np.argmax(todo))
         todo[root] = False
-        while len(level):
-            reach = ok[level]
-            nxt = np.flatnonzero(reach.any(axis=0) & todo)
-            if len(nxt):
-                closest = np.where(reach[:, nxt], differ[level][:, nxt], 1 << 30).argmin(axis=0)
-                out += list(zip(level[closest].tolist(), nxt.tolist()))
-                todo[nxt] = False
-            level = nxt
+        best, parent = np.where(todo, cost[root], far), np.full(len(ok), root)
+        while best[j := int(best.argmin())] < far:
+            out.append((int(parent[j]), j))
+            todo[j] = False
+            nearer = todo & (cost[j] < best)
+            parent[nearer] = j
+            best[nearer] = cost[j][nearer]
+            best[j] = far
     return out
 
 
-def _candidates(tiles: DataFrame, sets: DataFrame, classes: DataFrame | None, percent: int, all_pairs: bool) -> DataFrame:
+def _candidates(tiles: DataFrame, bitmaps: DataFrame, classes: DataFrame | None, percent: int, all_pairs: bool) -> DataFrame:
     """a, b: pairs of rids to verify."""
-    rows = tiles.join(sets.select("rid", "bits"), "rid")
-    if classes is not None:
-        rows = rows.join(classes, rows["rid"] == classes["id"], "left").select("key", "part", "rid", "n", "bits", F.coalesce("component", "rid").alias("comp"))
+    if classes is None:
+        rows = tiles.withColumn("comp", F.col("rid"))
+    else:
+        rows = tiles.join(classes, tiles["rid"] == classes["id"], "left").select("key", "part", "rid", F.coalesce("component", "rid").alias("comp"))
         apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         rows = rows.join(apart, "key", "left_semi")
-    else:
-        rows = rows.withColumn("comp", F.col("rid"))
+    rows = rows.join(bitmaps, "rid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
         def tile(pdf: pd.DataFrame) -> list[tuple[int, int]]:
             rid, n, comp, part = (pdf[c].to_numpy() for c in ("rid", "n", "comp", "part"))
-            bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
-            ok, differ = _passing(n, bits, comp, part, percent)
+            ok, differ = _passing(n, _differences(list(pdf["bits"])), comp, part, percent)
             if not ok.any():
                 return []
             pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(ok)))) if all_pairs else _forest(ok, differ)
@@ -238,10 +311,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["x"], pdf["y"]):
-                shared = len(np.intersect1d(np.asarray(x), np.asarray(y), assume_unique=True))
+                a, b = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
+                at = np.searchsorted(a, b)
+                shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
+    used = sided(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), 200_000)
+    sets = sets.join(used, "rid", "left_semi")
     left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("rid").alias("b"), F.col("grams").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInPandas(exact, "a long, b long")
@@ -250,33 +327,42 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, rid, component_id, one row for each row of docs(doc_id, text)."""
     signed = _sets(docs, words, percent)
-    firsts = F.coalesce("doc_id", F.lit(2**62)).alias("doc_id")
-    reps = signed.where("n > 0").groupBy("rid").agg(F.min(F.struct(firsts, "n", "prefix")).alias("s")).select("rid", "s.*")
-    reps = durable(reps)
-    routes = durable(_routes(reps))
-    tiles = _tiles(routes, percent)
-    needed = reps.join(routes.select("rid").distinct(), "rid", "left_semi").select(F.when(F.col("doc_id") == 2**62, -(2**62)).otherwise(F.col("doc_id")).alias("doc_id"))
-    sets = durable(_arrays(docs, needed, words))
-    links, classes = None, None
-    for turn in range(3):
-        found = durable(_verify(durable(_candidates(tiles, sets, classes, percent, all_pairs=turn == 2)), sets, percent))
-        links = found if links is None else durable(links.union(found))
-        if turn < 2:
-            classes = durable(components(links))
+    reps = durable(signed.where("n > 0").groupBy("rid").agg(F.min(F.struct("doc_id", "n", "bits", "prefix")).alias("s")).select("rid", "s.*"))
+    tiles = durable(_tiles(_routes(reps), reps.select("rid", "n"), percent))
+    bitmaps = reps.select("rid", "n", "bits")
+    pairs = durable(_candidates(tiles, bitmaps, None, percent, all_pairs=False))
+    # the first forest reaches every set with a partner that passes; the others have no part in what follows
+    partnered = sided(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+    sets = durable(_arrays(docs, reps.join(partnered, "rid", "left_semi").select("doc_id"), words))
+    tiles, bitmaps = durable(tiles.join(partnered, "rid", "left_semi")), durable(bitmaps.join(partnered, "rid", "left_semi"))
+    links = durable(_verify(pairs, sets, percent))
+    pairs = durable(_candidates(tiles, bitmaps, durable(components(links)), percent, all_pairs=True))
+    links = durable(links.union(_verify(pairs, sets, percent)))
     classes = components(links)
     labelled = reps.select("rid", "doc_id").join(classes, F.col("rid") == F.col("id"), "left").select("rid", "doc_id", F.coalesce("component", "rid").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(smallest, "component").select("rid", F.when(F.col("component_id") < 2**62, F.col("component_id")).alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    named = labelled.join(smallest, "component").select("rid", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     members = signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", "rid", F.col("doc_id").alias("component_id"))
-    return members.where("n_shingles > 0").join(named, ["rid", "salt"]).select("doc_id", "n_shingles", "rid", "component_id").union(alone)
+    every = members.where("n_shingles > 0").join(named, ["rid", "salt"]).select("doc_id", "n_shingles", "rid", "component_id").union(alone)
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return every.select(known("doc_id"), "n_shingles", "rid", known("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The rows of docs that are the first of their class, and those without words; of repeated rows of that first id one stays."""
-    classes = similar_classes(docs, percent, words)
-    drop = classes.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """The rows of docs that are the first of their class, one for each class, and those without words, with all their columns."""
+    classes = durable(similar_classes(docs, percent, words))
+    full = F.col("n_shingles") > 0
+    later = sided(classes.where(full & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    kept = docs.join(later, "doc_id", "left_anti")
+    # ids that stand more than once: equal rows are one document, of a null id's the first text of each class stays
+    again = classes.where(full & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = durable(again)
+    if again.isEmpty():
+        return kept
+    repeated = kept.where(F.col("doc_id").isNull()).unionByName(kept.join(again.where(F.col("doc_id").isNotNull()), "doc_id", "left_semi").select(kept.columns))
+    once = repeated.dropDuplicates(["doc_id", "text"])
+    return kept.where(F.col("doc_id").isNotNull()).join(again, "doc_id", "left_anti").select(kept.columns).unionByName(once)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
