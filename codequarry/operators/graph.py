@@ -30,13 +30,13 @@ def page_rank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, most:
     links = durable(links.join(degree, "src"))
     ranks = durable(ids.join(degree, ids["id"] == degree["src"], "left").select("id", F.col("deg").isNull().alias("sink"), F.lit(1.0 / n).alias("score")))
     for _ in range(most):
-        loose = ranks.where("sink").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        loose = F.broadcast(ranks.where("sink").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose")))  # one row
         given = links.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        new = alpha * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - alpha) / n
-        turned = durable(ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "sink", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
-        change = turned.agg(F.sum("moved")).first()[0] if tolerance else n
+        new = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n
+        turned = ranks.join(given, ranks["id"] == given["dst"], "left").crossJoin(loose)
+        turned = durable(turned.select("id", "sink", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
         ranks = turned.drop("moved")
-        if change < n * tolerance:
+        if tolerance and turned.agg(F.sum("moved")).first()[0] < n * tolerance:
             break
     return ranks.select("id", "score")
 

@@ -109,3 +109,47 @@ def test_paths(spark):  # noqa: ANN001
     assert [r.line for r in tree] == ["a/", "  b.py", "  c/", "... and 2 more entries"]
     html = spark.createDataFrame([("```\n<a>\n```\n# T",)], "t string").select(render.markdown_to_html(F.col("t")).alias("h")).first().h
     assert html == '<pre><code class="language-text">&lt;a&gt;</code></pre>\n<h1>T</h1>'
+
+
+def test_generation(spark):  # noqa: ANN001
+    from codequarry.operators import generation
+
+    calls = []
+
+    def flaky(prompt: str) -> str:
+        if "bad" in prompt:
+            raise RuntimeError("no")
+        return 'text ```json\n{"title": "T", "n": 1, "other": 2}\n``` end'
+
+    got = {r.id: r for r in generation.complete(spark.createDataFrame([("a", "ok"), ("b", "bad")], "id string, prompt string"), flaky, pause=0).collect()}
+    assert (got["a"].status, got["b"].status, got["b"].answer) == ("success", "failed", None) and not calls
+    answers = spark.createDataFrame([("a", got["a"].answer), ("b", "none"), ("c", "see [1, {\"title\": 3}] {\"title\": \"x\"}")], "id string, answer string")
+    read = {r.id: r.title for r in generation.json_answers(answers, "title string, n int").collect()}
+    assert read["a"] == "T" and read["b"] is None
+    text = "I'd like more.\n## Files I Need\n- src/a.py\n* **lib\\b.ts**\n- not a path\n## Next\nplease show me the content of cmd/main.go and x.txt; also web/app.vue here"
+    assert spark.range(1).select(generation.requested_files(F.lit(text)).alias("p")).first().p == ["src/a.py", "lib/b.ts", "cmd/main.go", "web/app.vue"]
+    files = spark.createDataFrame([("src/x.py", "python", "def a(b):\n  pass\nclass C:\n  pass", False), ("package.json", "json", "{}", True)], "path string, language string, content string, is_config boolean")
+    assert generation.project_type(files).first().project_type == "full-stack"
+    assert rows(generation.signatures(files), "path", "signatures") == [("src/x.py", ["def a(b)", "class C"])]
+
+
+def test_wiki(spark, tmp_path):  # noqa: ANN001
+    from codequarry.plans import wiki
+
+    for name, content in {"main.py": "import lib.util\nclass Factory:\n    pass\ndef create():\n    pass\n", "lib/util.py": "x = 1\n"}.items():
+        p = tmp_path / "in" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(content)
+    record = wiki.build(spark, str(tmp_path / "in"), str(tmp_path / "out"), "Demo")
+    assert rows(record, "id") == [("architecture",), ("dependencies",), ("module/lib",), ("module/root",), ("overview",)]
+    assert "root --> lib" in (tmp_path / "out/content/dependencies.md").read_text()
+    assert "FACTORY" in (tmp_path / "out/content/architecture.md").read_text()
+
+
+def test_config(tmp_path, monkeypatch):  # noqa: ANN001
+    from codequarry.config import Config
+
+    Config(model="short", max_files=7).save(str(tmp_path))
+    monkeypatch.setenv("CODEQUARRY_LANGUAGE", "zh")
+    got = Config.load(str(tmp_path), {"short": "long/name"})
+    assert (got.model, got.max_files, got.language) == ("long/name", 7, "zh")
