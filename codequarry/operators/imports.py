@@ -207,6 +207,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame, trust_files: bool = Tr
     candidates = F.array().cast("array<string>")
     for language, build in RESOLVERS.items():
         candidates = F.when(F.col("language") == language, build(F.col("module"), F.col("source_file"))).otherwise(candidates)
+    module, name = F.col("module"), F.col("name")  # what a Python from-import names may itself be a file
+    below = F.when(module.endswith("."), F.concat(module, name)).otherwise(F.concat(module, F.lit("."), name))
+    python = RESOLVERS.get("python")
+    if python:
+        candidates = F.when((F.col("language") == "python") & (F.col("kind") == "from") & name.isNotNull(), F.concat(candidates, python(below, F.col("source_file")))).otherwise(candidates)
     keyed = imports.withColumn("__id", F.xxhash64("source_file", "module", "name", "kind", "line", "raw"))
     options = keyed.select("__id", F.posexplode(candidates).alias("pos", "path")).distinct()
     hits = options.join(files.select("path").distinct(), "path").groupBy("__id").agg(F.min_by("path", "pos").alias("target_file"))

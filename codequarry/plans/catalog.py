@@ -144,12 +144,12 @@ def content_hashes(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "documents").select("doc_id", f.content_hash(F.col("text")).alias("content_hash"), F.md5("text").alias("page_hash"))
 
 
-@query("git_urls", None)
+@query("git_urls", "SELECT * FROM " + corpus.values(list(zip(corpus.URLS, ("github.com", "gitlab.com", "", "bitbucket.org"), ("acme", "group", "", "team"), ("tool", "lib", "", "repo"))), "url, host, owner, repo"))
 def git_urls(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(u,) for u in corpus.URLS], "url string").select("url", *f.git_url_parts(F.col("url")))
 
 
-@query("project_name", None)
+@query("project_name", "SELECT 'acme-tool' AS name")
 def project_name(spark, d):  # noqa: ANN001, ANN201
     rows = [("package.json", '{"name": "@acme/tool"}'), ("pyproject.toml", '[project]\nname = "other"\n'), ("a.py", "name = 1")]
     return sources.project_name(spark.createDataFrame(rows, "path string, content string"), "folder")
@@ -253,7 +253,7 @@ def parse_imports(spark, d):  # noqa: ANN001, ANN201
     return imports.parse_imports(corpus.code_files(spark))
 
 
-@query("resolve_imports", None)
+@query("resolve_imports", "SELECT source_file, language, module, line::INTEGER AS line, target_file, is_external FROM " + corpus.values([(*r[:5], r[5] == "true") for r in corpus.RESOLVED], "source_file, language, module, line, target_file, is_external"))
 def resolve_imports(spark, d):  # noqa: ANN001, ANN201
     code = corpus.code_files(spark)
     return imports.resolve_imports(imports.parse_imports(code), code).select("source_file", "language", "module", "line", "target_file", "is_external")
@@ -397,18 +397,20 @@ def symbols_go(spark, d):  # noqa: ANN001, ANN201
     return symbols.parse_symbols(corpus.code_files(spark).where("language = 'go'")).select("file", "name", "kind", "line", "signature")
 
 
-@query("symbols_all", None)
+@query("symbols_all", "SELECT file, name, kind, line::INTEGER AS line FROM " + corpus.values(corpus.NAMED, "file, name, kind, line"))
 def symbols_all(spark, d):  # noqa: ANN001, ANN201
-    return symbols.parse_symbols(corpus.code_files(spark))
+    return symbols.parse_symbols(corpus.code_files(spark).where(~F.col("path").isin(*corpus.GENERATED))).select("file", "name", "kind", "line")
 
 
-@query("call_edges", None)
+@query("call_edges", "SELECT source, target, 'calls' AS edge_type, line::INTEGER AS line FROM " + corpus.values([
+    ("src/core/main.py:start:11", "src/main/java/a/C.java:run:3", 12), ("src/core/main.py:run:7", "src/core/helper.py:show:2", 8), ("web/app.js:start:8", "web/lib/a.js:load:2", 9), ("web/lib/a.js:save:3", "web/lib/a.js:load:2", 4),
+], "source, target, line"))
 def call_edges(spark, d):  # noqa: ANN001, ANN201
-    code = corpus.code_files(spark)
+    code = corpus.code_files(spark).where(~F.col("path").isin(*corpus.GENERATED))
     return symbols.call_edges(code, symbols.parse_symbols(code))
 
 
-@query("symbol_kinds", None)
+@query("symbol_kinds", "SELECT * FROM " + corpus.values([("function", 69), ("class", 9), ("module", 0), ("method", 2), ("interface", 1), ("variable", 102), ("constant", 0), ("property", 0)], "kind, n"))
 def symbol_kinds(spark, d):  # noqa: ANN001, ANN201
     return symbols.kind_counts(symbols.parse_symbols(corpus.code_files(spark)))
 
@@ -472,8 +474,6 @@ def catalog_upsert(spark, d):  # noqa: ANN001, ANN201
     return metadata.catalogs(rows).select("name", "parent_id", "id")
 
 
-NOW = "2030-01-01"
-
 
 @query("cache_latest_ttl", "WITH l AS (SELECT user_id AS key, ts AS created_at, event_type AS op, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), m AS (SELECT max(ts) AS now FROM events) SELECT key, op, round(value, 6) AS value FROM l, m WHERE rn = 1 AND epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) <= 604800")
 def cache_latest_ttl(spark, d):  # noqa: ANN001, ANN201
@@ -533,12 +533,53 @@ def category_pages(spark, d):  # noqa: ANN001, ANN201
     return render.category_pages(r, n)
 
 
-@query("sidebar", None)
+@query("sidebar", "SELECT '- **Alone**\n- **Docs**\n  - **API**\n    - [Auth](content/auth.md)\n      - [Tokens](content/tokens.md)\n  - **Guide**' AS text")
 def sidebar(spark, d):  # noqa: ANN001, ANN201
     tree = docmap.tree_paths(spark.createDataFrame(corpus.CATEGORIES, "id string, parent_id string, title string"))
     return render.sidebar(tree.select(F.col("path").alias("sort_path"), "depth", F.element_at(F.split("path", "/"), -1).alias("title"), F.when(F.col("depth") > 1, F.col("id")).otherwise("").alias("page_id")))
 
 
+@query("requested_files", "SELECT doc_id, regexp_extract_all(text, '([a-zA-Z0-9_/.-]+[.](py|sh))', 1) AS files FROM (SELECT doc_id, 'please see a/b.py of doc ' || doc_id || ' or run.sh here' AS text FROM documents)")
+def requested_files(spark, d):  # noqa: ANN001, ANN201
+    from codequarry.operators.generation import requested_files as wanted
+
+    text = F.concat(F.lit("please see a/b.py of doc "), F.col("doc_id").cast("string"), F.lit(" or run.sh here"))
+    return table(spark, d, "documents").select("doc_id", wanted(text).alias("files"))
+
+
+@query("project_type", "SELECT 'full-stack' AS project_type")
+def project_type(spark, d):  # noqa: ANN001, ANN201
+    from codequarry.operators.generation import project_type as kind
+
+    extra = spark.createDataFrame([("package.json", "json", "{}")], "path string, language string, content string")
+    return kind(corpus.code_files(spark).union(extra).withColumn("is_config", f.is_config(F.col("path"))))
+
+
+@query("missing_dependencies", f"WITH {CALLS_SQL} SELECT dst AS target_file, min(src) AS source_file FROM calls WHERE src IN ('a', 'b') AND dst NOT IN ('a', 'b') GROUP BY dst")
+def missing_dependencies(spark, d):  # noqa: ANN001, ANN201
+    edges = spark.createDataFrame(corpus.CALLS, "source_file string, target_file string")
+    return docmap.missing_dependencies(edges, spark.createDataFrame([("a",), ("b",)], "path string"))
+
+
+@query("module_prompts", f"WITH {FILES_SQL} SELECT string_split(path, '/')[1] AS id, count(*) AS n_files, sum(least(length(content), 2048))::BIGINT AS shown FROM files GROUP BY 1")
+def module_prompts(spark, d):  # noqa: ANN001, ANN201
+    rows = _files(spark, d).select(f.module_name(F.col("path")).alias("id"), F.regexp_replace(f.truncated(F.col("content"), 2048), F.lit(r"\n\.\.\. \(truncated\)$"), F.lit("")).alias("shown"))
+    return rows.groupBy("id").agg(F.count("*").alias("n_files"), F.sum(F.length("shown")).cast("long").alias("shown"))
+
+
+@query("metadata_from_symbols", "SELECT n_name AS title, 'nation: ' || n_name AS description, substr(sha256('' || chr(31) || 'r' || n_regionkey), 1, 32) AS catalog_id FROM nation")
+def metadata_from_symbols(spark, d):  # noqa: ANN001, ANN201
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.lit("nation").alias("kind"), F.concat(F.lit("r"), "n_regionkey", F.lit("/x")).alias("file"))
+    return metadata.from_symbols(n)[1].select("title", "description", "catalog_id")
+
+
+@query("retry_queue", "SELECT doc_id, 'failed' AS status, (doc_id % 3 + 1)::INTEGER AS retry_count FROM labels WHERE quality = 0 AND doc_id % 3 + 1 <= 2")
+def retry_queue(spark, d):  # noqa: ANN001, ANN201
+    labels = table(spark, d, "labels")
+    before = labels.select("doc_id", F.lit("pending").alias("status"), (F.col("doc_id") % 3).cast("int").alias("retry_count"))
+    return state.to_retry(state.after_attempt(before, labels.select("doc_id", (F.col("quality") == 1).alias("ok")))).select("doc_id", "status", "retry_count")
+
+
 @query("streaming_file_ingest", "SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
 def streaming_file_ingest(spark, d):  # noqa: ANN001, ANN201
     import tempfile

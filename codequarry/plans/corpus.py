@@ -26,7 +26,27 @@ FILES: list[tuple[str, str, str]] = [
     ("notes.xyz", "unknown", "import nothing\n"),
 ]
 
-GLOBS = [("core", ["src/core/*.py"], []), ("web", ["web/**", "*.js"], ["core"]), ("rust", ["src/[ls]*.rs"], []), ("all_java", ["*/java/?/*.java"], ["rust"])]
+#: What the files above import, as read off by hand: file, language, module, line, file it resolves to, external.
+RESOLVED: list[tuple] = [
+    ("src/core/main.py", "python", "os", 1, None, "true"), ("src/core/main.py", "python", "utils", 2, "utils.py", "false"), ("src/core/main.py", "python", "src.core", 3, "src/core/models.py", "false"),
+    ("src/core/main.py", "python", ".", 4, "src/core/helper.py", "false"), ("src/core/main.py", "python", "utils", 5, "utils.py", "false"), ("src/core/models.py", "python", "src.core.main", 1, "src/core/main.py", "false"),
+    ("src/core/models.py", "python", "json", 2, None, "true"), ("src/core/helper.py", "python", "src.core.models", 1, "src/core/models.py", "false"), ("utils.py", "python", "sys", 1, None, "true"), ("utils.py", "python", "utils", 2, "utils.py", "false"),
+    ("web/app.js", "javascript", "./lib/a", 1, "web/lib/a.js", "false"), ("web/app.js", "javascript", "react", 2, None, "true"), ("web/app.js", "javascript", "fs", 4, None, "true"), ("web/lib/a.js", "javascript", "../app", 1, "web/app.js", "false"),
+    ("src/main/java/a/B.java", "java", "java.util.List", 2, None, "true"), ("src/main/java/a/B.java", "java", "a.C.run", 3, None, "true"), ("src/main/java/a/B.java", "java", "a.C", 4, "src/main/java/a/C.java", "false"),
+    ("src/main/java/a/C.java", "java", "a.B", 1, "src/main/java/a/B.java", "false"), ("cmd/main.go", "go", "fmt", 2, None, "true"), ("cmd/main.go", "go", "example.org/app/cmd/util", 4, "cmd/util.go", "false"), ("cmd/main.go", "go", "os", 5, None, "true"),
+    ("src/lib.rs", "rust", "shapes", 1, "src/shapes.rs", "false"), ("src/lib.rs", "rust", "std::fmt", 2, None, "true"), ("src/lib.rs", "rust", "crate::shapes::Circle", 3, "src/shapes.rs", "false"), ("src/shapes.rs", "rust", "super::Dot", 2, None, "false"),
+    ("db/all.sql", "sql", "tables.sql", 2, "tables.sql", "false"), ("db/all.sql", "sql", "users", 3, None, "true"), ("db/all.sql", "sql", "orders", 3, None, "true"), ("db/all.sql", "sql", "refresh_all", 4, None, "false"), ("db/all.sql", "sql", "log", 5, None, "true"),
+    ("db/all.sql", "sql", "audit", 5, None, "true"), ("db/all.sql", "sql", "audit.note", 5, None, "true"), ("tables.sql", "sql", "users", 1, None, "true"), ("tables.sql", "sql", "old_users", 2, None, "true"),
+]
+#: Symbols of all files but the two generated ones: file, name, kind, line.
+NAMED: list[tuple] = [
+    ("src/core/main.py", "run", "function", 7), ("src/core/main.py", "App", "class", 10), ("src/core/main.py", "start", "function", 11), ("src/core/models.py", "LIMIT", "variable", 3), ("src/core/helper.py", "show", "function", 2),
+    ("web/app.js", "fs", "variable", 4), ("web/app.js", "start", "function", 8), ("web/app.js", "Shell", "class", 11), ("web/lib/a.js", "load", "function", 2), ("web/lib/a.js", "save", "function", 3), ("src/main/java/a/B.java", "B", "class", 5),
+    ("src/main/java/a/B.java", "go", "method", 6), ("src/main/java/a/C.java", "C", "class", 2), ("src/main/java/a/C.java", "run", "method", 3), ("cmd/main.go", "main", "function", 7), ("cmd/main.go", "Box", "class", 9), ("cmd/main.go", "Shape", "interface", 11),
+    ("cmd/util.go", "Help", "function", 2), ("src/lib.rs", "area", "function", 4), ("src/lib.rs", "Dot", "class", 6), ("src/lib.rs", "Kind", "class", 8), ("src/lib.rs", "impl_Dot", "class", 10),
+]
+GENERATED = ("web/store.js", "utils.py")
+
 CATEGORIES = [("root", "", "Docs"), ("guide", "root", "Guide"), ("api", "root", "API"), ("auth", "api", "Auth"), ("tokens", "auth", "Tokens"), ("alone", None, "Alone")]
 STEPS = [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("x", 6), ("y", 7), ("z", 8)]
 NEEDS = [("a", "c"), ("b", "a"), ("d", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("e", "unknown")]
@@ -47,7 +67,7 @@ def quoted(text: str | None) -> str:
 
 def values(rows: list[tuple], columns: str) -> str:
     """A DuckDB table expression of the rows."""
-    cell = lambda v: quoted(v) if v is None or isinstance(v, str) else "[" + ", ".join(quoted(x) for x in v) + "]::VARCHAR[]" if isinstance(v, list) else str(v)
+    cell = lambda v: str(v).lower() if isinstance(v, bool) else quoted(v) if v is None or isinstance(v, str) else "[" + ", ".join(quoted(x) for x in v) + "]::VARCHAR[]" if isinstance(v, list) else str(v)
     return "(VALUES " + ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows) + f") AS t({columns})"
 
 

@@ -12,11 +12,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def canonical(pdf) -> list[tuple]:  # noqa: ANN001
     def cell(v):  # noqa: ANN001, ANN202
+        if isinstance(v, list) or getattr(v, "ndim", 0):
+            return str(list(v))
         if v is None or v != v:
             return ""
-        if isinstance(v, float):
-            return str(round(v, 5))
-        return str(list(v)) if hasattr(v, "tolist") and getattr(v, "ndim", 0) else str(v)
+        return str(round(v, 5)) if isinstance(v, float) else str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False))
 
