@@ -7,8 +7,9 @@ once rule out all strings they stand for; the others' surroundings (the bytes of
 collected. Equal surroundings repeat as a whole. Where an anchor has several different ones, these
 are written behind each other, with one symbol for the anchor, and their suffixes are sorted by the linear grouping
 construction (suffixes.py): a string repeats if its suffix shares its whole length with a neighbour in the order.
-Anchors with more than LIMIT different surroundings are not sorted in one task: their strings are counted by
-hash instead, one row a string.
+An anchor with more than LIMIT different surroundings is not sorted in one task. Its strings are divided by the offset at
+which they hold the anchor, in ranges of WIDTHS; strings of a range share the bytes that all of them must hold, which
+makes smaller groups. What is still too large is divided again, down to single strings, which are counted.
 
 Texts are told apart by a 64-bit hash, and so are anchors. Copies of a text are looked at once: each byte of a text
 of SPAN bytes or more that has a copy is removed.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,9 +34,15 @@ from codequarry.llm.suffixes import common_prefixes, suffix_array
 
 SPAN, ANCHOR = 200, 100
 #: Different surroundings of an anchor that one task sorts, and symbols that are sorted in one array.
-LIMIT, SYMBOLS = 400, 60_000
+LIMIT, SYMBOLS = 2_000, 60_000
+#: Ranges of offsets into which the strings of a group that is too large are divided, in turn; the last are single strings.
+WIDTHS = (26, 7, 1)
+#: Surroundings that a task sorts, about.
+ROWS_A_TASK = 2_000
+#: Places that a batch sends to an anchor's task; if it has more, those are known to repeat and go elsewhere.
+SENT = 2
 #: Bytes of text whose anchors are found at once; bits of the filter over ids; parts that copies are dealt over.
-BYTES_AT_ONCE, FILTER_BITS, SALT = 1 << 20, 1 << 25, 32
+BYTES_AT_ONCE, FILTER_BITS, SALT = 1 << 19, 1 << 25, 32
 
 _REACH = SPAN - ANCHOR
 _U = np.uint64
@@ -84,29 +92,45 @@ def anchors(raw: np.ndarray, bounds: list[tuple[int, int]]) -> Iterator[tuple[in
         yield k, h[p], p - a, p - (a + last), p - (a + first)
 
 
-def _portions(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int]]]]:
+def _portions(texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int]]]]:
+    """Bytes of BYTES_AT_ONCE of text at a time, or of one longer text, with the first text's place and the texts' ranges."""
     begin = 0
     while begin < len(texts):
-        size, end, bounds = 0, begin, []
+        size, end, bounds, raws = 0, begin, [], []
         while end < len(texts) and (end == begin or size + len(texts[end]) <= BYTES_AT_ONCE):
-            bounds.append((size, size + len(texts[end])))
-            size += len(texts[end])
+            raws.append(texts[end].encode())
+            bounds.append((size, size + len(raws[-1])))
+            size += len(raws[-1])
             end += 1
-        yield begin, np.frombuffer(b"".join(texts[begin:end]), dtype=np.uint8), bounds
+        yield begin, np.frombuffer(b"".join(raws), dtype=np.uint8), bounds
         begin = end
 
 
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """anchor, tid, at (position, smallest and largest offset in one number); a text that repeats in the batch is passed over."""
+    """key, anchor, tid, at (position, smallest and largest offset in one number); a text that repeats in the batch is passed
+    over. An anchor's first SENT places in the batch are keyed by the anchor, which is then not stated again; further ones surely
+    repeat and are keyed by chance, so that a frequent anchor is dealt out."""
     for pdf in batches:
         pdf = pdf.drop_duplicates("tid")
-        texts, tids = [t.encode() for t in pdf["text"]], pdf["tid"].to_numpy()
+        texts, tids = list(pdf["text"]), pdf["tid"].to_numpy()
+        out = []
         for begin, raw, bounds in _portions(texts):
             found = list(anchors(raw, bounds))
             if found:
                 k, h, p, lo, hi = zip(*found)
                 tid = np.repeat(tids[begin + np.array(k)], [len(x) for x in h])
-                yield pd.DataFrame({"anchor": np.concatenate(h).view(np.int64), "tid": tid, "at": (np.concatenate(p) << 16) | (np.concatenate(lo) << 8) | np.concatenate(hi)})
+                out.append((np.concatenate(h).view(np.int64), tid, (np.concatenate(p) << 16) | (np.concatenate(lo) << 8) | np.concatenate(hi)))
+        if not out:
+            continue
+        anchor, tid, at = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(anchor, kind="stable")
+        ranked = anchor[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        turn = np.arange(len(ranked)) - np.repeat(first, np.diff(np.append(first, len(ranked))))
+        sure = np.empty(len(anchor), dtype=bool)
+        sure[order] = turn >= SENT
+        chance = mix64(tid.view(_U) ^ mix64(at.astype(_U))).view(np.int64)
+        yield pd.DataFrame({"key": np.where(sure, chance, anchor), "anchor": pd.arrays.IntegerArray(anchor, ~sure), "tid": tid, "at": at})
 
 
 def _filter_at(ids: np.ndarray) -> np.ndarray:
@@ -187,22 +211,25 @@ RANGES = "array<struct<hi:int,lo:int>>"
 
 
 def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows anchor, look, left, right with an anchor's rows together; out: anchor, look, ranges."""
+    """Rows group, anchor, look, left, right with a group's rows together; out: anchor, look, ranges."""
     rest: pd.DataFrame | None = None
 
     def solve(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        queue: list[tuple[int, list, list]] = []
+        queue: list[tuple[list, list, list]] = []
         size = 0
 
         def done() -> pd.DataFrame:
-            flags = repeated_offsets([(a, around) for a, around, _ in queue])
-            rows = [(a, look, _runs(f, len(l))) for (a, around, looks), fs in zip(queue, flags) for (l, _), look, f in zip(around, looks, fs)]
+            flags = repeated_offsets([(k, around) for k, (around, _, _) in enumerate(queue)])
+            rows = [(a, look, _runs(f, len(l))) for (around, names, looks), fs in zip(queue, flags) for (l, _), a, look, f in zip(around, names, looks, fs)]
             return pd.DataFrame([r for r in rows if r[2]], columns=["anchor", "look", "ranges"])
 
-        for anchor, group in pdf.groupby("anchor", sort=False):
-            around = list(zip(group["left"], group["right"]))
-            queue.append((anchor, around, list(group["look"])))
-            size += sum(len(l) + len(r) + 2 for l, r in around)
+        group = pdf["group"].to_numpy()
+        cut = np.flatnonzero(np.diff(group)) + 1
+        left, right, names, looks = (pdf[c].tolist() for c in ("left", "right", "anchor", "look"))
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(group)]):
+            around = list(zip(left[a:b], right[a:b]))
+            queue.append((around, names[a:b], looks[a:b]))
+            size += sum(len(x) + len(y) + 2 for x, y in around)
             if size >= SYMBOLS:
                 yield done()
                 queue, size = [], 0
@@ -214,7 +241,7 @@ def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pdf = pd.concat((rest, pdf))
         if not len(pdf):
             continue
-        last = pdf["anchor"].to_numpy() == pdf["anchor"].iloc[-1]
+        last = pdf["group"].to_numpy() == pdf["group"].iloc[-1]
         rest = pdf[last]
         if not last.all():
             yield from solve(pdf[~last])
@@ -222,31 +249,51 @@ def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from solve(rest)
 
 
-def _each_string(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """anchor, look, offset and hash of each string of the surroundings."""
-    for pdf in batches:
-        for k in range(0, len(pdf), 500):
-            part = pdf.iloc[k : k + 500]
-            rows = [(a, look, len(l) - i, int.from_bytes(hashlib.blake2b(l[i:] + b"|" + r[: _REACH - len(l) + i], digest_size=8).digest(), "little", signed=True)) for a, look, l, r in zip(part["anchor"], part["look"], part["left"], part["right"]) for i in range(len(l) + len(r) - _REACH + 1)]
-            yield pd.DataFrame(rows, columns=["anchor", "look", "o", "h"])
-
-
-def _by_hash(many: DataFrame) -> DataFrame:
-    """anchor, look, ranges of rows anchor, look, left, right, by counting each string."""
-    strings = durable(many.mapInPandas(_each_string, "anchor long, look long, o int, h long"))
-    twice = strings.groupBy("anchor", "o", "h").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "o", "h")
-    found = strings.join(twice, ["anchor", "o", "h"]).groupBy("anchor", "look").agg(F.collect_list("o").alias("os"))
-    return found.select("anchor", "look", F.transform("os", lambda o: F.struct(o.alias("hi"), o.alias("lo"))).alias("ranges"))
+def _divided(rows: DataFrame, width: int) -> DataFrame:
+    """rows(anchor, look, left, right), once for each range of offsets that they have strings in: cut to the bytes of those, with the
+    group of rows whose strings may be equal."""
+    most, least = F.octet_length("left"), _REACH - F.octet_length("right")
+    parts = rows.withColumn("o", F.explode(F.sequence(F.floor(least / width), F.floor(most / width)))).withColumn("o", (F.col("o") * width).cast("int"))
+    top = F.least(F.col("o") + (width - 1), F.lit(_REACH))
+    tail = lambda n: F.expr("substring(left, octet_length(left) - o + 1, o)") if n is None else F.substring(F.col("left"), F.octet_length("left") - n + F.lit(1), n)
+    need_right = (F.lit(_REACH) - top).cast("int")
+    group = F.xxhash64("anchor", "o", tail(None), F.substring(F.col("right"), F.lit(1), need_right))
+    own_top, own_low = F.least(top, most).cast("int"), F.greatest(F.col("o"), least).cast("int")
+    return parts.select(group.alias("group"), "anchor", "look", tail(own_top).alias("left"), F.substring(F.col("right"), F.lit(1), (F.lit(_REACH) - own_low).cast("int")).alias("right"))
+
+
+def _repeats(several: DataFrame, limit: int) -> DataFrame:
+    """anchor, look, ranges of offsets whose strings repeat, for the different surroundings several(anchor, look, left, right). What is
+    equal after a cut repeats as a whole, and one of it stands for all in what follows."""
+    rows, found = several.select(F.xxhash64("anchor").alias("group"), "anchor", "look", "left", "right"), []
+    for width in WIDTHS:
+        size = durable(rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
+        few = size.where(F.col("n") <= limit)
+        # sorting costs far more than its bytes tell, so the number of tasks follows the rows
+        parts = max(12, min(20_000, few.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // ROWS_A_TASK))
+        ordered = rows.join(few.select("group"), "group").repartition(parts, "group").sortWithinPartitions("group")
+        found.append(ordered.mapInPandas(_sort_groups, f"anchor long, look long, ranges {RANGES}"))
+        many = size.where(F.col("n") > limit).select("group")
+        if many.isEmpty():
+            break
+        cut = durable(_divided(rows.join(many, "group"), width))
+        same = durable(cut.groupBy("group", "left", "right").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "look")).alias("one")))
+        whole = F.array(F.struct(F.octet_length("left").alias("hi"), (F.lit(_REACH) - F.octet_length("right")).alias("lo"))).cast(RANGES)
+        twice = same.where("n > 1").select("group", "left", "right")
+        found.append(cut.join(twice, ["group", "left", "right"]).select("anchor", "look", whole.alias("ranges")))
+        rows = same.select("group", "one.anchor", "one.look", "left", "right")
+    return reduce(DataFrame.union, found)
 
 
 def repeated_starts(keyed: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """From keyed(tid, text) without copies counted: tid, starts (array of inclusive ranges of positions whose SPAN bytes
     also start elsewhere); and tid, text of at least those texts."""
-    rows = keyed.mapInPandas(_find, "anchor long, tid long, at long").repartition("anchor")
-    place = F.struct("tid", "at")
-    common = rows.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("anchor")
-    again = durable(rows.join(common, "anchor").dropDuplicates(["anchor", "tid", "at"]))
-    by_text = again.groupBy("tid").agg(F.collect_list(F.struct("anchor", "at")).alias("found"))
+    rows = keyed.mapInPandas(_find, "key long, anchor long, tid long, at long").repartition("key")
+    place = F.xxhash64("tid", "at")  # both uses take the same columns, so that the shuffle is reused
+    common = rows.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max(F.col("anchor").isNotNull()).alias("sure")).where("sure or lo <> hi").select("key")
+    # a copy in another batch gives equal rows; those of one key fall together here, any others where a text's are gathered
+    again = durable(rows.join(common, "key").dropDuplicates(["key", "tid", "at"]).select(F.coalesce("anchor", "key").alias("anchor"), "tid", "at"))
+    by_text = again.groupBy("tid").agg(F.collect_set(F.struct("anchor", "at")).alias("found"))
     texts = durable(_texts(keyed, by_text.select("tid")))
     around = durable(texts.join(by_text, "tid").mapInPandas(_surround, "anchor long, look long, tid long, at long, left binary, right binary"))
     different = durable(around.groupBy("anchor", "look").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right")))
@@ -254,10 +301,7 @@ def repeated_starts(keyed: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, Da
     whole = F.array(F.struct(F.lit(_REACH).alias("hi"), F.lit(0).alias("lo"))).cast(RANGES)
     full = different.where("n > 1").select("anchor", "look", whole.alias("ranges"))
     several = different.join(groups.where("looks > 1"), "anchor")
-    ordered = several.where(F.col("looks") <= limit).select("anchor", "look", "left", "right").repartition("anchor").sortWithinPartitions("anchor")
-    sorted_ = ordered.mapInPandas(_sort_groups, f"anchor long, look long, ranges {RANGES}")
-    counted = _by_hash(several.where(F.col("looks") > limit).select("anchor", "look", "left", "right"))
-    flags = full.union(sorted_).union(counted)
+    flags = full.union(_repeats(durable(several.select("anchor", "look", "left", "right")), limit))
     spots = around.select("anchor", "look", "tid", "at").join(flags, ["anchor", "look"]).select("tid", (F.col("at") / 65536).cast("long").alias("p"), (F.shiftright("at", 8).bitwiseAND(255)).alias("least"), F.col("at").bitwiseAND(255).alias("most"), F.explode("ranges").alias("r"))
     own = spots.select("tid", (F.col("p") - F.least("r.hi", "most")).cast("long").alias("a"), (F.col("p") - F.greatest("r.lo", "least")).cast("long").alias("b")).where("a <= b")
     return own.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("starts")), texts
