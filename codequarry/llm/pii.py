@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and terms that give the protected values away.
 
 Mails, addresses, card and phone numbers are found by fixed patterns; each distinct value is a
-protected entity. Over the whole corpus it is then estimated how strongly the terms near an entity
-reveal it: with p(e) and p(t) the shares of documents that hold e and t, the disclosure of e by t is
-the share of e's information -log p(e) that t supplies, 1 + log p(e|t) / -log p(e), where p(e|t) counts the
-documents that hold t near e among those that hold t. A term whose disclosure reaches the threshold,
-seen with e in at least MIN_TEXTS different texts, becomes a span of kind `term` near that entity, and
-`sanitise` generalises or removes it along with the entity.
-
-Only documents that hold an entity give (entity, term) rows. The documents' term counts are taken in
-a second pass that drops terms outside a Bloom filter of fixed size over the terms near entities; what
-passes wrongly finds no partner in the join, so counts are exact.
+protected entity. Over the whole corpus it is then estimated how strongly the other terms of the texts that hold
+an entity reveal it: with p(e) and p(t) the shares of different texts that hold e and t, the disclosure of e by t is
+the share of e's information -log p(e) that t supplies, 1 + log p(e|t) / -log p(e). A term and an entity occur together when one
+text holds both, at any distance. Most entities stand in a single text, so p(e|t) is smoothed by one more text
+that holds t without e: together / (n + 1). A term whose disclosure reaches the threshold becomes a span of kind
+`term` wherever it stands in the texts that hold the entity, and `sanitise` generalises or removes it along with the entity.
+
+Only texts that hold an entity give terms. In how many texts of the corpus these occur is counted in a
+second pass that drops terms outside a Bloom filter of fixed size; what passes wrongly finds no partner in the
+join, so counts are exact. Entities that stand in the same set of texts can't be told apart by co-occurrence and
+count as one, and terms in more texts than an entity's information allows are dropped before they are paired with it.
 
 Defined results: null and empty texts have no spans; repeated rows get equal spans; copies of one
 text count as one text of evidence; other columns are ignored. Scans are linear in the text's length.
@@ -41,13 +42,17 @@ _DIGIT = re.compile(rb"[0-9]")
 _LOCAL = np.zeros(256, dtype=bool)
 _LOCAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")] = True
 
-#: Words on either side of an entity that count as near it.
-NEAR = 8
-#: Share of an entity's information that a term may supply, and different texts that must show it.
-DISCLOSURE, MIN_TEXTS = 0.8, 3
-#: Bits of the filter over terms near entities: 4 MB, whatever the corpus.
+#: Share of an entity's information that a term may supply.
+DISCLOSURE = 0.8
+#: Bits of the filter over terms of texts with entities: 4 MB, whatever the corpus.
 BLOOM_BITS = 1 << 25
 BLOOM_KEYS = 3
+#: Words of 64 bits that reach the driver as one value.
+BLOOM_BLOCK = 4096
+#: Rows of a small side that may be broadcast.
+BROADCAST_ROWS = 50_000
+#: Parts that the copies of one text are dealt over.
+SALT = 16
 
 
 def _emails(raw: bytes) -> list[tuple[int, int]]:
@@ -92,40 +97,62 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _near(raw: bytes, arr: np.ndarray, spans: list[tuple], before: np.ndarray | None) -> list[dict]:
-    """Words near each entity: entity hash, word hash, and the word's code point range."""
+def _entity(raw: bytes, kind: str, s: int, e: int) -> int:
+    value = np.frombuffer(kind.encode() + b":" + raw[s:e].replace(b" ", b"_"), dtype=np.uint8)
+    return int(_signed(word_hashes(value)[0])[0])
+
+
+def _terms(arr: np.ndarray, spans: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, byte starts and byte ends of the words that are no part of an entity; spans are those of base_spans()."""
     words, starts, ends = word_hashes(arr)
-    out = []
-    for kind, s, e, _ in spans:
-        value = np.frombuffer(kind.encode() + b":" + raw[s:e].replace(b" ", b"_"), dtype=np.uint8)
-        entity = int(_signed(word_hashes(value)[0])[0])
-        first, last = int(np.searchsorted(ends, s, side="right")), int(np.searchsorted(starts, e, side="left"))
-        for i in (*range(max(0, first - NEAR), first), *range(last, min(len(words), last + NEAR))):
-            a, b = int(starts[i]), int(ends[i])
-            if any(a < y and b > x for _, x, y, _ in spans):
-                continue  # part of an entity, not a term
-            if before is not None:
-                a, b = int(before[a]), int(before[b])
-            out.append({"e": entity, "t": int(_signed(words[i : i + 1])[0]), "start": a, "end": b})
-    return out
+    apart = np.ones(len(words), dtype=bool)
+    for _, s, e, _ in spans:
+        apart[np.searchsorted(ends, s, side="right") : np.searchsorted(starts, e, side="left")] = False
+    return _signed(words[apart]), starts[apart], ends[apart]
+
+
+def _before(raw: bytes, arr: np.ndarray) -> np.ndarray | None:
+    """Code points before each byte, or None where they are the bytes."""
+    return None if raw.isascii() else np.concatenate(([0], np.cumsum((arr & 0xC0) != 0x80)))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found, near = [], []
+        found, entities, terms = [], [], []
         for text in pdf["text"]:
             raw = (text or "").encode()
             spans = base_spans(raw)
-            context: list[dict] = []
+            held, words = [], np.zeros(0, dtype=np.int64)
             if spans:
                 arr = np.frombuffer(raw, dtype=np.uint8)
-                before = None if raw.isascii() else np.concatenate(([0], np.cumsum((arr & 0xC0) != 0x80)))
-                context = _near(raw, arr, spans, before)
+                held = sorted({_entity(raw, k, s, e) for k, s, e, _ in spans})
+                words = np.unique(_terms(arr, spans)[0])
+                before = _before(raw, arr)
                 if before is not None:
                     spans = [(k, int(before[s]), int(before[e]), x) for k, s, e, x in spans]
             found.append(ordered(spans, KINDS))
-            near.append(context)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "spans": found, "near": near})
+            entities.append(held)
+            terms.append(words)
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "same": pdf["same"], "spans": found, "entities": entities, "terms": terms})
+
+
+def _place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spans of the telling terms wherever they stand in the text."""
+    for pdf in batches:
+        out = []
+        for text, telling, scores in zip(pdf["text"], pdf["telling"], pdf["scores"]):
+            raw = text.encode()
+            arr = np.frombuffer(raw, dtype=np.uint8)
+            t, starts, ends = _terms(arr, base_spans(raw))
+            order = np.argsort(telling)
+            known, score = np.asarray(telling, dtype=np.int64)[order], np.asarray(scores, dtype=float)[order]
+            at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+            hit = known[at] == t
+            before = _before(raw, arr)
+            if before is not None:
+                starts, ends = before[starts], before[ends]
+            out.append([{"kind": "term", "start": int(a), "end": int(b), "score": float(x)} for a, b, x in zip(starts[hit], ends[hit], score[at[hit]])])
+        yield pd.DataFrame({"same": pdf["same"], "found": out})
 
 
 def _bloom_at(terms: np.ndarray) -> list[np.ndarray]:
@@ -134,29 +161,35 @@ def _bloom_at(terms: np.ndarray) -> list[np.ndarray]:
 
 
 def _bloom(terms: DataFrame) -> np.ndarray:
-    """Bits set for every term of terms(t). What reaches the driver are the set bits, of which there
-    are BLOOM_BITS at most: parts of the filter are made on the executors by a shuffle on the word."""
+    """Bits set for every term of terms(t). Blocks of the filter are made on the executors by a shuffle on the
+    word; the driver gets them as bytes, 4 MB in all."""
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = np.unique(np.concatenate(_bloom_at(pdf["t"].to_numpy())))
             yield pd.DataFrame({"word": at >> 6, "bit": np.left_shift(np.int64(1), at & 63)})
 
-    packed = terms.mapInPandas(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(BLOOM_BLOCK, dtype=np.int64)
+        part[pdf["word"].to_numpy(dtype=np.int64) % BLOOM_BLOCK] = pdf["bits"]
+        return pd.DataFrame({"block": [int(pdf["word"].iloc[0]) // BLOOM_BLOCK], "part": [part.tobytes()]})
+
+    packed = terms.mapInPandas(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(BLOOM_BITS >> 6, dtype=np.int64)
-    out[packed["word"].to_numpy(dtype=np.int64)] = packed["bits"]
+    for r in packed.groupBy(F.floor(F.col("word") / BLOOM_BLOCK).alias("block")).applyInPandas(block, "block long, part binary").collect():
+        out[r.block * BLOOM_BLOCK : (r.block + 1) * BLOOM_BLOCK] = np.frombuffer(r.part, dtype=np.int64)
     return out
 
 
-def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """t, n: rows of docs(text) that hold the word, for a superset of terms(t)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(terms))
+def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """t, n: different texts that hold the word, for a superset of terms(t). texts(text, copies) has each row's number of equal texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(_bloom(terms))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filt = shared.value
         for pdf in batches:
-            kept = []
-            for text in pdf["text"]:
+            kept, shares = [], []
+            for text, copies in zip(pdf["text"], pdf["copies"]):
                 if not text:
                     continue
                 t = np.unique(_signed(word_hashes(np.frombuffer(text.encode(), dtype=np.uint8))[0]))
@@ -164,39 +197,52 @@ def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 for at in _bloom_at(t):
                     ok &= (filt[at >> 6] >> (at & 63)) & 1 == 1
                 kept.append(t[ok])
-            t, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.int64),) * 2
-            yield pd.DataFrame({"t": t, "n": n})
+                shares.append(np.full(len(kept[-1]), 1.0 / copies))
+            t, where = np.unique(np.concatenate(kept), return_inverse=True) if kept else (np.zeros(0, np.int64),) * 2
+            yield pd.DataFrame({"t": t, "n": np.bincount(where, np.concatenate(shares), len(t)) if kept else np.zeros(0)})
 
-    return docs.select("text").mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return texts.select("text", "copies").mapInPandas(count, "t long, n double").groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, key (hash of id and text) and ordered spans, one row for each row of docs(doc_id, text)."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    found = durable(keyed.mapInPandas(_extract, f"doc_id long, key long, spans {SPANS}, near array<struct<e:long,t:long,start:int,end:int>>"))
-    total = found.count()
-    near = found.where(F.size("near") > 0).select("doc_id", "key", F.inline("near"))
-    shown = near.select("key", "e", "t").distinct()
-    pairs = shown.groupBy("e", "t").agg(F.count("*").alias("together"))
-    # copies of one text show the same neighbourhood: evidence must come from different texts
-    texts = near.groupBy("key", "e").agg(F.bit_xor(F.xxhash64("t", "start")).alias("look"))
-    evidence = texts.groupBy("e", "look").agg(F.count("*").alias("n")).groupBy("e").agg(F.count("*").alias("texts"), F.sum("n").alias("holds")).where(F.col("texts") >= min_texts)
-    likely = durable(pairs.where(F.col("together") >= min_texts).join(evidence, "e"))
-    counts = _term_counts(docs, likely.select("t").distinct())
-    supplied = 1 + F.log(F.col("together") / F.greatest(F.col("n"), F.col("together"))) / -F.log(F.col("holds") / F.lit(max(2, total + 1)))
-    telling = likely.join(counts, "t").where(supplied >= disclosure).select("e", "t", supplied.alias("score"))
-    terms = (
-        near.join(telling, ["e", "t"])
-        .groupBy("key", "start", "end").agg(F.max("score").alias("score"))
-        .groupBy("key").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", "score")).alias("terms"))
-    )
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("same"))
+    found = durable(keyed.mapInPandas(_extract, f"doc_id long, key long, same long, spans {SPANS}, entities array<long>, terms array<long>"))
+    # copies of one text show the same terms: evidence must come from different texts
+    copies = durable(found.groupBy("same").agg(F.count("*").alias("copies")))
+    total = copies.count() + 1
+    again = copies.where("copies > 1")
+    if again.count() <= BROADCAST_ROWS:
+        texts = keyed.join(F.broadcast(again), "same", "left")
+    else:
+        dealt = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        texts = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(dealt, ["same", "salt"], "left")
+    holding = durable(found.where(F.size("entities") > 0).select("same", "entities", "terms").dropDuplicates(["same"]))
+    held = holding.select("same", F.explode("entities").alias("e"))
+    sets = held.groupBy("e").agg(F.count("*").alias("holds"), F.bit_xor(F.xxhash64("same")).alias("set"))
+    # together <= holds, so a term in more texts than this can't supply enough
+    most = F.col("holds") * F.pow(F.lit(float(total)) / F.col("holds"), F.lit(1 - disclosure))
+    groups = durable(held.join(sets, "e").select("same", "set", "holds", most.alias("most")).distinct())
+    widest = groups.groupBy("same").agg(F.max("most").alias("widest"))
+    shown = holding.join(widest, "same").select("same", "widest", F.explode("terms").alias("t"))
+    counts = _term_counts(texts.select("text", F.coalesce("copies", F.lit(1)).alias("copies")), shown.select("t").distinct())
+    counts = sided(counts.where(F.col("n") + 1 <= (groups.agg(F.max("most")).first()[0] or 0.0) + 1e-6), BROADCAST_ROWS)
+    rare = shown.join(counts, "t").where(F.col("n") + 1 <= F.col("widest") + 1e-6).select("same", "t", "n")
+    pairs = durable(rare.join(groups, "same").where(F.col("n") + 1 <= F.col("most") + 1e-6).select("same", "set", "holds", "t", "n"))
+    supplied = 1 + F.log(F.col("together") / (F.col("n") + 1)) / -F.log(F.col("holds") / F.lit(float(total)))
+    telling = pairs.groupBy("set", "holds", "t", "n").agg(F.count("*").alias("together")).where(supplied >= disclosure).select("set", "t", supplied.alias("score"))
+    best = pairs.select("same", "set", "t").join(telling, ["set", "t"]).groupBy("same", "t").agg(F.max("score").alias("score"))
+    listed = F.collect_list(F.struct("t", "score"))
+    named = durable(best.groupBy("same").agg(listed.alias("l")).select("same", F.col("l.t").alias("telling"), F.col("l.score").alias("scores")))
+    with_terms = keyed.join(sided(named.select("same")), "same", "left_semi").groupBy("same").agg(F.first("text").alias("text"))
+    terms = with_terms.join(named, "same").mapInPandas(_place, f"same long, found {SPANS}").withColumnRenamed("found", "terms")
     rank = F.array(*(F.lit(k) for k in KINDS))
 
     def place(s):  # noqa: ANN001, ANN202
         return F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"))
 
     both = F.array_sort(F.transform(F.concat("spans", F.coalesce("terms", F.array().cast(SPANS))), place))
-    return found.join(terms, "key", "left").select("doc_id", "key", F.transform(both, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))).alias("spans"))
+    return found.drop("terms").join(terms, "same", "left").select("doc_id", "key", F.transform(both, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))).alias("spans"))
 
 
 def _cleaned(text: str, spans: list) -> str:

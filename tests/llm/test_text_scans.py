@@ -119,6 +119,38 @@ def test_telling_terms_are_taken_out(spark):  # noqa: ANN001
     assert all("Zebulon" in r.text for r in pii.sanitise(copies).collect())  # one text's evidence
 
 
+def plain_telling(rows: list[tuple], threshold: float = pii.DISCLOSURE) -> set:
+    """doc_id, start, end of the telling terms, by every pair of entity and term over different texts."""
+    holds, near, texts = {}, {}, {t for _, t in rows}
+    inside = lambda s, e, spans: any(s < y and e > x for _, x, y in spans)
+    for text in texts:
+        spans = plain_persons(text or "")
+        terms = {m[0].lower() for m in re.finditer(r"\S+", text or "") if not inside(*m.span(), spans)}
+        near[text] = {(k, text[s:e]) for k, s, e in spans}, terms, {m[0].lower() for m in re.finditer(r"\S+", text or "")}
+        for x in near[text][0]:
+            holds.setdefault(x, set()).add(text)
+    out = set()
+    for i, text in rows:
+        for m in re.finditer(r"\S+", text or ""):
+            t = m[0].lower()
+            n = sum(t in near[x][2] for x in texts)
+            share = [(sum(t in near[x][1] for x in holds[e]), len(holds[e])) for e in near[text][0]]
+            if not inside(*m.span(), plain_persons(text)) and any(k and 1 + np.log(k / (n + 1)) / -np.log(h / (len(texts) + 1)) >= threshold for k, h in share):
+                out.add((i, *m.span()))
+    return out
+
+
+def test_terms_of_single_texts_and_far_terms_tell(spark):  # noqa: ANN001
+    far = " ".join(["reach me today"] * 10)
+    rows = [(1, f"Quillfeather {far} solo@mail.example.com {far} é"), (8, f"é Vantablack9 {far} lone@mail.example.com {far}"), (2, f"Quillfeather {far} solo@mail.example.com {far}"), (3, f"{far} 192.168.7.9 {far} Ombrello")]
+    rows += [(4, rows[3][1]), (5, rows[3][1]), (6, None), (7, "")] + [(i, f"{prose(i, 30)} {far} {prose(i + 50, 30)}") for i in range(10, 90)] + [(90, f"{far} Ombrello"), (91, f"solo@mail.example.com 192.168.7.9 {far}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end) for r in pii.find_personal_data(docs).collect() for s in r.spans if s.kind == "term"}
+    assert got == plain_telling(rows) and {i for i, *_ in got} >= {1, 2, 8}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "Quillfeather" not in clean[1] and "Vantablack9" not in clean[8] and all("reach me today" in clean[i] for i in (1, 8))  # far from the entity; in one text only
+
+
 def test_persons_of_odd_rows(spark):  # noqa: ANN001
     docs = odd(spark)
     assert ids(pii.find_personal_data(docs)) == all_ids()
