@@ -15,7 +15,7 @@ size; beyond that, shingles are joined with the signature table by a shuffle, wi
 
 Defined results: null, empty and wordless texts and items match nothing; a document shorter than
 WORDS words holds its whole word sequence as one shingle; repeated document rows of one id count as
-one document; null ids are kept apart by text. Other columns are ignored.
+one document in the pairs found; keep_clean() judges each row by its id and text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return items.select("item_id", F.floor(F.log2(F.size("shingles"))).cast("int").alias("size_class"), F.explode(signature).alias("h"))
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, in_plan: int = SIGNATURES_IN_PLAN) -> DataFrame:
-    """Pairs doc_id, item_id, item_shingles, shared for each item of benchmark(item_id, text) that a row of docs(doc_id, text) contains."""
+def _contained_rows(docs: DataFrame, benchmark: DataFrame, threshold: float, in_plan: int) -> DataFrame:
+    """doc_id, key (hash of id and text), item_id, item_shingles, shared for each item of benchmark(item_id, text) that a row of docs(doc_id, text) contains."""
     items = durable(benchmark.select("item_id", shingles(F.col("text")).alias("shingles"))).where(F.size("shingles") > 0)
     signed = durable(signatures(items, threshold))
     size = signed.count()
@@ -79,14 +79,18 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     return (
         shared.groupBy("doc_id", "key", "item_id", "item_shingles").agg(F.count("*").alias("shared"))
         .where(F.col("shared") >= threshold * F.col("item_shingles") - 1e-9)
-        .groupBy("doc_id", "item_id", "item_shingles").agg(F.max("shared").alias("shared"))
     )
 
 
+def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, in_plan: int = SIGNATURES_IN_PLAN) -> DataFrame:
+    """Pairs doc_id, item_id, item_shingles, shared for each item of benchmark(item_id, text) that a row of docs(doc_id, text) contains."""
+    return _contained_rows(docs, benchmark, threshold, in_plan).groupBy("doc_id", "item_id", "item_shingles").agg(F.max("shared").alias("shared"))
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no item of benchmark, with all their columns."""
-    held = sided(contained_items(docs, benchmark).select("doc_id").distinct())
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["doc_id"]), "left_anti")
+    held = sided(_contained_rows(docs, benchmark, THRESHOLD, SIGNATURES_IN_PLAN).select(F.col("key").alias("__key")).distinct())
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(held, "__key", "left_anti").select(docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,6 +312,17 @@ def test_decontamination_of_odd_rows(spark):  # noqa: ANN001
     assert decontaminate.contained_items(empty(spark), items).count() == 0
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):  # noqa: ANN001
+    rows = [(None, prose(11, 91), 1), (None, None, 2), (None, prose(12, 40), 3), (1, prose(11, 91), 4), (1, prose(13, 40), 5), (1, prose(13, 40), 6), (2, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    items = spark.createDataFrame([(1, prose(11, 91))], "item_id long, text string")
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.row for r in kept.collect()) == [2, 3, 5, 6, 7]
+    held = decontaminate.contained_items(odd(spark), items).select("doc_id").collect()
+    clean = decontaminate.keep_clean(odd(spark), items)
+    assert {r.doc_id for r in held} == {None, 11} and clean.where("doc_id is null and text is null").count() == 1
+
+
 # ---- pipeline
 
 
