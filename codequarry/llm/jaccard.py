@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import durable, mix64, sided, table, window_hashes, word_hashes
@@ -154,7 +154,7 @@ def _hot_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, rid (identity of the set), n, bits, prefix: one row for each row of docs."""
+    """doc_id, key (hash of id and text), rid (identity of the set), n, bits, prefix: one row for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, words, percent))
 
     def frequent(grams: np.ndarray) -> np.ndarray:
@@ -173,13 +173,13 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 for a, b in zip(sets.at[:-1].tolist(), sets.at[1:].tolist()):
                     s, late, p = sets.grams[a:b], last[a:b], prefix_length(b - a, percent) if b > a else 0
                     prefix.append((np.concatenate((s[~late][:p], s[late]))[:p] if late.any() else s[:p]).view(np.int64))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[begin:end].to_numpy(), "rid": sets.digests(), "n": sets.size, "bits": sets.bitmaps(), "prefix": prefix})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[begin:end].to_numpy(), "key": pdf["key"].iloc[begin:end].to_numpy(), "rid": sets.digests(), "n": sets.size, "bits": sets.bitmaps(), "prefix": prefix})
 
-    return durable(_nulls_last(docs).mapInPandas(sign, "doc_id long, rid long, n long, bits binary, prefix array<long>"))
+    return durable(_nulls_last(docs, F.xxhash64("doc_id", "text").alias("key")).mapInPandas(sign, "doc_id long, key long, rid long, n long, bits binary, prefix array<long>"))
 
 
-def _nulls_last(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+def _nulls_last(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", *more)
 
 
 def _filter_at(ids: np.ndarray) -> np.ndarray:
@@ -324,8 +324,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(exact, "a long, b long")
 
 
-def similar_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, rid, component_id, one row for each row of docs(doc_id, text)."""
+def _classes(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """doc_id, n_shingles, rid, component_id, component (the class's own name), key (hash of id and text), one row for each row of docs;
+    null ids are NO_ID."""
     signed = _sets(docs, words, percent)
     reps = durable(signed.where("n > 0").groupBy("rid").agg(F.min(F.struct("doc_id", "n", "bits", "prefix")).alias("s")).select("rid", "s.*"))
     tiles = durable(_tiles(_routes(reps), reps.select("rid", "n"), percent))
@@ -341,28 +342,33 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     classes = components(links)
     labelled = reps.select("rid", "doc_id").join(classes, F.col("rid") == F.col("id"), "left").select("rid", "doc_id", F.coalesce("component", "rid").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(smallest, "component").select("rid", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    members = signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
-    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", "rid", F.col("doc_id").alias("component_id"))
-    every = members.where("n_shingles > 0").join(named, ["rid", "salt"]).select("doc_id", "n_shingles", "rid", "component_id").union(alone)
+    named = labelled.join(smallest, "component").select("rid", "component_id", "component", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    members = signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
+    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", "rid", F.col("doc_id").alias("component_id"), F.col("rid").alias("component"), "key")
+    return members.where("n_shingles > 0").join(named, ["rid", "salt"]).select("doc_id", "n_shingles", "rid", "component_id", "component", "key").union(alone)
+
+
+def similar_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, rid, component_id, one row for each row of docs(doc_id, text)."""
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return every.select(known("doc_id"), "n_shingles", "rid", known("component_id"))
+    return _classes(docs, percent, words).select(known("doc_id"), "n_shingles", "rid", known("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The rows of docs that are the first of their class, one for each class, and those without words, with all their columns."""
-    classes = durable(similar_classes(docs, percent, words))
-    full = F.col("n_shingles") > 0
-    later = sided(classes.where(full & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(later, "doc_id", "left_anti")
-    # ids that stand more than once: equal rows are one document, of a null id's the first text of each class stays
-    again = classes.where(full & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = durable(again)
-    if again.isEmpty():
-        return kept
-    repeated = kept.where(F.col("doc_id").isNull()).unionByName(kept.join(again.where(F.col("doc_id").isNotNull()), "doc_id", "left_semi").select(kept.columns))
-    once = repeated.dropDuplicates(["doc_id", "text"])
-    return kept.where(F.col("doc_id").isNotNull()).join(again, "doc_id", "left_anti").select(kept.columns).unionByName(once)
+    """The rows of docs that are the first of their class, one for each class, and those without words, with all their columns.
+    Rows are told apart by id and text, as an id may stand with several texts."""
+    rows = durable(_classes(docs, percent, words)).where("n_shingles > 0")
+    first = rows.where("doc_id = component_id")
+    # classes whose smallest id stands more than once: one of its texts stays, and of equal rows one
+    crowded = durable(first.groupBy("component").agg(F.min(F.struct("rid", "key")).alias("one"), F.count("*").alias("n")).where("n > 1").select("component", F.col("one.key").alias("one")))
+    beside = first.join(crowded, "component").where("key <> one")
+    later = sided(rows.where("doc_id <> component_id").select("key").union(beside.select("key")).distinct().withColumnRenamed("key", "__key"))
+    kept = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(later, "__key", "left_anti")
+    if crowded.isEmpty():
+        return kept.select(docs.columns)
+    again = sided(crowded.select(F.col("one").alias("__key")))
+    once = kept.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.join(again, "__key", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

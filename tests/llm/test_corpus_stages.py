@@ -216,6 +216,16 @@ def test_join_of_odd_rows(spark):  # noqa: ANN001
     assert jaccard.similar_classes(empty(spark)).count() == 0 and jaccard.keep_first(empty(spark), 80, 5).count() == 0
 
 
+def test_first_rows_are_told_apart_by_id_and_text(spark):  # noqa: ANN001
+    base, other = prose(21, 120), prose(22, 120)
+    near = lambda t, k: " ".join(t.split()[:-1] + [f"edit{k}"])
+    rows = [(1, base, 1), (2, near(base, 1), 2), (2, prose(23, 60), 3), (None, near(base, 2), 4), (None, other, 5), (None, near(other, 1), 6), (None, near(other, 2), 7), (None, None, 8)]
+    rows += [(3, prose(24, 120), 9), (3, near(prose(24, 120), 1), 10), (4, prose(25, 50), 11), (4, prose(25, 50), 12), (4, prose(26, 50), 13), (None, prose(27, 50), 14)]
+    kept = [r.row for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string, row int"), 80, 5).collect()]
+    groups = [{1, 2, 4}, {3}, {5, 6, 7}, {8}, {9, 10}, {11, 12}, {13}, {14}]
+    assert len(kept) == len(groups) and all(len(g & set(kept)) == 1 for g in groups) and 1 in kept
+
+
 def test_components(spark):  # noqa: ANN001
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
