@@ -46,9 +46,9 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return sources.page_links(table(spark, d, "pages"))
 
 
-def _trade(spark: SparkSession, d: str) -> DataFrame:
-    """Nations whose supplier sold an undiscounted lot of fifty to a customer of another: a sparse graph."""
-    lots = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount = 0").select("l_orderkey", "l_suppkey")
+def _trade(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Nations whose supplier sold to a customer of another: by all rows if whole, else by the undiscounted lots of fifty that the SQL takes."""
+    lots = table(spark, d, "lineitem").where("true" if whole else "l_quantity = 50 and l_discount = 0").select("l_orderkey", "l_suppkey")
     o, c, s = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     joined = lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
@@ -279,12 +279,17 @@ def entry_points(spark, d):  # noqa: ANN001, ANN201
 
 
 @query("module_dependencies", f"WITH {TRADE_SQL}, n AS (SELECT t.*, a.n_regionkey AS ra, b.n_regionkey AS rb FROM trade t JOIN nation a ON a.n_nationkey = t.src JOIN nation b ON b.n_nationkey = t.dst)\nSELECT DISTINCT 'r' || ra AS src_module, 'r' || rb AS dst_module FROM n WHERE ra <> rb")
-def module_dependencies(spark, d):  # noqa: ANN001, ANN201
+def module_dependencies(spark, d, whole=False):  # noqa: ANN001, ANN201
     n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("path"))
-    t = _trade(spark, d).join(n.select(F.col("n_nationkey").alias("src"), F.col("path").alias("source_file")), "src").join(n.select(F.col("n_nationkey").alias("dst"), F.col("path").alias("target_file")), "dst")
+    t = _trade(spark, d, whole).join(n.select(F.col("n_nationkey").alias("src"), F.col("path").alias("source_file")), "src").join(n.select(F.col("n_nationkey").alias("dst"), F.col("path").alias("target_file")), "dst")
     return index.module_dependencies(t.withColumn("is_external", F.lit(False)))
 
 
+@query("module_dependencies_whole")
+def module_dependencies_whole(spark, d):  # noqa: ANN001, ANN201
+    return module_dependencies(spark, d, whole=True)
+
+
 FILE_LINKS_SQL = f"{LINKS_SQL}, pf AS (SELECT DISTINCT source_file AS path, 'l' || length(source_file) % 3 AS language, length(source_file) AS lines FROM links)"
 
 
@@ -330,9 +335,14 @@ pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FRO
   FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.src = p.id LEFT JOIN (SELECT src, dst, false AS first FROM e) e ON e.src = p.id AND e.dst = v.id WHERE p.turn < 20 GROUP BY p.turn, v.id)
 SELECT id, round(score, 6) AS score FROM pr WHERE turn = 20""",
 )
-def pagerank_files(spark, d):  # noqa: ANN001, ANN201
+def pagerank_files(spark, d, whole=False):  # noqa: ANN001, ANN201
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
-    return graph.page_rank(nations, _trade(spark, d), most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
+    return graph.page_rank(nations, _trade(spark, d, whole), most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
+
+
+@query("pagerank_files_whole")
+def pagerank_files_whole(spark, d):  # noqa: ANN001, ANN201
+    return pagerank_files(spark, d, whole=True)
 
 
 @query("core_files", None)
@@ -344,8 +354,8 @@ def core_files(spark, d):  # noqa: ANN001, ANN201
 BUYS_SQL = "buys AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50), both_ways AS (SELECT a AS src, b AS dst FROM buys UNION SELECT b, a FROM buys)"
 
 
-def _buys(spark, d):  # noqa: ANN001, ANN202
-    lots = table(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_suppkey")
+def _buys(spark, d, whole=False):  # noqa: ANN001, ANN202
+    lots = table(spark, d, "lineitem").where("true" if whole else "l_quantity = 50").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
@@ -360,6 +370,23 @@ def related_files_d2(spark, d):  # noqa: ANN001, ANN201
     return graph.related(_buys(spark, d), spark.createDataFrame([("s1",)], "id string"), 2)
 
 
+@query("related_files_whole_d1")
+def related_files_whole_d1(spark, d):  # noqa: ANN001, ANN201
+    return graph.related(_buys(spark, d, whole=True), spark.createDataFrame([("s1",), ("s2",)], "id string"), 1)
+
+
+@query("related_files_whole_d2")
+def related_files_whole_d2(spark, d):  # noqa: ANN001, ANN201
+    return graph.related(_buys(spark, d, whole=True), spark.createDataFrame([("s1",)], "id string"), 2)
+
+
+@query("pagerank_symbols")
+def pagerank_symbols(spark, d):  # noqa: ANN001, ANN201
+    """Customers and suppliers as symbols, all purchases as calls."""
+    people = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey")))
+    return graph.page_rank(people, _buys(spark, d, whole=True), most=20, tolerance=0).select("id", F.round("score", 9).alias("score"))
+
+
 CALLS_SQL = "calls AS (SELECT * FROM " + corpus.values(corpus.CALLS, "src, dst") + ")"
 
 

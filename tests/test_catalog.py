@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import duckdb
 import pytest
 
@@ -35,6 +37,40 @@ def test_query(spark, sf_dir, name):  # noqa: ANN001
     assert canonical(got) == canonical(want)
 
 
+def plain_rank(ids: set, edges: set) -> dict:
+    edges = {(a, b) for a, b in edges if a != b}
+    ids = ids | {x for e in edges for x in e}
+    deg, score = Counter(a for a, _ in edges), dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(20):
+        loose = sum(score[i] for i in ids if not deg[i]) / len(ids)
+        new = dict.fromkeys(ids, 0.85 * loose + 0.15 / len(ids))
+        for a, b in edges:
+            new[b] += 0.85 * score[a] / deg[a]
+        score = new
+    return score
+
+
+def test_graphs_of_whole_tables(spark, sf_dir):  # noqa: ANN001
+    t = {n: duckdb.sql(f"SELECT * FROM '{sf_dir}/{n}.parquet'").df() for n in ("lineitem", "orders", "customer", "supplier", "nation")}
+    customer, home, base = (dict(t[n][list(c)].itertuples(index=False)) for n, c in (("orders", ("o_orderkey", "o_custkey")), ("customer", ("c_custkey", "c_nationkey")), ("supplier", ("s_suppkey", "s_nationkey"))))
+    region = dict(t["nation"][["n_nationkey", "n_regionkey"]].itertuples(index=False))
+    pairs = {(customer[o], s) for o, s in t["lineitem"][["l_orderkey", "l_suppkey"]].itertuples(index=False)}
+    trade, buys = {(base[s], home[c]) for c, s in pairs}, {(f"c{c}", f"s{s}") for c, s in pairs}
+    rows = lambda name: {tuple(r) for r in QUERIES[name](spark, sf_dir).collect()}
+    assert rows("module_dependencies_whole") == {(f"r{region[a]}", f"r{region[b]}") for a, b in trade if region[a] != region[b]}
+    near = defaultdict(set)
+    for a, b in buys:
+        near[a].add(b)
+        near[b].add(a)
+    assert rows("related_files_whole_d1") == {(s, x, 1) for s in ("s1", "s2") for x in near[s]}
+    assert rows("related_files_whole_d2") == {("s1", x, 1) for x in near["s1"]} | {("s1", y, 2) for x in near["s1"] for y in near[x] if y != "s1" and y not in near["s1"]}
+    ranks = {"pagerank_files_whole": plain_rank(set(region), trade), "pagerank_symbols": plain_rank({f"c{c}" for c in home} | {f"s{s}" for s in base}, buys)}
+    for name, want in ranks.items():
+        got = dict(rows(name))
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert len(rows("related_files_whole_d1")) > len(rows("related_files_d1"))
+
+
 def test_entry(spark):  # noqa: ANN001
     import __spark_entry__ as entry
 
