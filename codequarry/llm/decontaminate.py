@@ -1,7 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame functions only.
 
 Words are runs of letters and digits of the lower-cased text, shingles are WORDS consecutive words
-(a shorter item is one shingle), and a document contains an item if it holds at least THRESHOLD of
+(a shorter item is one shingle, for which documents are probed with n-grams of its length), and a document contains an item if it holds at least THRESHOLD of
 the item's distinct shingles. Items are short and documents long, so Jaccard signatures of whole
 documents would say nothing; the search is one-sided instead. Items are partitioned by size (powers of
 two of their shingle count), and each partition's signature length is the smallest that cannot miss:
@@ -13,8 +13,8 @@ candidate; candidates are verified by counting the item's shingles that the docu
 Documents are probed without a shuffle while the signatures stay under SIGNATURES_IN_PLAN, a checked
 size; beyond that, shingles are joined with the signature table by a shuffle, with the same result.
 
-Defined results: null, empty and wordless texts and items match nothing; a document shorter than
-WORDS words holds its whole word sequence as one shingle; repeated document rows of one id count as
+Defined results: null, empty and wordless texts and items match nothing; an item shorter than WORDS words
+is held by every document in which its words follow each other; repeated document rows of one id count as
 one document in the pairs found; keep_clean() judges each row by its id and text. Other columns are ignored.
 """
 
@@ -32,16 +32,25 @@ SIGNATURES_IN_PLAN = 20_000
 SHINGLES_TO_BROADCAST = 1_000_000
 
 
-def shingles(text: Column, n: int = WORDS) -> Column:
-    """Distinct 64-bit hashes of the text's word n-grams."""
+def _words(text: Column) -> Column:
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.filter(words, lambda w: w != "")
+
+
+def shingles(text: Column, n: int = WORDS, short: tuple[int, ...] = ()) -> Column:
+    """Distinct 64-bit hashes of the text's word n-grams, and of those of the lengths `short` below n. A text of fewer
+    than n words is one gram; the hash of an array is that of its elements in a row."""
+
+    def runs(w: Column, m: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - m), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(m))))
 
     def grams(w: Column) -> Column:
-        several = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
-        whole = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
-        return F.array_distinct(F.when(F.size(w) >= n, several).otherwise(whole))
+        none = F.array().cast("array<long>")
+        whole = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(none)
+        found = F.when(F.size(w) >= n, runs(w, n)).otherwise(whole)
+        return F.array_distinct(F.concat(found, *(F.when(F.size(w) >= m, runs(w, m)).otherwise(none) for m in short)) if short else found)
 
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return let(F.filter(words, lambda w: w != ""), grams)
+    return let(_words(text), grams)
 
 
 def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -53,7 +62,8 @@ def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _contained_rows(docs: DataFrame, benchmark: DataFrame, threshold: float, in_plan: int) -> DataFrame:
     """doc_id, key (hash of id and text), item_id, item_shingles, shared for each item of benchmark(item_id, text) that a row of docs(doc_id, text) contains."""
-    items = durable(benchmark.select("item_id", shingles(F.col("text")).alias("shingles"))).where(F.size("shingles") > 0)
+    items = durable(benchmark.select("item_id", F.size(_words(F.col("text"))).alias("words"), shingles(F.col("text")).alias("shingles"))).where(F.size("shingles") > 0)
+    short = tuple(sorted(r.words for r in items.where(F.col("words") < WORDS).select("words").distinct().collect()))  # WORDS - 1 lengths at most
     signed = durable(signatures(items, threshold))
     size = signed.count()
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
@@ -68,14 +78,14 @@ def _contained_rows(docs: DataFrame, benchmark: DataFrame, threshold: float, in_
                 found = found | ((F.size(s) >= threshold * 2**c) & F.arrays_overlap(s, F.array(*(F.lit(h) for h in sorted(hashes)))))
             return found
 
-        candidates = keyed.where(let(shingles(F.col("text")), met))
+        candidates = keyed.where(let(shingles(F.col("text"), short=short), met))
     else:
-        hits = keyed.select("key", F.explode(shingles(F.col("text"))).alias("h")).join(signed.select("h").distinct(), "h", "left_semi").select("key").distinct()
+        hits = keyed.select("key", F.explode(shingles(F.col("text"), short=short)).alias("h")).join(signed.select("h").distinct(), "h", "left_semi").select("key").distinct()
         candidates = keyed.join(hits, "key", "left_semi")
     wanted = items.select("item_id", F.size("shingles").alias("item_shingles"), F.explode("shingles").alias("h"))
     if wanted.count() <= SHINGLES_TO_BROADCAST:
         wanted = F.broadcast(wanted)
-    shared = candidates.select("doc_id", "key", F.explode(shingles(F.col("text"))).alias("h")).join(wanted, "h").distinct()
+    shared = candidates.select("doc_id", "key", F.explode(shingles(F.col("text"), short=short)).alias("h")).join(wanted, "h").distinct()
     return (
         shared.groupBy("doc_id", "key", "item_id", "item_shingles").agg(F.count("*").alias("shared"))
         .where(F.col("shared") >= threshold * F.col("item_shingles") - 1e-9)

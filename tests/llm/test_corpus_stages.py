@@ -322,6 +322,15 @@ def test_decontamination_of_odd_rows(spark):  # noqa: ANN001
     assert decontaminate.contained_items(empty(spark), items).count() == 0
 
 
+@pytest.mark.parametrize("in_plan", [decontaminate.SIGNATURES_IN_PLAN, 0])
+def test_short_items_are_found_inside_long_documents(spark, in_plan):  # noqa: ANN001
+    items = [(1, "zeta"), (2, "Alpha beta!"), (3, "one two three"), (4, "one two three four"), (5, prose(900, 20)), (6, "beta alpha"), (7, "")]
+    docs = [(1, f"{prose(1, 60)} alpha, Beta {prose(2, 60)}"), (2, f"{prose(3, 9)} one two three four {items[4][1]}"), (3, "zeta"), (4, "two three four"), (5, "one two three"), (6, f"zeta {prose(4, 30)} alpha"), (7, "beta alpha zeta x"), (8, None)]
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), in_plan=in_plan)
+    want = {(1, 2), (2, 3), (2, 4), (2, 5), (3, 1), (5, 3), (6, 1), (7, 1), (7, 6)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and all(r.shared == r.item_shingles == 1 for r in got.collect() if r.item_id < 5)
+
+
 def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):  # noqa: ANN001
     rows = [(None, prose(11, 91), 1), (None, None, 2), (None, prose(12, 40), 3), (1, prose(11, 91), 4), (1, prose(13, 40), 5), (1, prose(13, 40), 6), (2, "", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
