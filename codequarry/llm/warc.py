@@ -8,7 +8,9 @@ The reader checks every member (magic, deflate stream, CRC and length) and every
 header syntax, Content-Length, end mark, payload digest). After a failed check it searches for the next
 gzip magic or version line from which a record passes all checks, goes on from there, and reports the bytes in
 between as a gap with the reason of the failure. Plain and gzipped archives, several records in a member, and
-truncated ends are read.
+truncated ends are read. Of a member of several records that fails, those before the damage are kept: of a truncated one all
+that pass the checks of records; after a wrong CRC or deflate error only responses whose payload digest agrees, as
+nothing else vouches for their bytes.
 
 Archives go to a shared folder by pyarrow's file systems, in files of FILE_BYTES about, under names that hold the
 task attempt; only files that a finished task reports are read, so a lost executor leaves no wrong record.
@@ -136,6 +138,57 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), pos - len(engine.unused_data)
 
 
+def _inflate_all(data: memoryview) -> bytes:
+    """What a damaged gzip member gives before its failure: a step that fails is retried with less input, down to a byte."""
+    engine, out, size, pos = zlib.decompressobj(31), [], CHUNK, 0
+    while pos < len(data) and not engine.eof:
+        saved = engine.copy()
+        try:
+            out.append(engine.decompress(data[pos : pos + size]))
+            pos += size
+        except zlib.error:
+            if size == 1:
+                break
+            engine, size = saved, size // 16
+    return b"".join(out)
+
+
+def _consumed(data: memoryview, size: int) -> int:
+    """Fewest bytes of the gzip member that give its first `size` bytes."""
+    engine, got, step, pos = zlib.decompressobj(31), 0, CHUNK, 0
+    while got < size:
+        saved = engine.copy()
+        try:
+            n = len(engine.decompress(data[pos : pos + step]))
+        except zlib.error:
+            n = size
+        if step > 1 and got + n >= size:
+            engine, step = saved, step // 16
+            continue
+        got, pos = got + n, pos + step
+    return pos
+
+
+def _salvaged(data: memoryview, at: int, truncated: bool) -> tuple[list[Record | Gap], int]:
+    """Records of a failed member that holds several, with gaps between them, and where the last one ends. A member that gives one
+    record and no byte more is given up as a whole."""
+    inflated = _inflate_all(data[at:])
+    if not VERSION.match(inflated):
+        return [], at
+    found, begin = [], 0
+    vouched = lambda r: r.kind == "response" and r.headers.get("warc-payload-digest", "").startswith("sha1:")
+    places = [(x, x.offset + x.length) for x in _plain(inflated, 0, None) if isinstance(x, Record) and (truncated or vouched(x))]
+    if not places or (places[0][1] >= len(inflated) and len(places) == 1):
+        return [], at
+    span = _consumed(data[at:], places[-1][1])
+    for x, end in places:
+        if x.offset > begin:
+            found.append(Gap(at, span, "damaged part of a member"))
+        x.offset, x.length, begin = at, span, end
+        found.append(x)
+    return found, at + span
+
+
 def _plain(data: bytes, base: int, span: int | None) -> Iterator[Record | Gap]:
     """Records of uncompressed bytes. Within a gzip member (span given) all lie at the member's offset and length."""
     at = 0
@@ -175,7 +228,13 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
                 if not any(isinstance(x, Record) for x in found):
                     raise Damaged(found[0].reason if found else "empty member")
         except Damaged as e:
-            if since is None:
+            kept, end = _salvaged(view, at, str(e) == "truncated member") if bytes(view[at : at + 3]) == MAGIC else ([], at)
+            if kept:
+                if since is not None:
+                    yield Gap(since, at - since, reason)
+                yield from kept
+                since, reason, at = end, str(e), end - 1
+            elif since is None:
                 since, reason = at, str(e)
             nexts = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/", at + 1)) if x >= 0]
             at = min(nexts, default=len(data))

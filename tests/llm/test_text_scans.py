@@ -238,6 +238,27 @@ def test_salvage_after_damage():
     assert list(warc.read_archive(b"")) == []
 
 
+def test_records_before_the_damage_of_a_member_are_kept():
+    plain = [zlib.decompress(x, 31) for x in members(40)]
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+    stream = b"".join(engine.compress(x) + engine.flush(zlib.Z_FULL_FLUSH) for x in plain) + engine.flush()
+    ids_of = lambda got: [x.headers["warc-record-id"] for x in got if isinstance(x, warc.Record)]
+    every = [f"<urn:page:{i}>" for i in range(40)]
+    for cut in (8, 3, len(stream) // 2):
+        got = list(warc.read_archive(stream[:-cut]))
+        n = len(ids_of(got))
+        assert ids_of(got) == every[:n] and (n == 40 if cut < 9 else 15 < n < 25) and isinstance(got[-1], warc.Gap)
+        assert got[-1].offset + got[-1].length == len(stream) - cut and got[-1].offset == got[0].offset + got[0].length
+    crc = bytearray(stream)
+    crc[-6] ^= 0xFF
+    assert ids_of(warc.read_archive(bytes(crc))) == every
+    broken = bytearray(stream)
+    broken[len(stream) // 2 : len(stream) // 2 + 40] = b"\xff" * 40
+    got = list(warc.read_archive(bytes(broken) + members(1)[0]))
+    n = len(ids_of(got))
+    assert ids_of(got)[:-1] == every[: n - 1] and n > 15 and ids_of(got)[-1] == every[0] and any(isinstance(x, warc.Gap) for x in got)
+
+
 def test_round_trip_of_odd_pages(spark, tmp_path):  # noqa: ANN001
     rows = [(1, "http://a", "<p>one</p>", "k"), (2, None, "<p>one</p>", "k"), (3, "http://c\r\nX: y", "", "k"), (4, "http://d", None, "k"), (5, "http://e", "é" * 90_000, "k"), (None, "http://f", "<p>one</p>", "k"), (1, "http://a", "<p>one</p>", "k"), (0, "u", "z", "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string")
