@@ -26,10 +26,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import _BYTE_CODE, durable, mix64, powers, table
+from codequarry.llm.common import _BYTE_CODE, discard, durable, key_filter, mix64, passes, portions, powers, table, texts_of
 from codequarry.llm.suffixes import common_prefixes, suffix_array
 
 SPAN, ANCHOR = 200, 100
@@ -41,8 +42,10 @@ WIDTHS = (26, 7, 1)
 ROWS_A_TASK = 2_000
 #: Places that a batch sends to an anchor's task; if it has more, those are known to repeat and go elsewhere.
 SENT = 2
-#: Bytes of text whose anchors are found at once; bits of the filter over ids; parts that copies are dealt over.
-BYTES_AT_ONCE, FILTER_BITS, SALT = 1 << 19, 1 << 25, 32
+#: Bytes of text whose anchors are found at once; a longer text is read in slices of so many, which overlap by a string.
+BYTES_AT_ONCE, SLICE = 1 << 19, 1 << 23
+#: Low bits of a hash that give way to a position when the smallest is sought; more than a slice has bytes.
+POSITION_BITS = 24
 
 _REACH = SPAN - ANCHOR
 _U = np.uint64
@@ -72,7 +75,7 @@ def anchors(raw: np.ndarray, bounds: list[tuple[int, int]]) -> Iterator[tuple[in
     wide = _REACH + 1
     if len(h) < wide:
         return
-    bits = max(24, int(len(raw)).bit_length())  # fixed for all but huge texts, so that ties break alike
+    bits = POSITION_BITS
     key = (h >> _U(bits) << _U(bits)) | np.arange(len(h), dtype=_U)
     blocks = -(-len(key) // wide)
     padded = np.full(blocks * wide, ~_U(0), dtype=_U)
@@ -92,34 +95,35 @@ def anchors(raw: np.ndarray, bounds: list[tuple[int, int]]) -> Iterator[tuple[in
         yield k, h[p], p - a, p - (a + last), p - (a + first)
 
 
-def _portions(texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int]]]]:
-    """Bytes of BYTES_AT_ONCE of text at a time, or of one longer text, with the first text's place and the texts' ranges."""
-    begin = 0
-    while begin < len(texts):
-        size, end, bounds, raws = 0, begin, [], []
-        while end < len(texts) and (end == begin or size + len(texts[end]) <= BYTES_AT_ONCE):
-            raws.append(texts[end].encode())
-            bounds.append((size, size + len(raws[-1])))
-            size += len(raws[-1])
-            end += 1
-        yield begin, np.frombuffer(b"".join(raws), dtype=np.uint8), bounds
-        begin = end
+def _slices(raws: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], list[int], list[int]]]:
+    """Bytes of several texts, or of a slice of a long one; the ranges of the texts in them, the texts' places and where in its
+    text each range begins. Every string of SPAN bytes lies in exactly one slice."""
+    for begin, end in portions(raws, BYTES_AT_ONCE):
+        some = raws[begin:end]
+        if len(some) > 1 or len(some[0]) <= SLICE:
+            at = np.cumsum([0] + [len(r) for r in some]).tolist()
+            yield np.frombuffer(b"".join(some), dtype=np.uint8), list(zip(at[:-1], at[1:])), list(range(begin, end)), [0] * len(some)
+            continue
+        for base in range(0, len(some[0]) - SPAN + 1, SLICE):
+            piece = some[0][base : base + SLICE + SPAN - 1]
+            yield np.frombuffer(piece, dtype=np.uint8), [(0, len(piece))], [begin], [base]
 
 
-def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, anchor, tid, at (position, smallest and largest offset in one number); a text that repeats in the batch is passed
     over. An anchor's first SENT places in the batch are keyed by the anchor, which is then not stated again; further ones surely
     repeat and are keyed by chance, so that a frequent anchor is dealt out."""
-    for pdf in batches:
-        pdf = pdf.drop_duplicates("tid")
-        texts, tids = list(pdf["text"]), pdf["tid"].to_numpy()
+    for batch in batches:
+        tids, first = np.unique(batch.column("tid").to_numpy(), return_index=True)
+        raws = texts_of(batch.take(pa.array(first)))
         out = []
-        for begin, raw, bounds in _portions(texts):
+        for raw, bounds, places, bases in _slices(raws):
             found = list(anchors(raw, bounds))
             if found:
                 k, h, p, lo, hi = zip(*found)
-                tid = np.repeat(tids[begin + np.array(k)], [len(x) for x in h])
-                out.append((np.concatenate(h).view(np.int64), tid, (np.concatenate(p) << 16) | (np.concatenate(lo) << 8) | np.concatenate(hi)))
+                size = [len(x) for x in h]
+                tid, base = np.repeat(tids[np.array(places)[list(k)]], size), np.repeat(np.array(bases)[list(k)], size)
+                out.append((np.concatenate(h).view(np.int64), tid, (np.concatenate(p) + base << 16) | (np.concatenate(lo) << 8) | np.concatenate(hi)))
         if not out:
             continue
         anchor, tid, at = (np.concatenate(x) for x in zip(*out))
@@ -130,32 +134,20 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sure = np.empty(len(anchor), dtype=bool)
         sure[order] = turn >= SENT
         chance = mix64(tid.view(_U) ^ mix64(at.astype(_U))).view(np.int64)
-        yield pd.DataFrame({"key": np.where(sure, chance, anchor), "anchor": pd.arrays.IntegerArray(anchor, ~sure), "tid": tid, "at": at})
-
-
-def _filter_at(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(_U)) & _U(FILTER_BITS - 1)).astype(np.int64)
+        columns = [pa.array(np.where(sure, chance, anchor)), pa.array(anchor, mask=~sure), pa.array(tid), pa.array(at)]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "anchor", "tid", "at"])
 
 
 def _texts(keyed: DataFrame, needed: DataFrame) -> DataFrame:
     """tid, text of the texts of needed(tid), and few others: a filter of fixed size over the tids picks them."""
+    shared = keyed.sparkSession.sparkContext.broadcast(key_filter(needed))
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = np.unique(_filter_at(pdf["tid"].to_numpy()))
-            yield pd.DataFrame({"word": at >> 6, "bit": np.left_shift(np.int64(1), at & 63)})
-
-    packed = needed.mapInPandas(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    filt = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
-    filt[packed["word"].to_numpy(dtype=np.int64)] = packed["bits"]
-    shared = keyed.sparkSession.sparkContext.broadcast(filt)
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tids, first = np.unique(batch.column("tid").to_numpy(), return_index=True)
+            yield batch.take(pa.array(first[passes(shared.value, tids)]))
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = _filter_at(pdf["tid"].to_numpy())
-            yield pdf[(shared.value[at >> 6] >> (at & 63)) & 1 == 1].drop_duplicates("tid")
-
-    return keyed.select("tid", "text").mapInPandas(pick, "tid long, text string").dropDuplicates(["tid"])
+    return keyed.select("tid", "text").mapInArrow(pick, "tid long, text string").dropDuplicates(["tid"])
 
 
 def _surround(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,22 +280,28 @@ def _repeats(several: DataFrame, limit: int) -> DataFrame:
 def repeated_starts(keyed: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """From keyed(tid, text) without copies counted: tid, starts (array of inclusive ranges of positions whose SPAN bytes
     also start elsewhere); and tid, text of at least those texts."""
-    rows = keyed.mapInPandas(_find, "key long, anchor long, tid long, at long").repartition("key")
+    rows = keyed.mapInArrow(_find, "key long, anchor long, tid long, at long").repartition("key")
     place = F.xxhash64("tid", "at")  # both uses take the same columns, so that the shuffle is reused
-    common = rows.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max(F.col("anchor").isNotNull()).alias("sure")).where("sure or lo <> hi").select("key")
+    sure = F.max(F.col("anchor").isNotNull()).alias("sure")
+    common = rows.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), sure).where("sure or lo <> hi").select("key")
     # a copy in another batch gives equal rows; those of one key fall together here, any others where a text's are gathered
-    again = durable(rows.join(common, "key").dropDuplicates(["key", "tid", "at"]).select(F.coalesce("anchor", "key").alias("anchor"), "tid", "at"))
+    again = rows.join(common, "key").dropDuplicates(["key", "tid", "at"])
+    again = durable(again.select(F.coalesce("anchor", "key").alias("anchor"), "tid", "at"))
     by_text = again.groupBy("tid").agg(F.collect_set(F.struct("anchor", "at")).alias("found"))
     texts = durable(_texts(keyed, by_text.select("tid")))
     around = durable(texts.join(by_text, "tid").mapInPandas(_surround, "anchor long, look long, tid long, at long, left binary, right binary"))
-    different = durable(around.groupBy("anchor", "look").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right")))
-    groups = different.groupBy("anchor").agg(F.count("*").alias("looks"))
+    discard(again)
+    looks = around.groupBy("anchor", "look").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
+    different = durable(looks)
     whole = F.array(F.struct(F.lit(_REACH).alias("hi"), F.lit(0).alias("lo"))).cast(RANGES)
     full = different.where("n > 1").select("anchor", "look", whole.alias("ranges"))
-    several = different.join(groups.where("looks > 1"), "anchor")
-    flags = full.union(_repeats(durable(several.select("anchor", "look", "left", "right")), limit))
-    spots = around.select("anchor", "look", "tid", "at").join(flags, ["anchor", "look"]).select("tid", (F.col("at") / 65536).cast("long").alias("p"), (F.shiftright("at", 8).bitwiseAND(255)).alias("least"), F.col("at").bitwiseAND(255).alias("most"), F.explode("ranges").alias("r"))
-    own = spots.select("tid", (F.col("p") - F.least("r.hi", "most")).cast("long").alias("a"), (F.col("p") - F.greatest("r.lo", "least")).cast("long").alias("b")).where("a <= b")
+    flags = full.union(_repeats(different.select("anchor", "look", "left", "right"), limit))
+    at = F.col("at")
+    spots = around.select("anchor", "look", "tid", "at").join(flags, ["anchor", "look"]).select(
+        "tid", F.shiftright(at, 16).alias("p"), F.shiftright(at, 8).bitwiseAND(255).alias("least"), at.bitwiseAND(255).alias("most"), F.explode("ranges").alias("r")
+    )
+    begin, end = F.col("p") - F.least("r.hi", "most"), F.col("p") - F.greatest("r.lo", "least")
+    own = spots.select("tid", begin.cast("long").alias("a"), end.cast("long").alias("b")).where("a <= b")
     return own.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("starts")), texts
 
 
@@ -326,21 +324,39 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["tid", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+SHAPE = "array<struct<start:long,end:long>>"
+
+
+def _told_apart(rows: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(.., sha, tid) and keyed(tid, text) with new tids for different texts that share one: their sha's hash."""
+    clash = rows.select("tid", "sha").distinct().groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("clash"))
+    clash = durable(clash)
+    if clash.isEmpty():
+        return rows, keyed
+    new = lambda sha: F.when(F.col("clash"), F.xxhash64(sha)).otherwise(F.col("tid"))
+    rows = rows.join(clash, "tid", "left").withColumn("tid", new(F.col("sha"))).drop("clash")
+    keyed = keyed.join(clash, "tid", "left").withColumn("tid", new(F.sha2("text", 256))).drop("clash")
+    return durable(rows), keyed.select("tid", "text")
+
+
 def remove_repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans, one row for each row of docs(doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("tid"))
-    rows = durable(rows)
+    rows = durable(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("tid")))
     keyed = docs.where(F.octet_length("text") >= SPAN).select(F.xxhash64("text").alias("tid"), "text")
+    rows, keyed = _told_apart(rows, keyed)
     starts, texts = repeated_starts(keyed, limit)
-    copies = rows.where(F.col("n_bytes") >= SPAN).groupBy("tid").agg(F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes")).where("n > 1")
-    shape = "array<struct<start:long,end:long>>"
-    all_gone = copies.select("tid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).cast(shape).alias("spans"))
-    cut = texts.join(starts, "tid").mapInPandas(_cut, f"tid long, n_removed long, n_spans long, kept_sha256 string, spans {shape}").join(copies.select("tid"), "tid", "left_anti")
-    found = all_gone.union(cut).withColumn("salt", F.explode(F.when(F.col("n_removed") >= 0, F.sequence(F.lit(0), F.lit(SALT - 1)))))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(found, ["tid", "salt"], "left")
+    copies = rows.where(F.col("n_bytes") >= SPAN).groupBy("sha").agg(F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"), F.max("tid").alias("tid")).where("n > 1")
     none = F.lit(0).cast("long")
-    return dealt.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast(shape)).alias("spans"))
+    everything = F.array(F.struct(none.alias("start"), F.col("n_bytes").alias("end"))).cast(SHAPE).alias("spans")
+    all_gone = copies.select("tid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), everything)
+    cut = texts.join(starts, "tid").mapInPandas(_cut, f"tid long, n_removed long, n_spans long, kept_sha256 string, spans {SHAPE}")
+    found = all_gone.union(cut.join(copies.select("tid"), "tid", "left_anti"))
+    dealt = rows.join(found, "tid", "left")  # a text with very many copies is split by the adaptive planner
+    return dealt.select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast(SHAPE)).alias("spans"),
+    )
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
