@@ -2,18 +2,19 @@
 
 The words of each source's documents are packed into blocks of BLOCK words: documents are put in a
 pseudorandom order and cut where a block is full, so that a block holds pieces of documents. The mix is
-a sequence of output shards of SHARD slots. Each slot of a source is sent to a shard by a hash, so a
-shard's counts of the sources are a multinomial draw, conditional on every source's slots adding up to
-its target. A source's k-th slot takes block k mod n of the source's blocks after they are permuted by a
-Feistel network of its own, one per pass; a pass uses every block once, so no block and hence no document
-is used more often than the target's ratio, rounded up. Slots and blocks meet by an equi-join on index.
+a sequence of output shards of SHARD slots. First each shard draws how many slots it gives to every source: a
+multinomial draw, conditional on every source's slots adding up to its target. (All slots are dealt to the
+shards by one permutation of the whole mix and counted, which is that draw; nothing but the counts is kept.)
+Prefix sums of the counts over the shards number each source's slots. A source's k-th slot takes block k mod n of
+the source's blocks after a permutation of its own, one per pass; a pass uses every block once, so no block and
+hence no document is used more often than the target's ratio, rounded up. Slots and blocks meet by an equi-join on index.
 
 Positions in a source come from prefix sums in two levels (hash ranges, then within a range), so
 that no task holds a whole source. The last block of a source may be shorter.
 
 Defined results: null or wordless texts have size 0 and are never taken; a null source is a source of
-its own; rows of equal id, source and text share blocks' words in a fixed order; reruns agree; extra
-columns are ignored.
+its own; rows of equal id, source and text share blocks' words in a fixed order; reruns agree; an empty table gives no
+rows; extra columns are ignored. Tables of one row a source are taken in one task.
 """
 
 from __future__ import annotations
@@ -61,59 +62,81 @@ def sized(docs: DataFrame) -> DataFrame:
     return durable(docs.select("doc_id", "source", _named(F.col("source")).alias("name"), F.xxhash64("doc_id", "text").alias("h"), word_count(F.col("text")).alias("size")))
 
 
+def _firsts(sums: DataFrame, upper: int) -> DataFrame:
+    """name, part, first: for sums(name, part, size), the sizes of a name's parts before each, in two levels: within a range of
+    `upper` parts, and of the ranges, so that no task holds all parts of a name unless they are few."""
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda w: F.coalesce(F.sum("size").over(w), F.lit(0))
+    ranged = sums.withColumn("super", F.floor(F.col("part") / upper))
+    supers = ranged.groupBy("name", "super").agg(F.sum("size").alias("size")).withColumn("base", total(before(["name"], "super"))).drop("size")
+    inner = ranged.withColumn("inner", total(before(["name", "super"], "part"))).drop("size")
+    return inner.join(supers, ["name", "super"]).select("name", "part", (F.col("inner") + F.col("base")).alias("first"))
+
+
 def positions(sizes: DataFrame) -> DataFrame:
     """sizes with `at`, the first word of each document in its source's pseudorandom order. Prefix sums in three
     levels: of documents within a range, of ranges within a super-range, and of those within the source."""
     ranges = max(1, sizes.count() // RANGE)
-    upper = max(1, int(ranges**0.5))
     dealt = sizes.withColumn("part", F.pmod("h", F.lit(ranges)))
-    before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda w: F.coalesce(F.sum("size").over(w), F.lit(0))
-    sums = durable(dealt.groupBy("name", "part").agg(F.sum("size").alias("size"))).withColumn("super", F.floor(F.col("part") / upper))
-    supers = sums.groupBy("name", "super").agg(F.sum("size").alias("size")).withColumn("base", total(before(["name"], ["super"]))).drop("size")
-    starts = sums.withColumn("first", total(before(["name", "super"], ["part"]))).drop("size").join(supers, ["name", "super"]).select("name", "part", (F.col("first") + F.col("base")).alias("first"))
-    inner = dealt.withColumn("own", total(before(["name", "part"], ["h", "doc_id"])))
+    sums = durable(dealt.groupBy("name", "part").agg(F.sum("size").alias("size")))
+    within = Window.partitionBy("name", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = dealt.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    starts = _firsts(sums, max(1, int(ranges**0.5)))
     return inner.join(starts, ["name", "part"]).select(*sizes.columns, (F.col("own") + F.col("first")).alias("at"))
 
 
-#: Most steps of a walk. Up to 64 blocks no walk is longer than 8; beyond, one of 24 has probability below 8**-24.
-WALK = 24
+#: Times that rows and columns are rotated in turn.
+TURNS = 3
 
 
 def permuted(k: Column, n: Column, salt: Column) -> Column:
-    """A pseudorandom permutation of 0 .. n-1 at k: a Feistel network over pairs (k mod a, k div a) with a*b >= n, which
-    adds a keyed hash of one half to the other in turn, walked on until the value falls below n."""
-    a = F.ceil(F.sqrt(n)).cast("long")
-    b = F.ceil(n / a).cast("long")
-
-    def step(v: Column) -> Column:
-        left = F.pmod(v, a)
-        right = (v - left) / a
-        right = right.cast("long")
-        left = F.pmod(left + F.pmod(F.xxhash64(salt, F.lit(1), right), a), a)
-        mixed = let(left, lambda x: F.struct(x.alias("l"), F.pmod(right + F.pmod(F.xxhash64(salt, F.lit(2), x), b), b).alias("r")))
-        return let(mixed, lambda m: F.pmod(m["l"] + F.pmod(F.xxhash64(salt, F.lit(3), m["r"]), a), a) + a * m["r"])
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.lit(-1).cast("long"), lambda v, i: F.when(i == 1, step(k)).when(v >= n, step(v)).otherwise(v))
+    """A pseudorandom permutation of 0 .. n-1 at k. The numbers are laid out in rows of a = ceil(sqrt(n)), the last of which may be
+    shorter; in turn every row and every column is rotated by a hash of its number. Rotations map rows and columns onto
+    themselves whatever their length, so this is a permutation for any n."""
+    parts = lambda x, y: ((x - F.pmod(x, y)) / y).cast("long")
+    place = lambda q, r: F.struct(q.alias("q"), r.alias("r"))
+    rotated = lambda x, by, size: F.pmod(x + F.pmod(by, size), size)
+
+    def rotations(c: Column) -> Column:
+        a, n, salt = c["a"], c["n"], c["salt"]
+        at = place(parts(k, a), F.pmod(k, a))
+        for turn in range(TURNS):
+            row, column = F.lit(2 * turn), F.lit(2 * turn + 1)
+            at = let(at, lambda v: place(v["q"], rotated(v["r"], F.xxhash64(salt, row, v["q"]), F.least(a, n - v["q"] * a))))  # noqa: B023
+            at = let(at, lambda v: place(rotated(v["q"], F.xxhash64(salt, column, v["r"]), parts(n - v["r"] + a - 1, a)), v["r"]))  # noqa: B023
+        return let(at, lambda v: v["q"] * a + v["r"])
+
+    return let(F.struct(F.ceil(F.sqrt(n)).cast("long").alias("a"), n.cast("long").alias("n"), salt.cast("long").alias("salt")), rotations)
+
+
+def shard_counts(plan: DataFrame, total: int, shard: int = SHARD) -> DataFrame:
+    """name, shard, n: how many slots each shard draws from every source of plan(name, slots, offset); offsets number all slots
+    of the mix. Slots are dealt by a permutation of them all, and counted where they are made."""
+    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard).cast("long"))))
+    dealt = runs.repartition(max(8, min(10_000, total // 50_000)), "name", "run")
+    begin = F.col("run") * shard
+    every = dealt.select("name", "offset", F.explode(F.sequence(begin, F.least(begin + shard, F.col("slots")) - 1)).alias("k"))
+    placed = every.select("name", permuted(F.col("offset") + F.col("k"), F.lit(total), F.lit(7)).alias("place"))
+    return placed.groupBy("name", F.expr(f"place div {shard}").alias("shard")).agg(F.count("*").alias("n"))
 
 
 def draw(goals: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """shard, name, k (the source's slot), pass, block for goals(source, source_size, target): every slot of the mix."""
-    plan = goals.where((F.col("source_size") > 0) & (F.col("target") > 0)).select(
-        _named(F.col("source")).alias("name"), F.ceil(F.col("source_size") / block).cast("long").alias("blocks"), (F.col("target") / F.col("source_size")).alias("ratio")
-    )
-    plan = plan.withColumn("slots", F.round(F.col("ratio") * F.col("blocks")).cast("long")).where(F.col("slots") > 0)
+    ratio = F.col("target") / F.col("source_size")
+    blocks = F.ceil(F.col("source_size") / block).cast("long")
+    plan = goals.where((F.col("source_size") > 0) & (F.col("target") > 0)).select(_named(F.col("source")).alias("name"), blocks.alias("blocks"), F.round(ratio * blocks).cast("long").alias("slots"))
+    plan = plan.where(F.col("slots") > 0)
+    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    plan = durable(plan.withColumn("offset", F.coalesce(F.sum("slots").over(before), F.lit(0))))
     total = plan.agg(F.sum("slots")).first()[0] or 0
-    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard).cast("long"))))
-    dealt = runs.repartition(max(8, min(10_000, total // 50_000)), "name", "run")
-    k = F.explode(F.sequence(F.col("run") * shard, F.least(F.col("run") * shard + shard, F.col("slots")) - 1))
-    slots = dealt.withColumn("k", k)
-    shards = max(1, -(-total // shard))
-    turn = F.floor(F.col("k") / F.col("blocks")).cast("long")
-    return slots.select(
-        F.pmod(F.xxhash64("name", "k", F.lit(7)), F.lit(shards)).alias("shard"), "name", "k", turn.alias("pass"),
-        permuted(F.pmod("k", "blocks"), F.col("blocks"), F.xxhash64("name", turn)).alias("block"),
-    )
+    counts = durable(shard_counts(plan, max(1, total), shard))
+    firsts = _firsts(counts.select("name", F.col("shard").alias("part"), F.col("n").alias("size")), max(1, int((total // shard + 1) ** 0.5)))
+    numbered = counts.join(firsts.withColumnRenamed("part", "shard"), ["name", "shard"]).join(plan.select("name", "blocks"), "name")
+    dealt = numbered.repartition(max(8, min(10_000, total // 50_000)), "name", "shard")
+    slots = dealt.select("shard", "name", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    slots = slots.withColumn("pass", F.expr("k div blocks"))
+    block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.xxhash64("name", "pass"))
+    return slots.select("shard", "name", "k", "pass", block.alias("block"))
 
 
 def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
