@@ -9,11 +9,13 @@ only lower the determinant. A text is rejected when its squared distance exceeds
 
 Statistics are counted on a fixed grid first, and the steps run over grid cells weighted by their
 number of texts, so a step's work follows the number of occupied cells and a hot source costs no more
-than a small one. A group of fewer than LEAST texts takes its language's estimate, or that of all.
-FLOOR is added to each deviation, as clean texts have no spread in symbols or repeats at all.
+than a small one. Every group of a language and source has its own estimate; as that of a few texts is uncertain, its centre
+and scatter are averaged with its language's, which count for PRIOR texts, and those with the estimate of all texts
+likewise. FLOOR is added to each deviation, as clean texts have no spread in symbols or repeats at all.
 
 Defined results: a null or empty text has zero counts and fails the rules; a null language or source
-is a group of its own; repeated rows are judged alike; extra columns are ignored.
+is a group of its own; repeated rows are judged alike; cells tied at the edge of the HALF share all count; an empty table
+gives no rows; extra columns are ignored, and keep_good() hands them on.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, let, native_words, sided, table
+from codequarry.llm.common import discard, durable, let, native_words, sided, table, unused
 
 # The word rules of the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -31,8 +33,8 @@ HALF, CONSISTENT, STEPS = 0.75, 1.49, 4
 GRID = (0.02, 0.02, 0.02, 0.05)
 FLOOR = (0.06, 0.05, 0.05, 0.15)
 CUTOFF = 30.0
-#: Texts that a group needs for an estimate of its own.
-LEAST = 100
+#: Texts that the estimate of the language, or of all, counts for beside a group's own.
+PRIOR = 50.0
 #: Parts that a group is dealt over in joins, so that a hot one is no single task.
 SALT = 16
 
@@ -115,13 +117,34 @@ def _estimate(cells: DataFrame, factor: float) -> DataFrame:
     out = cells.groupBy("g").agg(*sums)
     out = out.select("g", "n", *(F.col(f"c{i}{j}") for i in range(P) for j in range(i + 1)), *((F.col(f"s{i}") / n).alias(f"m{i}") for i in range(P)))
     scatter = lambda i, j: factor * (F.col(f"c{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOOR[i] ** 2 if i == j else 0.0)
+    return _factored(out, scatter).select("g", "n", *(f"m{i}" for i in range(P)), *LOWER)
+
+
+#: Names of the Cholesky factor's entries.
+LOWER = tuple(f"l{i}{j}" for i in range(P) for j in range(i + 1))
+
+
+def _factored(df: DataFrame, scatter) -> DataFrame:  # noqa: ANN001
+    """df with the Cholesky factor l00.. of scatter(i, j), a column for each entry on and below the diagonal."""
     for i in range(P):
         for j in range(i + 1):
             rest = scatter(i, j)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("g", "n", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
+            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
+    return df
+
+
+def _averaged(groups: DataFrame, own: str, pooled: str, prior: float) -> DataFrame:
+    """groups with the estimate in the struct `own` (with its `texts`; null if there is none) averaged with that in `pooled`, which
+    counts for `prior` texts; the result takes the place of both."""
+    share = F.coalesce(F.col(f"{own}.texts"), F.lit(0)) / (F.coalesce(F.col(f"{own}.texts"), F.lit(0)) + F.lit(prior))
+    both = lambda x, y: F.coalesce(share * x, F.lit(0.0)) + (1 - share) * y
+    product = lambda e, i, j: sum((F.col(f"{e}.l{i}{k}") * F.col(f"{e}.l{j}{k}") for k in range(j + 1)), F.lit(0.0))
+    out = groups.select("*", *(both(F.col(f"{own}.m{i}"), F.col(f"{pooled}.m{i}")).alias(f"m{i}") for i in range(P)))
+    out = _factored(out, lambda i, j: both(product(own, i, j), product(pooled, i, j)))
+    kept = [c for c in groups.columns if c not in (own, pooled)]
+    return out.select(*kept, F.struct(*(f"m{i}" for i in range(P)), *LOWER).alias(own))
 
 
 def _start(cells: DataFrame) -> DataFrame:
@@ -147,9 +170,11 @@ def estimates(counted: DataFrame, steps: int = STEPS) -> DataFrame:
     own = ["g", *(f"x{i}" for i in range(P)), "n"]
     estimate = durable(_start(cells))
     for _ in range(steps):
+        before = estimate
         far = _salted(cells, estimate.drop("n")).select(*own, F.round(_distance(x), 6).alias("d"))
         edge = far.groupBy("g").agg(F.percentile("d", HALF, F.col("n")).alias("edge"))
         estimate = durable(_estimate(_salted(far, edge).where(F.col("d") <= F.col("edge")).select(*own), CONSISTENT))
+        discard(before)
     texts = cells.groupBy("g").agg(F.sum("n").alias("texts"))
     return estimate.drop("n").join(texts, "g")
 
@@ -160,28 +185,29 @@ def count_texts(docs: DataFrame) -> DataFrame:
     return durable(counted).select("doc_id", "lang", "source", "key", "s.*").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
+def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: float = PRIOR) -> DataFrame:
     """What count_texts() returns, with the squared distance (null where the word rules fail) and kept."""
     counted = count_texts(docs)
     found = durable(estimates(counted.where(~F.col("base_failed"))))
-    estimate = [c for c in found.columns if c not in ("g", "texts")]
+    estimate = [c for c in found.columns if c != "g"]
     keys = _group_keys()
     groups = counted.where(~F.col("base_failed")).select("lang", "source").distinct().select(*(k.alias(f"g{i}") for i, k in enumerate(keys)))
-    for i in range(3):  # the finest level with enough texts; that of all texts always holds
-        level = found.where(F.col("texts") >= (least if i < 2 else 0)).select(F.col("g").alias(f"g{i}"), F.struct(*estimate).alias(f"e{i}"))
-        groups = groups.join(level, f"g{i}", "left")
-    groups = groups.select(F.col("g0").alias("g"), F.coalesce("e0", "e1", "e2").alias("e")).select("g", "e.*")
+    for i in range(3):
+        groups = groups.join(found.select(F.col("g").alias(f"g{i}"), F.struct(*estimate).alias(f"e{i}")), f"g{i}", "left")
+    groups = _averaged(_averaged(groups, "e1", "e2", prior), "e0", "e1", prior).select(F.col("g0").alias("g"), "e0.*")
     vector = counted.select(*counted.columns, keys[0].alias("g"), *(x.alias(f"x{i}") for i, x in enumerate(_statistics())))
     many = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     dealt = vector.withColumn("salt", F.pmod("key", F.lit(SALT)).cast("int")).join(many, ["g", "salt"], "left")
     distance = F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in range(P)]))
-    return dealt.select("doc_id", "key", *COUNTS, "base_failed", distance.alias("distance")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    return dealt.select("doc_id", "key", *COUNTS, "base_failed", distance.alias("distance")).withColumn("kept", verdict)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    bad = sided(judge(docs).where(~F.col("kept")).select(F.col("key").alias("__key")).distinct())
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text", "lang", "source")).join(bad, "__key", "left_anti").drop("__key")
+    key = unused("key", docs.columns)
+    bad = sided(judge(docs).where(~F.col("kept")).select(F.col("key").alias(key)).distinct())
+    return docs.withColumn(key, F.xxhash64("doc_id", "text", "lang", "source")).join(bad, key, "left_anti").select(docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
