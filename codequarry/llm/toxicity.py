@@ -8,11 +8,15 @@ score is that of its highest window. All windows of every whole text are scored.
 
 Labels are of texts, not of windows, so training alternates (multiple instances): every epoch scores all windows
 of the training texts, takes each text's highest, and descends on those (Adam, written out below). The first
-choice rests on log-odds of words and character n-grams, with which one embedding column begins. The model
-is fitted on a bounded, hash-chosen sample of labelled rows (TRAIN_POSITIVE and TRAIN_NEGATIVE).
+choice rests on log-odds of words and character n-grams, with which one column of each embedding begins; these stay as
+counted, the other columns of words and trigrams are trained with the network. The model is fitted on a bounded, hash-chosen
+sample of labelled rows: TRAIN_POSITIVE and TRAIN_NEGATIVE rows of at most TRAIN_TEXT bytes each, TRAIN_BYTES together.
+
+Words are looked up once for each different word of a portion of text, and their inputs are shared by all windows.
 
 Defined results: null, empty and wordless texts score 0; without labelled rows of both kinds every text scores 0;
-repeated rows score alike; labels given twice for an id count as toxic if one is; null labels are no labels.
+repeated rows score alike, as do ties of windows; labels given twice for an id count as toxic if one is; null labels are no
+labels; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +24,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import held_out, mix64, table, word_hashes
+from codequarry.llm.common import held_out, mix64, portions, table, texts_of, type_of, word_hashes
 
-WINDOW, STRIDE = 64, 48
-#: Bounds of the labelled sample, by label.
-TRAIN_POSITIVE, TRAIN_NEGATIVE = 1200, 2400
+WINDOW, STRIDE = 64, 32
+#: Bounds of the labelled sample: rows by label, bytes of a text, and bytes of all.
+TRAIN_POSITIVE, TRAIN_NEGATIVE, TRAIN_TEXT, TRAIN_BYTES = 1200, 2400, 1 << 20, 1 << 26
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 INPUTS, HIDDEN, EPOCHS, BATCH, RATE = 8, 8, 8, 64, 4e-3
 #: Rate of the embeddings' own descent, share of words hidden while training, and texts that shrink a log-odds by half.
@@ -47,29 +51,39 @@ _FOLD[65:91] = _FOLD[97:123]
 
 
 class Words:
-    """The words of a batch of texts: word rows, character n-gram rows by word, and each text's range of words."""
+    """The words of a batch of texts: for each different word its word row and character n-gram rows; where each occurrence stands and
+    which word it is; and each text's range of occurrences."""
 
-    def __init__(self, texts: list[str | None]):
-        raws = [(t or "").encode() for t in texts]
+    def __init__(self, texts: list[bytes | str | None]):
+        raws = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
         raw = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
-        hashes, starts, ends = word_hashes(raw, gaps=_GAP)
-        self.raw, self.starts, self.ends = raw, starts, ends
-        self.word = (hashes >> np.uint64(48)).astype(np.int64) & (WORD_ROWS - 1)
-        self.n = len(self.word)
-        offsets = np.cumsum([0] + [len(r) + 1 for r in raws])
-        bounds = np.searchsorted(starts, offsets)
+        hashes, self.starts, self.ends = word_hashes(raw, gaps=_GAP)
+        self.raw, self.n = raw, len(hashes)
+        bounds = np.searchsorted(self.starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
         self.first, self.last = bounds[:-1], bounds[1:]
-        # bytes of words, each followed by one border byte that also stands before the next word
-        length = ends - starts + 1
-        self.at = np.cumsum(length) - length
-        inside = np.arange(int(length.sum())) - np.repeat(self.at, length) + np.repeat(starts, length)
-        code = _FOLD[raw[inside]] if self.n else np.zeros(0, dtype=np.uint64)
-        self.trigram = self._grams(code, 3)
-        self.longer = [self._grams(code, n) for n in GRAMS]
+        different, one, self.of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.word = (different >> np.uint64(48)).astype(np.int64) & (WORD_ROWS - 1)
+        # bytes of the different words, with borders between them that no n-gram spans
+        border = max(GRAMS)
+        starts, length = self.starts[one], self.ends[one] - self.starts[one]
+        begin = np.cumsum(length + border) - (length + border)
+        code = np.zeros(int((length + border).sum()), dtype=np.uint64)
+        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        code[np.repeat(begin, length) + inside] = _FOLD[raw[np.repeat(starts, length) + inside]]
+        self.size = length + 1  # n-grams of a word: from the border before each of its bytes, and from its last byte
+        self.at = np.cumsum(self.size) - self.size
+        own = np.arange(int(self.size.sum())) + np.repeat(begin - self.at, self.size)
+        self.trigram = self._grams(code, 3)[own]
+        self.longer = [self._grams(code, n)[own] for n in GRAMS]
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Places of the n-grams of some different words."""
+        size = self.size[words]
+        return np.arange(int(size.sum())) + np.repeat(self.at[words] - (np.cumsum(size) - size), size)
 
     @staticmethod
     def _grams(code: np.ndarray, n: int) -> np.ndarray:
-        """Row of the n-gram that begins at the border before each byte; those that run past the end wrap into borders."""
+        """Row of the n-gram that begins before each byte."""
         h = np.zeros(len(code), dtype=np.uint64)
         padded = np.concatenate((np.zeros(1, np.uint64), code, np.zeros(n, np.uint64)))
         for i in range(n):
@@ -95,13 +109,12 @@ class ToxicNet:
         self.p["gram"][:, 0] = 0
 
     def inputs(self, words: Words) -> np.ndarray:
-        """Per word: 4 of its word row, 3 averaged over its trigrams, 1 as the strongest longer n-gram."""
-        x = np.empty((words.n, INPUTS), dtype=np.float32)
+        """Per different word: 4 of its word row, 3 averaged over its trigrams, 1 as the strongest longer n-gram."""
+        x = np.empty((len(words.word), INPUTS), dtype=np.float32)
         if not words.n:
             return x
         x[:, :4] = self.p["word"][words.word]
-        size = np.diff(np.append(words.at, len(words.trigram))).astype(np.float32)
-        x[:, 4:7] = np.add.reduceat(self.p["gram"][:, 1:][words.trigram], words.at, axis=0) / size[:, None]
+        x[:, 4:7] = np.add.reduceat(self.p["gram"][:, 1:][words.trigram], words.at, axis=0) / words.size[:, None].astype(np.float32)
         odds = np.ascontiguousarray(self.p["gram"][:, 0])
         best = odds[words.longer[0]]
         for g in words.longer[1:]:
@@ -109,6 +122,14 @@ class ToxicNet:
         x[:, 7] = np.maximum.reduceat(best, words.at)
         return x
 
+    def learn_inputs(self, words: Words, of: np.ndarray, d_x: np.ndarray) -> None:
+        """Descend the trained columns of word and trigram rows on the gradient d_x of the inputs of the occurrences of words `of`."""
+        total = np.zeros((len(words.word), INPUTS), dtype=np.float32)
+        np.add.at(total, of, d_x)
+        np.add.at(self.p["word"][:, 1:], words.word, -EMBED_RATE * total[:, 1:4])
+        shared = np.repeat(total[:, 4:7] / words.size[:, None].astype(np.float32), words.size, axis=0)
+        np.add.at(self.p["gram"][:, 1:], words.trigram, -EMBED_RATE * shared)
+
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):  # noqa: ANN201
         """Scores of windows x (WINDOW, B, INPUTS) with mask (WINDOW, B); with keep also what backward() needs."""
         steps, b = mask.shape
@@ -188,30 +209,20 @@ class ToxicNet:
         out = []
         for k in range(0, len(start), WINDOWS_AT_ONCE):
             at = start[k : k + WINDOWS_AT_ONCE] + np.arange(WINDOW)[:, None]
-            out.append(self._read(gates[np.minimum(at, words.n - 1)], at < stop[k : k + WINDOWS_AT_ONCE], keep=False))
+            of = words.of[np.minimum(at, words.n - 1)]
+            out.append(self._read(gates[of], at < stop[k : k + WINDOWS_AT_ONCE], keep=False))
         return np.concatenate(out)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: list[bytes]) -> np.ndarray:
         """Of whole texts: the highest window's."""
         out = np.zeros(len(texts))
-        for begin, words in _portions(texts):
+        for begin, end in portions(texts, BYTES_AT_ONCE):
+            words = Words(texts[begin:end])
             owner, start, stop = windows(words)
             np.maximum.at(out, begin + owner, self.window_scores(words, start, stop))
         return out
 
 
-def _portions(texts: list[str | None]) -> Iterator[tuple[int, Words]]:
-    """The texts' words, of BYTES_AT_ONCE at a time or one longer text, and the first text's place."""
-    begin = 0
-    while begin < len(texts):
-        size, end = 0, begin
-        while end < len(texts) and (end == begin or size + len(texts[end] or "") <= BYTES_AT_ONCE):
-            size += len(texts[end] or "")
-            end += 1
-        yield begin, Words(texts[begin:end])
-        begin = end
-
-
 def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and end (of its text) of every window."""
     size = words.last - words.first
@@ -232,33 +243,35 @@ def _log_odds(rows: Iterator[tuple[int, np.ndarray]], size: int) -> np.ndarray:
     return (odds * seen / (seen + SHRINK)).astype(np.float32)
 
 
-def _rows_of(texts: list[str], label: np.ndarray, grams: bool) -> Iterator[tuple[int, np.ndarray]]:
-    for begin, words in _portions(texts):
-        ends = np.append(words.at, len(words.trigram))
+def _rows_of(texts: list[bytes], label: np.ndarray, grams: bool) -> Iterator[tuple[int, np.ndarray]]:
+    for begin, end in portions(texts, BYTES_AT_ONCE):
+        words = Words(texts[begin:end])
         for k, (a, b) in enumerate(zip(words.first, words.last)):
-            rows = np.concatenate([g[ends[a] : ends[b]] for g in (words.trigram, *words.longer)]) if grams else words.word[a:b]
-            yield int(label[begin + k]), rows
+            held = np.unique(words.of[a:b])
+            at = words.places(held)
+            yield int(label[begin + k]), np.concatenate([g[at] for g in (words.trigram, *words.longer)]) if grams else words.word[held]
 
 
-def _top_windows(net: ToxicNet, texts: list[str], trained: bool) -> dict[int, str]:
+def _top_windows(net: ToxicNet, texts: list[bytes], trained: bool) -> dict[int, bytes]:
     """The text of each text's highest window; before training, that of the one with the strongest log-odds."""
     top = {}
-    for begin, words in _portions(texts):
+    for begin, end in portions(texts, BYTES_AT_ONCE):
+        words = Words(texts[begin:end])
         owner, start, stop = windows(words)
         if trained:
             score = net.window_scores(words, start, stop)
         else:
             x = net.inputs(words)
-            strongest = np.maximum(x[:, 0], x[:, 7])
+            strongest = np.maximum(x[:, 0], x[:, 7])[words.of]
             score = np.array([strongest[s : min(s + WINDOW, e)].max() for s, e in zip(start, stop)])
         order = np.lexsort((score, owner))
         for w in order[np.append(np.flatnonzero(np.diff(owner[order])), len(order) - 1)] if len(order) else order:
             last = min(start[w] + WINDOW, stop[w]) - 1
-            top[begin + int(owner[w])] = words.raw[words.starts[start[w]] : words.ends[last]].tobytes().decode()
+            top[begin + int(owner[w])] = words.raw[words.starts[start[w]] : words.ends[last]].tobytes()
     return top
 
 
-def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ToxicNet:
+def train(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ToxicNet:
     """Fit on texts with 0/1 labels, of which both occur. Memory holds the texts and one portion's features."""
     net, rng = ToxicNet(seed), np.random.default_rng(seed)
     label = np.asarray(label, dtype=np.float32)
@@ -273,8 +286,8 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int =
             words = Words([top[i] for i in part])
             at = words.first + np.arange(WINDOW)[:, None]
             mask = at < words.last
-            at = np.minimum(at, words.n - 1)
-            x = net.inputs(words)[at]
+            of = words.of[np.minimum(at, words.n - 1)]
+            x = net.inputs(words)[of]
             x *= (rng.random(x.shape[:2] + (1,)) > DROP).astype(np.float32)
             grad, d_x, _ = net.backward(x, mask, label[part], weight[part] / len(part))
             turn += 1
@@ -283,7 +296,7 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int =
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.p[k] -= (RATE * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)).astype(np.float32)
-            np.add.at(net.p["word"][:, 1:], words.word[at[mask]], -EMBED_RATE * d_x[mask][:, 1:4])
+            net.learn_inputs(words, of[mask], d_x[mask])
     return net
 
 
@@ -294,23 +307,27 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = TRAIN_POSITIVE, nega
     share = {k: min(1.0, most / max(1, counts.get(k, 0))) for k, most in ((1, positive), (0, negative))}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20)))
     chosen = F.broadcast(known.where(F.col("toxic").isin(0, 1) & drawn))  # positive + negative rows at most, about
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    fitting = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_TEXT).join(chosen, "doc_id")
+    total = fitting.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fewer = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(1 << 20)) < int(min(1.0, TRAIN_BYTES / max(1, total)) * (1 << 20))
+    rows = fitting.where(fewer).orderBy("doc_id", "text").select("text", "toxic").collect()
     label = np.array([r.toxic for r in rows])
     if not len(rows) or label.min() == label.max():
         return None
-    return train([r.text for r in rows], label)
+    return train([r.text.encode() for r in rows], label)
 
 
 def score(docs: DataFrame, net: ToxicNet | None) -> DataFrame:
     """doc_id, held_out, score for each row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = shared.value.scores(list(pdf["text"])) if shared.value else np.zeros(len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = shared.value.scores(texts_of(batch)) if shared.value else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s)], ["doc_id", "held_out", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(read, "doc_id long, held_out boolean, score double")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return rows.mapInArrow(read, f"doc_id {type_of(docs, 'doc_id')}, held_out boolean, score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
