@@ -1,15 +1,17 @@
 """Secret scan: fixed credential patterns, and automata inferred from the credentials they label.
 
 The values that the fixed patterns find in a bounded sample of texts are the labelled credentials;
-other long tokens of the sample are the counter-examples. From each label a prefix tree is built
+other tokens of the sample are the counter-examples. From each label a prefix tree is built
 whose statistically compatible states are merged (ALERGIA: Hoeffding test on stop and transition
 frequencies, recursively), which leaves a small probabilistic automaton. Every other candidate
-token of every whole text is then scored by the likelihood of its format under the credential
-automata against that under the counter-examples' automaton; likely ones become spans of kind
-`format`. The fixed patterns' spans always stay.
-
-Defined results: null and empty text have no spans; repeated rows get equal spans; without any
-labelled credential only the fixed patterns speak. Scans are linear in the text's length.
+of every whole text, that is every run of credential characters beside the fixed patterns' spans, is then
+scored by the likelihood of its format under the credential automata against that under the counter-examples'
+automaton. Likely ones become spans of kind `format`: their advantage must be clear per character, and as a whole
+outweigh how rare credentials are among tokens. The fixed patterns' spans always stay.
+
+Defined results: null and empty text have no spans; repeated rows get equal spans; spans that begin at one
+place are ordered by kind; without any labelled credential only the fixed patterns speak; an empty table gives no
+rows; other columns are ignored. Scans are linear in the text's length.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import table
-from codequarry.llm.spans import SPANS, count_of, joined, of_kinds, ordered, runs, to_code_points
+from codequarry.llm.common import discard, durable, portions, table, texts_of, type_of, word_hashes
+from codequarry.llm.spans import SPAN_TYPE, SPANS, count_of, joined, of_kinds, ordered, to_code_points
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "format")
@@ -34,19 +36,20 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f](?<![0-9a-f][0-9a-f])[0-9a-f]{23,}+")
 
-#: Candidates are maximal runs of credential characters with a digit, of this length at least.
-CANDIDATE_MIN = 16
+#: Candidates are maximal runs of credential characters of this length at least, as the fixed patterns ask of a value.
+CANDIDATE_MIN = 6
 #: Rows that the automata are learnt from, chosen by a hash of the id; values of each label, chosen by hash.
 TRAIN_ROWS, TRAIN_VALUES = 50_000, 600
-#: Longer values don't enter a prefix tree (they are still scored).
+#: Characters of a value that enter a prefix tree; of a longer one the beginning does, without an end (it is scored as a whole).
 TREE_DEPTH = 200
-#: Confidence of the Hoeffding test, and the log-likelihood advantage per character that makes a candidate a secret.
-MERGE_ALPHA, ADVANTAGE = 0.05, 0.35
+#: Confidence of the Hoeffding test, and the log-likelihood advantage per character and as a whole that make a candidate a secret.
+MERGE_ALPHA, ADVANTAGE, EVIDENCE = 0.05, 0.35, 14.0
+#: Bytes of text whose candidates are scored at once, and the length from which a candidate is scored on its own.
+BYTES_AT_ONCE, LONG = 1 << 20, 512
 
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-_TOKEN = np.zeros(256, dtype=bool)
-_TOKEN[list(_ALPHABET)] = True
-_DIGIT = re.compile(rb"[0-9]")
+_GAP = np.ones(256, dtype=bool)
+_GAP[list(_ALPHABET)] = False
 
 
 def base_spans(raw: bytes) -> list[tuple[str, int, int, float]]:
@@ -57,32 +60,55 @@ def base_spans(raw: bytes) -> list[tuple[str, int, int, float]]:
     return found
 
 
-def candidates(raw: bytes, taken: list[tuple]) -> list[tuple[int, int]]:
-    """Other long tokens with a digit: byte ranges that touch no span of the fixed patterns."""
-    out = []
-    for s, e in runs(_TOKEN[np.frombuffer(raw, dtype=np.uint8)], CANDIDATE_MIN):
-        if _DIGIT.search(raw, s, e) and all(e <= a or s >= b for _, a, b, _ in taken):
-            out.append((s, e))
-    return out
+class Texts:
+    """Several texts in one array: the fixed patterns' spans of each, and the candidates between them as byte ranges of the array."""
+
+    def __init__(self, raws: list[bytes]):
+        self.base = [base_spans(raw) for raw in raws]
+        self.raw = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8).copy()
+        self.begin = np.cumsum([0] + [len(r) + 1 for r in raws])
+        for at, spans in zip(self.begin.tolist(), self.base):
+            for _, s, e, _ in spans:
+                self.raw[at + s : at + e] = 10
+        free = ~_GAP[self.raw]
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8)))
+        long = edge[1::2] - edge[0::2] >= CANDIDATE_MIN
+        self.start, self.end = edge[0::2][long], edge[1::2][long]
 
 
 class Automaton:
-    """Deterministic probabilistic automaton: per state a map from byte to (next state, log probability), and the log probability to stop."""
+    """Deterministic probabilistic automaton, as matrices of states by bytes: the next state and the log probability of going there;
+    and the log probability to stop. A byte that a state has not seen costs its smoothed share and stays in the state."""
 
     def __init__(self, steps: list[dict[int, tuple[int, float]]], stops: list[float], unseen: list[float]):
-        self.steps, self.stops, self.unseen = steps, stops, unseen
+        self.next = np.repeat(np.arange(len(steps), dtype=np.int32)[:, None], 256, axis=1)
+        self.gain = np.repeat(np.array(unseen)[:, None], 256, axis=1)
+        self.stops = np.array(stops)
+        for state, row in enumerate(steps):
+            for byte, (to, gain) in row.items():
+                self.next[state, byte], self.gain[state, byte] = to, gain
 
     def log_likelihood(self, value: bytes) -> float:
-        """Of the value; a byte that a state has not seen costs its smoothed share and stays in the state."""
-        at, total = 0, 0.0
+        """Of one value, byte by byte."""
+        rows, gains, at, total = self.next.tolist(), self.gain.tolist(), 0, 0.0
         for b in value:
-            step = self.steps[at].get(b)
-            if step is None:
-                total += self.unseen[at]
-            else:
-                at, gain = step
-                total += gain
-        return total + self.stops[at]
+            total += gains[at][b]
+            at = rows[at][b]
+        return total + float(self.stops[at])
+
+    def log_likelihoods(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the values raw[start:end], which advance together, a byte at a time; the longest come first, so those still going are a prefix."""
+        size = end - start
+        order = np.argsort(-size, kind="stable")
+        begin, left = start[order], np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
+        state, total = np.zeros(len(order), dtype=np.int32), np.zeros(len(order))
+        for k, going in enumerate(left.tolist()):
+            b = raw[begin[:going] + k]
+            total[:going] += self.gain[state[:going], b]
+            state[:going] = self.next[state[:going], b]
+        out = np.empty(len(order))
+        out[order] = total + self.stops[state]
+        return out
 
 
 def infer(values: list[bytes], alpha: float = MERGE_ALPHA) -> Automaton:
@@ -93,7 +119,7 @@ def infer(values: list[bytes], alpha: float = MERGE_ALPHA) -> Automaton:
     for value in sorted(values):
         at = 0
         seen[0] += 1
-        for b in value:
+        for b in value[:TREE_DEPTH]:
             if b not in kids[at]:
                 kids[at][b] = len(kids)
                 for column, empty in ((kids, {}), (used, {}), (seen, 0), (ends, 0)):
@@ -101,7 +127,7 @@ def infer(values: list[bytes], alpha: float = MERGE_ALPHA) -> Automaton:
             used[at][b] = used[at].get(b, 0) + 1
             at = kids[at][b]
             seen[at] += 1
-        ends[at] += 1
+        ends[at] += len(value) <= TREE_DEPTH
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -160,64 +186,100 @@ class SecretModel:
     """Automata by credential label, and that of the counter-examples (key `other`)."""
 
     def __init__(self, automata: dict[str, Automaton]):
-        self.automata = automata
+        self.labels = [a for k, a in automata.items() if k != "other"]
+        self.other = automata.get("other")
+
+    def advantages(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log-likelihood advantage of the best credential automaton for the values raw[start:end]; -inf without one."""
+        if not self.labels or not len(start):
+            return np.full(len(start), -np.inf)
+        out, short = np.empty(len(start)), end - start < LONG
+        of = lambda a: a.log_likelihoods(raw, start[short], end[short])
+        against = of(self.other) if self.other else -(end - start)[short] * math.log(len(_ALPHABET))
+        out[short] = np.max([of(a) for a in self.labels], axis=0) - against
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = self.advantage(raw[start[k] : end[k]].tobytes()) * (end[k] - start[k])
+        return out
 
     def advantage(self, value: bytes) -> float:
-        """Log-likelihood advantage per character of the best credential automaton; -inf without one."""
-        labels = [a for k, a in self.automata.items() if k != "other"]
-        if not labels:
+        """The same of one value, per character."""
+        if not self.labels:
             return -math.inf
-        other = self.automata.get("other")
-        against = other.log_likelihood(value) if other else -len(value) * math.log(len(_ALPHABET))
-        return (max(a.log_likelihood(value) for a in labels) - against) / len(value)
-
-
-def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = set()
-        for text in pdf["text"]:
-            raw = (text or "").encode()
-            base = base_spans(raw)
-            for kind, s, e, _ in base:
-                value = raw[s:e]
-                if kind == "assign":
-                    m = ASSIGN.match(value.lower())
-                    value = value[m.start(2) : m.end(2)]
-                if len(value) <= TREE_DEPTH:
-                    rows.add((kind, value.decode()))
-            rows |= {("other", raw[s:e].decode()) for s, e in candidates(raw, base) if e - s <= TREE_DEPTH}
-        yield pd.DataFrame(sorted(rows), columns=["label", "value"])
+        against = self.other.log_likelihood(value) if self.other else -len(value) * math.log(len(_ALPHABET))
+        return (max(a.log_likelihood(value) for a in self.labels) - against) / len(value)
+
+
+def _labelled(most: int):  # noqa: ANN202
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """label, value, h: different values of each label in a batch, the `most` with the smallest hashes. Values are stated up to one
+        byte beyond what a tree takes."""
+        for batch in batches:
+            found: dict[str, dict[bytes, int]] = {k: {} for k in (*BASE_KINDS, "other")}
+            raws = texts_of(batch)
+            for a, b in portions(raws, BYTES_AT_ONCE):
+                texts = Texts(raws[a:b])
+                for raw, spans in zip(raws[a:b], texts.base):
+                    for kind, s, e, _ in spans:
+                        value = raw[s:e]
+                        if kind == "assign":
+                            m = ASSIGN.match(value.lower())
+                            value = value[m.start(2) : m.end(2)]
+                        found[kind][value[: TREE_DEPTH + 1]] = 0
+                h, start, end = word_hashes(texts.raw, lower=False, gaps=_GAP)
+                long = end - start >= CANDIDATE_MIN
+                _, first = np.unique(h[long], return_index=True)
+                for s, e in zip(start[long][first[:most]].tolist(), end[long][first[:most]].tolist()):
+                    found["other"][texts.raw[s : min(e, s + TREE_DEPTH + 1)].tobytes()] = 0
+            rows = []
+            for kind, values in found.items():
+                for value in values:
+                    values[value] = int(word_hashes(np.frombuffer(value, dtype=np.uint8), lower=False, gaps=_GAP)[0][0])
+                rows += [(kind, v.decode(), h) for v, h in sorted(values.items(), key=lambda x: (x[1], x[0]))[:most]]
+            kind, value, h = zip(*rows) if rows else ((), (), ())
+            hashes = np.array(h, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(hashes)], ["label", "value", "h"])
+
+    return label
 
 
 def learn(docs: DataFrame, max_rows: int = TRAIN_ROWS, max_values: int = TRAIN_VALUES) -> SecretModel:
-    """Automata from a bounded sample of docs(doc_id, text). Labelled values are distinct, and chosen by their hash."""
+    """Automata from a bounded sample of docs(doc_id, text). Labelled values are distinct, and chosen by their hash. The sample is
+    scanned once; of what the batches tell, each label's values are taken from a small table."""
     share = min(1.0, max_rows / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    values = sample.mapInPandas(_labelled, "label string, value string").distinct().withColumn("h", F.xxhash64("value"))
+    values = durable(sample.mapInArrow(_labelled(max_values), "label string, value string, h long").distinct())
     automata = {}
     for label in (*BASE_KINDS, "other"):
         rows = values.where(F.col("label") == label).orderBy("h", "value").limit(max_values)
         kept = [r.value.encode() for r in rows.select("value").collect()]
         if kept:
             automata[label] = infer(kept)
+    discard(values)
     return SecretModel(automata)
 
 
-def find_secrets(docs: DataFrame, model: SecretModel, advantage: float = ADVANTAGE) -> DataFrame:
+def find_secrets(docs: DataFrame, model: SecretModel, advantage: float = ADVANTAGE, evidence: float = EVIDENCE) -> DataFrame:
     """doc_id and the ordered spans of each row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for text in pdf["text"]:
-                raw = (text or "").encode()
-                spans = base_spans(raw)
-                more = [("format", s, e, a) for s, e in candidates(raw, spans) if (a := shared.value.advantage(raw[s:e])) >= advantage]
-                found.append(ordered(to_code_points(raw, spans + more), KINDS))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": found})
-
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id long, spans {SPANS}")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws, found = texts_of(batch), []
+            for a, b in portions(raws, BYTES_AT_ONCE):
+                texts = Texts(raws[a:b])
+                gain = shared.value.advantages(texts.raw, texts.start, texts.end)
+                per = gain / np.maximum(1, texts.end - texts.start)
+                hit = np.flatnonzero((per >= advantage) & (gain >= evidence))
+                owner = np.searchsorted(texts.begin, texts.start[hit], side="right") - 1
+                more: dict[int, list] = {}
+                for k, own in zip(hit.tolist(), owner.tolist()):
+                    at = int(texts.begin[own])
+                    more.setdefault(own, []).append(("format", int(texts.start[k]) - at, int(texts.end[k]) - at, float(per[k])))
+                for k, raw in enumerate(raws[a:b]):
+                    found.append(ordered(to_code_points(raw, texts.base[k] + more.get(k, [])), KINDS))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, SPAN_TYPE)], ["doc_id", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {type_of(docs, 'doc_id')}, spans {SPANS}")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

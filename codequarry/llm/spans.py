@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: How operators return what they found in a text: code points, end exclusive.
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
+SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
 def to_code_points(raw: bytes, spans: list[tuple]) -> list[tuple]:
@@ -18,14 +20,6 @@ def to_code_points(raw: bytes, spans: list[tuple]) -> list[tuple]:
     return [(k, int(before[s]), int(before[e]), *rest) for k, s, e, *rest in spans]
 
 
-def runs(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Maximal runs of true flags that are at least so long."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    long = end - start >= least
-    return list(zip(start[long].tolist(), end[long].tolist()))
-
-
 def ordered(spans: list[tuple], kinds: tuple[str, ...]) -> list[dict]:
     rank = {k: i for i, k in enumerate(kinds)}
     return [{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in sorted(spans, key=lambda v: (v[1], rank[v[0]], v[2]))]
