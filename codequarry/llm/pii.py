@@ -13,8 +13,12 @@ second pass that drops terms outside a Bloom filter of fixed size; what passes w
 join, so counts are exact. Entities that stand in the same set of texts can't be told apart by co-occurrence and
 count as one, and terms in more texts than an entity's information allows are dropped before they are paired with it.
 
+A text that holds a term without the entity keeps it: with entities of single texts and words of few texts, treating a term
+wherever it occurs would cut rare words out of most clean texts of a large corpus.
+
 Defined results: null and empty texts have no spans; repeated rows get equal spans; copies of one
-text count as one text of evidence; other columns are ignored. Scans are linear in the text's length.
+text count as one text of evidence; ties go by kind and end; an empty table gives no rows; other columns are ignored,
+and sanitise() hands them on. Scans are linear in the text's length.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, mix64, sided, table, word_hashes
-from codequarry.llm.spans import SPANS, count_of, joined, of_kinds, ordered
+from codequarry.llm.common import durable, key_filter, passes, sided, table, texts_of, type_of, unused, word_hashes
+from codequarry.llm.spans import SPAN_TYPE, SPANS, count_of, joined, of_kinds, ordered
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "term")
@@ -44,16 +48,8 @@ _LOCAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+
 
 #: Share of an entity's information that a term may supply.
 DISCLOSURE = 0.8
-#: Bits of the filter over terms of texts with entities: 4 MB, whatever the corpus.
-BLOOM_BITS = 1 << 25
-BLOOM_KEYS = 3
-#: Words of 64 bits that reach the driver as one value.
-BLOOM_BLOCK = 4096
 #: Rows of a small side that may be broadcast.
 BROADCAST_ROWS = 50_000
-#: Parts that the copies of one text are dealt over.
-SALT = 16
-
 
 def _emails(raw: bytes) -> list[tuple[int, int]]:
     out, done, at = [], 0, raw.find(b"@")
@@ -116,11 +112,10 @@ def _before(raw: bytes, arr: np.ndarray) -> np.ndarray | None:
     return None if raw.isascii() else np.concatenate(([0], np.cumsum((arr & 0xC0) != 0x80)))
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         found, entities, terms = [], [], []
-        for text in pdf["text"]:
-            raw = (text or "").encode()
+        for raw in texts_of(batch):
             spans = base_spans(raw)
             held, words = [], np.zeros(0, dtype=np.int64)
             if spans:
@@ -133,15 +128,16 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found.append(ordered(spans, KINDS))
             entities.append(held)
             terms.append(words)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "same": pdf["same"], "spans": found, "entities": entities, "terms": terms})
+        lists = pa.list_(pa.int64())
+        made = [pa.array(found, SPAN_TYPE), pa.array(entities, lists), pa.array(terms, lists)]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "key", "same")] + made, ["doc_id", "key", "same", "spans", "entities", "terms"])
 
 
-def _place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of the telling terms wherever they stand in the text."""
-    for pdf in batches:
+    for batch in batches:
         out = []
-        for text, telling, scores in zip(pdf["text"], pdf["telling"], pdf["scores"]):
-            raw = text.encode()
+        for raw, telling, scores in zip(texts_of(batch), batch.column("telling").to_pylist(), batch.column("scores").to_pylist()):
             arr = np.frombuffer(raw, dtype=np.uint8)
             t, starts, ends = _terms(arr, base_spans(raw))
             order = np.argsort(telling)
@@ -152,71 +148,39 @@ def _place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if before is not None:
                 starts, ends = before[starts], before[ends]
             out.append([{"kind": "term", "start": int(a), "end": int(b), "score": float(x)} for a, b, x in zip(starts[hit], ends[hit], score[at[hit]])])
-        yield pd.DataFrame({"same": pdf["same"], "found": out})
-
-
-def _bloom_at(terms: np.ndarray) -> list[np.ndarray]:
-    h = terms.astype(np.int64).view(np.uint64)
-    return [(mix64(h + np.uint64(0x51_7C_C1_B7 * (i + 1))) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for i in range(BLOOM_KEYS)]
-
-
-def _bloom(terms: DataFrame) -> np.ndarray:
-    """Bits set for every term of terms(t). Blocks of the filter are made on the executors by a shuffle on the
-    word; the driver gets them as bytes, 4 MB in all."""
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = np.unique(np.concatenate(_bloom_at(pdf["t"].to_numpy())))
-            yield pd.DataFrame({"word": at >> 6, "bit": np.left_shift(np.int64(1), at & 63)})
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = np.zeros(BLOOM_BLOCK, dtype=np.int64)
-        part[pdf["word"].to_numpy(dtype=np.int64) % BLOOM_BLOCK] = pdf["bits"]
-        return pd.DataFrame({"block": [int(pdf["word"].iloc[0]) // BLOOM_BLOCK], "part": [part.tobytes()]})
-
-    packed = terms.mapInPandas(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(BLOOM_BITS >> 6, dtype=np.int64)
-    for r in packed.groupBy(F.floor(F.col("word") / BLOOM_BLOCK).alias("block")).applyInPandas(block, "block long, part binary").collect():
-        out[r.block * BLOOM_BLOCK : (r.block + 1) * BLOOM_BLOCK] = np.frombuffer(r.part, dtype=np.int64)
-    return out
+        yield pa.RecordBatch.from_arrays([batch.column("same"), pa.array(out, SPAN_TYPE)], ["same", "found"])
 
 
 def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """t, n: different texts that hold the word, for a superset of terms(t). texts(text, copies) has each row's number of equal texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(_bloom(terms))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filt = shared.value
-        for pdf in batches:
-            kept, shares = [], []
-            for text, copies in zip(pdf["text"], pdf["copies"]):
-                if not text:
-                    continue
-                t = np.unique(_signed(word_hashes(np.frombuffer(text.encode(), dtype=np.uint8))[0]))
-                ok = np.ones(len(t), dtype=bool)
-                for at in _bloom_at(t):
-                    ok &= (filt[at >> 6] >> (at & 63)) & 1 == 1
-                kept.append(t[ok])
-                shares.append(np.full(len(kept[-1]), 1.0 / copies))
-            t, where = np.unique(np.concatenate(kept), return_inverse=True) if kept else (np.zeros(0, np.int64),) * 2
-            yield pd.DataFrame({"t": t, "n": np.bincount(where, np.concatenate(shares), len(t)) if kept else np.zeros(0)})
-
-    return texts.select("text", "copies").mapInPandas(count, "t long, n double").groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("n"))
+    shared = texts.sparkSession.sparkContext.broadcast(key_filter(terms))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for raw, copies in zip(texts_of(batch), batch.column("copies").to_pylist()):
+                if raw:
+                    t = np.unique(_signed(word_hashes(np.frombuffer(raw, dtype=np.uint8))[0]))
+                    kept.append(t[passes(shared.value, t)])
+                    shares.append(np.full(len(kept[-1]), 1.0 / copies))
+            t, where = np.unique(np.concatenate(kept), return_inverse=True)
+            n = np.bincount(where, np.concatenate(shares), len(t))
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["t", "n"])
+
+    counted = texts.select("text", "copies").mapInArrow(count, "t long, n double")
+    return counted.groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, key (hash of id and text) and ordered spans, one row for each row of docs(doc_id, text)."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("same"))
-    found = durable(keyed.mapInPandas(_extract, f"doc_id long, key long, same long, spans {SPANS}, entities array<long>, terms array<long>"))
+    shape = f"doc_id {type_of(docs, 'doc_id')}, key long, same long, spans {SPANS}, entities array<long>, terms array<long>"
+    found = durable(keyed.mapInArrow(_extract, shape))
     # copies of one text show the same terms: evidence must come from different texts
     copies = durable(found.groupBy("same").agg(F.count("*").alias("copies")))
     total = copies.count() + 1
     again = copies.where("copies > 1")
-    if again.count() <= BROADCAST_ROWS:
-        texts = keyed.join(F.broadcast(again), "same", "left")
-    else:
-        dealt = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        texts = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(dealt, ["same", "salt"], "left")
+    texts = keyed.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "same", "left")
     holding = durable(found.where(F.size("entities") > 0).select("same", "entities", "terms").dropDuplicates(["same"]))
     held = holding.select("same", F.explode("entities").alias("e"))
     sets = held.groupBy("e").agg(F.count("*").alias("holds"), F.bit_xor(F.xxhash64("same")).alias("set"))
@@ -235,7 +199,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataF
     listed = F.collect_list(F.struct("t", "score"))
     named = durable(best.groupBy("same").agg(listed.alias("l")).select("same", F.col("l.t").alias("telling"), F.col("l.score").alias("scores")))
     with_terms = keyed.join(sided(named.select("same")), "same", "left_semi").groupBy("same").agg(F.first("text").alias("text"))
-    terms = with_terms.join(named, "same").mapInPandas(_place, f"same long, found {SPANS}").withColumnRenamed("found", "terms")
+    terms = with_terms.join(named, "same").mapInArrow(_place, f"same long, found {SPANS}").withColumnRenamed("found", "terms")
     rank = F.array(*(F.lit(k) for k in KINDS))
 
     def place(s):  # noqa: ANN001, ANN202
@@ -266,16 +230,19 @@ def sanitise(docs: DataFrame, **options: float) -> DataFrame:
     """docs with text cleaned: entities and telling terms with digits or a capital are generalised to a
     bracketed class, other telling terms are removed. Rows and other columns stay as they are."""
     found = find_personal_data(docs, **options).where(F.size("spans") > 0).dropDuplicates(["key"])
-    spans = sided(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), 100_000)
-    schema = docs.schema
-    joined_ = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(spans, "__key", "left").drop("__key")
-
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["text"] = [_cleaned(t, s) if s is not None and t else t for t, s in zip(pdf["text"], pdf.pop("__spans"))]
-            yield pdf
-
-    return joined_.mapInPandas(clean, schema)
+    key, own = unused("key", docs.columns), unused("spans", docs.columns)
+    spans = sided(found.select(F.col("key").alias(key), F.col("spans").alias(own)), 100_000)
+    columns, place = docs.columns, docs.columns.index("text")
+    marked = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(spans, key, "left").select(*columns, own)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_cleaned(t, s) if s and t else t for t, s in zip(batch.column(place).to_pylist(), batch.column(own).to_pylist())]
+            arrays = [batch.column(k) for k in range(len(columns))]
+            arrays[place] = pa.array(texts, batch.column(place).type)
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return marked.mapInArrow(clean, docs.schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
