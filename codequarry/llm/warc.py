@@ -24,31 +24,31 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, shared_folder, table
+from codequarry.llm.common import durable, own_folder, remove_folder, table
 
 FILE_BYTES = 16 << 20
 #: Payloads of fewer bytes are always written in full.
 REVISIT_MIN_BYTES = 0
 LEVEL = 1
-#: Parts that pages of one payload are dealt over.
-SALT = 16
 CHUNK = 1 << 16
 
 # Marks of the formats.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/(?:0\.1[678]|1\.[01])\r?\n")
 END = b"\r\n\r\n"
+LENGTH = re.compile(r"[0-9]{1,18}")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -63,10 +63,34 @@ class Record:
     def kind(self) -> str:
         return self.headers.get("warc-type", "")
 
-    def http(self) -> tuple[dict[str, str], bytes]:
-        """HTTP headers and payload of the block."""
+    def http(self, strict: bool = False) -> tuple[dict[str, str], bytes]:
+        """HTTP headers and payload of the block. Header lines without a colon are passed over, or with strict raise Damaged."""
         head, _, payload = self.block.partition(END)
-        return _fields(head.split(b"\r\n")[1:]), payload
+        lines = head.split(b"\r\n")[1:]
+        return _fields(lines if strict else [x for x in lines if b":" in x]), payload
+
+    def payload_bytes(self) -> int | None:
+        """Length of the payload: a response's own, a revisit's as its HTTP header states it, if it does."""
+        if self.kind not in ("response", "revisit"):
+            return len(self.block)
+        http, payload = self.http()
+        if self.kind == "response":
+            return len(payload)
+        stated = http.get("content-length")
+        return int(stated) if stated and LENGTH.fullmatch(stated) else None
+
+    def check(self) -> None:
+        """Raise Damaged unless a response's stated payload digest agrees, or, where nothing vouches for the block, its HTTP header is in order."""
+        if self.kind == "response":
+            stated = self.headers.get("warc-payload-digest", "")
+            if not stated.startswith("sha1:"):
+                self.http(strict=True)
+            elif base32_sha1(self.http()[1]) != stated[5:]:
+                raise Damaged("payload digest differs")
+        elif self.kind == "revisit":
+            stated = self.http(strict=True)[0].get("content-length", "0")
+            if not LENGTH.fullmatch(stated):
+                raise Damaged("revisit without a valid length")
 
 
 @dataclass
@@ -104,20 +128,17 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     if head_end < 0:
         raise Damaged("header without an end")
     headers = _fields(data[m.end() : head_end].split(b"\r\n"))
-    try:
-        length = int(headers["content-length"])
-    except (KeyError, ValueError):
-        raise Damaged("no valid Content-Length") from None
-    start = head_end + len(END)
-    if length < 0 or start + length > len(data):
+    stated = headers.get("content-length", "")
+    if not LENGTH.fullmatch(stated):
+        raise Damaged("no valid Content-Length")
+    length, start = int(stated), head_end + len(END)
+    if start + length > len(data):
         raise Damaged("truncated block")
     end = start + length
     if data[end : end + 4] != END:
         raise Damaged("no end mark after the block")
     record = Record(at, end + 4 - at, headers, data[start:end])
-    stated = headers.get("warc-payload-digest", "")
-    if record.kind == "response" and stated.startswith("sha1:") and base32_sha1(record.http()[1]) != stated[5:]:
-        raise Damaged("payload digest differs")
+    record.check()
     return record, end + 4
 
 
@@ -256,11 +277,11 @@ def member(headers: list[tuple[str, str]], block: bytes, level: int = LEVEL) ->
 
 
 def _page(page: int | None) -> str:
-    return f"<urn:page:{'none' if page is None or pd.isna(page) else int(page)}>"
+    return f"<urn:page:{'none' if page is None else page}>"
 
 
 def page_member(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    revisit = refers_to is not None and not pd.isna(refers_to)
+    revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _page(page_id)), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\r\n]", "", url or ""))]
     if revisit:
@@ -270,28 +291,32 @@ def page_member(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_MIN_BYTES) -> DataFrame:
-    """pages(page_id, url, html) with sha1 (hex, of the payload's UTF-8) and refers_to (null for responses). Only
-    payloads that occur more than once enter the join, each dealt over SALT parts."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1("html")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    """pages(page_id, url, html) with sha1 (hex, of the payload's UTF-8) and refers_to (null for responses). Only payloads that
+    occur more than once enter the join; rows of a very frequent one are split by the adaptive planner."""
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1("html"))
     long_enough = F.octet_length("html") >= least
-    first = rows.where(long_enough).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    many = first.select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    first = rows.where(long_enough).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
     other = ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(many, ["sha1", "salt"], "left").select("page_id", "url", "html", "sha1", F.when(other, F.col("first")).alias("refers_to"))
+    return rows.join(first, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(other, F.col("first")).alias("refers_to"))
+
+
+def _store(folder: str):  # noqa: ANN202
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages as archives into folder (a URI that pyarrow opens). Returns path, records, bytes of each finished file, materialised."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
         out, path, records, size, done = None, "", 0, 0, []
-        for pdf in batches:
-            for page_id, url, html, sha1, refers_to in pdf.itertuples(index=False):
+        for batch in batches:
+            ids, urls, payloads, hashes, firsts = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to"))
+            for page_id, url, html, sha1, refers_to in zip(ids, urls, payloads, hashes, firsts):
                 data = page_member(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to, date)
                 if out is None:
                     path = f"{root}/pages-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
@@ -305,49 +330,79 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         if out is not None:
             out.close()
             done.append((path, records, size))
-        yield pd.DataFrame(done, columns=["path", "records", "bytes"])
+        yield pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes"), d)) for d in done], schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return durable(with_revisits(pages).mapInPandas(write, "path string, records long, bytes long"))
+    return durable(with_revisits(pages).mapInArrow(write, "path string, records long, bytes long"))
 
 
-ROW = "path string, offset long, length long, kind string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, reason string"
+ROW = pa.schema([
+    ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()),
+    ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("reason", pa.string()),
+])
+ROW_TYPES = (
+    "path string, offset long, length long, kind string, record_id string, target_uri string, "
+    "refers_to string, payload_bytes long, payload_digest string, payload binary, reason string"
+)
+#: Rows and bytes of payload that the reader hands over at once.
+ROWS_AT_ONCE, PAYLOAD_AT_ONCE = 2000, 1 << 24
+
+
+def _row(path: str, x: Record | Gap, payloads: bool) -> dict:
+    if isinstance(x, Gap):
+        return {"path": path, "offset": x.offset, "length": x.length, "kind": "gap", "reason": x.reason}
+    h = x.headers
+    payload = x.http()[1] if x.kind in ("response", "revisit") else x.block
+    return {
+        "path": path, "offset": x.offset, "length": x.length, "kind": x.kind, "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"),
+        "refers_to": h.get("warc-refers-to"), "payload_bytes": x.payload_bytes(), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"),
+        "payload": payload if payloads else None,
+    }
 
 
 def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the archives files(path), and one of kind `gap` with a reason for each stretch of bytes that was given up."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store = fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else fs.LocalFileSystem()
-        for pdf in batches:
-            for path in pdf["path"]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = _store(folder)[0]
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
                 with store.open_input_stream(path, compression=None) as f:
                     data = f.read()
-                rows: list[tuple] = []
+                rows, size = [], 0
                 for x in read_archive(data):
-                    if isinstance(x, Gap):
-                        rows.append((path, x.offset, x.length, "gap", None, None, None, None, None, None, x.reason))
-                        continue
-                    http, payload = x.http() if x.kind in ("response", "revisit") else ({}, x.block)
-                    size = int(http.get("content-length", "0")) if x.kind == "revisit" else len(payload)
-                    rows.append((path, x.offset, x.length, x.kind, x.headers.get("warc-record-id"), x.headers.get("warc-target-uri"), x.headers.get("warc-refers-to"), size, x.headers.get("warc-payload-digest", "").removeprefix("sha1:"), payload if payloads else None, None))
-                    if len(rows) >= 2000:
-                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROW.split(", ")])
-                        rows = []
+                    rows.append(_row(path, x, payloads))
+                    size += len(rows[-1].get("payload") or b"")
+                    if len(rows) >= ROWS_AT_ONCE or size >= PAYLOAD_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, schema=ROW)
+                        rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROW.split(", ")])
+                    yield pa.RecordBatch.from_pylist(rows, schema=ROW)
 
     parts = max(1, min(4096, files.count()))
-    return files.select("path").repartition(parts).mapInPandas(read, ROW)
+    return files.select("path").repartition(parts).mapInArrow(read, ROW_TYPES)
+
+
+def log_gaps(records: DataFrame, most: int = 100) -> int:
+    """Log what read_archives() gave up, the first `most` stretches one by one, and return how many there are."""
+    gaps = records.where("kind = 'gap'")
+    n = gaps.count()
+    if n:
+        total = gaps.agg(F.sum("length")).first()[0]
+        logging.warning("%d stretches of damaged archives given up, %d bytes", n, total)
+        for r in gaps.orderBy("path", "offset").limit(most).collect():
+            logging.warning("%s: %d bytes at %d given up: %s", r.path, r.length, r.offset, r.reason)
+    return n
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "warc")
     files = write_archives(table(spark, sf_dir, "pages"), folder)
+    records = durable(read_archives(files, folder, payloads=False).drop("payload"))
+    log_gaps(records)
+    remove_folder(spark, folder)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS bigint)")
-    records = read_archives(files, folder, payloads=False).where(F.col("kind").isin("response", "revisit"))
-    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"))
+    pages = records.where(F.col("kind").isin("response", "revisit"))
+    return pages.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"))
 
 
 #: The round trip's result from the table itself; a base-32 digit takes 5 bits, so 5 hex digits make 4 of them.
