@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, let, sided, table
+from codequarry.llm.common import durable, let, sided, table, unused
 
 WORDS, THRESHOLD = 5, 0.8
 #: Signature hashes that may stand in the plan as constants (12 bytes each); more go through a join.
@@ -80,8 +80,11 @@ def _contained_rows(docs: DataFrame, benchmark: DataFrame, threshold: float, in_
 
         candidates = keyed.where(let(shingles(F.col("text"), short=short), met))
     else:
-        hits = keyed.select("key", F.explode(shingles(F.col("text"), short=short)).alias("h")).join(signed.select("h").distinct(), "h", "left_semi").select("key").distinct()
-        candidates = keyed.join(hits, "key", "left_semi")
+        held = keyed.select("key", shingles(F.col("text"), short=short).alias("s"))
+        probes = held.select("key", F.size("s").alias("size"), F.explode("s").alias("h"))
+        large_enough = F.col("size") >= threshold * F.pow(F.lit(2.0), F.col("size_class"))
+        met = probes.join(signed.select("h", "size_class").distinct(), "h").where(large_enough)
+        candidates = keyed.join(met.select("key").distinct(), "key", "left_semi")
     wanted = items.select("item_id", F.size("shingles").alias("item_shingles"), F.explode("shingles").alias("h"))
     if wanted.count() <= SHINGLES_TO_BROADCAST:
         wanted = F.broadcast(wanted)
@@ -99,8 +102,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no item of benchmark, with all their columns."""
-    held = sided(_contained_rows(docs, benchmark, THRESHOLD, SIGNATURES_IN_PLAN).select(F.col("key").alias("__key")).distinct())
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(held, "__key", "left_anti").select(docs.columns)
+    key = unused("key", docs.columns)
+    held = sided(_contained_rows(docs, benchmark, THRESHOLD, SIGNATURES_IN_PLAN).select(F.col("key").alias(key)).distinct())
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(held, key, "left_anti").select(docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
