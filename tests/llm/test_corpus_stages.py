@@ -138,8 +138,27 @@ def test_blocks_hold_what_documents_give(spark):  # noqa: ANN001
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 64, 65, 997])
 def test_permutation(spark, n):  # noqa: ANN001
-    p = spark.range(n).select(mixture.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(11).cast("long")).alias("p")).collect()
+    p = spark.range(n).select("id", mixture.permuted(F.col("id"), F.lit(n), F.lit(11)).alias("p")).collect()
     assert sorted(r.p for r in p) == list(range(n))
+    assert n < 10 or sum(r.p == r.id for r in p) < n / 4
+
+
+def test_shards_draw_counts_that_fill_them(spark):  # noqa: ANN001
+    goals = spark.createDataFrame([("a", 64_000, 96_000.0), ("b", 30_000, 60_000.0), (None, 6_400, 6_400.0), ("empty", 0, 0.0)], "source string, source_size long, target double")
+    slots = mixture.draw(goals, block=16, shard=100).toPandas()
+    wanted = {"=a": 6000, "=b": 3750, "": 400}
+    assert slots.groupby("name").size().to_dict() == wanted
+    sizes = slots.groupby("shard").size()
+    assert sorted(sizes) == [50] + [100] * 101  # every shard is full but the last
+    counts = slots.groupby(["name", "shard"]).size().unstack(fill_value=0)
+    for name, n in wanted.items():  # near the multinomial's mean and variance
+        p = n / 10_150
+        full = counts.loc[name, sizes[sizes == 100].index]
+        assert abs(full.mean() - 100 * p) < 1.5 and 0.5 < full.var() / (100 * p * (1 - p)) < 1.7
+        own = slots[slots.name == name].sort_values("k")
+        assert own.k.tolist() == list(range(n)) and own.shard.is_monotonic_increasing  # prefix sums number the slots
+    for (name, turn), own in slots.groupby(["name", "pass"]):
+        assert own.block.is_unique and own.block.between(0, {"=a": 3999, "=b": 1874, "": 399}[name]).all()
 
 
 def test_mixture_of_odd_rows(spark):  # noqa: ANN001

@@ -192,6 +192,42 @@ def test_gradients_of_the_network():
         assert np.isclose((loss[0] - loss[1]) / (2 * step), grad[name].reshape(-1)[k], rtol=0.1, atol=1e-3), name
 
 
+def test_scores_match_a_plain_forward_pass():
+    """A text's score by loops over words, windows and steps, from the trained parameters; trigram rows move in training."""
+    texts = [f"{prose(i, 90)} {'vile scum' if i % 2 else 'kind folk'} {prose(i + 50, 40)}".encode() for i in range(40)]
+    label = np.arange(40) % 2
+    net, start = toxicity.train(texts, label, epochs=2), toxicity.ToxicNet()
+    moved = (net.p["gram"][:, 1:] != start.p["gram"][:, 1:]).any(axis=1)
+    assert moved.sum() > 100 and (net.p["word"][:, 1:] != start.p["word"][:, 1:]).any()
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def plain(text: bytes) -> float:
+        words, best = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text), 0.0
+        x = []
+        for w in words:
+            one = toxicity.Words([w])
+            grams = net.p["gram"]
+            mean = np.mean([grams[g, 1:] for g in one.trigram], axis=0)
+            x.append(np.concatenate((net.p["word"][one.word[0]], mean, [max(grams[g, 0] for gs in one.longer for g in gs)])))
+        for a in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            window, n, states = x[a : a + toxicity.WINDOW], toxicity.HIDDEN, {}
+            for way, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+                h = np.zeros(n)
+                for t in order:
+                    g = (window[t] @ net.p["w"] + net.p["b"])[way * 3 * n : (way + 1) * 3 * n]
+                    u = h @ net.p["u"][way]
+                    z, r = sigmoid(g[:n] + u[:n]), sigmoid(g[n : 2 * n] + u[n : 2 * n])
+                    h = (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :]) + z * h
+                    states[way, t] = h
+            both = np.array([np.concatenate((states[0, t], states[1, t])) for t in range(len(window))])
+            share = np.exp(both @ net.p["a"])
+            best = max(best, float(sigmoid((share / share.sum()) @ both @ net.p["o"] + net.p["c"][0])))
+        return best
+
+    some = [*texts[:6], b"", b"one", b"!!"]
+    assert np.allclose(net.scores(some), [plain(t) if t.strip(b"!") else 0.0 for t in some], atol=1e-4)
+
+
 def test_toxicity_of_odd_rows(spark):  # noqa: ANN001
     docs = odd(spark)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10, 40)] + [(4, None, None), (10, 1, 0)], "doc_id long, quality int, toxic int")
@@ -206,7 +242,8 @@ def test_toxicity_of_odd_rows(spark):  # noqa: ANN001
 def test_every_window_is_scored():
     words = toxicity.Words(["w " * 200, "", "a b", "x " * 64, "x " * 65])
     owner, start, stop = toxicity.windows(words)
-    assert [int((owner == k).sum()) for k in range(5)] == [4, 0, 1, 1, 2]
+    many = lambda n: 1 + max(0, -(-(n - toxicity.WINDOW) // toxicity.STRIDE))
+    assert [int((owner == k).sum()) for k in range(5)] == [many(200), 0, 1, 1, 2] and many(200) > 3
     assert all(set(range(a, b)) <= set().union(*(range(s, min(s + toxicity.WINDOW, e)) for o, s, e in zip(owner, start, stop) if o == k)) for k, (a, b) in enumerate(zip(words.first, words.last)))
 
 
