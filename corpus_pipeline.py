@@ -1,16 +1,16 @@
 """A training corpus from raw documents: stages that each apply one operator to what the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next.
-All but the last return the columns of documents. Empty input gives empty output at every stage.
+All but the last return the columns of documents, extra ones included. Empty input gives empty output at every stage. Rows are
+told apart by id and text: null ids and ids that stand with several texts are rows like others; of equal rows near_duplicates
+keeps one; null and empty texts fail the quality rules and go there.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm.common import shared_folder, table
+from codequarry.llm.common import own_folder, remove_folder, table
 from codequarry.llm.decontaminate import keep_clean
 from codequarry.llm.jaccard import keep_first
 from codequarry.llm.mixture import mix
@@ -53,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. What a stage wrote is removed once the next one is written; the last goes with the application."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = own_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
