@@ -1,12 +1,12 @@
 """Secret scan: fixed credential patterns, and automata inferred from the credentials they label.
 
 The values that the fixed patterns find in a bounded sample of texts are the labelled credentials;
-other tokens of the sample are the counter-examples. From each label a prefix tree is built
+other tokens of the sample are the counter-examples, those with a digit apart from those without. From each label a prefix tree is built
 whose statistically compatible states are merged (ALERGIA: Hoeffding test on stop and transition
 frequencies, recursively), which leaves a small probabilistic automaton. Every other candidate
 of every whole text, that is every run of credential characters beside the fixed patterns' spans, is then
-scored by the likelihood of its format under the credential automata against that under the counter-examples'
-automaton. Likely ones become spans of kind `format`: their advantage must be clear per character, and as a whole
+scored by the likelihood of its format under the best credential automaton against that under the best of the
+counter-examples. Likely ones become spans of kind `format`: their advantage must be clear per character, and as a whole
 outweigh how rare credentials are among tokens. The fixed patterns' spans always stay.
 
 Defined results: null and empty text have no spans; repeated rows get equal spans; spans that begin at one
@@ -30,6 +30,8 @@ from codequarry.llm.spans import SPAN_TYPE, SPANS, count_of, joined, of_kinds, o
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "format")
+#: Labels of the counter-examples: tokens without a digit and with one.
+COUNTER = ("word", "figure")
 
 # The patterns of the contract, over UTF-8 bytes; the first is applied to text whose A-Z are lowered.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
@@ -50,6 +52,8 @@ BYTES_AT_ONCE, LONG = 1 << 20, 512
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _GAP = np.ones(256, dtype=bool)
 _GAP[list(_ALPHABET)] = False
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[list(b"0123456789")] = True
 
 
 def base_spans(raw: bytes) -> list[tuple[str, int, int, float]]:
@@ -183,11 +187,11 @@ def infer(values: list[bytes], alpha: float = MERGE_ALPHA) -> Automaton:
 
 
 class SecretModel:
-    """Automata by credential label, and that of the counter-examples (key `other`)."""
+    """Automata by credential label, and those of the counter-examples."""
 
     def __init__(self, automata: dict[str, Automaton]):
-        self.labels = [a for k, a in automata.items() if k != "other"]
-        self.other = automata.get("other")
+        self.labels = [a for k, a in automata.items() if k not in COUNTER]
+        self.others = [a for k, a in automata.items() if k in COUNTER]
 
     def advantages(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log-likelihood advantage of the best credential automaton for the values raw[start:end]; -inf without one."""
@@ -195,7 +199,7 @@ class SecretModel:
             return np.full(len(start), -np.inf)
         out, short = np.empty(len(start)), end - start < LONG
         of = lambda a: a.log_likelihoods(raw, start[short], end[short])
-        against = of(self.other) if self.other else -(end - start)[short] * math.log(len(_ALPHABET))
+        against = np.max([of(a) for a in self.others], axis=0) if self.others else -(end - start)[short] * math.log(len(_ALPHABET))
         out[short] = np.max([of(a) for a in self.labels], axis=0) - against
         for k in np.flatnonzero(~short).tolist():
             out[k] = self.advantage(raw[start[k] : end[k]].tobytes()) * (end[k] - start[k])
@@ -205,7 +209,7 @@ class SecretModel:
         """The same of one value, per character."""
         if not self.labels:
             return -math.inf
-        against = self.other.log_likelihood(value) if self.other else -len(value) * math.log(len(_ALPHABET))
+        against = max((a.log_likelihood(value) for a in self.others), default=-len(value) * math.log(len(_ALPHABET)))
         return (max(a.log_likelihood(value) for a in self.labels) - against) / len(value)
 
 
@@ -214,7 +218,7 @@ def _labelled(most: int):  # noqa: ANN202
         """label, value, h: different values of each label in a batch, the `most` with the smallest hashes. Values are stated up to one
         byte beyond what a tree takes."""
         for batch in batches:
-            found: dict[str, dict[bytes, int]] = {k: {} for k in (*BASE_KINDS, "other")}
+            found: dict[str, dict[bytes, int]] = {k: {} for k in (*BASE_KINDS, *COUNTER)}
             raws = texts_of(batch)
             for a, b in portions(raws, BYTES_AT_ONCE):
                 texts = Texts(raws[a:b])
@@ -226,10 +230,12 @@ def _labelled(most: int):  # noqa: ANN202
                             value = value[m.start(2) : m.end(2)]
                         found[kind][value[: TREE_DEPTH + 1]] = 0
                 h, start, end = word_hashes(texts.raw, lower=False, gaps=_GAP)
-                long = end - start >= CANDIDATE_MIN
-                _, first = np.unique(h[long], return_index=True)
-                for s, e in zip(start[long][first[:most]].tolist(), end[long][first[:most]].tolist()):
-                    found["other"][texts.raw[s : min(e, s + TREE_DEPTH + 1)].tobytes()] = 0
+                digits = np.concatenate(([0], np.cumsum(_DIGIT[texts.raw])))
+                long, figure = end - start >= CANDIDATE_MIN, digits[end] > digits[start]
+                for kind, own in zip(COUNTER, (long & ~figure, long & figure)):
+                    first = np.unique(h[own], return_index=True)[1][:most]
+                    for s, e in zip(start[own][first].tolist(), end[own][first].tolist()):
+                        found[kind][texts.raw[s : min(e, s + TREE_DEPTH + 1)].tobytes()] = 0
             rows = []
             for kind, values in found.items():
                 for value in values:
@@ -249,7 +255,7 @@ def learn(docs: DataFrame, max_rows: int = TRAIN_ROWS, max_values: int = TRAIN_V
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     values = durable(sample.mapInArrow(_labelled(max_values), "label string, value string, h long").distinct())
     automata = {}
-    for label in (*BASE_KINDS, "other"):
+    for label in (*BASE_KINDS, *COUNTER):
         rows = values.where(F.col("label") == label).orderBy("h", "value").limit(max_values)
         kept = [r.value.encode() for r in rows.select("value").collect()]
         if kept:

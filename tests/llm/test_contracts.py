@@ -125,7 +125,7 @@ def test_every_candidate_is_scored(spark):  # noqa: ANN001
     raw = "\n".join(texts).encode()
     got = [raw[s:e].decode() for s, e in zip(some.start, some.end)]
     assert got == ["abcdef", "Zx9" * 300, "tail99", "bbbbbbb"]
-    model = secrets.SecretModel({"hex": secrets.infer([b"deadbeef01", b"0123abcdef", b"feedface77"] * 20), "other": secrets.infer([b"plainword", b"otherword"] * 20)})
+    model = secrets.SecretModel({"hex": secrets.infer([b"deadbeef01", b"0123abcdef", b"feedface77"] * 20), "word": secrets.infer([b"plainword", b"otherword"] * 20)})
     whole = model.advantages(some.raw, some.start, some.end)
     assert np.allclose(whole, [model.advantage(v.encode()) * len(v) for v in got])
 

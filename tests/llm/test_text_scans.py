@@ -66,7 +66,7 @@ def test_inferred_automata_score_formats():
     rng = np.random.default_rng(0)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)).encode() for _ in range(300)]
     digits = ["".join(rng.choice(list("0123456789"), 16)).encode() for _ in range(300)]
-    model = secrets.SecretModel({"hex": secrets.infer(hexes[:250]), "other": secrets.infer(digits[:250])})
+    model = secrets.SecretModel({"hex": secrets.infer(hexes[:250]), "figure": secrets.infer(digits[:250])})
     assert all(model.advantage(v) > secrets.ADVANTAGE for v in hexes[250:]) and all(model.advantage(v) < 0 for v in digits[250:])
     assert secrets.SecretModel({}).advantage(b"x") == -np.inf
     fixed = secrets.infer([b"ab1", b"ab2", b"ab3"] * 50)
