@@ -160,10 +160,3 @@ def kind_counts(symbols: DataFrame, zeros: bool = True) -> DataFrame:
 
 def symbol_density(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("file").agg(F.count("*").alias("n_symbols"))
-
-
-def import_graph(edges: DataFrame, symbols: DataFrame, module_of: Callable) -> DataFrame:
-    """Different modules joined by an `imports` edge between known symbols."""
-    a = symbols.select(F.col("id").alias("source"), module_of(F.col("file")).alias("src_module"))
-    b = symbols.select(F.col("id").alias("target"), module_of(F.col("file")).alias("dst_module"))
-    return edges.where("edge_type = 'imports'").join(a, "source").join(b, "target").select("src_module", "dst_module").where("src_module <> dst_module").distinct()
