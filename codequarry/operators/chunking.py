@@ -12,12 +12,23 @@ CHUNK_CHARS, BOUNDARY_SHARE = 4000, 0.6
 
 # What begins a structure, tried in this order on a stripped line.
 STRUCTURES = (
-    (r"^class\s+(\w+)", "class"), (r"^(?:public|private|protected|abstract)\s+class\s+(\w+)", "class"), (r"^def\s+(\w+)", "function"), (r"^async\s+def\s+(\w+)", "function"), (r"^function\s+(\w+)", "function"),
+    (r"^class\s+(\w+)", "class"),
+    (r"^(?:public|private|protected|abstract)\s+class\s+(\w+)", "class"),
+    (r"^def\s+(\w+)", "function"),
+    (r"^async\s+def\s+(\w+)", "function"),
+    (r"^function\s+(\w+)", "function"),
     (r"^func\s+(\w+)", "function"),
     (r"^(?:public|private|protected)\s+(?:static\s+)?(?:final\s+)?(?:\w+\s+)+\w+\s*\([^(]*\)", "method"),
-    (r"^(?:fun\s+)?\w+\s*\.\w+\s*\(", "method"), (r"^pub\s+fn\s+(\w+)", "function"), (r"^fn\s+(\w+)", "function"),
-    (r"^interface\s+(\w+)", "interface"), (r"^enum\s+(\w+)", "enum"), (r"^struct\s+(\w+)", "struct"), (r"^(?:struct|class)\s+\w+", "class"),
-)
+    (r"^(?:fun\s+)?\w+\s*\.\w+\s*\(", "method"),
+    (r"^pub\s+fn\s+(\w+)", "function"),
+    (r"^fn\s+(\w+)", "function"),
+    (r"^interface\s+(\w+)", "interface"),
+    (r"^enum\s+(\w+)", "enum"),
+    (r"^struct\s+(\w+)", "struct"),
+    (r"^(?:struct|class)\s+\w+", "class"),
+)
+#: What every line that begins a structure begins with, so that most lines are told by one pattern.
+ANY_STRUCTURE = r"^(?:class|public|private|protected|abstract|def|async|function|func|fun|\w+\s*\.|pub|fn|interface|enum|struct)"
 
 
 def line_ranges(lines: Column, most: int = MAX_LINES, least: int = BREAK_LINES) -> Column:
@@ -47,15 +58,13 @@ def line_chunks(files: DataFrame, most: int = MAX_LINES, least: int = BREAK_LINE
     return out.where(~F.col("content").rlike(BLANK))
 
 
-def structure_of(line: Column) -> tuple[Column, Column]:
-    """Kind of the structure that a line begins (null if none), and its name (the kind where the pattern has no name)."""
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern, what in reversed(STRUCTURES):
-        hit = line.rlike(pattern)
-        kind = F.when(hit, F.lit(what)).otherwise(kind)
-        named = F.regexp_extract(line, pattern, 1) if "(\\w+)" in pattern else F.lit(what)
-        name = F.when(hit, named).otherwise(name)
-    return kind, name
+def structure_of(line: Column) -> Column:
+    """Struct of kind and name of the structure that a line begins, null if none; the name is the kind where the pattern has none."""
+    found = F.lit(None).cast("struct<kind:string,name:string>")
+    for pattern, kind in reversed(STRUCTURES):
+        name = F.regexp_extract(line, pattern, 1) if "(\\w+)" in pattern else F.lit(kind)
+        found = F.when(line.rlike(pattern), F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(found)
+    return F.when(line.rlike(ANY_STRUCTURE), found)
 
 
 def structural_chunks(files: DataFrame, most: int = CHUNK_CHARS, share: float = BOUNDARY_SHARE) -> DataFrame:
@@ -66,20 +75,21 @@ def structural_chunks(files: DataFrame, most: int = CHUNK_CHARS, share: float =
     stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
 
     def describe(x: Column, i: Column) -> Column:
-        kind, name = structure_of(stripped(x))
-        return F.struct(i.alias("i"), (F.length(x) + 1).alias("len"), kind.alias("kind"), name.alias("name"))
+        found = F.get(F.transform(F.array(stripped(x)), structure_of), F.lit(0))
+        return F.struct(i.alias("i"), (F.length(x) + 1).alias("len"), found.alias("found"))
 
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,name:string>>")
     start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"), empty.alias("out"))
 
     def step(s: Column, row: Column) -> Column:
-        cut = (row["i"] > s["start"]) & ((s["len"] >= most) | (row["kind"].isNotNull() & (s["len"] >= most * share)))
+        new = row["found"]
+        cut = (row["i"] > s["start"]) & ((s["len"] >= most) | (new.isNotNull() & (s["len"] >= most * share)))
         closed = F.array(F.struct(s["start"].alias("start"), (row["i"] - 1).alias("end"), s["kind"].alias("kind"), s["name"].alias("name")))
         return F.struct(
             F.when(cut, row["i"]).otherwise(s["start"]).alias("start"),
             (F.when(cut, 0).otherwise(s["len"]) + row["len"]).alias("len"),
-            F.coalesce(row["kind"], F.when(~cut, s["kind"])).alias("kind"),
-            F.coalesce(F.when(~cut, s["name"]), row["name"]).alias("name"),
+            F.coalesce(new["kind"], F.when(~cut, s["kind"])).alias("kind"),
+            F.coalesce(F.when(~cut, s["name"]), new["name"]).alias("name"),
             F.when(cut, F.concat(s["out"], closed)).otherwise(s["out"]).alias("out"),
         )
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.functions.files import glob_regex
-from codequarry.session import durable
+from codequarry.functions.files import chinese_id, glob_regex, has_chinese, title_of
+from codequarry.operators.pages import category_page
+from codequarry.session import durable, numbered
 
 
 def matching_files(files: DataFrame, docs: DataFrame) -> DataFrame:
@@ -60,6 +61,78 @@ def file_tree(files: DataFrame, most: int = 200) -> DataFrame:
     return numbered.union(more)
 
 
-def default_map(modules: DataFrame) -> DataFrame:
-    """A category for each module(module, n_files), in order of size: what stands in for a map where none was generated."""
-    return modules.select(F.lower(F.translate("module", " _", "--")).alias("id"), F.initcap(F.translate("module", "-_", "  ")).alias("title"), F.concat("module", F.lit("/*")).alias("pattern"), "n_files")
+def default_map(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(categories, docs): a category with one document for each module(module, n_files), larger ones first: what stands in for a map where
+    none was generated."""
+    by_size = numbered(modules.select((-F.col("n_files")).alias("k"), "module"), ["k", "module"], "ord")
+    slug = F.lower(F.translate("module", " _", "--"))
+    named = by_size.select(slug.alias("id"), title_of(F.col("module")).alias("title"), F.lit("").alias("parent_id"), F.col("ord").cast("int").alias("ord"), "module")
+    docs = named.select(
+        F.concat("id", F.lit("/overview")).alias("id"), "title", F.col("id").alias("category_id"), F.concat(F.lit("What the module "), "module", F.lit(" does")).alias("purpose"),
+        F.array(F.concat("module", F.lit("/*"))).alias("patterns"), F.array().cast("array<string>").alias("depends_on"), "ord",
+    )
+    return named.select("id", "title", F.lit("").alias("description"), "parent_id", "ord"), docs
+
+
+def doc(docs: DataFrame, doc_id: str) -> DataFrame:
+    return docs.where(F.col("id") == doc_id).limit(1)
+
+
+def category(categories: DataFrame, category_id: str) -> DataFrame:
+    return categories.where(F.col("id") == category_id).limit(1)
+
+
+def docs_in(docs: DataFrame, category_id: str) -> DataFrame:
+    return docs.where(F.col("category_id") == category_id)
+
+
+def child_categories(categories: DataFrame, category_id: str) -> DataFrame:
+    return categories.where(F.col("parent_id") == category_id)
+
+
+def in_chinese(categories: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ids and titles in Chinese where their words are known, unless the first id of either is Chinese already."""
+    first = lambda df: df.agg(F.min_by("id", "ord").alias("id")).where(has_chinese(F.col("id")))
+    if not first(categories).isEmpty() or not first(docs).isEmpty():
+        return categories, docs
+    put = lambda df, *names: df.withColumns({c: chinese_id(F.col(c)) for c in names})
+    return put(categories, "id", "title", "parent_id"), put(docs, "id", "title", "category_id")
+
+
+def category_branches(categories: DataFrame, docs: DataFrame, generated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, entries) of the tree of categories(id, title, description, parent_id, ord) with docs(id, title, category_id, purpose, ord), of
+    which generated(doc_id, content) are written.
+
+    pages: id, title, content, parent_id, ord: an index for a category with three documents, and the documents. entries, the sidebar: sort_path,
+    depth, title, page_id: a category's documents, then its categories. A category without a written document below it is left out,
+    but for a root that has documents. The tree is walked a level a turn."""
+    step = F.struct(F.lit(1).alias("kind"), F.col("ord").alias("ord"), F.col("id").alias("id"))
+    known = categories.select("id", "title", "description", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "ord")
+    level = durable(known.where("parent_id = ''").withColumn("path", F.array(step)))
+    tree = level
+    while not level.isEmpty():
+        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
+        level = durable(known.join(above, "parent_id").withColumn("path", F.concat("above", F.array(step))).select(*tree.columns))
+        tree = tree.union(level)
+    written = docs.join(generated.groupBy("doc_id").agg(F.min("content").alias("content")).withColumnRenamed("doc_id", "id"), "id", "left")
+    placed = written.join(tree.select(F.col("id").alias("category_id"), "path"), "category_id")
+    alive = placed.where("content is not null").select(F.explode(F.transform("path", lambda p: p["id"])).alias("id")).distinct()
+    shown = placed.select(F.col("category_id").alias("id")).distinct().join(tree.where("parent_id = ''").select("id"), "id").union(alive).distinct()
+    row = F.struct("ord", "id", "title", "purpose", F.col("content").isNotNull().alias("done"))
+    lists = placed.groupBy("category_id").agg(F.sort_array(F.collect_list(row)).alias("docs")).where(F.size("docs") >= 3)
+    index = tree.join(lists.withColumnRenamed("category_id", "id"), "id")
+    parent = F.when(F.col("parent_id") == "", F.col("id")).otherwise(F.col("parent_id"))
+    index_pages = index.select(
+        F.concat(F.lit("category/"), "id").alias("id"), "title", category_page(F.struct("title", "description"), F.col("docs")).alias("content"),
+        F.concat(F.lit("category/"), parent).alias("parent_id"), F.col("ord"),
+    )
+    done = placed.where("content is not null")
+    doc_pages = done.select(F.concat(F.lit("docs/"), "id").alias("id"), "title", "content", F.concat(F.lit("category/"), "category_id").alias("parent_id"), "ord")
+    has_index = index.select("id", F.lit(True).alias("has"))
+    heads = tree.join(shown, "id", "left_semi").join(has_index, "id", "left")
+    page_id = F.when(F.col("has"), F.concat(F.lit("category/"), "id")).otherwise("")
+    own = F.struct(F.lit(0).alias("kind"), F.col("ord").alias("ord"), F.col("id").alias("id"))
+    entries = heads.select(F.col("path").alias("sort_path"), (F.size("path") - 1).alias("depth"), "title", page_id.alias("page_id")).union(
+        done.select(F.concat("path", F.array(own)), F.size("path"), "title", F.concat(F.lit("docs/"), "id"))
+    )
+    return index_pages.union(doc_pages), entries

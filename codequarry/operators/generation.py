@@ -8,10 +8,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.functions.files import truncated
+from codequarry.functions.files import is_noise, truncated
+from codequarry.operators import prompts
+from codequarry.session import durable
 
 #: Takes a prompt, returns the answer; raises to be tried again.
 Client = Callable[[str], str]
@@ -119,12 +121,49 @@ def project_type(files: DataFrame) -> DataFrame:
 
 
 def module_prompts(files: DataFrame, module_of: Callable[[Column], Column], most_files: int = 20, most_chars: int = 2048) -> DataFrame:
-    """id (the module), prompt, memo: a prompt for each module of files(path, content) over its first files by path, and the key under which
-    an answer is kept, which changes with any of the module's contents."""
-    rows = files.select(module_of(F.col("path")).alias("id"), "path", truncated(F.col("content"), most_chars).alias("shown"), F.md5("content").alias("h"))
-    grouped = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("path", "shown"))), 1, most_files).alias("parts"), F.sort_array(F.collect_list(F.concat_ws(":", "path", "h"))).alias("hashes"))
+    """id (the module), prompt, memo, n_files: a prompt for each module of files(path, content) over its first files by path, and the key under
+    which an answer is kept, which changes with any of the module's contents. Only the files that are shown are gathered; the others
+    enter by a sum of hashes."""
+    own = files.select(module_of(F.col("path")).alias("id"), "path", truncated(F.col("content"), most_chars).alias("shown"), F.xxhash64("path", F.md5("content")).alias("h"))
+    keys = own.groupBy("id").agg(F.bit_xor("h").alias("h"), F.count("*").alias("n_files"))
+    first = own.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("path"))).where(F.col("at") <= most_files)
+    parts = first.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("path", "shown"))).alias("parts"))
     body = F.array_join(F.transform("parts", lambda x: F.concat(F.lit("--- "), x["path"], F.lit("\n"), x["shown"])), "\n\n")
-    return grouped.select("id", F.concat(F.lit("Describe the module "), "id", F.lit(" of this project.\nName its purpose, its main parts and how they work together.\n\n"), body).alias("prompt"), F.substring(F.sha2(F.concat_ws("\n", "id", F.array_join("hashes", "\n")), 256), 1, 24).alias("memo"))
+    memo = F.substring(F.sha2(F.concat_ws("\n", "id", F.col("h").cast("string"), F.col("n_files").cast("string")), 256), 1, 24)
+    return parts.join(keys, "id").select("id", prompts.module(F.col("id"), body).alias("prompt"), memo.alias("memo"), "n_files")
+
+
+def wanted_files(answers: DataFrame, known: DataFrame, given: DataFrame, most: int = 10) -> DataFrame:
+    """id, path: the first `most` files of known(path) that each of answers(id, answer) asks for and that given(id, path) has not got."""
+    asked = answers.select("id", F.posexplode(requested_files(F.col("answer"))).alias("at", "path"))
+    new = asked.join(known.select("path").distinct(), "path", "left_semi").join(given.select("id", "path"), ["id", "path"], "left_anti")
+    ranked = new.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("at")))
+    return ranked.where(F.col("n") <= most).select("id", "path")
+
+
+def explore(prompts_: DataFrame, files: DataFrame, client: Client, turns: int = 5, concurrency: int = 5) -> DataFrame:
+    """id, answer, turns for prompts(id, prompt): each is asked; an answer that wants files of files(path, content) gets them and is asked
+    again, up to `turns` times; the first answer that wants none, or the last, counts. A turn is one call for all that are still open."""
+    open_, given, done = prompts_.select("id", "prompt"), None, None
+    for turn in range(1, turns + 1):
+        said = durable(complete(open_, client, concurrency=concurrency).join(open_, "id"))
+        have = given if given is not None else said.select("id", F.lit("").alias("path"))
+        wants = durable(wanted_files(said.where("status = 'success'"), files, have))
+        last = said if turn == turns else said.join(wants.select("id").distinct(), "id", "left_anti")
+        result = last.select("id", "answer", "status", F.lit(turn).alias("turns"))
+        done = result if done is None else done.union(result)
+        if turn == turns or wants.isEmpty():
+            break
+        shown = F.concat(F.lit("### "), "path", F.lit("\n"), truncated(F.col("content"), 4096))
+        more = wants.join(files.select("path", "content"), "path").groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(shown)), "\n\n").alias("more"))
+        open_ = durable(said.join(more, "id").select("id", F.concat_ws("\n\n", "prompt", "answer", "more").alias("prompt")))
+        given = wants if given is None else given.union(wants)
+    return done
+
+
+def chosen_files(files: DataFrame, most: int = 20) -> DataFrame:
+    """The files of a module that are worth reading first: none that hold only data, the largest first."""
+    return files.where(~is_noise(F.col("path"))).orderBy(F.col("size").desc(), "path").limit(most)
 
 
 def uncached(prompts: DataFrame, cache: DataFrame) -> DataFrame:

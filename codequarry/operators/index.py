@@ -22,6 +22,27 @@ def users_of(imports: DataFrame, module: str) -> DataFrame:
     return imports.where(F.col("is_external") & (F.col("target_module") == module)).select("source_file").distinct()
 
 
+def importer_counts(imports: DataFrame) -> DataFrame:
+    """target_file, n_imports, n_files: how many import rows and files point at each file."""
+    inside = imports.where(~F.col("is_external") & F.col("target_file").isNotNull())
+    return inside.groupBy("target_file").agg(F.count("*").alias("n_imports"), F.count_distinct("source_file").alias("n_files"))
+
+
+def external_index(imports: DataFrame) -> DataFrame:
+    """target_module, files: the files that use each external module, as an array; meant for looking modules up, users_of() does for one."""
+    return imports.where("is_external").groupBy("target_module").agg(F.sort_array(F.collect_set("source_file")).alias("files"))
+
+
+def files_by_module(files: DataFrame) -> DataFrame:
+    """module, files by path."""
+    return files.groupBy(top_folder(F.col("path")).alias("module")).agg(F.sort_array(F.collect_list("path")).alias("files"))
+
+
+def files_by_language(files: DataFrame) -> DataFrame:
+    """language, files by path."""
+    return files.groupBy("language").agg(F.sort_array(F.collect_list("path")).alias("files"))
+
+
 def external_modules(imports: DataFrame) -> DataFrame:
     return imports.where("is_external").select("target_module").distinct()
 

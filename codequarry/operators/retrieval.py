@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.session import durable
+
 TOP_K = 5
+#: A token that stands in more than one of so many chunks is common.
+COMMON = 50
 
 
 def tokens(text: Column) -> Column:
@@ -17,9 +21,11 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokens(F.col("content"))).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
 
 
-def inverse_frequencies(tf: DataFrame, n_chunks: Column) -> DataFrame:
-    """token, idf: ln(N / (df + 1)), which is not above 0 for tokens that nearly all chunks have."""
-    return tf.groupBy("token").agg(F.count("*").alias("df")).select("token", F.log(n_chunks / (F.col("df") + 1)).alias("idf"))
+def inverse_frequencies(tf: DataFrame, n_chunks: DataFrame) -> DataFrame:
+    """token, idf, common: ln(N / (df + 1)), which is not above 0 for tokens that nearly all chunks have, and whether a token stands in more
+    than one of COMMON chunks. n_chunks(n) is one row."""
+    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_chunks))
+    return df.select("token", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"), (F.col("df") * COMMON > F.col("n")).alias("common"))
 
 
 def norms(weights: DataFrame) -> DataFrame:
@@ -27,25 +33,29 @@ def norms(weights: DataFrame) -> DataFrame:
 
 
 def weighted(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """chunk_id, token, w = tf * idf; tokens that the corpus lacks or whose idf is 0 have no weight."""
-    return tf.join(idf.where("idf <> 0"), "token").select("chunk_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    """tf's rows with w = tf * idf; tokens that the corpus lacks or whose idf is 0 have no weight. Common tokens are few, as a chunk has
+    room for COMMON times its own number of them on average, and are broadcast, so that none of them is one task's key."""
+    known = idf.where("idf <> 0")
+    common, rare = F.broadcast(known.where("common").select("token", "idf")), known.where("not common").select("token", "idf")
+    both = tf.join(common, "token").unionByName(tf.join(common.select("token"), "token", "left_anti").join(rare, "token"))
+    return both.withColumn("w", F.col("tf") * F.col("idf")).drop("tf", "idf")
 
 
 def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, rank, chunk_id, score for queries(query_id, content): the k best with a positive score, ties to the larger chunk_id.
 
-    The weights of all chunks are joined with the queries' tokens only; the document frequencies are those of
-    all chunks. Query tokens are a small side and are left to the planner's size check. Norms need all tokens of a chunk, and are
-    a partial aggregate by chunk, beside the dot products."""
-    tf = term_frequencies(chunks)
-    n = chunks.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"))
-    w = weighted(tf, idf)
-    length = norms(w)
-    asked = weighted(queries.select(F.col("query_id").alias("chunk_id"), "content").transform(term_frequencies), idf).withColumnRenamed("chunk_id", "query_id")
+    Texts are cut into words once. Dot products take only the tokens that queries have, which are picked before they are
+    weighed; norms take all tokens of a chunk, in a partial aggregate. Ranking keeps k rows a query in every task before rows meet."""
+    tf = durable(term_frequencies(chunks))
+    idf = durable(inverse_frequencies(tf, chunks.agg(F.count("*").alias("n"))))
+    length = norms(weighted(tf, idf))
+    asked = weighted(term_frequencies(queries.select(F.col("query_id").alias("chunk_id"), "content")), idf).withColumnRenamed("chunk_id", "query_id")
+    asked = durable(asked)
     asked_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("query_norm"))
-    dots = w.join(asked.select("query_id", "token", F.col("w").alias("qw")), "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(length, "chunk_id").join(asked_norm, "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("query_norm")), 6).alias("score"))
+    picked = weighted(tf.join(asked.select("token").distinct(), "token", "left_semi"), idf)
+    dots = picked.join(asked.select("query_id", "token", F.col("w").alias("qw")), "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    score = F.round(F.col("dot") / (F.col("norm") * F.col("query_norm")), 6).alias("score")
+    scored = dots.join(length, "chunk_id").join(asked_norm, "query_id").select("query_id", "chunk_id", score)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").desc())
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 

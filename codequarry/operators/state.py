@@ -20,6 +20,37 @@ def alive(snapshot: DataFrame, now: Column, ttl: int = TTL_SECONDS, time: str =
     return fresh.where("op <> 'delete'") if "op" in snapshot.columns else fresh
 
 
+def entries(rows: DataFrame, now: Column, op: str = "put") -> DataFrame:
+    """Log rows key, created_at, op, value that put rows(key, value) at a time, or with op = delete take them out."""
+    value = F.lit(None).cast("string") if op == "delete" else F.col("value")
+    return rows.select("key", now.alias("created_at"), F.lit(op).alias("op"), value.alias("value"))
+
+
+def cached(log: DataFrame, keys: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
+    """key, value for those of keys(key) that a log(key, created_at, op, value) holds and that are not too old; values that are no JSON
+    count as missing. Only asked keys are aggregated."""
+    own = log.join(keys.select("key").distinct(), "key", "left_semi")
+    kept = alive(latest(own), now, ttl)
+    return kept.where(F.try_parse_json("value").isNotNull()).select("key", "value")
+
+
+def pending(docs: DataFrame, records: DataFrame, mode: str = "full") -> DataFrame:
+    """Documents that a run generates: in mode `full` all, in `resume` those without a success in records(doc_id, status)."""
+    return docs if mode == "full" else docs.join(records.where("status = 'success'").select("doc_id"), "doc_id", "left_anti")
+
+
+def outcome(generated: DataFrame) -> DataFrame:
+    """successful, failed: how many of generated(content) are documents; those with a warning in place of a text are not."""
+    ok = ~F.contains(F.coalesce("content", F.lit("Warning")), F.lit("Warning"))
+    return generated.agg(F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"))
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """Totals of a log of calls(prompt_tokens, completion_tokens, cost)."""
+    total = lambda c, t: F.coalesce(F.sum(c), F.lit(0)).cast(t).alias(c)
+    return calls.agg(F.count("*").alias("calls"), total("prompt_tokens", "long"), total("completion_tokens", "long"), total("cost", "double"))
+
+
 def statuses(docs: DataFrame, records: DataFrame) -> DataFrame:
     """doc_id, status of docs(doc_id) by records(doc_id, status); without a record it is pending."""
     return docs.select("doc_id").join(records.groupBy("doc_id").agg(F.max("status").alias("status")), "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("pending")).alias("status"))
