@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import files as f
-from codequarry.operators import chunking, docmap, graph, imports, index, metadata, patterns, render, retrieval, state, symbols
+from codequarry.operators import chunking, docmap, generation, graph, imports, index, metadata, patterns, render, retrieval, state, symbol_graph, symbols
+from codequarry.operators import pages as wiki_pages
 from codequarry.plans import corpus
 from codequarry.session import durable, table
 from codequarry.sources import files as sources
@@ -59,7 +60,7 @@ def _paths(spark: SparkSession) -> DataFrame:
 
 
 PATHS_SQL = corpus.values([(p,) for p in corpus.PATHS], "path")
-LANG_CASES = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts.split())}) THEN '{lang}'" for lang, exts in f.LANGUAGES.items()) + " ELSE 'unknown' END"
+LANG_CASES = "CASE " + " ".join(f"WHEN ext = '{ext}' THEN '{lang}'" for ext, lang in f.LANGUAGES.items()) + " ELSE 'unknown' END"
 IN = lambda xs: "(" + ", ".join(corpus.quoted(x) for x in xs) + ")"
 
 # ---- files ---------------------------------------------------------------------------------------
@@ -114,12 +115,15 @@ def size_filter(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "minified_filter",
-    f"""WITH m AS (SELECT doc_id, translate(text, chr(10), ' ') AS one, text FROM documents), l AS (SELECT doc_id, one, len(one) AS longest FROM m)
-SELECT doc_id, longest >= 1000 AS looks_minified FROM l""",
+    """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.js' WHEN doc_id % 3 = 1 THEN 'b.CSS' ELSE 'c.py' END AS path, CASE WHEN doc_id % 2 = 0 THEN translate(text, chr(10), ' ') || chr(10) || 'x' ELSE text END AS text FROM documents),
+l AS (SELECT *, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9)) <> '')) AS filled FROM m)
+SELECT doc_id, path, path <> 'c.py' AND longest >= 1000 AND (filled <= 5 OR longest > length(text) * 0.5) AS looks_minified FROM l""",
 )
 def minified_filter(spark, d):  # noqa: ANN001, ANN201
-    one = F.translate("text", "\n", " ")
-    return table(spark, d, "documents").select("doc_id", f.looks_minified(F.lit("a.js"), one).alias("looks_minified"))
+    i = F.col("doc_id")
+    path = F.when(i % 3 == 0, "a.js").when(i % 3 == 1, "b.CSS").otherwise("c.py")
+    text = F.when(i % 2 == 0, F.concat(F.translate("text", "\n", " "), F.lit("\nx"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", path.alias("path"), f.looks_minified(path, text).alias("looks_minified"))
 
 
 @query(
@@ -194,8 +198,8 @@ def rag_tf(spark, d):  # noqa: ANN001, ANN201
 @query("rag_norms", f"WITH {CHUNKS_SQL} SELECT chunk_id, round(sqrt(sum(tf * idf * tf * idf)), 4) AS norm FROM tf JOIN idf USING (token) WHERE idf <> 0 GROUP BY chunk_id")
 def rag_norms(spark, d):  # noqa: ANN001, ANN201
     chunks = _chunks(spark, d)
-    tf = retrieval.term_frequencies(chunks)
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("n")))).select("token", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"))
+    tf = durable(retrieval.term_frequencies(chunks))
+    idf = durable(retrieval.inverse_frequencies(tf, chunks.agg(F.count("*").alias("n"))))
     return retrieval.norms(retrieval.weighted(tf, idf)).select("chunk_id", F.round("norm", 4).alias("norm"))
 
 
@@ -221,21 +225,42 @@ def chat_context(spark, d):  # noqa: ANN001, ANN201
     return retrieval.chat_context(turns).select("query_id", "context", F.size("refs").alias("n_refs"))
 
 
-@query("structural_chunks", None)
+CODE_SQL = "code AS (SELECT * FROM " + corpus.values(corpus.FILES, "path, language, content") + ")"
+STRUCTURE_KIND = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{k}'" for p, k in chunking.STRUCTURES) + " END"
+STRUCTURE_NAME = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN " + (f"regexp_extract(x, '{p}', 1)" if r"(\w+)" in p else f"'{k}'") for p, k in chunking.STRUCTURES) + " END"
+
+
+@query(
+    "structural_chunks",
+    f"""WITH RECURSIVE {FILES_SQL}, {CODE_SQL}, every AS (SELECT path, content FROM code UNION ALL SELECT path, content FROM files), s AS (SELECT path, string_split(content, chr(10)) AS l FROM every),
+t AS (SELECT path, i::INTEGER AS i, length(l[i + 1]) + 1 AS n, regexp_replace(l[i + 1], '^\\s+|\\s+$', '', 'g') AS x, len(l) AS lines FROM s, unnest(range(0, len(l))) AS u(i)), k AS (SELECT *, {STRUCTURE_KIND} AS kind, {STRUCTURE_NAME} AS name FROM t),
+f AS (SELECT path, -1 AS i, 0 AS start, 0::BIGINT AS size, NULL::VARCHAR AS kind, NULL::VARCHAR AS name, false AS cut, 0 AS c_start, NULL::VARCHAR AS c_kind, NULL::VARCHAR AS c_name, 0::BIGINT AS lines FROM s UNION ALL
+  SELECT k.path, k.i, CASE WHEN c.cut THEN k.i ELSE f.start END, CASE WHEN c.cut THEN 0 ELSE f.size END + k.n, coalesce(k.kind, CASE WHEN NOT c.cut THEN f.kind END), coalesce(CASE WHEN NOT c.cut THEN f.name END, k.name), c.cut, f.start, f.kind, f.name, k.lines
+  FROM f JOIN k ON k.path = f.path AND k.i = f.i + 1, LATERAL (SELECT k.i > f.start AND (f.size >= 4000 OR (k.kind IS NOT NULL AND f.size >= 2400)) AS cut) c),
+chunks AS (SELECT path, c_start AS a, i - 1 AS b, c_kind AS kind, c_name AS name, false AS last FROM f WHERE cut UNION ALL SELECT path, start, i, kind, name, true FROM f WHERE i >= 0 AND i = lines - 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY a) - 1 AS no FROM chunks)
+SELECT path, 'chunk-' || no AS chunk_id, (a + 1)::INTEGER AS start_line, (b + 1)::INTEGER AS end_line, coalesce(kind, CASE WHEN last THEN 'tail' ELSE 'block' END) AS chunk_type, coalesce(name, CASE WHEN last THEN 'tail' ELSE 'block-' || no END) AS chunk_name FROM n""",
+)
 def structural_chunks(spark, d):  # noqa: ANN001, ANN201
     every = corpus.code_files(spark).select("path", "content").union(_files(spark, d).select("path", "content"))
     return chunking.structural_chunks(every).select("path", "chunk_id", "start_line", "end_line", "chunk_type", "chunk_name")
 
 
-@query("line_chunks_code", None)
+@query(
+    "line_chunks_code",
+    f"""WITH RECURSIVE {CODE_SQL}, s AS (SELECT path, CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END AS l FROM (SELECT path, string_split(content, chr(10)) AS l FROM code)),
+k AS (SELECT path, i::INTEGER AS i, trim(l[i + 1]) = '' AS blank, len(l) AS lines FROM s, unnest(range(0, len(l))) AS u(i)),
+f AS (SELECT path, -1 AS i, 0 AS start, false AS closed, 0 AS c_start FROM s UNION ALL
+  SELECT k.path, k.i, CASE WHEN c.closed THEN k.i + 1 ELSE f.start END, c.closed, f.start FROM f JOIN k ON k.path = f.path AND k.i = f.i + 1,
+  LATERAL (SELECT k.i - f.start + 1 >= 30 OR (k.blank AND k.i - f.start + 1 >= 5) OR k.i = k.lines - 1 AS closed) c), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS no FROM f WHERE closed)
+SELECT n.path, no::INTEGER AS chunk_no, c_start + 1 AS start_line, n.i + 1 AS end_line FROM n JOIN s ON s.path = n.path WHERE trim(array_to_string(l[c_start + 1:n.i + 1], ''), ' ' || chr(10)) <> ''""",
+)
 def line_chunks_code(spark, d):  # noqa: ANN001, ANN201
     return chunking.line_chunks(corpus.code_files(spark)).select("path", "chunk_no", "start_line", "end_line")
 
 
 # ---- imports and their index ---------------------------------------------------------------------
 
-CODE_SQL = "code AS (SELECT * FROM " + corpus.values(corpus.FILES, "path, language, content") + ")"
-
 
 @query(
     "parse_imports_rust",
@@ -261,12 +286,12 @@ def resolve_imports(spark, d):  # noqa: ANN001, ANN201
 
 @query("importers", f"WITH {LINKS_SQL} SELECT target_file, count(*) AS n_imports, count(DISTINCT source_file) AS n_files FROM links WHERE NOT is_external GROUP BY target_file")
 def importers(spark, d):  # noqa: ANN001, ANN201
-    return _links(spark, d).where("not is_external").groupBy("target_file").agg(F.count("*").alias("n_imports"), F.count_distinct("source_file").alias("n_files"))
+    return index.importer_counts(_links(spark, d))
 
 
 @query("external_index", f"WITH {LINKS_SQL} SELECT target_module, count(DISTINCT source_file) AS n_files FROM links WHERE is_external GROUP BY target_module")
 def external_index(spark, d):  # noqa: ANN001, ANN201
-    return _links(spark, d).where("is_external").groupBy("target_module").agg(F.count_distinct("source_file").alias("n_files"))
+    return index.external_index(_links(spark, d)).select("target_module", F.size("files").cast("long").alias("n_files"))
 
 
 @query(
@@ -442,7 +467,7 @@ def symbol_kinds(spark, d):  # noqa: ANN001, ANN201
     return symbols.kind_counts(symbols.parse_symbols(corpus.code_files(spark)))
 
 
-ARCH_VALUES = corpus.values([(n.upper(), w, k.split()) for n, (k, w, _) in patterns.ARCHITECTURE.items()], "pattern, weight, keywords")
+ARCH_VALUES = corpus.values([(n.upper(), w, k) for n, (k, w, _) in patterns.ARCHITECTURE.items()], "pattern, weight, keywords")
 
 
 @query(
@@ -458,7 +483,7 @@ def arch_patterns(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "design_patterns",
-    "WITH k AS (SELECT * FROM " + corpus.values([(k, n, x.split()) for k, (n, x, _) in patterns.DESIGN.items()], "pattern_key, pattern, features") + "), s AS (SELECT lower(event_type) || CASE WHEN event_id % 2 = 0 THEN 'Event' ELSE 'listener' END AS name FROM events), h AS (SELECT pattern_key, pattern FROM k, s WHERE len(list_filter(features, lambda x: contains(lower(s.name), x))) > 0)\nSELECT pattern_key, pattern, count(*) AS n_matches, least(count(*) / 4, 1.0)::DOUBLE AS confidence FROM h GROUP BY ALL HAVING count(*) >= 2",
+    "WITH k AS (SELECT * FROM " + corpus.values([(k, n, x) for k, (n, x) in patterns.DESIGN.items()], "pattern_key, pattern, features") + "), s AS (SELECT lower(event_type) || CASE WHEN event_id % 2 = 0 THEN 'Event' ELSE 'listener' END AS name FROM events), h AS (SELECT pattern_key, pattern FROM k, s WHERE len(list_filter(features, lambda x: contains(lower(s.name), x))) > 0)\nSELECT pattern_key, pattern, count(*) AS n_matches, least(count(*) / 4, 1.0)::DOUBLE AS confidence FROM h GROUP BY ALL HAVING count(*) >= 2",
 )
 def design_patterns(spark, d):  # noqa: ANN001, ANN201
     tail = F.when(F.col("event_id") % 2 == 0, "Event").otherwise("listener")
@@ -474,12 +499,15 @@ def _glob_rows(spark, d):  # noqa: ANN001, ANN202
 
 @query(
     "relevant_files_glob",
-    f"""WITH {FILES_SQL} SELECT 'en' AS doc_id, path FROM files WHERE regexp_full_match(path, '.*/en/.*') UNION SELECT 'ones', path FROM files WHERE regexp_full_match(path, 'src./.*/doc_.*1\\.txt') OR regexp_full_match(path, '.*/en/.*')
-UNION SELECT 'low', path FROM files WHERE regexp_full_match(path, 'src[0-4]/[^e].*/.*9\\.txt')""",
+    f"""WITH {FILES_SQL}, own AS (SELECT 'en' AS doc_id, path FROM files WHERE regexp_full_match(path, '.*/en/.*') UNION SELECT 'ones', path FROM files WHERE regexp_full_match(path, 'src./.*/doc_.*1\\.txt')
+UNION SELECT 'low', path FROM files WHERE regexp_full_match(path, 'src[0-4]/[^e].*/.*9\\.txt')), e AS (SELECT a.path AS src, b.path AS dst FROM files a JOIN files b ON length(a.content) = length(b.content) AND a.path < b.path),
+both_ways AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT * FROM own UNION SELECT doc_id, dst FROM own JOIN both_ways ON src = path UNION SELECT 'ones', path FROM own WHERE doc_id = 'en'""",
 )
 def relevant_files_glob(spark, d):  # noqa: ANN001, ANN201
-    none = spark.createDataFrame([], "src string, dst string")
-    return docmap.relevant_files(_files(spark, d), _glob_rows(spark, d), none)
+    files = _files(spark, d)
+    a, b = (files.select(F.col("path").alias(n), F.length("content").alias("size")) for n in ("src", "dst"))
+    same = a.join(b, "size").where("src < dst").select("src", "dst")
+    return docmap.relevant_files(files, _glob_rows(spark, d), same)
 
 
 @query("category_tree", f"WITH RECURSIVE c AS (SELECT * FROM {corpus.values(corpus.CATEGORIES, 'id, parent_id, title')}), t AS (SELECT id, 0 AS depth, title AS path FROM c WHERE coalesce(parent_id, '') = '' UNION ALL SELECT c.id, t.depth + 1, t.path || '/' || c.title FROM t JOIN c ON c.parent_id = t.id) SELECT id, depth::INTEGER AS depth, path FROM t")
@@ -531,6 +559,216 @@ def json_props(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count("*").alias("n"))
 
 
+# ---- the symbol graph ----------------------------------------------------------------------------
+
+CALL_ROWS = [(a, b, "calls", n) for n, (a, b) in enumerate(corpus.CALLS, 1)] + [("a", "e", "imports", 20), ("f", "b", "uses", 21)]
+NODE_ROWS = [(x, x.upper(), k, p, n) for n, (x, k, p) in enumerate((("a", "function", "src/one/a.py"), ("b", "class", "src/one/a.py"), ("c", "method", "src/two/c.py"), ("d", "function", "src/two/c.py"), ("e", "variable", "e.py"), ("g", "function", "src/one/a.py")), 1)]
+GRAPH_SQL = "edges AS (SELECT * FROM " + corpus.values(CALL_ROWS, "source, target, edge_type, line") + "), nodes AS (SELECT * FROM " + corpus.values(NODE_ROWS, "id, name, kind, file, line") + ")"
+RANK_SQL = """links AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'calls' AND source <> target), v AS (SELECT id FROM nodes UNION SELECT source FROM links UNION SELECT target FROM links), deg AS (SELECT source, count(*) AS n FROM links GROUP BY source),
+pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v UNION ALL
+  SELECT p.turn + 1, v.id, 0.85 * (sum(CASE WHEN e.target IS NOT NULL THEN p.score / deg.n ELSE 0 END) + sum(CASE WHEN deg.n IS NULL THEN p.score ELSE 0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
+  FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.source = p.id LEFT JOIN links e ON e.source = p.id AND e.target = v.id WHERE p.turn < 24 GROUP BY p.turn, v.id)"""
+
+
+def _graph(spark):  # noqa: ANN001, ANN202
+    edges = spark.createDataFrame(CALL_ROWS, "source string, target string, edge_type string, line int").withColumn("raw", F.lit(""))
+    nodes = spark.createDataFrame(NODE_ROWS, "id string, name string, kind string, file string, line int")
+    return nodes.select("*", F.col("line").alias("end_line"), F.lit("").alias("signature"), F.lit("").alias("doc")), edges
+
+
+@query("core_symbols", f"WITH RECURSIVE {GRAPH_SQL}, {RANK_SQL}, r AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM pr WHERE turn = 24) SELECT id, rank::INTEGER AS rank, round(score, 6) AS score, name, kind FROM r JOIN nodes USING (id) WHERE rank <= 5")
+def core_symbols(spark, d):  # noqa: ANN001, ANN201
+    nodes, edges = _graph(spark)
+    return symbol_graph.core_symbols(nodes, edges, 5, most=24, tolerance=0).select("id", "rank", F.round("score", 6).alias("score"), "name", "kind")
+
+
+@query("symbol_ranks", f"WITH RECURSIVE {GRAPH_SQL}, {RANK_SQL} SELECT id, round(score, 6) AS score FROM pr WHERE turn = 24")
+def symbol_ranks(spark, d):  # noqa: ANN001, ANN201
+    return symbol_graph.rank_symbols(*_graph(spark), most=24, tolerance=0).select("id", F.round("score", 6).alias("score"))
+
+
+@query("symbol_diagram", "SELECT * FROM " + corpus.values([("graph TD\n  subgraph a\n    a[𝑓 A]\n    b[𝐶 B]\n    g[𝑓 G]\n  end\n  subgraph c\n    c[𝑚 C]\n    d[𝑓 D]\n  end\n  subgraph e\n    e[𝑣 E]\n  end\n\n  a -->|calls| b\n  a -->|calls| d\n  a -->|imports| e\n  b -->|calls| c\n  b -->|calls| d\n  c -->|calls| a\n  c -->|calls| d\n  d -->|calls| d\n  d -->|calls| e\n  e -->|calls| c\n  f -->|calls| a\n  f -->|uses| b",)], "diagram"))
+def symbol_diagram(spark, d):  # noqa: ANN001, ANN201
+    return symbol_graph.symbol_diagram(*_graph(spark))
+
+
+@query("related_symbols", f"WITH RECURSIVE {GRAPH_SQL}, b AS (SELECT source AS x, target AS y FROM edges WHERE edge_type = 'calls' UNION SELECT target, source FROM edges WHERE edge_type = 'calls'), r AS (SELECT 'f' AS id, 0 AS depth UNION SELECT b.y, r.depth + 1 FROM r JOIN b ON b.x = r.id WHERE r.depth < 2) SELECT 'f' AS start, id, min(depth)::INTEGER AS depth FROM r WHERE id <> 'f' GROUP BY id")
+def related_symbols(spark, d):  # noqa: ANN001, ANN201
+    return symbol_graph.related_symbols(_graph(spark)[1], spark.createDataFrame([("f",)], "id string"))
+
+
+@query("symbol_callers", "SELECT 's' || l_suppkey AS id, 'c' || o_custkey AS caller, count(*) AS calls FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey <= 5 GROUP BY ALL")
+def symbol_callers(spark, d):  # noqa: ANN001, ANN201
+    ids = table(spark, d, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    return symbol_graph.callers(_purchases(spark, d), ids).groupBy("id", "caller").agg(F.count("*").alias("calls"))
+
+
+@query("symbol_callees", "SELECT 'c' || o_custkey AS id, 's' || l_suppkey AS callee, count(*) AS calls FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey <= 20 GROUP BY ALL")
+def symbol_callees(spark, d):  # noqa: ANN001, ANN201
+    ids = table(spark, d, "customer").where("c_custkey <= 20").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    return symbol_graph.callees(_purchases(spark, d), ids).groupBy("id", "callee").agg(F.count("*").alias("calls"))
+
+
+def _purchases(spark, d):  # noqa: ANN001, ANN202
+    lots = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lots.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), F.lit("calls").alias("edge_type"))
+
+
+@query("symbol_graph_changes", f"WITH {GRAPH_SQL} SELECT id, name, kind, file FROM nodes WHERE id NOT IN ('a', 'g') UNION ALL SELECT 'a', 'NEW', 'class', 'x/y.py' UNION ALL SELECT 'z', 'Z', 'function', 'x/y.py'")
+def symbol_graph_changes(spark, d):  # noqa: ANN001, ANN201
+    nodes, _ = _graph(spark)
+    new = spark.createDataFrame([("a", "NEW", "class", "x/y.py"), ("z", "Z", "function", "x/y.py")], "id string, name string, kind string, file string")
+    new = new.select("*", *(F.lit(1).alias(c) for c in ("line", "end_line")), *(F.lit("").alias(c) for c in ("signature", "doc")))
+    gone = spark.createDataFrame([("g",), ("none",)], "id string")
+    return symbol_graph.without_symbols(symbol_graph.with_symbols(nodes, new), gone).select("id", "name", "kind", "file")
+
+
+@query("symbol_import_graph", "SELECT 'one' AS src_module, 'root' AS dst_module")
+def symbol_import_graph(spark, d):  # noqa: ANN001, ANN201
+    return symbol_graph.import_graph(*_graph(spark))
+
+
+@query("symbol_json_round_trip", f"WITH {GRAPH_SQL} SELECT 'symbol' AS what, id AS a, name AS b, kind AS c, line::INTEGER AS line FROM nodes UNION ALL SELECT 'edge', source, target, edge_type, line::INTEGER FROM edges")
+def symbol_json_round_trip(spark, d):  # noqa: ANN001, ANN201
+    nodes, edges = symbol_graph.from_json(symbol_graph.to_json(*_graph(spark)))
+    return nodes.select(F.lit("symbol").alias("what"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("kind").alias("c"), "line").union(edges.select(F.lit("edge"), "source", "target", "edge_type", "line"))
+
+
+@query("symbol_summary", f"WITH {GRAPH_SQL} SELECT 'symbols' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'files', count(DISTINCT file) FROM nodes UNION ALL SELECT kind, count(*) FROM nodes GROUP BY kind")
+def symbol_summary(spark, d):  # noqa: ANN001, ANN201
+    return symbol_graph.summary(*_graph(spark))
+
+
+@query("symbol_lookups", f"WITH {GRAPH_SQL} SELECT 'kind' AS what, id FROM nodes WHERE kind = 'function' UNION ALL SELECT 'file', id FROM nodes WHERE file = 'src/two/c.py' UNION ALL SELECT 'id', id FROM nodes WHERE id = 'e' UNION ALL SELECT 'uses', source || target FROM edges WHERE edge_type = 'uses' UNION ALL SELECT 'chain', 'fab'")
+def symbol_lookups(spark, d):  # noqa: ANN001, ANN201
+    nodes, edges = _graph(spark)
+    rows = lambda what, df, c="id": df.select(F.lit(what).alias("what"), F.col(c).alias("id"))
+    chains = symbol_graph.call_chain(edges, "f", "b", 2).select(F.array_join("chain", "").alias("id"))
+    out = rows("kind", symbol_graph.symbols_of_kind(nodes, "function")).union(rows("file", symbol_graph.symbols_in(nodes, "src/two/c.py"))).union(rows("id", symbol_graph.symbol(nodes, "e")))
+    uses = symbol_graph.edges_of_type(edges, "uses").select(F.concat("source", "target").alias("id"))
+    return out.union(rows("uses", uses)).union(rows("chain", chains))
+
+
+# ---- wiki tables ---------------------------------------------------------------------------------
+
+
+def _plan(spark, d):  # noqa: ANN001, ANN202
+    """Regions and nations as categories, suppliers as documents, of which those with a balance are written."""
+    none = F.lit("").alias("description")
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"), none, F.lit("").alias("parent_id"), F.col("r_regionkey").cast("int").alias("ord"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), none, F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_nationkey").cast("int").alias("ord"))
+    s = table(spark, d, "supplier")
+    docs = s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("title"), F.concat(F.lit("n"), "s_nationkey").alias("category_id"), F.lit("sells").alias("purpose"), F.col("s_suppkey").cast("int").alias("ord"))
+    written = s.where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("doc_id"), F.concat(F.lit("# "), "s_name").alias("content"))
+    return r.union(n), docs, written
+
+
+@query("wiki_page_list", "SELECT 'docs/s' || s_suppkey AS id, s_name AS title, 'category/n' || s_nationkey AS parent_id, s_suppkey::INTEGER AS ord FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'category/n' || n_nationkey, any_value(n_name), 'category/r' || any_value(n_regionkey), n_nationkey::INTEGER FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(*) >= 3")
+def wiki_page_list(spark, d):  # noqa: ANN001, ANN201
+    return docmap.category_branches(*_plan(spark, d))[0].select("id", "title", "parent_id", "ord")
+
+
+@query(
+    "wiki_sidebar",
+    """WITH w AS (SELECT * FROM supplier WHERE s_acctbal > 0), big AS (SELECT s_nationkey AS k FROM supplier GROUP BY 1 HAVING count(*) >= 3),
+e AS (SELECT DISTINCT [1, r_regionkey] AS p, 0 AS depth, r_name AS title, '' AS page_id FROM w JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL
+  SELECT DISTINCT [1, n_regionkey, 1, n_nationkey], 1, n_name, CASE WHEN n_nationkey IN (SELECT k FROM big) THEN 'category/n' || n_nationkey ELSE '' END FROM w JOIN nation ON n_nationkey = s_nationkey UNION ALL
+  SELECT [1, n_regionkey, 1, n_nationkey, 0, s_suppkey], 2, s_name, 'docs/s' || s_suppkey FROM w JOIN nation ON n_nationkey = s_nationkey)
+SELECT string_agg(repeat('  ', depth) || CASE WHEN page_id = '' THEN '- **' || title || '**' ELSE '- [' || title || '](content/' || page_id || '.md)' END, chr(10) ORDER BY p) AS text FROM e""",
+)
+def wiki_sidebar(spark, d):  # noqa: ANN001, ANN201
+    return render.sidebar(docmap.category_branches(*_plan(spark, d))[1])
+
+
+@query(
+    "wiki_category_index",
+    """WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS no FROM supplier)
+SELECT 'category/n' || n_nationkey AS id, md5('# ' || any_value(n_name) || chr(10) || chr(10) || '<cite>' || chr(10) || chr(10) || '**分类文档: ' || any_value(n_name) || '**' || chr(10) || chr(10) || '- 包含 ' || count(*) || ' 个文档' || chr(10) || chr(10) || '</cite>' || chr(10) || chr(10) || '## 目录' || chr(10) || chr(10)
+  || string_agg(no || '. [' || s_name || '](#s' || s_suppkey || ')', chr(10) ORDER BY no) || chr(10) || chr(10) || '## 文档列表' || chr(10) || chr(10)
+  || string_agg('- [' || CASE WHEN s_acctbal > 0 THEN '✓' ELSE '○' END || '] [' || s_name || '](docs/s' || s_suppkey || ') — sells', chr(10) ORDER BY no)) AS content FROM s JOIN nation ON n_nationkey = s_nationkey GROUP BY n_nationkey HAVING count(*) >= 3""",
+)
+def wiki_category_index(spark, d):  # noqa: ANN001, ANN201
+    return docmap.category_branches(*_plan(spark, d))[0].where("id like 'category/%'").select("id", F.md5("content").alias("content"))
+
+
+@query("metadata_round_trip", "SELECT 'catalog' AS what, n_name AS name, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'item', s_name, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'relation', 's' || s_suppkey, 'n' || s_nationkey FROM supplier")
+def metadata_round_trip(spark, d):  # noqa: ANN001, ANN201
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    made = metadata.catalogs(n.select(F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id")))
+    listed = metadata.items(s.select(F.concat(F.lit("n"), "s_nationkey").alias("catalog_id"), F.col("s_name").alias("title"), F.lit("sells").alias("description"), F.lit("").alias("parent_id")))
+    pairs = s.select(F.concat(F.lit("n"), "s_nationkey").alias("source_id"), F.concat(F.lit("s"), "s_suppkey").alias("target_id"), F.lit("PARENT_CHILD").alias("kind"))
+    item = F.lit("WIKI_ITEM")
+    links = metadata.relations(pairs).select(F.col("rel_id").cast("long").alias("id"), "source_id", "target_id", item.alias("source_type"), item.alias("target_type"), F.col("kind").alias("relationship_type"), F.lit("").alias("extra"))
+    back = metadata.read_document(metadata.document("trade", made, listed, links))
+    rows = lambda what, df, name, parent: df.select(F.lit(what).alias("what"), F.col(name).alias("name"), F.col(parent).alias("parent"))
+    return rows("catalog", back["catalogs"], "name", "parent_id").union(rows("item", back["items"], "title", "catalog_id")).union(rows("relation", back["relations"], "target_id", "source_id"))
+
+
+@query("relation_numbers", "SELECT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id, row_number() OVER (ORDER BY 'c' || o_custkey, 's' || l_suppkey) AS rel_id FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)")
+def relation_numbers(spark, d):  # noqa: ANN001, ANN201
+    pairs = _purchases(spark, d).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("BUYS").alias("kind"))
+    return metadata.relations(pairs).select("source_id", "target_id", F.col("rel_id").cast("long").alias("rel_id"))
+
+
+@query("page_relations", "SELECT 'n' || s_nationkey AS source_id, 's' || s_suppkey AS target_id, 'Wiki parent-child relationship: category/n' || s_nationkey || ' -> docs/s' || s_suppkey AS extra FROM supplier WHERE s_acctbal > 0")
+def page_relations(spark, d):  # noqa: ANN001, ANN201
+    pages = docmap.category_branches(*_plan(spark, d))[0].where("id like 'docs/%'")
+    return metadata.page_relations(pages).select("source_id", "target_id", "extra")
+
+
+@query("resume_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def resume_pending(spark, d):  # noqa: ANN001, ANN201
+    records = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "success").otherwise("failed").alias("status"))
+    return state.pending(table(spark, d, "documents").select("doc_id"), records, "resume")
+
+
+@query("cache_get", "WITH l AS (SELECT user_id AS key, props AS value, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, props DESC) AS rn FROM events WHERE user_id <= 30) SELECT key, value FROM l WHERE rn = 1 AND event_type <> 'delete' AND epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts)) <= 604800")
+def cache_get(spark, d):  # noqa: ANN001, ANN201
+    log = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("op"), F.col("props").alias("value"))
+    return state.cached(log, spark.range(31).select(F.col("id").alias("key")), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+
+
+@query("generation_outcome", "SELECT count(*) FILTER (WHERE text NOT LIKE '%Warning%' AND doc_id % 5 <> 0) AS successful, count(*) FILTER (WHERE text LIKE '%Warning%' OR doc_id % 5 = 0) AS failed FROM documents")
+def generation_outcome(spark, d):  # noqa: ANN001, ANN201
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Warning: "), "text")).otherwise(F.col("text"))
+    return state.outcome(table(spark, d, "documents").select(text.alias("content")))
+
+
+@query("usage_totals", "SELECT count(*) AS calls, sum(event_id % 100)::BIGINT AS prompt_tokens, sum(user_id)::BIGINT AS completion_tokens, round(sum(value), 2) AS cost FROM events")
+def usage_totals(spark, d):  # noqa: ANN001, ANN201
+    calls = table(spark, d, "events").select((F.col("event_id") % 100).alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"), F.col("value").alias("cost"))
+    return state.usage(calls).withColumn("cost", F.round("cost", 2))
+
+
+@query("wanted_files", "SELECT 'd' || doc_id AS id, 'src/m' || doc_id % 7 || '.py' AS path FROM documents WHERE doc_id % 7 < 5 AND doc_id % 3 <> 0")
+def wanted_files(spark, d):  # noqa: ANN001, ANN201
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("src/m"), F.col("doc_id") % 7, F.lit(".py")).alias("path"), "doc_id")
+    answers = docs.select("id", F.concat(F.lit("please show me "), "path").alias("answer"))
+    known = spark.range(5).select(F.concat(F.lit("src/m"), "id", F.lit(".py")).alias("path"))
+    return generation.wanted_files(answers, known, docs.where("doc_id % 3 = 0").select("id", "path"))
+
+
+@query("import_kinds", "SELECT * FROM " + corpus.values([("import", "import"), ("dynamic", "dynamic"), ("mod", "import"), ("sql_file", "sql_file"), ("", "import")], "kind, known"))
+def import_kinds(spark, d):  # noqa: ANN001, ANN201
+    return spark.createDataFrame([(k,) for k in ("import", "dynamic", "mod", "sql_file", "")], "kind string").select("kind", f.known_kind(F.col("kind")).alias("known"))
+
+
+@query("chinese_ids", "SELECT * FROM " + corpus.values([("guide/Setup/x", "指南/安装配置/x"), ("API", "API参考"), ("none", "none"), ("core/PayPal", "核心组件/PayPal")], "id, shown"))
+def chinese_ids(spark, d):  # noqa: ANN001, ANN201
+    return spark.createDataFrame([(k,) for k in ("guide/Setup/x", "API", "none", "core/PayPal")], "id string").select("id", f.chinese_id(F.col("id")).alias("shown"))
+
+
+@query("module_pages", "SELECT 'src' || i AS name, '# src' || i || chr(10) || chr(10) || '<cite>' || chr(10) || chr(10) || '**本文引用的文件**' || chr(10) || chr(10) || '- [src' || i || '/a.py](file://src' || i || '/a.py)' || chr(10) || '</cite>' || chr(10) || chr(10) || '> does ' || i || chr(10) || chr(10) || '## Files' || chr(10) || chr(10) || '### `src' || i || '/a.py`' || chr(10) || chr(10) || 'main' || chr(10) || chr(10) || '**Key Symbols:**' || chr(10) || chr(10) || '- `go` (function) (line 3) — runs' || chr(10) || '- `X` (class)' || chr(10) || chr(10) || '- [src' || i || '/a.py:3-3](file://src' || i || '/a.py#3-3)' || chr(10) || '- [src' || i || '/a.py](file://src' || i || '/a.py)' || chr(10) || chr(10) || '## Key Concepts' || chr(10) || chr(10) || '- **Idea**: why' || chr(10) || chr(10) || '## Internal Relationships' || chr(10) || chr(10) || '- `a` → `b`: calls' || chr(10) AS page FROM range(3) AS t(i)")
+def module_pages(spark, d):  # noqa: ANN001, ANN201
+    symbols_ = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(x).alias("line"), F.lit(t).alias("description")) for n, k, x, t in (("go", "function", 3, "runs"), ("X", "class", 0, ""))))
+    path = F.concat(F.lit("src"), "id", F.lit("/a.py"))
+    files = F.array(F.struct(path.alias("path"), F.lit("main").alias("purpose"), symbols_.alias("key_symbols")))
+    links = F.array(F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("calls").alias("description")))
+    ideas = F.array(F.struct(F.lit("Idea").alias("name"), F.lit("why").alias("explanation")))
+    rows = spark.range(3).select(F.concat(F.lit("src"), "id").alias("name"), F.concat(F.lit("does "), "id").alias("purpose"), F.lit("").alias("description"), files.alias("files"), links.alias("relationships"), ideas.alias("key_concepts"))
+    return rows.select("name", wiki_pages.module_page(F.struct(*rows.columns)).alias("page"))
+
+
 # ---- rendering -----------------------------------------------------------------------------------
 
 
@@ -539,7 +777,12 @@ def mermaid_edges(spark, d):  # noqa: ANN001, ANN201
     return render.edge_lines(_links(spark, d).where("not is_external").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst")))
 
 
-@query("module_diagram", None)
+@query(
+    "module_diagram",
+    f"""WITH {TRADE_SQL}, {FILES_SQL}, deps AS (SELECT DISTINCT 'r' || a.n_regionkey AS src, 'r' || b.n_regionkey AS dst FROM trade t JOIN nation a ON a.n_nationkey = t.src JOIN nation b ON b.n_nationkey = t.dst WHERE a.n_regionkey <> b.n_regionkey),
+m AS (SELECT string_split(path, '/')[1] AS module, count(*) AS n FROM files GROUP BY 1 ORDER BY n DESC, module LIMIT 12)
+SELECT 'graph TD' || chr(10) || (SELECT string_agg('  ' || module || '[(' || module || ' - ' || n || ' files)]', chr(10) ORDER BY n DESC, module) FROM m) || chr(10) || chr(10) || (SELECT string_agg('  ' || src || ' --> ' || dst, chr(10) ORDER BY src, dst) FROM deps) AS diagram""",
+)
 def module_diagram(spark, d):  # noqa: ANN001, ANN201
     return render.module_diagram(_files(spark, d), module_dependencies(spark, d))
 
@@ -566,20 +809,22 @@ def sidebar(spark, d):  # noqa: ANN001, ANN201
     return render.sidebar(tree.select(F.col("path").alias("sort_path"), "depth", F.element_at(F.split("path", "/"), -1).alias("title"), F.when(F.col("depth") > 1, F.col("id")).otherwise("").alias("page_id")))
 
 
-@query("requested_files", "SELECT doc_id, regexp_extract_all(text, '([a-zA-Z0-9_/.-]+[.](py|sh))', 1) AS files FROM (SELECT doc_id, 'please see a/b.py of doc ' || doc_id || ' or run.sh here' AS text FROM documents)")
+@query(
+    "requested_files",
+    """WITH a AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, '[^a-z]', '', 'g') AS w FROM a)
+SELECT doc_id, ['src/' || w || '.py', 'lib/' || w || '.ts'] AS files FROM b WHERE w <> ''""",
+)
 def requested_files(spark, d):  # noqa: ANN001, ANN201
-    from codequarry.operators.generation import requested_files as wanted
-
-    text = F.concat(F.lit("please see a/b.py of doc "), F.col("doc_id").cast("string"), F.lit(" or run.sh here"))
-    return table(spark, d, "documents").select("doc_id", wanted(text).alias("files"))
+    w = F.regexp_replace(F.substring("text", 1, 40), "[^a-z]", "")
+    answer = F.concat(F.lit("More, please.\n## Files I Need\n- `x y`\n- src/"), w, F.lit(".py\n## Next\nplease show me lib\\"), w, F.lit(".ts and src/"), w, F.lit(".py"))
+    rows = table(spark, d, "documents").where(w != "").select("doc_id", generation.requested_files(answer).alias("files"))
+    return rows.select("doc_id", F.sort_array("files", asc=False).alias("files"))
 
 
 @query("project_type", "SELECT 'full-stack' AS project_type")
 def project_type(spark, d):  # noqa: ANN001, ANN201
-    from codequarry.operators.generation import project_type as kind
-
     extra = spark.createDataFrame([("package.json", "json", "{}")], "path string, language string, content string")
-    return kind(corpus.code_files(spark).union(extra).withColumn("is_config", f.is_config(F.col("path"))))
+    return generation.project_type(corpus.code_files(spark).union(extra).withColumn("is_config", f.is_config(F.col("path"))))
 
 
 @query("missing_dependencies", f"WITH {CALLS_SQL} SELECT dst AS target_file, min(src) AS source_file FROM calls WHERE src IN ('a', 'b') AND dst NOT IN ('a', 'b') GROUP BY dst")
@@ -588,10 +833,16 @@ def missing_dependencies(spark, d):  # noqa: ANN001, ANN201
     return docmap.missing_dependencies(edges, spark.createDataFrame([("a",), ("b",)], "path string"))
 
 
-@query("module_prompts", f"WITH {FILES_SQL} SELECT string_split(path, '/')[1] AS id, count(*) AS n_files, sum(least(length(content), 2048))::BIGINT AS shown FROM files GROUP BY 1")
+@query(
+    "module_prompts",
+    f"""WITH {FILES_SQL}, r AS (SELECT string_split(path, '/')[1] AS id, path, CASE WHEN length(content) > 2048 THEN substr(content, 1, 2048) || chr(10) || '... (truncated)' ELSE content END AS shown FROM files),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path) AS place, count(*) OVER (PARTITION BY id) AS n_files FROM r)
+SELECT id, any_value(n_files) AS n_files, md5(string_agg('--- ' || path || chr(10) || shown, chr(10) || chr(10) ORDER BY path)) AS body FROM n WHERE place <= 20 GROUP BY id""",
+)
 def module_prompts(spark, d):  # noqa: ANN001, ANN201
-    rows = _files(spark, d).select(f.module_name(F.col("path")).alias("id"), F.regexp_replace(f.truncated(F.col("content"), 2048), F.lit(r"\n\.\.\. \(truncated\)$"), F.lit("")).alias("shown"))
-    return rows.groupBy("id").agg(F.count("*").alias("n_files"), F.sum(F.length("shown")).cast("long").alias("shown"))
+    rows = generation.module_prompts(_files(spark, d), f.module_name)
+    body = F.regexp_extract("prompt", r"(?s)## Files\n(.*)\n\n## Answer\n", 1)
+    return rows.select("id", "n_files", F.md5(body).alias("body"))
 
 
 @query("metadata_from_symbols", "SELECT n_name AS title, 'nation: ' || n_name AS description, substr(sha256('' || chr(31) || 'r' || n_regionkey), 1, 32) AS catalog_id FROM nation")

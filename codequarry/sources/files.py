@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,26 @@ def in_scan_order(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
     return files.orderBy(f.scan_rank(F.col("path")), "path").limit(most)
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), size, uri of the files under root; contents are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    base = "^(file:)?/*" + re.escape(root.rstrip("/").removeprefix("file:").lstrip("/") + "/")
+    return rows.select(F.regexp_replace("path", F.lit(base), F.lit("")).alias("path"), F.col("length").alias("size"), F.col("path").alias("uri"))
+
+
 def scan_directory(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES, preview_lines: int = PREVIEW_LINES) -> DataFrame:
-    """Text files under root with the columns of described(). Names and sizes are filtered before contents are read; binary
-    (a zero byte among the first 1024) and minified files are left out, invalid UTF-8 is replaced."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    rows = listed.select(F.regexp_replace(F.col("path"), F.lit("^(file:)?/*" + base.lstrip("/").replace(".", r"\.")), F.lit("")).alias("path"), F.col("length").alias("size"), F.col("content").alias("raw"))
-    text = wanted(rows, max_bytes).where(F.position(F.lit(b"\x00"), F.substring("raw", 1, 1024)) == 0).select("path", "size", F.make_valid_utf8(F.col("raw").cast("string")).alias("content"))
-    return in_scan_order(described(text.where(~f.looks_minified(F.col("path"), F.col("content"))), preview_lines), max_files)
+    """Text files under root with the columns of described(). Names and sizes are filtered on a listing without contents; the first
+    files in scan order, twice as many as are asked for, are then read; binary (a zero byte among the first 1024) and minified
+    ones are left out, invalid UTF-8 is replaced."""
+    found = in_scan_order(wanted(listed(spark, root), max_bytes), 2 * max_files).collect()  # a scan's own limit
+    if not found:
+        return described(spark.createDataFrame([], "path string, size long, content string"), preview_lines)
+    names = spark.createDataFrame([(r.uri, r.path, r.size) for r in found], "uri string, path string, size long")
+    escaped = [re.sub(r"([*?{}\[\]\\,])", r"\\\1", r.uri) for r in found]
+    raw = spark.read.format("binaryFile").load(escaped).select(F.col("path").alias("uri"), F.col("content").alias("raw"))
+    text = raw.where(F.position(F.lit(b"\x00"), F.substring("raw", 1, 1024)) == 0)
+    files = text.join(F.broadcast(names), "uri").select("path", "size", F.make_valid_utf8(F.col("raw").cast("string")).alias("content"))
+    return in_scan_order(described(files.where(~f.looks_minified(F.col("path"), F.col("content"))), preview_lines), max_files)
 
 
 def project_name(files: DataFrame, fallback: str) -> DataFrame:
