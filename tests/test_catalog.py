@@ -71,6 +71,23 @@ def test_graphs_of_whole_tables(spark, sf_dir):  # noqa: ANN001
     assert len(rows("related_files_whole_d1")) > len(rows("related_files_d1"))
 
 
+def test_core_files_are_the_first_ranked(spark, sf_dir):  # noqa: ANN001
+    from codequarry.plans.catalog import _links
+
+    links = {(r.source_file, r.target_file) for r in _links(spark, sf_dir).where("not is_external").collect()}
+    ids, edges = {a for a, _ in links} | {b for _, b in links}, {(a, b) for a, b in links if a != b}
+    deg, score = Counter(a for a, _ in edges), dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(100):
+        loose = sum(score[i] for i in ids if not deg[i]) / len(ids)
+        new = dict.fromkeys(ids, 0.85 * loose + 0.15 / len(ids))
+        for a, b in edges:
+            new[b] += 0.85 * score[a] / deg[a]
+        score = new
+    got = QUERIES["core_files"](spark, sf_dir).collect()
+    best = sorted(score.values(), reverse=True)[: len(got)]
+    assert all(abs(r.score - score[r.id]) < 1e-5 and abs(r.score - b) < 1e-5 for r, b in zip(got, best))
+
+
 def test_entry(spark):  # noqa: ANN001
     import __spark_entry__ as entry
 

@@ -102,6 +102,134 @@ def test_state_and_sinks(spark, tmp_path):  # noqa: ANN001
     assert rows(state.changed(spark.createDataFrame([("one", "1"), ("dir/two", "new")], "id string, content string"), record), "id") == [("dir/two",)]
 
 
+def test_export_modes(spark, tmp_path):  # noqa: ANN001
+    import json
+
+    from codequarry.sources import sinks
+
+    shape = "id string, title string, content string, parent_id string, ord int"
+    pages = spark.createDataFrame([("index", "Overview", "1", "", 0), ("docs/a", "A", "2", "index", 1)], shape)
+    bar = spark.createDataFrame([("- [Overview](content/index.md)",)], "text string")
+    out = str(tmp_path)
+    sinks.export_markdown(pages, bar, out, "Demo")
+    assert (tmp_path / "_sidebar.md").read_text() == "# Demo\n\n- [Overview](content/index.md)\n"
+    (tmp_path / "content/index.md").write_text("touched")
+    changed = spark.createDataFrame([("index", "Overview", "1", "", 0), ("docs/a", "A", "3", "index", 1)], shape)
+    record = sinks.export_markdown(changed, bar, out, "Demo", "incremental")
+    assert (tmp_path / "content/index.md").read_text() == "touched" and (tmp_path / "content/docs/a.md").read_text() == "3"
+    assert rows(sinks.read_record(spark, out), "id", "hash") == rows(record, "id", "hash")
+    sinks.export_markdown(changed.where("id = 'index'"), bar, out, "Demo")
+    assert (tmp_path / "content/index.md").read_text() == "1" and not (tmp_path / "content/docs/a.md").exists()
+    (tmp_path / sinks.RECORD).write_text("{broken")
+    assert sinks.read_record(spark, out) is None
+    step = lambda *ns: [{"kind": 1, "ord": n, "id": str(n)} for n in ns]
+    entries = spark.createDataFrame([(step(1), 0, "Top", ""), (step(1, 1), 1, "Sub", "category/s"), (step(1, 1, 2), 2, "Leaf", "docs/l"), (step(1, 3), 1, "Other", "docs/o"), (step(2), 0, "Last", "dependencies")], "sort_path array<struct<kind:int,ord:int,id:string>>, depth int, title string, page_id string")
+    doc = json.loads(sinks.json_document(pages, entries, "Demo").first().json)
+    assert [p["id"] for p in doc["pages"]] == ["index", "docs/a"] and doc["project_name"] == "Demo"
+    top, last = doc["sidebar"]
+    assert [c["title"] for c in top["children"]] == ["Sub", "Other"] and top["children"][0]["children"] == [{"title": "Leaf", "page_id": "docs/l"}] and "children" not in last
+
+
+def test_cache_as_a_stream(spark, tmp_path):  # noqa: ANN001
+    from codequarry.streaming import ingest
+
+    shape = "key string, value string, created_at timestamp, op string"
+    at = lambda day, hour=0: f"2024-01-{day:02d} {hour:02d}:00:00"
+    batches = [
+        [("a", "1", at(1), "put"), ("a", "2", at(1, 5), "put"), ("b", "x", at(2), "put"), ("c", "y", at(2), "put")], [("a", "old", at(1, 2), "put"), ("c", None, at(3), "delete")],
+        [("d", "z", at(20), "put")], [("d", "w", at(21), "put")],
+    ]
+    seen: list = []
+    for n, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, "key string, value string, created_at string, op string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "log"))
+        ingest.drain(ingest.cached_values(stream), lambda df, _: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "check"))
+        if n == 0:
+            assert sorted((k, v, live) for k, v, _, live in seen) == [("a", "2", True), ("b", "x", True), ("c", "y", True)]
+    told = [(k, v, live) for k, v, _, live in seen]
+    assert ("a", "old", True) not in told and ("c", None, False) in told
+    assert ("a", "2", False) in told and ("b", "x", False) in told and ("c", "y", False) not in told and ("d", "w", True) in told
+
+
+def test_repositories(spark, tmp_path):  # noqa: ANN001
+    import subprocess
+
+    import pytest
+
+    from codequarry.sources import repositories as r
+
+    assert r.url_parts(spark, "https://github.com/a/b.git") == ("github.com", "a", "b") and r.url_parts(spark, "/tmp/x") is None
+    assert r.is_url(spark, "gitlab.com/x/y") and r.is_url(spark, "http://z") and not r.is_url(spark, "folder") and r.clone_url("h", "o", "p") == "https://h/o/p.git"
+    one = tmp_path / "one"
+    one.mkdir()
+    (one / "f.txt").write_text("x" * 2048)
+    for args in (["init", "-q"], ["add", "."], ["-c", "user.name=n", "-c", "user.email=e", "commit", "-qm", "m"]):
+        subprocess.run(["git", *args], cwd=one, check=True)
+    copy = r.fetch(f"file://{one}", tmp_path / "copy")
+    assert (copy / "f.txt").exists()
+    (copy / "mark").write_text("")
+    assert (r.fetch(f"file://{one}", copy) / "mark").exists() and not (r.fetch(f"file://{one}", copy, force=True) / "mark").exists()
+    with pytest.raises(ValueError, match="MB"):
+        r.fetch(f"file://{one}", tmp_path / "large", megabytes=0)
+    with pytest.raises(RuntimeError, match="failed"):
+        r.fetch(f"file://{tmp_path}/none", tmp_path / "none2")
+    assert abs(r.repository_size(spark.createDataFrame([(1 << 20,), (1 << 19,)], "size long")).first().megabytes - 1.5) < 1e-9
+
+
+def test_pages_and_references(spark):  # noqa: ANN001
+    from codequarry.operators import pages, patterns, prompts
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    row = lambda text, schema: F.from_json(F.lit(text), schema)
+    arch = '{"architecture_type": "layered", "components": [{"name": "Core Part", "purpose": "p", "files": ["a.py", "b.py"]}], "mermaid_component": "graph", "data_flow": "down"}'
+    text = one(pages.architecture_page(row(arch, pages.ARCHITECTURE), "en"))
+    assert text.startswith("# Architecture\n\n<cite>\n\n**Files Referenced**\n\n- [a.py](file://a.py)\n- [b.py](file://b.py)\n</cite>\n\n**Type:** layered\n") and "## Component Diagram\n\n```mermaid\ngraph\n```\n" in text and "Files: `a.py`, `b.py`\n" in text and text.endswith("## Data Flow\n\ndown\n")
+    both = one(pages.architecture_page(row(arch.replace('"data_flow"', '"mermaid_sequence": "seq", "data_flow"'), pages.ARCHITECTURE)))
+    assert '    Core_Part["Core Part"]' in both and "Sequence Diagram" not in both
+    guide = one(pages.guide_page(row('{"introduction": "hi", "steps": [{"order": 1, "title": "Start", "time_estimate": "5m", "files": ["m.py"]}], "tips": ["t"]}', pages.GUIDE), "en"))
+    assert "## Step 1: Start (~5m)\n\n**Files:** `m.py`\n\n**Section Source**\n\n- [m.py](file://m.py)\n" in guide and guide.endswith("## Tips\n\n- t\n")
+    files = row('[{"path": "cfg", "is_config": true, "is_entrypoint": false}, {"path": "plain", "is_config": false, "is_entrypoint": false}]', "array<struct<path:string,is_config:boolean,is_entrypoint:boolean>>")
+    view = one(pages.overview_page(row('{"name": "N", "one_liner": "o", "entry_points": ["e.py"], "tech_stack": [{"name": "T", "version": "1", "category": ""}], "setup_instructions": ["do"]}', pages.OVERVIEW), files))
+    assert "- [e.py](file://e.py)\n- [cfg](file://cfg)\n</cite>" in view and "1. [入口点](#入口点)\n2. [技术栈](#技术栈)\n3. [快速开始](#快速开始)" in view and "- **T** 1\n" in view and "1. do" in view and "plain" not in view
+    content = "# T\n## One\ntext\n```mermaid\ngraph\n```\n\n## Two\n\n**Section Source**\n- x"
+    put = one(pages.with_references(F.lit(content), F.array(F.lit("f.py")), "en"))
+    assert put == "# T\n## One\n\n**Section Source**\n- [f.py](file://f.py)\n\ntext\n```mermaid\n\n**Diagram Source**\n- [f.py](file://f.py)\n\ngraph\n```\n\n## Two\n\n**Section Source**\n- x"
+    assert one(pages.with_references(F.lit(content), F.array().cast("array<string>"))) == content
+    shown = one(prompts.files_context(F.array(F.struct(F.lit("a.py").alias("path"), F.lit("python").alias("language"), F.lit("x" * 9).alias("content"))), 5))
+    assert shown == "### a.py\n```python\nxxxxx\n... (truncated)\n```" and one(prompts.referenced(F.lit(shown))) == ["a.py"]
+    for built in (prompts.overview(F.lit("t"), F.lit("k")), prompts.architecture(F.lit("t"), F.lit("d"), F.lit("s")), prompts.reading_guide(F.lit("t"), F.lit("c"), F.lit("s"), "zh"), prompts.chat(F.lit("q"), F.lit(None).cast("string")), prompts.exploration(F.lit("m"), F.lit("p"), F.lit("s"), F.lit("c"))):
+        assert one(built).startswith("## Task\n")
+    index_prompt = one(prompts.category_index(F.lit("C"), F.lit("d"), F.array(F.struct(F.lit("A").alias("title"), F.lit("why").alias("purpose"))), "xx"))
+    assert "- **A**: why" in index_prompt and index_prompt.endswith("Respond in English.")
+    assert one(prompts.structure_summary(F.lit("tree"), F.array(F.struct(F.lit("a").alias("src_module"), F.array(F.lit("c"), F.lit("b")).alias("targets"))), F.array(F.lit("m.py")))) == "File tree:\ntree\n\n## Module Dependencies\n- a → b, c\n\n## Top Files by Importance (PageRank)\n- m.py"
+    names = spark.createDataFrame([(f"f.py:{n}:{i}", n) for i, n in enumerate(("UserFactory", "make_it", "create", "OrderModel", "view"))], "id string, name string")
+    drawn = patterns.pattern_diagram(patterns.recognise(names)).first().diagram.split("\n")
+    assert drawn[0] == "graph TD" and drawn[1] == "    P0[(FACTORY)]" and "    P0_0[(UserFactory)]" in drawn and "    P0_0 --> P0" in drawn and drawn[-1].startswith("    classDef REPOSITORY")
+    assert patterns.pattern_diagram(patterns.recognise(names.limit(1))).first().diagram == ""
+
+
+def test_exploration(spark):  # noqa: ANN001
+    from codequarry.operators import generation
+
+    def client(prompt: str) -> str:
+        return '{"name": "m"}' if "secret body" in prompt else "## Files I Need\n- src/a.py\n- src/none.py\n" if "ask" in prompt else "never" * 3
+
+    files = spark.createDataFrame([("src/a.py", "secret body", 5), ("src/FooDto.java", "x", 9)], "path string, content string, size int")
+    got = {r.id: (r.answer, r.turns) for r in generation.explore(spark.createDataFrame([("m", "ask"), ("n", "tell")], "id string, prompt string"), files, client).collect()}
+    assert got == {"m": ('{"name": "m"}', 2), "n": ("never" * 3, 1)}
+    assert rows(generation.chosen_files(files), "path") == [("src/a.py",)]
+
+
+def test_default_map_and_lookups(spark):  # noqa: ANN001
+    categories, docs = docmap.default_map(spark.createDataFrame([("big_one", 9), ("api", 2)], "module string, n_files int"))
+    assert rows(categories, "ord", "id", "title") == [(1, "big-one", "Big One"), (2, "api", "Api")]
+    assert rows(docs, "category_id", "patterns") == [("api", ["api/*"]), ("big-one", ["big_one/*"])]
+    assert docmap.doc(docs, "api/overview").count() == docmap.category(categories, "api").count() == docmap.docs_in(docs, "api").count() == 1 and docmap.child_categories(categories, "api").count() == 0
+    chinese = docmap.in_chinese(categories, docs)
+    assert rows(chinese[0], "id") == [("API参考",), ("big-one",)] and rows(docmap.in_chinese(*chinese)[0], "id") == rows(chinese[0], "id")
+
+
 def test_paths(spark):  # noqa: ANN001
     got = {r.path: r for r in spark.createDataFrame([(p,) for p in ("Dockerfile", "a/Makefile", "x.PY", "noext", ".env")], "path string").select("path", f.language(F.col("path")).alias("l")).collect()}
     assert [got[p].l for p in ("Dockerfile", "a/Makefile", "x.PY", "noext")] == ["dockerfile", "makefile", "python", "unknown"]
@@ -133,17 +261,66 @@ def test_generation(spark):  # noqa: ANN001
     assert rows(generation.signatures(files), "path", "signatures") == [("src/x.py", ["def a(b)", "class C"])]
 
 
-def test_wiki(spark, tmp_path):  # noqa: ANN001
-    from codequarry.plans import wiki
-
-    for name, content in {"main.py": "import lib.util\nclass Factory:\n    pass\ndef create():\n    pass\n", "lib/util.py": "x = 1\n"}.items():
+def project_folder(tmp_path):  # noqa: ANN001, ANN201
+    for name, content in {"main.py": "import lib.util\nclass Factory:\n    pass\ndef create():\n    pass\n", "lib/util.py": "import lib.other\nx = 1\n", "lib/other.py": "y = 2\n"}.items():
         p = tmp_path / "in" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(content)
-    record = wiki.build(spark, str(tmp_path / "in"), str(tmp_path / "out"), "Demo")
-    assert rows(record, "id") == [("architecture",), ("dependencies",), ("module/lib",), ("module/root",), ("overview",)]
-    assert "root --> lib" in (tmp_path / "out/content/dependencies.md").read_text()
-    assert "FACTORY" in (tmp_path / "out/content/architecture.md").read_text()
+    return str(tmp_path / "in")
+
+
+def test_wiki(spark, tmp_path):  # noqa: ANN001
+    from codequarry.plans import wiki
+    from codequarry.sources import sinks
+
+    root, out, steps = project_folder(tmp_path), tmp_path / "out", []
+    record = wiki.build(spark, root, str(out), "Demo", on_progress=steps.append)
+    assert rows(record, "id") == [("architecture",), ("dependencies",), ("docs/lib/overview",), ("docs/root/overview",), ("index",)]
+    assert "root --> lib" in (out / "content/dependencies.md").read_text() and "FACTORY" in (out / "content/architecture.md").read_text()
+    bar = (out / "_sidebar.md").read_text().split("\n")
+    assert bar[0] == "# Demo" and bar[2:] == ["- [Overview](content/index.md)", "- **Lib**", "  - [Lib](content/docs/lib/overview.md)", "- **Root**", "  - [Root](content/docs/root/overview.md)", "- [Architecture](content/architecture.md)", "- [Dependencies](content/dependencies.md)", ""]
+    back = sinks.read_metadata(spark, str(out))
+    assert rows(back["catalogs"], "name") == [("Lib",), ("Root",)] and back["items"].count() == 2 and rows(back["relations"], "id") == [(1,), (2,)]
+    assert steps[0] == "scanning" and steps[-1] == "done"
+    done = spark.createDataFrame([("lib/overview", "success")], "doc_id string, status string")
+    tables = wiki.analyse(spark, root)
+    docs = wiki.document_map(tables)[1]
+    asked = []
+    again = wiki.generate_documents(tables, docs, lambda p: asked.append(p) or "text", done)
+    assert rows(again, "doc_id") == [("root/overview",)]
+    cache = wiki.document_prompts(tables, docs).select("memo", F.lit("kept").alias("answer"))
+    assert rows(wiki.generate_documents(tables, docs, cache=cache), "doc_id", "content") == [("lib/overview", "kept"), ("root/overview", "kept")]
+    pages, entries = wiki.from_modules(tables, wiki.legacy_modules(tables))
+    assert rows(pages, "id") == [("dependencies",), ("index",), ("modules/lib",), ("modules/root",)] and "  - [lib](content/modules/lib.md)" in render.sidebar(entries).first().text
+
+
+def test_project(spark, tmp_path):  # noqa: ANN001
+    from codequarry.plans.project import Project, Projects
+
+    known = Projects()
+    project = Project(spark, project_folder(tmp_path), client=lambda p: "said " + str(len(p)))
+    key = known.add(project)
+    assert known.get(key) is project and known.get("none") is None and project.info().first().status == "pending"
+    project.scan()
+    assert project.status == "done", project.message
+    assert project.info().first().n_files == 3 and known.table(spark).first().status == "done"
+    events, n, over = project.events_since(0)
+    assert over and n == len(events) and events[-1] == ("done", "done")
+    assert rows(project.file("lib/util.py"), "language", "lines") == [("python", 3)] and project.file("no").count() == 0
+    assert project.page("index").count() == 1 and rows(project.wiki()[0], "id")[0] == ("dependencies",)
+    graph_ = project.graph()
+    assert rows(graph_["edges"], "src", "dst") == [("lib/util.py", "lib/other.py"), ("main.py", "lib/util.py")] and graph_["rankings"].count() == 3
+    assert rows(project.search("UTIL"), "path") == [("lib/util.py",)] and project.ask("where is Factory?").first().status == "success"
+    failed = Project(spark, str(tmp_path / "none")).scan()
+    assert failed.status == "error" and failed.message
+
+
+def test_command_line(tmp_path, monkeypatch):  # noqa: ANN001
+    from codequarry.__main__ import configure
+
+    monkeypatch.chdir(tmp_path)
+    assert configure("set", "api_key", "0123456789") == ["api_key is set"] and configure("get", "api_key", None) == ["api_key = 0123...6789"]
+    assert configure("set", "max_files", "7") and "max_files = 7" in configure("list", None, None) and configure("get", "nope", None) == ["unknown setting: nope"]
 
 
 def test_config(tmp_path, monkeypatch):  # noqa: ANN001
