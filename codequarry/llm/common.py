@@ -97,6 +97,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [raw or b"" for raw in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that what is made of a batch is small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def portions(raws: list[bytes], size: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts that have about `size` bytes together, or of one longer text."""
     begin = 0

@@ -238,8 +238,8 @@ def _meeting(heads: DataFrame, turn: int) -> tuple[DataFrame, bool]:
     cut = not groups.where(F.col("weight") > TILE).isEmpty()
     part = F.pmod(F.xxhash64("rid", F.lit(turn)), F.ceil(F.col("weight") / TILE).cast("int"))
     key = F.when(F.col("weight") > TILE, F.xxhash64("key", part)).otherwise(F.col("key"))
-    alone = F.lit(0).cast("long").alias("side"), F.lit(None).cast("long").alias("token"), F.array().cast("array<long>").alias("others")
-    return met.join(groups, "key").select(key.alias("key"), "rid", F.col("rid").alias("comp"), "n", "bits", *alone), cut
+    side = F.lit(0).cast("long").alias("side")
+    return met.join(groups, "key").select(key.alias("key"), side, "rid", F.col("rid").alias("comp"), "n", "bits"), cut
 
 
 def _routes(signed: DataFrame) -> DataFrame:
@@ -253,19 +253,17 @@ def _routes(signed: DataFrame) -> DataFrame:
 
 
 def _routed_tiles(routes: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """key, side, rid, comp, n, bits, token, others: tiles of the shingles routes(token, rid) that sets of several classes of
-    labels(rid, comp, n) share. Pairs of a tile with two sides are those across the sides. others are all shingles that route the set:
-    a pair that shares several is looked at under the smallest."""
+    """key, side, rid, comp, n, bits: tiles of the shingles routes(token, rid) that sets of several classes of labels(rid, comp, n)
+    share. Pairs of a tile with two sides are those across the sides."""
     rows = durable(routes.join(labels, "rid"))
     tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(_weight()).alias("weight")).where("lo <> hi")
     alive = durable(rows.join(tokens.select("token", "weight"), "token"))
     discard(rows)
-    tiles = alive.where(F.col("weight") <= TILE).select(F.col("token").alias("key"), F.lit(0).cast("long").alias("side"), "rid", "comp", "n", "token")
+    tiles = alive.where(F.col("weight") <= TILE).select(F.col("token").alias("key"), F.lit(0).cast("long").alias("side"), "rid", "comp", "n")
     large = alive.where(F.col("weight") > TILE)
     if not large.isEmpty():
         tiles = tiles.union(_parts(large, percent))
-    others = alive.groupBy("rid").agg(F.collect_list("token").alias("others"))  # a prefix at most
-    return tiles.join(reps.select("rid", "bits").join(others, "rid"), "rid")
+    return tiles.join(reps.select("rid", "bits"), "rid").select("key", "side", "rid", "comp", "n", "bits")
 
 
 def _parts(large: DataFrame, percent: int) -> DataFrame:
@@ -282,7 +280,7 @@ def _parts(large: DataFrame, percent: int) -> DataFrame:
     side = F.xxhash64(*group, "loose", F.when(~F.col("loose"), F.col("comp")), "part").alias("side")
     part = F.when(F.col("loose"), F.pmod(F.xxhash64("comp"), F.coalesce("loose_parts", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rid"), F.col("parts")))
     placed = rows.join(classes.drop("own"), [*group, "comp"]).join(rest, group, "left").withColumn("part", part)
-    placed = placed.select("token", "rid", "comp", "n", side)
+    placed = placed.select("rid", "comp", "n", side)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("part")
     tight = classes.where("not loose").select(*group, "loose", "comp", every("parts"))
     slack = rest.select(*group, F.lit(True).alias("loose"), F.lit(None).cast("long").alias("comp"), every("loose_parts"))
@@ -291,7 +289,7 @@ def _parts(large: DataFrame, percent: int) -> DataFrame:
     apart = F.col("loose_a") | F.col("loose_b") | (F.col("comp_a") != F.col("comp_b"))
     meets = a.join(b, group).where((F.col("side_a") <= F.col("side_b")) & apart)
     ends = meets.select(F.xxhash64("side_a", "side_b").alias("key"), F.explode(F.array_distinct(F.array("side_a", "side_b"))).alias("side"))
-    return placed.join(ends, "side").select("key", "side", "rid", "comp", "n", "token")
+    return placed.join(ends, "side").select("key", "side", "rid", "comp", "n")
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -349,26 +347,33 @@ class Tiles:
 
 def _compare(percent: int):  # noqa: ANN202
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows that have a partner whose bitmap passes, and with which they share no smaller shingle."""
+        """The rows that have a partner whose bitmap passes; `both` tells those of tiles with two sides."""
         for rows in _whole_tiles(batches):
-            hit = np.zeros(rows.num_rows, dtype=bool)
-            token = rows.column("token").to_pylist()
-            others: dict[int, set] = {}
+            hit, tiles = np.zeros(rows.num_rows, dtype=bool), Tiles(rows, percent)
+            for i, j, _ in tiles.passing():
+                hit[i] = hit[j] = True
+            if hit.any():
+                yield from rows.append_column("both", pa.array(tiles.two)).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return compare
 
-            def first(x: int, y: int) -> bool:
-                for k in (x, y):
-                    if k not in others:
-                        others[k] = set(rows.column("others")[k].as_py())
-                return token[x] is None or min(others[x] & others[y]) == token[x]
 
+def _once(percent: int):  # noqa: ANN202
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows that passed, with the keys of all one-sided tiles in which they did (others), those with a partner that they meet in
+        no tile with a smaller key. Pairs in tiles with two sides always count."""
+        for rows in _whole_tiles(batches):
+            key, both, held = rows.column("key").to_pylist(), rows.column("both").to_pylist(), rows.column("others").to_pylist()
+            others = [set(x or ()) for x in held]
+            hit = np.zeros(rows.num_rows, dtype=bool)
             for i, j, _ in Tiles(rows, percent).passing():
                 for x, y in zip(i.tolist(), j.tolist()):
-                    if not (hit[x] and hit[y]) and first(x, y):
+                    if not (hit[x] and hit[y]) and (both[x] or min(others[x] & others[y]) == key[x]):
                         hit[x] = hit[y] = True
             if hit.any():
-                yield from rows.select(list(KEPT)).filter(pa.array(hit)).combine_chunks().to_batches()
+                yield from rows.drop_columns(["others"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    return compare
+    return once
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -427,19 +432,22 @@ def _verify(percent: int):  # noqa: ANN202
     return verify
 
 
-KEPT = ("key", "side", "rid", "comp", "n", "bits")
-TILE_ROWS = "key long, side long, rid long, comp long, n long, bits binary"
+PASSED = "key long, side long, rid long, comp long, n long, bits binary, both boolean"
 
 
-def _merges(docs: DataFrame, tiles: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b: classes of tiles(key, side, rid, comp, n, bits, token, others) that verified links make one, each with that of most links in the tile."""
+def _merges(docs: DataFrame, tiles: DataFrame, reps: DataFrame, words: int, percent: int, apart: bool) -> DataFrame:
+    """a, b: classes of tiles(key, side, rid, comp, n, bits) that verified links make one, each with that of most links in the tile. Where
+    tiles are not apart, a pair that shares several is verified in one of them."""
     dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "n", "rid")
-    passed = durable(dealt(tiles).mapInArrow(_compare(percent), TILE_ROWS))
-    # of tiles that are left with the very same rows, one is verified
-    looks = passed.groupBy("key").agg(F.bit_xor(F.xxhash64("side", "rid")).alias("look"), F.count("*").alias("rows"), F.min("rid").alias("lo"))
-    likely = passed.join(looks.groupBy("look", "rows", "lo").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-    needed = reps.join(likely.select("rid").distinct(), "rid", "left_semi").select("key")
-    full = likely.join(_arrays(docs, needed, words), "rid")
+    passed = durable(dealt(tiles).mapInArrow(_compare(percent), PASSED))
+    if not apart:
+        first = passed
+        others = first.where("not both").groupBy("rid").agg(F.collect_list("key").alias("others"))  # a prefix at most
+        marked = first.join(others, "rid", "left").select(*first.columns, "others")
+        passed = durable(dealt(marked).mapInArrow(_once(percent), PASSED))
+        discard(first)
+    needed = reps.join(passed.select("rid").distinct(), "rid", "left_semi").select("key")
+    full = passed.join(_arrays(docs, needed, words), "rid")
     merged = durable(dealt(full).mapInArrow(_verify(percent), "a long, b long").distinct())
     discard(passed)
     return merged
@@ -461,13 +469,13 @@ def _classes(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     labels, heads = durable(reps.select("rid", F.col("rid").alias("comp"), "n")), reps
     for turn in range(MEETINGS):
         tiles, cut = _meeting(heads, turn)
-        merged = _merges(docs, tiles, reps, words, percent)
+        merged = _merges(docs, tiles, reps, words, percent, apart=True)
         labels = _relabelled(labels, merged.select(F.col("a").alias("id"), F.col("b").alias("component")))
         heads = reps.join(labels.select("comp").distinct(), F.col("rid") == F.col("comp"), "left_semi")
         if not cut:
             break
     tiles = _routed_tiles(_routes(full), labels, reps, percent)
-    merged = _merges(docs, tiles, reps, words, percent)
+    merged = _merges(docs, tiles, reps, words, percent, apart=False)
     return signed.select("doc_id", "key", "n", "rid"), _relabelled(labels, components(merged)).select("rid", "comp")
 
 

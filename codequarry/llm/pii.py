@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import durable, key_filter, passes, sided, table, texts_of, type_of, unused, word_hashes
+from codequarry.llm.common import durable, key_filter, passes, pieces, portions, sided, table, texts_of, type_of, unused, word_hashes
 from codequarry.llm.spans import SPAN_TYPE, SPANS, count_of, joined, of_kinds, ordered
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -48,6 +48,8 @@ _LOCAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+
 
 #: Share of an entity's information that a term may supply.
 DISCLOSURE = 0.8
+#: Bytes of text whose words are counted at once.
+BYTES_AT_ONCE = 1 << 20
 #: Rows of a small side that may be broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -113,7 +115,7 @@ def _before(raw: bytes, arr: np.ndarray) -> np.ndarray | None:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found, entities, terms = [], [], []
         for raw in texts_of(batch):
             spans = base_spans(raw)
@@ -135,7 +137,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of the telling terms wherever they stand in the text."""
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for raw, telling, scores in zip(texts_of(batch), batch.column("telling").to_pylist(), batch.column("scores").to_pylist()):
             arr = np.frombuffer(raw, dtype=np.uint8)
@@ -155,17 +157,26 @@ def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """t, n: different texts that hold the word, for a superset of terms(t). texts(text, copies) has each row's number of equal texts."""
     shared = texts.sparkSession.sparkContext.broadcast(key_filter(terms))
 
+    def portion(raws: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, starts, _ = word_hashes(np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8))
+        owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, side="right")
+        t = _signed(words)
+        ok = passes(shared.value, t)
+        t, owner = t[ok], owner[ok]
+        order = np.lexsort((owner, t))
+        t, owner = t[order], owner[order]
+        once = np.concatenate(([True], (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])))[: len(t)]
+        t, share = t[once], 1.0 / copies[owner[once]]
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))[: len(t)]
+        return t[first], np.add.reduceat(share, first) if len(t) else share
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for raw, copies in zip(texts_of(batch), batch.column("copies").to_pylist()):
-                if raw:
-                    t = np.unique(_signed(word_hashes(np.frombuffer(raw, dtype=np.uint8))[0]))
-                    kept.append(t[passes(shared.value, t)])
-                    shares.append(np.full(len(kept[-1]), 1.0 / copies))
-            t, where = np.unique(np.concatenate(kept), return_inverse=True)
-            n = np.bincount(where, np.concatenate(shares), len(t))
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["t", "n"])
+            raws, copies = texts_of(batch), batch.column("copies").to_numpy()
+            told = [portion(raws[a:b], copies[a:b]) for a, b in portions(raws, BYTES_AT_ONCE)]
+            t, where = np.unique(np.concatenate([x for x, _ in told]) if told else np.zeros(0, np.int64), return_inverse=True)
+            n = np.bincount(where, np.concatenate([x for _, x in told]) if told else None, len(t))
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n.astype(float))], ["t", "n"])
 
     counted = texts.select("text", "copies").mapInArrow(count, "t long, n double")
     return counted.groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("n"))
@@ -236,7 +247,7 @@ def sanitise(docs: DataFrame, **options: float) -> DataFrame:
     marked = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(spans, key, "left").select(*columns, own)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [_cleaned(t, s) if s and t else t for t, s in zip(batch.column(place).to_pylist(), batch.column(own).to_pylist())]
             arrays = [batch.column(k) for k in range(len(columns))]
             arrays[place] = pa.array(texts, batch.column(place).type)
