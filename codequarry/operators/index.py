@@ -33,14 +33,13 @@ def external_index(imports: DataFrame) -> DataFrame:
     return imports.where("is_external").groupBy("target_module").agg(F.sort_array(F.collect_set("source_file")).alias("files"))
 
 
-def files_by_module(files: DataFrame) -> DataFrame:
-    """module, files by path."""
-    return files.groupBy(top_folder(F.col("path")).alias("module")).agg(F.sort_array(F.collect_list("path")).alias("files"))
-
-
-def files_by_language(files: DataFrame) -> DataFrame:
-    """language, files by path."""
-    return files.groupBy("language").agg(F.sort_array(F.collect_list("path")).alias("files"))
+def indexes(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """index, key, path: the files of each language and module of files(path, language), and those that use each external module, a row a
+    file. Written partitioned by index and key, a lookup reads one folder; no key's files are gathered."""
+    language = files.select(F.lit("language").alias("index"), F.col("language").alias("key"), "path")
+    module = files.select(F.lit("module"), top_folder(F.col("path")), "path")
+    external = imports.where("is_external").select(F.lit("external"), "target_module", "source_file").distinct()
+    return language.union(module).union(external)
 
 
 def external_modules(imports: DataFrame) -> DataFrame:

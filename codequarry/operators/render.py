@@ -93,9 +93,3 @@ def category_pages(categories: DataFrame, docs: DataFrame, least: int = 3) -> Da
     named = categories.select(F.col("id").alias("category_id"), F.col("title"))
     return lists.join(named, "category_id").select("category_id", "title", "n_docs", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("content"))
 
-
-def with_sources(pages: DataFrame) -> DataFrame:
-    """pages(id, content, referenced array) with the list of sources under the text, where there are any and the text names none."""
-    refs = F.array_join(F.transform(F.slice("referenced", 1, 15), lambda r: F.concat(F.lit("- `"), r, F.lit("`"))), "\n")
-    add = (F.size("referenced") > 0) & ~F.contains(F.col("content"), F.lit("## Sources"))
-    return pages.withColumn("content", F.when(add, F.concat("content", F.lit("\n\n## Sources\n"), refs)).otherwise(F.col("content")))

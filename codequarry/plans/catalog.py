@@ -16,6 +16,7 @@ from codequarry.operators import pages as wiki_pages
 from codequarry.plans import corpus
 from codequarry.session import durable, table
 from codequarry.sources import files as sources
+from codequarry.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +27,7 @@ LINKS_SQL = """links AS (SELECT p.source_file, p.target_module, k.path AS target
   (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS source_file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target_module FROM pages) p
   LEFT JOIN (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages UNION SELECT regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^/[^/?#]+') FROM pages) k ON k.path = regexp_replace(regexp_replace(p.target_module, '^[a-z]+://[^/]*', ''), '[?#].*$', ''))"""
 TRADE_SQL = """trade AS (SELECT DISTINCT s.s_nationkey AS src, c.c_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
-  JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE l.l_quantity = 50 AND l.l_discount = 0.0)"""
+  JOIN supplier s ON s.s_suppkey = l.l_suppkey)"""
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -47,9 +48,9 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return sources.page_links(table(spark, d, "pages"))
 
 
-def _trade(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Nations whose supplier sold to a customer of another: by all rows if whole, else by the undiscounted lots of fifty that the SQL takes."""
-    lots = table(spark, d, "lineitem").where("true" if whole else "l_quantity = 50 and l_discount = 0").select("l_orderkey", "l_suppkey")
+def _trade(spark: SparkSession, d: str) -> DataFrame:
+    """Nations whose supplier sold to a customer of another."""
+    lots = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o, c, s = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     joined = lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
@@ -294,6 +295,37 @@ def external_index(spark, d):  # noqa: ANN001, ANN201
     return index.external_index(_links(spark, d)).select("target_module", F.size("files").cast("long").alias("n_files"))
 
 
+@query(
+    "dependency_indexes",
+    f"""WITH {FILES_SQL}, {LINKS_SQL} SELECT 'language' AS index, language AS key, path FROM files UNION ALL SELECT 'module', string_split(path, '/')[1], path FROM files
+UNION ALL SELECT DISTINCT 'external', target_module, source_file FROM links WHERE is_external""",
+)
+def dependency_indexes(spark, d):  # noqa: ANN001, ANN201
+    return index.indexes(_files(spark, d), _links(spark, d))
+
+
+@query("imports_of_file", f"WITH {LINKS_SQL} SELECT source_file, target_module, target_file FROM links WHERE source_file = (SELECT min(source_file) FROM links)")
+def imports_of_file(spark, d):  # noqa: ANN001, ANN201
+    links = _links(spark, d)
+    first = links.agg(F.min("source_file")).first()[0] or ""
+    return index.imports_of(links, first).select("source_file", "target_module", "target_file")
+
+
+@query("first_wins", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def first_wins(spark, d):  # noqa: ANN001, ANN201
+    return sources.first_of_each(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("path_slashes", "SELECT doc_id, replace(source || chr(92) || lang || '/x', chr(92), '/') AS path FROM documents")
+def path_slashes(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "documents").select("doc_id", f.forward_slashes(F.concat("source", F.lit("\\"), "lang", F.lit("/x"))).alias("path"))
+
+
+@query("symbol_density", "SELECT p_brand AS file, count(*) AS n_symbols FROM part GROUP BY p_brand")
+def symbol_density(spark, d):  # noqa: ANN001, ANN201
+    return symbols.symbol_density(table(spark, d, "part").select(F.col("p_brand").alias("file")))
+
+
 @query(
     "entry_points",
     f"WITH {LINKS_SQL}, f AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages), n AS (SELECT target_file, count(*) AS n FROM links WHERE target_file IS NOT NULL GROUP BY target_file)\nSELECT path, coalesce(n, 0) AS n_imports FROM f LEFT JOIN n ON n.target_file = f.path WHERE coalesce(n, 0) <= 1",
@@ -304,17 +336,12 @@ def entry_points(spark, d):  # noqa: ANN001, ANN201
 
 
 @query("module_dependencies", f"WITH {TRADE_SQL}, n AS (SELECT t.*, a.n_regionkey AS ra, b.n_regionkey AS rb FROM trade t JOIN nation a ON a.n_nationkey = t.src JOIN nation b ON b.n_nationkey = t.dst)\nSELECT DISTINCT 'r' || ra AS src_module, 'r' || rb AS dst_module FROM n WHERE ra <> rb")
-def module_dependencies(spark, d, whole=False):  # noqa: ANN001, ANN201
+def module_dependencies(spark, d):  # noqa: ANN001, ANN201
     n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("path"))
-    t = _trade(spark, d, whole).join(n.select(F.col("n_nationkey").alias("src"), F.col("path").alias("source_file")), "src").join(n.select(F.col("n_nationkey").alias("dst"), F.col("path").alias("target_file")), "dst")
+    t = _trade(spark, d).join(n.select(F.col("n_nationkey").alias("src"), F.col("path").alias("source_file")), "src").join(n.select(F.col("n_nationkey").alias("dst"), F.col("path").alias("target_file")), "dst")
     return index.module_dependencies(t.withColumn("is_external", F.lit(False)))
 
 
-@query("module_dependencies_whole")
-def module_dependencies_whole(spark, d):  # noqa: ANN001, ANN201
-    return module_dependencies(spark, d, whole=True)
-
-
 FILE_LINKS_SQL = f"{LINKS_SQL}, pf AS (SELECT DISTINCT source_file AS path, 'l' || length(source_file) % 3 AS language, length(source_file) AS lines FROM links)"
 
 
@@ -352,22 +379,31 @@ def search_files(spark, d):  # noqa: ANN001, ANN201
 # ---- graphs --------------------------------------------------------------------------------------
 
 
-@query(
-    "pagerank_files",
-    f"""WITH RECURSIVE {TRADE_SQL}, e AS (SELECT * FROM trade WHERE src <> dst), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY src), v AS (SELECT n_nationkey AS id FROM nation),
+#: Twenty turns of ranking the vertices v(id) over the edges e(src, dst).
+PAGE_RANK_SQL = """deg AS (SELECT src, count(*) AS deg FROM e GROUP BY src),
 pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v UNION ALL
-  SELECT p.turn + 1, v.id, 0.85 * (coalesce(sum(CASE WHEN e.dst = v.id THEN p.score / deg.deg END), 0) + sum(CASE WHEN deg.deg IS NULL AND coalesce(e.first, true) THEN p.score ELSE 0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
-  FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.src = p.id LEFT JOIN (SELECT src, dst, false AS first FROM e) e ON e.src = p.id AND e.dst = v.id WHERE p.turn < 20 GROUP BY p.turn, v.id)
-SELECT id, round(score, 6) AS score FROM pr WHERE turn = 20""",
-)
-def pagerank_files(spark, d, whole=False):  # noqa: ANN001, ANN201
+  SELECT p.turn + 1, v.id,
+    0.85 * (coalesce(sum(CASE WHEN e.dst = v.id THEN p.score / deg.deg END), 0) + sum(CASE WHEN deg.deg IS NULL THEN p.score ELSE 0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
+  FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.src = p.id LEFT JOIN e ON e.src = p.id AND e.dst = v.id WHERE p.turn < 20 GROUP BY p.turn, v.id)
+SELECT id, round(score, 6) AS score FROM pr WHERE turn = 20"""
+
+
+@query("pagerank_files", f"WITH RECURSIVE {TRADE_SQL}, e AS (SELECT * FROM trade WHERE src <> dst), v AS (SELECT n_nationkey AS id FROM nation), {PAGE_RANK_SQL}")
+def pagerank_files(spark, d):  # noqa: ANN001, ANN201
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
-    return graph.page_rank(nations, _trade(spark, d, whole), most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
+    return graph.page_rank(nations, _trade(spark, d), most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
 
 
-@query("pagerank_files_whole")
-def pagerank_files_whole(spark, d):  # noqa: ANN001, ANN201
-    return pagerank_files(spark, d, whole=True)
+@query(
+    "pagerank_pages",
+    f"""WITH RECURSIVE {LINKS_SQL}, e AS (SELECT DISTINCT source_file AS src, target_file AS dst FROM links WHERE NOT is_external AND source_file <> target_file),
+v AS (SELECT source_file AS id FROM links UNION SELECT target_file FROM links WHERE NOT is_external), {PAGE_RANK_SQL}""",
+)
+def pagerank_pages(spark, d):  # noqa: ANN001, ANN201
+    links = _links(spark, d)
+    edges = links.where("not is_external").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst"))
+    pages = links.select(F.col("source_file").alias("id")).distinct()
+    return graph.page_rank(pages, edges, most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
 
 
 @query("core_files", None)
@@ -376,11 +412,11 @@ def core_files(spark, d):  # noqa: ANN001, ANN201
     return graph.page_rank(links.select(F.col("src").alias("id")).distinct(), links).orderBy(F.col("score").desc(), "id").limit(10).select("id", F.round("score", 6).alias("score"))
 
 
-BUYS_SQL = "buys AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50), both_ways AS (SELECT a AS src, b AS dst FROM buys UNION SELECT b, a FROM buys)"
+BUYS_SQL = "buys AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), both_ways AS (SELECT a AS src, b AS dst FROM buys UNION SELECT b, a FROM buys)"
 
 
-def _buys(spark, d, whole=False):  # noqa: ANN001, ANN202
-    lots = table(spark, d, "lineitem").where("true" if whole else "l_quantity = 50").select("l_orderkey", "l_suppkey")
+def _buys(spark, d):  # noqa: ANN001, ANN202
+    lots = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
@@ -395,21 +431,11 @@ def related_files_d2(spark, d):  # noqa: ANN001, ANN201
     return graph.related(_buys(spark, d), spark.createDataFrame([("s1",)], "id string"), 2)
 
 
-@query("related_files_whole_d1")
-def related_files_whole_d1(spark, d):  # noqa: ANN001, ANN201
-    return graph.related(_buys(spark, d, whole=True), spark.createDataFrame([("s1",), ("s2",)], "id string"), 1)
-
-
-@query("related_files_whole_d2")
-def related_files_whole_d2(spark, d):  # noqa: ANN001, ANN201
-    return graph.related(_buys(spark, d, whole=True), spark.createDataFrame([("s1",)], "id string"), 2)
-
-
 @query("pagerank_symbols")
 def pagerank_symbols(spark, d):  # noqa: ANN001, ANN201
     """Customers and suppliers as symbols, all purchases as calls."""
     people = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey")))
-    return graph.page_rank(people, _buys(spark, d, whole=True), most=20, tolerance=0).select("id", F.round("score", 9).alias("score"))
+    return graph.page_rank(people, _buys(spark, d), most=20, tolerance=0).select("id", F.round("score", 9).alias("score"))
 
 
 CALLS_SQL = "calls AS (SELECT * FROM " + corpus.values(corpus.CALLS, "src, dst") + ")"
@@ -704,6 +730,42 @@ def metadata_round_trip(spark, d):  # noqa: ANN001, ANN201
     return rows("catalog", back["catalogs"], "name", "parent_id").union(rows("item", back["items"], "title", "catalog_id")).union(rows("relation", back["relations"], "target_id", "source_id"))
 
 
+@query(
+    "metadata_lookups",
+    f"""WITH t AS (SELECT 'tree' AS what, r_name AS name FROM region UNION ALL SELECT 'tree', r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT * FROM t UNION ALL SELECT 'title', min(s_name) FROM supplier UNION ALL SELECT 'in catalog', s_name FROM supplier WHERE s_nationkey = 1
+UNION ALL SELECT 'below', s_name FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'next relation', (count(*) + 1)::VARCHAR FROM supplier""",
+)
+def metadata_lookups(spark, d):  # noqa: ANN001, ANN201
+    r, n, s = table(spark, d, "region"), table(spark, d, "nation"), table(spark, d, "supplier")
+    top = r.select(F.col("r_name").alias("name"), F.lit("").alias("parent_id"))
+    below = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), metadata.key_of(F.lit(""), F.col("r_name")).alias("parent_id"))
+    tree = metadata.catalog_tree(metadata.catalogs(top.union(below)))
+    parent = F.when(F.col("s_acctbal") > 0, "rich").otherwise("")
+    listed = metadata.items(s.select(F.concat(F.lit("n"), "s_nationkey").alias("catalog_id"), F.col("s_name").alias("title"), F.lit("").alias("description"), parent.alias("parent_id")))
+    pairs = s.select(F.concat(F.lit("n"), "s_nationkey").alias("source_id"), F.concat(F.lit("s"), "s_suppkey").alias("target_id"), F.lit("PARENT_CHILD").alias("kind"))
+    following = metadata.next_relation_id(metadata.relations(pairs).withColumnRenamed("rel_id", "id"))
+    first = s.agg(F.min("s_name")).first()[0] or ""
+    rows = lambda what, df, c="title": df.select(F.lit(what).alias("what"), F.col(c).alias("name"))
+    out = rows("tree", tree, "path").union(rows("title", metadata.item_by_title(listed, first)))
+    out = out.union(rows("in catalog", metadata.items_of(listed, "n1"))).union(rows("below", metadata.child_items(listed, "rich")))
+    return out.union(rows("next relation", spark.createDataFrame([(str(following),)], "title string")))
+
+
+@query(
+    "wiki_single_page",
+    """WITH p AS (SELECT r_regionkey AS ord, 'r' || r_regionkey AS id, r_name AS title FROM region)
+SELECT '<!doctype html><html><head><meta charset="utf-8"><title>Regions &amp; more</title></head><body><nav>'
+  || string_agg('<a href="#' || id || '">' || title || '</a>', chr(10) ORDER BY ord) || '</nav><main>'
+  || string_agg('<section id="' || id || '"><h1>' || title || '</h1>' || chr(10) || '<p>about <strong>' || title || '</strong></p>' || chr(10) || '</section>', chr(10) ORDER BY ord)
+  || '</main></body></html>' AS html FROM p""",
+)
+def wiki_single_page(spark, d):  # noqa: ANN001, ANN201
+    content = F.concat(F.lit("about **"), "r_name", F.lit("**"))
+    pages = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"), content.alias("content"), F.col("r_regionkey").alias("ord"))
+    return sinks.single_page(pages, "Regions & more")
+
+
 @query("relation_numbers", "SELECT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id, row_number() OVER (ORDER BY 'c' || o_custkey, 's' || l_suppkey) AS rel_id FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)")
 def relation_numbers(spark, d):  # noqa: ANN001, ANN201
     pairs = _purchases(spark, d).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("BUYS").alias("kind"))
@@ -722,10 +784,10 @@ def resume_pending(spark, d):  # noqa: ANN001, ANN201
     return state.pending(table(spark, d, "documents").select("doc_id"), records, "resume")
 
 
-@query("cache_get", "WITH l AS (SELECT user_id AS key, props AS value, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, props DESC) AS rn FROM events WHERE user_id <= 30) SELECT key, value FROM l WHERE rn = 1 AND event_type <> 'delete' AND epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts)) <= 604800")
+@query("cache_get", "WITH l AS (SELECT user_id AS key, props AS value, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, props DESC) AS rn FROM events) SELECT key, value FROM l WHERE rn = 1 AND key IN (SELECT c_custkey FROM customer) AND event_type <> 'delete' AND epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts)) <= 604800")
 def cache_get(spark, d):  # noqa: ANN001, ANN201
     log = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("op"), F.col("props").alias("value"))
-    return state.cached(log, spark.range(31).select(F.col("id").alias("key")), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return state.cached(log, table(spark, d, "customer").select(F.col("c_custkey").alias("key")), F.lit("2024-01-31 00:00:00").cast("timestamp"))
 
 
 @query("generation_outcome", "SELECT count(*) FILTER (WHERE text NOT LIKE '%Warning%' AND doc_id % 5 <> 0) AS successful, count(*) FILTER (WHERE text LIKE '%Warning%' OR doc_id % 5 = 0) AS failed FROM documents")

@@ -57,18 +57,17 @@ def test_graphs_of_whole_tables(spark, sf_dir):  # noqa: ANN001
     pairs = {(customer[o], s) for o, s in t["lineitem"][["l_orderkey", "l_suppkey"]].itertuples(index=False)}
     trade, buys = {(base[s], home[c]) for c, s in pairs}, {(f"c{c}", f"s{s}") for c, s in pairs}
     rows = lambda name: {tuple(r) for r in QUERIES[name](spark, sf_dir).collect()}
-    assert rows("module_dependencies_whole") == {(f"r{region[a]}", f"r{region[b]}") for a, b in trade if region[a] != region[b]}
+    assert rows("module_dependencies") == {(f"r{region[a]}", f"r{region[b]}") for a, b in trade if region[a] != region[b]}
     near = defaultdict(set)
     for a, b in buys:
         near[a].add(b)
         near[b].add(a)
-    assert rows("related_files_whole_d1") == {(s, x, 1) for s in ("s1", "s2") for x in near[s]}
-    assert rows("related_files_whole_d2") == {("s1", x, 1) for x in near["s1"]} | {("s1", y, 2) for x in near["s1"] for y in near[x] if y != "s1" and y not in near["s1"]}
-    ranks = {"pagerank_files_whole": plain_rank(set(region), trade), "pagerank_symbols": plain_rank({f"c{c}" for c in home} | {f"s{s}" for s in base}, buys)}
+    assert rows("related_files_d1") == {(s, x, 1) for s in ("s1", "s2") for x in near[s]}
+    assert rows("related_files_d2") == {("s1", x, 1) for x in near["s1"]} | {("s1", y, 2) for x in near["s1"] for y in near[x] if y != "s1" and y not in near["s1"]}
+    ranks = {"pagerank_files": plain_rank(set(region), trade), "pagerank_symbols": plain_rank({f"c{c}" for c in home} | {f"s{s}" for s in base}, buys)}
     for name, want in ranks.items():
         got = dict(rows(name))
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
-    assert len(rows("related_files_whole_d1")) > len(rows("related_files_d1"))
 
 
 def test_core_files_are_the_first_ranked(spark, sf_dir):  # noqa: ANN001
