@@ -24,9 +24,13 @@ ORACLES: dict[str, str] = {}
 #: documents as files, for the SQL side.
 FILES_SQL = "files AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, lang AS language, len(string_split(text, chr(10))) AS lines, length(text) AS size, text AS content FROM documents)"
 LINKS_SQL = """links AS (SELECT p.source_file, p.target_module, k.path AS target_file, k.path IS NULL AS is_external FROM
-  (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS source_file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target_module FROM pages) p
-  LEFT JOIN (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages UNION SELECT regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^/[^/?#]+') FROM pages) k ON k.path = regexp_replace(regexp_replace(p.target_module, '^[a-z]+://[^/]*', ''), '[?#].*$', ''))"""
-TRADE_SQL = """trade AS (SELECT DISTINCT s.s_nationkey AS src, c.c_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
+  (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS source_file, unnest(regexp_extract_all(html, 'href="([^"]*)"',
+1)) AS target_module FROM pages) p
+  LEFT JOIN (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages UNION
+SELECT regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^/[^/?#]+')
+FROM pages) k ON k.path = regexp_replace(regexp_replace(p.target_module, '^[a-z]+://[^/]*', ''), '[?#].*$', ''))"""
+TRADE_SQL = """trade AS (SELECT DISTINCT s.s_nationkey AS src, c.c_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+JOIN customer c ON c.c_custkey = o.o_custkey
   JOIN supplier s ON s.s_suppkey = l.l_suppkey)"""
 
 
@@ -67,7 +71,10 @@ IN = lambda xs: "(" + ", ".join(corpus.quoted(x) for x in xs) + ")"  # noqa: E73
 # ---- files ---------------------------------------------------------------------------------------
 
 
-@query("file_language_breakdown", f"WITH {FILES_SQL} SELECT language, count(*) AS n_files FROM files GROUP BY language ORDER BY n_files DESC, language LIMIT 10")
+@query(
+    "file_language_breakdown",
+    f"""WITH {FILES_SQL} SELECT language, count(*) AS n_files FROM files GROUP BY language ORDER BY n_files DESC, language LIMIT 10""",
+)
 def file_language_breakdown(spark, d):  # noqa: ANN001, ANN201
     return index.language_breakdown(_files(spark, d))
 
@@ -79,8 +86,10 @@ def file_total_lines(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "detect_language",
-    f"""WITH p AS (SELECT path, lower(string_split(path, '/')[-1]) AS name FROM {PATHS_SQL}), e AS (SELECT *, regexp_extract(name, '^.+\\.([^.]+)$', 1) AS ext FROM p)
-SELECT path, CASE WHEN name = 'dockerfile' OR name LIKE 'dockerfile.%' THEN 'dockerfile' WHEN name = 'makefile' THEN 'makefile' ELSE {LANG_CASES} END AS language FROM e""",
+    f"""WITH p AS (SELECT path, lower(string_split(path, '/')[-1]) AS name FROM {PATHS_SQL}), e AS (SELECT *, regexp_extract(name, '^.+\\.([^.]+)$', 1) AS ext
+FROM p)
+SELECT path, CASE WHEN name = 'dockerfile' OR name LIKE 'dockerfile.%' THEN 'dockerfile' WHEN name = 'makefile' THEN 'makefile' ELSE {LANG_CASES} END
+AS language FROM e""",
 )
 def detect_language(spark, d):  # noqa: ANN001, ANN201
     return _paths(spark).select("path", f.language(F.col("path")).alias("language"))
@@ -89,8 +98,10 @@ def detect_language(spark, d):  # noqa: ANN001, ANN201
 @query(
     "file_roles",
     f"""WITH p AS (SELECT path, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM {PATHS_SQL})
-SELECT path, name IN {IN(f.CONFIG_NAMES)} AS is_config, (name IN {IN(f.ENTRY_NAMES)} OR (len(parts) >= 2 AND parts[-2] IN {IN(f.ENTRY_DIRS)})) AS is_entrypoint,
-  regexp_matches(lower(name), '({"|".join(s.replace(".", chr(92) + ".") for s in f.SKIP_SUFFIXES)})$') AS skipped, list_has_any(parts[1:-2], {list(f.SKIP_DIRS)}) OR len(list_filter(parts[1:-2], lambda x: x LIKE '%.egg-info')) > 0 AS in_skipped_dir,
+SELECT path, name IN {IN(f.CONFIG_NAMES)} AS is_config,
+(name IN {IN(f.ENTRY_NAMES)} OR (len(parts) >= 2 AND parts[-2] IN {IN(f.ENTRY_DIRS)})) AS is_entrypoint,
+  regexp_matches(lower(name), '({"|".join(s.replace(".", chr(92) + ".") for s in f.SKIP_SUFFIXES)})$') AS skipped, list_has_any(parts[1:-2],
+{list(f.SKIP_DIRS)}) OR len(list_filter(parts[1:-2], lambda x: x LIKE '%.egg-info')) > 0 AS in_skipped_dir,
   regexp_matches(path, '{f.NOISE}') AS is_noise FROM p""",
 )
 def file_roles(spark, d):  # noqa: ANN001, ANN201
@@ -101,7 +112,8 @@ def file_roles(spark, d):  # noqa: ANN001, ANN201
 @query(
     "scan_order",
     f"""WITH p AS (SELECT path, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM {PATHS_SQL})
-SELECT path, row_number() OVER (ORDER BY CASE WHEN name IN {IN(f.CONFIG_NAMES)} THEN 0 WHEN name IN {IN(f.ENTRY_NAMES)} OR (len(parts) >= 2 AND parts[-2] IN {IN(f.ENTRY_DIRS)}) THEN 1 ELSE 2 END, path)::INTEGER AS place FROM p""",
+SELECT path, row_number() OVER (ORDER BY CASE WHEN name IN {IN(f.CONFIG_NAMES)} THEN 0 WHEN name IN {IN(f.ENTRY_NAMES)} OR (len(parts) >= 2 AND
+parts[-2] IN {IN(f.ENTRY_DIRS)}) THEN 1 ELSE 2 END, path)::INTEGER AS place FROM p""",
 )
 def scan_order(spark, d):  # noqa: ANN001, ANN201
     from pyspark.sql import Window
@@ -116,8 +128,10 @@ def size_filter(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "minified_filter",
-    """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.js' WHEN doc_id % 3 = 1 THEN 'b.CSS' ELSE 'c.py' END AS path, CASE WHEN doc_id % 2 = 0 THEN translate(text, chr(10), ' ') || chr(10) || 'x' ELSE text END AS text FROM documents),
-l AS (SELECT *, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9)) <> '')) AS filled FROM m)
+    """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.js' WHEN doc_id % 3 = 1 THEN 'b.CSS' ELSE 'c.py' END AS path,
+CASE WHEN doc_id % 2 = 0 THEN translate(text, chr(10), ' ') || chr(10) || 'x' ELSE text END AS text FROM documents),
+l AS (SELECT *, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest, len(list_filter(string_split(text, chr(10)),
+lambda x: trim(x, ' ' || chr(9)) <> '')) AS filled FROM m)
 SELECT doc_id, path, path <> 'c.py' AND longest >= 1000 AND (filled <= 5 OR longest > length(text) * 0.5) AS looks_minified FROM l""",
 )
 def minified_filter(spark, d):  # noqa: ANN001, ANN201
@@ -130,7 +144,8 @@ def minified_filter(spark, d):  # noqa: ANN001, ANN201
 @query(
     "module_names",
     f"""WITH {FILES_SQL}, p AS (SELECT path FROM files UNION ALL SELECT path FROM {PATHS_SQL}), q AS (SELECT path, string_split(path, '/') AS s FROM p)
-SELECT CASE WHEN len(s) <= 1 THEN 'root' WHEN s[1] IN {IN(f.WRAPPER_DIRS)} AND len(s) > 2 THEN s[2] ELSE s[1] END AS module, CASE WHEN len(s) <= 1 THEN 'root' ELSE s[1] END AS top, s[1] AS first, count(*) AS n
+SELECT CASE WHEN len(s) <= 1 THEN 'root' WHEN s[1] IN {IN(f.WRAPPER_DIRS)} AND len(s) > 2 THEN s[2] ELSE s[1] END AS module,
+CASE WHEN len(s) <= 1 THEN 'root' ELSE s[1] END AS top, s[1] AS first, count(*) AS n
 FROM q GROUP BY ALL""",
 )
 def module_names(spark, d):  # noqa: ANN001, ANN201
@@ -160,7 +175,12 @@ def project_name(spark, d):  # noqa: ANN001, ANN201
     return sources.project_name(spark.createDataFrame(rows, "path string, content string"), "folder")
 
 
-@query("file_tree", f"WITH {FILES_SQL}, p AS (SELECT string_split(path, '/') AS s FROM files), e AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS entry, (i - 1)::INTEGER AS depth, i < len(s) AS is_dir FROM p, unnest(range(1, len(s) + 1)) AS t(i)) SELECT * FROM e")
+@query(
+    "file_tree",
+    f"""WITH {FILES_SQL}, p AS (SELECT string_split(path, '/') AS s
+FROM files), e AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS entry, (i - 1)::INTEGER AS depth, i < len(s) AS is_dir
+FROM p, unnest(range(1, len(s) + 1)) AS t(i)) SELECT * FROM e""",
+)
 def file_tree(spark, d):  # noqa: ANN001, ANN201
     return docmap.tree_entries(_files(spark, d))
 
@@ -183,7 +203,8 @@ def _chunks(spark, d):  # noqa: ANN001, ANN202
     return rows.select(F.concat("path", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 6, "0")).alias("chunk_id"), "content", "path", "start_line", "end_line")
 
 
-CHUNKS_SQL = f"""{FILES_SQL}, lined AS (SELECT path, string_split(content, chr(10)) AS s FROM files), chunks AS (SELECT path || '#' || lpad(i::VARCHAR, 6, '0') AS chunk_id, array_to_string(s[30 * i + 1:30 * i + 30], chr(10)) AS content
+CHUNKS_SQL = f"""{FILES_SQL}, lined AS (SELECT path, string_split(content, chr(10)) AS s
+FROM files), chunks AS (SELECT path || '#' || lpad(i::VARCHAR, 6, '0') AS chunk_id, array_to_string(s[30 * i + 1:30 * i + 30], chr(10)) AS content
   FROM lined, unnest(range(0, ((len(s) + 29) // 30)::BIGINT)) AS t(i)),
 kept AS (SELECT * FROM chunks WHERE trim(content, ' ' || chr(10)) <> ''),
 words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-zA-Z_][\\p{{L}}\\p{{N}}_]*')) AS token FROM kept),
@@ -196,7 +217,10 @@ def rag_tf(spark, d):  # noqa: ANN001, ANN201
     return retrieval.term_frequencies(_chunks(spark, d)).groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-@query("rag_norms", f"WITH {CHUNKS_SQL} SELECT chunk_id, round(sqrt(sum(tf * idf * tf * idf)), 4) AS norm FROM tf JOIN idf USING (token) WHERE idf <> 0 GROUP BY chunk_id")
+@query(
+    "rag_norms",
+    f"""WITH {CHUNKS_SQL} SELECT chunk_id, round(sqrt(sum(tf * idf * tf * idf)), 4) AS norm FROM tf JOIN idf USING (token) WHERE idf <> 0 GROUP BY chunk_id""",
+)
 def rag_norms(spark, d):  # noqa: ANN001, ANN201
     chunks = _chunks(spark, d)
     tf = durable(retrieval.term_frequencies(chunks))
@@ -206,11 +230,15 @@ def rag_norms(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "rag_topk",
-    f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, token, tf * idf AS w FROM tf JOIN idf USING (token) WHERE idf <> 0), norm AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY chunk_id),
+    f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, token, tf * idf AS w FROM tf JOIN idf USING (token)
+WHERE idf <> 0), norm AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY chunk_id),
 q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z_][\\p{{L}}\\p{{N}}_]*')) AS token FROM benchmark),
-qw AS (SELECT query_id, token, count(*) * any_value(idf) AS qw FROM q JOIN idf USING (token) WHERE idf <> 0 GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY query_id),
-s AS (SELECT query_id, chunk_id, round(sum(w * qw) / (any_value(norm) * any_value(qn)), 6) AS score FROM w JOIN qw USING (token) JOIN norm USING (chunk_id) JOIN qn USING (query_id) GROUP BY ALL),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC)::INTEGER AS rank, chunk_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 5""",
+qw AS (SELECT query_id, token, count(*) * any_value(idf) AS qw FROM q JOIN idf USING (token) WHERE idf <> 0
+GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY query_id),
+s AS (SELECT query_id, chunk_id, round(sum(w * qw) / (any_value(norm) * any_value(qn)), 6) AS score FROM w JOIN qw USING (token)
+JOIN norm USING (chunk_id) JOIN qn USING (query_id) GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC)::INTEGER AS rank, chunk_id, score FROM s
+WHERE score > 0) SELECT * FROM r WHERE rank <= 5""",
 )
 def rag_topk(spark, d):  # noqa: ANN001, ANN201
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
@@ -233,14 +261,21 @@ STRUCTURE_NAME = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN " + (f"
 
 @query(
     "structural_chunks",
-    f"""WITH RECURSIVE {FILES_SQL}, {CODE_SQL}, every AS (SELECT path, content FROM code UNION ALL SELECT path, content FROM files), s AS (SELECT path, string_split(content, chr(10)) AS l FROM every),
-t AS (SELECT path, i::INTEGER AS i, length(l[i + 1]) + 1 AS n, regexp_replace(l[i + 1], '^\\s+|\\s+$', '', 'g') AS x, len(l) AS lines FROM s, unnest(range(0, len(l))) AS u(i)), k AS (SELECT *, {STRUCTURE_KIND} AS kind, {STRUCTURE_NAME} AS name FROM t),
-f AS (SELECT path, -1 AS i, 0 AS start, 0::BIGINT AS size, NULL::VARCHAR AS kind, NULL::VARCHAR AS name, false AS cut, 0 AS c_start, NULL::VARCHAR AS c_kind, NULL::VARCHAR AS c_name, 0::BIGINT AS lines FROM s UNION ALL
-  SELECT k.path, k.i, CASE WHEN c.cut THEN k.i ELSE f.start END, CASE WHEN c.cut THEN 0 ELSE f.size END + k.n, coalesce(k.kind, CASE WHEN NOT c.cut THEN f.kind END), coalesce(CASE WHEN NOT c.cut THEN f.name END, k.name), c.cut, f.start, f.kind, f.name, k.lines
-  FROM f JOIN k ON k.path = f.path AND k.i = f.i + 1, LATERAL (SELECT k.i > f.start AND (f.size >= 4000 OR (k.kind IS NOT NULL AND f.size >= 2400)) AS cut) c),
-chunks AS (SELECT path, c_start AS a, i - 1 AS b, c_kind AS kind, c_name AS name, false AS last FROM f WHERE cut UNION ALL SELECT path, start, i, kind, name, true FROM f WHERE i >= 0 AND i = lines - 1),
+    f"""WITH RECURSIVE {FILES_SQL}, {CODE_SQL}, every AS (SELECT path, content FROM code UNION ALL SELECT path, content
+FROM files), s AS (SELECT path, string_split(content, chr(10)) AS l FROM every),
+t AS (SELECT path, i::INTEGER AS i, length(l[i + 1]) + 1 AS n, regexp_replace(l[i + 1], '^\\s+|\\s+$', '', 'g') AS x, len(l) AS lines
+FROM s, unnest(range(0, len(l))) AS u(i)), k AS (SELECT *, {STRUCTURE_KIND} AS kind, {STRUCTURE_NAME} AS name FROM t),
+f AS (SELECT path, -1 AS i, 0 AS start, 0::BIGINT AS size, NULL::VARCHAR AS kind, NULL::VARCHAR AS name, false AS cut, 0 AS c_start,
+NULL::VARCHAR AS c_kind, NULL::VARCHAR AS c_name, 0::BIGINT AS lines FROM s UNION ALL
+  SELECT k.path, k.i, CASE WHEN c.cut THEN k.i ELSE f.start END, CASE WHEN c.cut THEN 0 ELSE f.size END + k.n, coalesce(k.kind,
+CASE WHEN NOT c.cut THEN f.kind END), coalesce(CASE WHEN NOT c.cut THEN f.name END, k.name), c.cut, f.start, f.kind, f.name, k.lines
+  FROM f JOIN k ON k.path = f.path AND k.i = f.i + 1,
+LATERAL (SELECT k.i > f.start AND (f.size >= 4000 OR (k.kind IS NOT NULL AND f.size >= 2400)) AS cut) c),
+chunks AS (SELECT path, c_start AS a, i - 1 AS b, c_kind AS kind, c_name AS name, false AS last FROM f WHERE cut UNION ALL
+SELECT path, start, i, kind, name, true FROM f WHERE i >= 0 AND i = lines - 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY a) - 1 AS no FROM chunks)
-SELECT path, 'chunk-' || no AS chunk_id, (a + 1)::INTEGER AS start_line, (b + 1)::INTEGER AS end_line, coalesce(kind, CASE WHEN last THEN 'tail' ELSE 'block' END) AS chunk_type, coalesce(name, CASE WHEN last THEN 'tail' ELSE 'block-' || no END) AS chunk_name FROM n""",
+SELECT path, 'chunk-' || no AS chunk_id, (a + 1)::INTEGER AS start_line, (b + 1)::INTEGER AS end_line, coalesce(kind,
+CASE WHEN last THEN 'tail' ELSE 'block' END) AS chunk_type, coalesce(name, CASE WHEN last THEN 'tail' ELSE 'block-' || no END) AS chunk_name FROM n""",
 )
 def structural_chunks(spark, d):  # noqa: ANN001, ANN201
     every = corpus.code_files(spark).select("path", "content").union(_files(spark, d).select("path", "content"))
@@ -249,12 +284,15 @@ def structural_chunks(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "line_chunks_code",
-    f"""WITH RECURSIVE {CODE_SQL}, s AS (SELECT path, CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END AS l FROM (SELECT path, string_split(content, chr(10)) AS l FROM code)),
+    f"""WITH RECURSIVE {CODE_SQL}, s AS (SELECT path, CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END AS l FROM (SELECT path, string_split(content, chr(10)) AS l
+FROM code)),
 k AS (SELECT path, i::INTEGER AS i, trim(l[i + 1]) = '' AS blank, len(l) AS lines FROM s, unnest(range(0, len(l))) AS u(i)),
 f AS (SELECT path, -1 AS i, 0 AS start, false AS closed, 0 AS c_start FROM s UNION ALL
   SELECT k.path, k.i, CASE WHEN c.closed THEN k.i + 1 ELSE f.start END, c.closed, f.start FROM f JOIN k ON k.path = f.path AND k.i = f.i + 1,
-  LATERAL (SELECT k.i - f.start + 1 >= 30 OR (k.blank AND k.i - f.start + 1 >= 5) OR k.i = k.lines - 1 AS closed) c), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS no FROM f WHERE closed)
-SELECT n.path, no::INTEGER AS chunk_no, c_start + 1 AS start_line, n.i + 1 AS end_line FROM n JOIN s ON s.path = n.path WHERE trim(array_to_string(l[c_start + 1:n.i + 1], ''), ' ' || chr(10)) <> ''""",
+  LATERAL (SELECT k.i - f.start + 1 >= 30 OR (k.blank AND k.i - f.start + 1 >= 5) OR k.i = k.lines - 1 AS closed) c), n AS (SELECT *,
+row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS no FROM f WHERE closed)
+SELECT n.path, no::INTEGER AS chunk_no, c_start + 1 AS start_line, n.i + 1 AS end_line FROM n JOIN s ON s.path = n.path
+WHERE trim(array_to_string(l[c_start + 1:n.i + 1], ''), ' ' || chr(10)) <> ''""",
 )
 def line_chunks_code(spark, d):  # noqa: ANN001, ANN201
     return chunking.line_chunks(corpus.code_files(spark)).select("path", "chunk_no", "start_line", "end_line")
@@ -265,9 +303,11 @@ def line_chunks_code(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "parse_imports_rust",
-    f"""WITH {CODE_SQL}, l AS (SELECT path, s[i] AS raw0, i::INTEGER AS line FROM (SELECT path, string_split(content, chr(10)) AS s FROM code WHERE language = 'rust'), unnest(range(1, len(s) + 1)) AS t(i)),
+    f"""WITH {CODE_SQL}, l AS (SELECT path, s[i] AS raw0, i::INTEGER AS line FROM (SELECT path, string_split(content, chr(10)) AS s FROM code
+WHERE language = 'rust'), unnest(range(1, len(s) + 1)) AS t(i)),
 c AS (SELECT path, line, trim(string_split(raw0, '//')[1]) AS raw FROM l)
-SELECT path AS source_file, regexp_extract(raw, '^use\\s+([\\w:]+)', 1) AS module, 'import' AS kind, line, NOT regexp_matches(raw, '^use\\s+(crate|super|self)') AS is_external, raw FROM c WHERE regexp_matches(raw, '^use\\s+[\\w:]')
+SELECT path AS source_file, regexp_extract(raw, '^use\\s+([\\w:]+)', 1) AS module, 'import' AS kind, line, NOT regexp_matches(raw,
+'^use\\s+(crate|super|self)') AS is_external, raw FROM c WHERE regexp_matches(raw, '^use\\s+[\\w:]')
 UNION ALL SELECT path, regexp_extract(raw, '^mod\\s+(\\w+)', 1), 'mod', line, false, raw FROM c WHERE regexp_matches(raw, '^mod\\s+\\w')""",
 )
 def parse_imports_rust(spark, d):  # noqa: ANN001, ANN201
@@ -285,33 +325,47 @@ def resolve_imports(spark, d):  # noqa: ANN001, ANN201
     return imports.resolve_imports(imports.parse_imports(code), code).select("source_file", "language", "module", "line", "target_file", "is_external")
 
 
-@query("importers", f"WITH {LINKS_SQL} SELECT target_file, count(*) AS n_imports, count(DISTINCT source_file) AS n_files FROM links WHERE NOT is_external GROUP BY target_file")
+@query(
+    "importers",
+    f"""WITH {LINKS_SQL} SELECT target_file, count(*) AS n_imports, count(DISTINCT source_file) AS n_files FROM links WHERE NOT is_external
+GROUP BY target_file""",
+)
 def importers(spark, d):  # noqa: ANN001, ANN201
     return index.importer_counts(_links(spark, d))
 
 
-@query("external_index", f"WITH {LINKS_SQL} SELECT target_module, count(DISTINCT source_file) AS n_files FROM links WHERE is_external GROUP BY target_module")
+@query(
+    "external_index",
+    f"""WITH {LINKS_SQL} SELECT target_module, count(DISTINCT source_file) AS n_files FROM links WHERE is_external GROUP BY target_module""",
+)
 def external_index(spark, d):  # noqa: ANN001, ANN201
     return index.external_index(_links(spark, d)).select("target_module", F.size("files").cast("long").alias("n_files"))
 
 
 @query(
     "dependency_indexes",
-    f"""WITH {FILES_SQL}, {LINKS_SQL} SELECT 'language' AS index, language AS key, path FROM files UNION ALL SELECT 'module', string_split(path, '/')[1], path FROM files
+    f"""WITH {FILES_SQL}, {LINKS_SQL} SELECT 'language' AS index, language AS key, path FROM files UNION ALL SELECT 'module', string_split(path, '/')[1], path
+FROM files
 UNION ALL SELECT DISTINCT 'external', target_module, source_file FROM links WHERE is_external""",
 )
 def dependency_indexes(spark, d):  # noqa: ANN001, ANN201
     return index.indexes(_files(spark, d), _links(spark, d))
 
 
-@query("imports_of_file", f"WITH {LINKS_SQL} SELECT source_file, target_module, target_file FROM links WHERE source_file = (SELECT min(source_file) FROM links)")
+@query(
+    "imports_of_file",
+    f"""WITH {LINKS_SQL} SELECT source_file, target_module, target_file FROM links WHERE source_file = (SELECT min(source_file) FROM links)""",
+)
 def imports_of_file(spark, d):  # noqa: ANN001, ANN201
     links = _links(spark, d)
     first = links.agg(F.min("source_file")).first()[0] or ""
     return index.imports_of(links, first).select("source_file", "target_module", "target_file")
 
 
-@query("first_wins", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+@query(
+    "first_wins",
+    """SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1""",
+)
 def first_wins(spark, d):  # noqa: ANN001, ANN201
     return sources.first_of_each(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
@@ -335,7 +389,12 @@ def entry_points(spark, d):  # noqa: ANN001, ANN201
     return index.entry_points(links.select(F.col("source_file").alias("path")).union(table(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*", ""), r"[?#].*$", ""))).distinct(), links)
 
 
-@query("module_dependencies", f"WITH {TRADE_SQL}, n AS (SELECT t.*, a.n_regionkey AS ra, b.n_regionkey AS rb FROM trade t JOIN nation a ON a.n_nationkey = t.src JOIN nation b ON b.n_nationkey = t.dst)\nSELECT DISTINCT 'r' || ra AS src_module, 'r' || rb AS dst_module FROM n WHERE ra <> rb")
+@query(
+    "module_dependencies",
+    f"""WITH {TRADE_SQL}, n AS (SELECT t.*, a.n_regionkey AS ra, b.n_regionkey AS rb FROM trade t JOIN nation a ON a.n_nationkey = t.src
+JOIN nation b ON b.n_nationkey = t.dst)
+SELECT DISTINCT 'r' || ra AS src_module, 'r' || rb AS dst_module FROM n WHERE ra <> rb""",
+)
 def module_dependencies(spark, d):  # noqa: ANN001, ANN201
     n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("path"))
     t = _trade(spark, d).join(n.select(F.col("n_nationkey").alias("src"), F.col("path").alias("source_file")), "src").join(n.select(F.col("n_nationkey").alias("dst"), F.col("path").alias("target_file")), "dst")
@@ -359,19 +418,34 @@ def dependency_statistics(spark, d):  # noqa: ANN001, ANN201
     return index.statistics(_link_files(links), links)
 
 
-@query("language_statistics", f"WITH {FILE_LINKS_SQL}, n AS (SELECT source_file AS path, count(*) AS n FROM links GROUP BY 1) SELECT language, count(*) AS file_count, sum(coalesce(n, 0))::BIGINT AS total_imports, round(avg(coalesce(n, 0)), 6) AS avg_imports_per_file FROM pf LEFT JOIN n USING (path) GROUP BY language")
+@query(
+    "language_statistics",
+    f"""WITH {FILE_LINKS_SQL}, n AS (SELECT source_file AS path, count(*) AS n FROM links GROUP BY 1)
+SELECT language, count(*) AS file_count, sum(coalesce(n, 0))::BIGINT AS total_imports, round(avg(coalesce(n, 0)), 6) AS avg_imports_per_file FROM pf
+LEFT JOIN n USING (path) GROUP BY language""",
+)
 def language_statistics(spark, d):  # noqa: ANN001, ANN201
     links = _links(spark, d)
     return index.language_statistics(_link_files(links), links)
 
 
-@query("module_statistics", f"WITH {FILE_LINKS_SQL}, n AS (SELECT source_file AS path, count(*) FILTER (WHERE NOT is_external) AS i, count(*) FILTER (WHERE is_external) AS e FROM links GROUP BY 1), m AS (SELECT CASE WHEN len(string_split(path, '/')) <= 1 THEN 'root' ELSE string_split(path, '/')[1] END AS module, lines, i, e FROM pf LEFT JOIN n USING (path))\nSELECT module, count(*) AS file_count, sum(lines)::BIGINT AS total_lines, sum(coalesce(i, 0))::BIGINT AS internal_imports, sum(coalesce(e, 0))::BIGINT AS external_imports FROM m GROUP BY module")
+@query(
+    "module_statistics",
+    f"""WITH {FILE_LINKS_SQL}, n AS (SELECT source_file AS path, count(*) FILTER (WHERE NOT is_external) AS i, count(*) FILTER (WHERE is_external) AS e
+FROM links GROUP BY 1), m AS (SELECT CASE WHEN len(string_split(path, '/')) <= 1 THEN 'root' ELSE string_split(path, '/')[1] END AS module, lines, i,
+e FROM pf LEFT JOIN n USING (path))
+SELECT module, count(*) AS file_count, sum(lines)::BIGINT AS total_lines, sum(coalesce(i, 0))::BIGINT AS internal_imports, sum(coalesce(e,
+0))::BIGINT AS external_imports FROM m GROUP BY module""",
+)
 def module_statistics(spark, d):  # noqa: ANN001, ANN201
     links = _links(spark, d)
     return index.module_statistics(_link_files(links), links)
 
 
-@query("search_files", f"WITH {FILES_SQL} SELECT path FROM files WHERE contains(lower(path), 'doc_1') AND language = 'en' AND string_split(path, '/')[1] = 'src1'")
+@query(
+    "search_files",
+    f"""WITH {FILES_SQL} SELECT path FROM files WHERE contains(lower(path), 'doc_1') AND language = 'en' AND string_split(path, '/')[1] = 'src1'""",
+)
 def search_files(spark, d):  # noqa: ANN001, ANN201
     return index.search_files(_files(spark, d), "DOC_1", language="en", module="src1").select("path")
 
@@ -383,12 +457,16 @@ def search_files(spark, d):  # noqa: ANN001, ANN201
 PAGE_RANK_SQL = """deg AS (SELECT src, count(*) AS deg FROM e GROUP BY src),
 pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v UNION ALL
   SELECT p.turn + 1, v.id,
-    0.85 * (coalesce(sum(CASE WHEN e.dst = v.id THEN p.score / deg.deg END), 0) + sum(CASE WHEN deg.deg IS NULL THEN p.score ELSE 0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
+    0.85 * (coalesce(sum(CASE WHEN e.dst = v.id THEN p.score / deg.deg END),
+0) + sum(CASE WHEN deg.deg IS NULL THEN p.score ELSE 0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
   FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.src = p.id LEFT JOIN e ON e.src = p.id AND e.dst = v.id WHERE p.turn < 20 GROUP BY p.turn, v.id)
 SELECT id, round(score, 6) AS score FROM pr WHERE turn = 20"""
 
 
-@query("pagerank_files", f"WITH RECURSIVE {TRADE_SQL}, e AS (SELECT * FROM trade WHERE src <> dst), v AS (SELECT n_nationkey AS id FROM nation), {PAGE_RANK_SQL}")
+@query(
+    "pagerank_files",
+    f"""WITH RECURSIVE {TRADE_SQL}, e AS (SELECT * FROM trade WHERE src <> dst), v AS (SELECT n_nationkey AS id FROM nation), {PAGE_RANK_SQL}""",
+)
 def pagerank_files(spark, d):  # noqa: ANN001, ANN201
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
     return graph.page_rank(nations, _trade(spark, d), most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
@@ -396,7 +474,8 @@ def pagerank_files(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "pagerank_pages",
-    f"""WITH RECURSIVE {LINKS_SQL}, e AS (SELECT DISTINCT source_file AS src, target_file AS dst FROM links WHERE NOT is_external AND source_file <> target_file),
+    f"""WITH RECURSIVE {LINKS_SQL}, e AS (SELECT DISTINCT source_file AS src, target_file AS dst FROM links
+WHERE NOT is_external AND source_file <> target_file),
 v AS (SELECT source_file AS id FROM links UNION SELECT target_file FROM links WHERE NOT is_external), {PAGE_RANK_SQL}""",
 )
 def pagerank_pages(spark, d):  # noqa: ANN001, ANN201
@@ -426,7 +505,11 @@ def related_files_d1(spark, d):  # noqa: ANN001, ANN201
     return graph.related(_buys(spark, d), spark.createDataFrame([("s1",), ("s2",)], "id string"), 1)
 
 
-@query("related_files_d2", f"WITH RECURSIVE {BUYS_SQL}, r AS (SELECT 's1' AS id, 0 AS depth UNION SELECT b.dst, r.depth + 1 FROM r JOIN both_ways b ON b.src = r.id WHERE r.depth < 2) SELECT 's1' AS start, id, min(depth)::INTEGER AS depth FROM r WHERE id <> 's1' GROUP BY id")
+@query(
+    "related_files_d2",
+    f"""WITH RECURSIVE {BUYS_SQL}, r AS (SELECT 's1' AS id, 0 AS depth UNION SELECT b.dst, r.depth + 1 FROM r JOIN both_ways b ON b.src = r.id
+WHERE r.depth < 2) SELECT 's1' AS start, id, min(depth)::INTEGER AS depth FROM r WHERE id <> 's1' GROUP BY id""",
+)
 def related_files_d2(spark, d):  # noqa: ANN001, ANN201
     return graph.related(_buys(spark, d), spark.createDataFrame([("s1",)], "id string"), 2)
 
@@ -441,17 +524,34 @@ def pagerank_symbols(spark, d):  # noqa: ANN001, ANN201
 CALLS_SQL = "calls AS (SELECT * FROM " + corpus.values(corpus.CALLS, "src, dst") + ")"
 
 
-@query("call_chains", f"WITH RECURSIVE {CALLS_SQL}, p AS (SELECT ['a'] AS chain UNION ALL SELECT list_append(chain, dst) FROM p JOIN calls ON src = chain[-1] WHERE chain[-1] <> 'e' AND NOT list_contains(chain, dst) AND len(chain) <= 5) SELECT array_to_string(chain, '>') AS chain FROM p WHERE chain[-1] = 'e'")
+@query(
+    "call_chains",
+    f"""WITH RECURSIVE {CALLS_SQL}, p AS (SELECT ['a'] AS chain UNION ALL SELECT list_append(chain, dst) FROM p JOIN calls ON src = chain[-1]
+WHERE chain[-1] <> 'e' AND NOT list_contains(chain, dst) AND len(chain) <= 5) SELECT array_to_string(chain, '>') AS chain FROM p WHERE chain[-1] = 'e'""",
+)
 def call_chains(spark, d):  # noqa: ANN001, ANN201
     return graph.call_chains(spark.createDataFrame(corpus.CALLS, "src string, dst string"), "a", "e", 5).select(F.array_join("chain", ">").alias("chain"))
 
 
-@query("cycles", f"WITH RECURSIVE {CALLS_SQL}, e AS (SELECT DISTINCT src, dst FROM calls WHERE src <> dst), p AS (SELECT [src, dst] AS path, false AS closed FROM e WHERE dst > src UNION ALL SELECT list_append(path, dst), dst = path[1] FROM p JOIN e ON src = path[-1] WHERE NOT closed AND (dst = path[1] OR (dst > path[1] AND NOT list_contains(path, dst))) AND len(path) <= 10)\nSELECT array_to_string(path, '>') AS cycle FROM p WHERE closed")
+@query(
+    "cycles",
+    f"""WITH RECURSIVE {CALLS_SQL}, e AS (SELECT DISTINCT src, dst FROM calls WHERE src <> dst), p AS (SELECT [src, dst] AS path, false AS closed FROM e
+WHERE dst > src UNION ALL SELECT list_append(path, dst), dst = path[1] FROM p JOIN e ON src = path[-1]
+WHERE NOT closed AND (dst = path[1] OR (dst > path[1] AND NOT list_contains(path, dst))) AND len(path) <= 10)
+SELECT array_to_string(path, '>') AS cycle FROM p WHERE closed""",
+)
 def cycles(spark, d):  # noqa: ANN001, ANN201
     return graph.cycles(spark.createDataFrame(corpus.CALLS, "src string, dst string")).select(F.array_join("cycle", ">").alias("cycle"))
 
 
-@query("topo_levels", f"WITH RECURSIVE i AS (SELECT * FROM {corpus.values(corpus.STEPS, 'id, ord')}), n AS (SELECT x.* FROM {corpus.values(corpus.NEEDS, 'id, need').replace(' AS t(', ' AS x(')} WHERE x.need IN (SELECT id FROM i)), bad AS (SELECT id FROM n WHERE id IN ('x', 'y', 'z')), l AS (SELECT id, 0 AS level FROM i WHERE id NOT IN (SELECT id FROM bad) UNION SELECT n.id, l.level + 1 FROM l JOIN n ON n.need = l.id WHERE n.id NOT IN (SELECT id FROM bad))\nSELECT i.id, coalesce(max(l.level), -1)::INTEGER AS level, any_value(i.ord)::INTEGER AS ord FROM i LEFT JOIN l USING (id) GROUP BY i.id")
+@query(
+    "topo_levels",
+    f"""WITH RECURSIVE i AS (SELECT * FROM {corpus.values(corpus.STEPS, 'id, ord')}), n AS (SELECT x.*
+FROM {corpus.values(corpus.NEEDS, 'id, need').replace(' AS t(', ' AS x(')} WHERE x.need IN (SELECT id FROM i)), bad AS (SELECT id FROM n
+WHERE id IN ('x', 'y', 'z')), l AS (SELECT id, 0 AS level FROM i WHERE id NOT IN (SELECT id FROM bad) UNION SELECT n.id, l.level + 1 FROM l
+JOIN n ON n.need = l.id WHERE n.id NOT IN (SELECT id FROM bad))
+SELECT i.id, coalesce(max(l.level), -1)::INTEGER AS level, any_value(i.ord)::INTEGER AS ord FROM i LEFT JOIN l USING (id) GROUP BY i.id""",
+)
 def topo_levels(spark, d):  # noqa: ANN001, ANN201
     return graph.levels(spark.createDataFrame(corpus.STEPS, "id string, ord int"), spark.createDataFrame(corpus.NEEDS, "id string, on string")).select("id", F.coalesce("level", F.lit(-1)).alias("level"), "ord")
 
@@ -467,9 +567,12 @@ def topo_order(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "symbols_go",
-    f"""WITH {CODE_SQL}, l AS (SELECT path, s[i] AS x, i::INTEGER AS line FROM (SELECT path, string_split(content, chr(10)) AS s FROM code WHERE language = 'go'), unnest(range(1, len(s) + 1)) AS t(i)),
-m AS (SELECT path, line, regexp_extract(x, '^func\\s+(\\w+)\\s*\\(', 1) AS fn, regexp_extract(x, '^type\\s+(\\w+)\\s+struct', 1) AS st, regexp_extract(x, '^type\\s+(\\w+)\\s+interface', 1) AS it FROM l)
-SELECT path AS file, fn || st || it AS name, CASE WHEN fn <> '' THEN 'function' WHEN st <> '' THEN 'class' ELSE 'interface' END AS kind, line, CASE WHEN fn <> '' THEN 'func ' || fn || '(...)' ELSE 'type ' || st || it END AS signature FROM m WHERE fn || st || it <> ''""",
+    f"""WITH {CODE_SQL}, l AS (SELECT path, s[i] AS x, i::INTEGER AS line FROM (SELECT path, string_split(content, chr(10)) AS s FROM code
+WHERE language = 'go'), unnest(range(1, len(s) + 1)) AS t(i)),
+m AS (SELECT path, line, regexp_extract(x, '^func\\s+(\\w+)\\s*\\(', 1) AS fn, regexp_extract(x, '^type\\s+(\\w+)\\s+struct', 1) AS st,
+regexp_extract(x, '^type\\s+(\\w+)\\s+interface', 1) AS it FROM l)
+SELECT path AS file, fn || st || it AS name, CASE WHEN fn <> '' THEN 'function' WHEN st <> '' THEN 'class' ELSE 'interface' END AS kind, line,
+CASE WHEN fn <> '' THEN 'func ' || fn || '(...)' ELSE 'type ' || st || it END AS signature FROM m WHERE fn || st || it <> ''""",
 )
 def symbols_go(spark, d):  # noqa: ANN001, ANN201
     return symbols.parse_symbols(corpus.code_files(spark).where("language = 'go'")).select("file", "name", "kind", "line", "signature")
@@ -498,8 +601,10 @@ ARCH_VALUES = corpus.values([(n.upper(), w, k) for n, (k, w, _) in patterns.ARCH
 
 @query(
     "arch_patterns",
-    f"""WITH s AS (SELECT lower(p_type) AS name, max(p_partkey) AS id FROM part GROUP BY 1 UNION ALL SELECT lower(event_type) || 'event', max(event_id) FROM events GROUP BY 1), a AS (SELECT * FROM {ARCH_VALUES}), k AS (SELECT pattern, weight, len(keywords) AS n, unnest(keywords) AS keyword FROM a)
-SELECT pattern, round(least(count(*) / any_value(n) + any_value(weight), 1.0), 6)::DOUBLE AS confidence, count(*) AS n_hits FROM k JOIN s ON contains(s.name, k.keyword) GROUP BY pattern HAVING count(*) >= 2""",
+    f"""WITH s AS (SELECT lower(p_type) AS name, max(p_partkey) AS id FROM part GROUP BY 1 UNION ALL SELECT lower(event_type) || 'event', max(event_id)
+FROM events GROUP BY 1), a AS (SELECT * FROM {ARCH_VALUES}), k AS (SELECT pattern, weight, len(keywords) AS n, unnest(keywords) AS keyword FROM a)
+SELECT pattern, round(least(count(*) / any_value(n) + any_value(weight), 1.0), 6)::DOUBLE AS confidence, count(*) AS n_hits FROM k
+JOIN s ON contains(s.name, k.keyword) GROUP BY pattern HAVING count(*) >= 2""",
 )
 def arch_patterns(spark, d):  # noqa: ANN001, ANN201
     parts = table(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("id"))
@@ -525,9 +630,12 @@ def _glob_rows(spark, d):  # noqa: ANN001, ANN202
 
 @query(
     "relevant_files_glob",
-    f"""WITH {FILES_SQL}, own AS (SELECT 'en' AS doc_id, path FROM files WHERE regexp_full_match(path, '.*/en/.*') UNION SELECT 'ones', path FROM files WHERE regexp_full_match(path, 'src./.*/doc_.*1\\.txt')
-UNION SELECT 'low', path FROM files WHERE regexp_full_match(path, 'src[0-4]/[^e].*/.*9\\.txt')), e AS (SELECT a.path AS src, b.path AS dst FROM files a JOIN files b ON length(a.content) = length(b.content) AND a.path < b.path),
-both_ways AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT * FROM own UNION SELECT doc_id, dst FROM own JOIN both_ways ON src = path UNION SELECT 'ones', path FROM own WHERE doc_id = 'en'""",
+    f"""WITH {FILES_SQL}, own AS (SELECT 'en' AS doc_id, path FROM files WHERE regexp_full_match(path, '.*/en/.*') UNION SELECT 'ones', path FROM files
+WHERE regexp_full_match(path, 'src./.*/doc_.*1\\.txt')
+UNION SELECT 'low', path FROM files WHERE regexp_full_match(path, 'src[0-4]/[^e].*/.*9\\.txt')), e AS (SELECT a.path AS src, b.path AS dst
+FROM files a JOIN files b ON length(a.content) = length(b.content) AND a.path < b.path),
+both_ways AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT * FROM own UNION SELECT doc_id, dst FROM own
+JOIN both_ways ON src = path UNION SELECT 'ones', path FROM own WHERE doc_id = 'en'""",
 )
 def relevant_files_glob(spark, d):  # noqa: ANN001, ANN201
     files = _files(spark, d)
@@ -536,12 +644,22 @@ def relevant_files_glob(spark, d):  # noqa: ANN001, ANN201
     return docmap.relevant_files(files, _glob_rows(spark, d), same)
 
 
-@query("category_tree", f"WITH RECURSIVE c AS (SELECT * FROM {corpus.values(corpus.CATEGORIES, 'id, parent_id, title')}), t AS (SELECT id, 0 AS depth, title AS path FROM c WHERE coalesce(parent_id, '') = '' UNION ALL SELECT c.id, t.depth + 1, t.path || '/' || c.title FROM t JOIN c ON c.parent_id = t.id) SELECT id, depth::INTEGER AS depth, path FROM t")
+@query(
+    "category_tree",
+    f"""WITH RECURSIVE c AS (SELECT * FROM {corpus.values(corpus.CATEGORIES, 'id, parent_id, title')}), t AS (SELECT id, 0 AS depth, title AS path FROM c
+WHERE coalesce(parent_id, '') = '' UNION ALL SELECT c.id, t.depth + 1, t.path || '/' || c.title FROM t JOIN c ON c.parent_id = t.id)
+SELECT id, depth::INTEGER AS depth, path FROM t""",
+)
 def category_tree(spark, d):  # noqa: ANN001, ANN201
     return docmap.tree_paths(spark.createDataFrame(corpus.CATEGORIES, "id string, parent_id string, title string"))
 
 
-@query("region_tree", "SELECT 'r' || r_regionkey AS id, 0 AS depth, r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 's' || s_suppkey, 2, r_name || '/' || n_name || '/' || s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+@query(
+    "region_tree",
+    """SELECT 'r' || r_regionkey AS id, 0 AS depth, r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '/' || n_name FROM nation
+JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 's' || s_suppkey, 2, r_name || '/' || n_name || '/' || s_name FROM supplier
+JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""",
+)
 def region_tree(spark, d):  # noqa: ANN001, ANN201
     r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
     n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")
@@ -549,14 +667,23 @@ def region_tree(spark, d):  # noqa: ANN001, ANN201
     return docmap.tree_paths(r.union(n).union(s))
 
 
-@query("catalog_upsert", "SELECT DISTINCT n_name AS name, 'r' || n_regionkey AS parent_id, substr(sha256('r' || n_regionkey || chr(31) || n_name), 1, 32) AS id FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+@query(
+    "catalog_upsert",
+    """SELECT DISTINCT n_name AS name, 'r' || n_regionkey AS parent_id, substr(sha256('r' || n_regionkey || chr(31) || n_name), 1, 32) AS id FROM nation
+JOIN supplier ON s_nationkey = n_nationkey""",
+)
 def catalog_upsert(spark, d):  # noqa: ANN001, ANN201
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
     return metadata.catalogs(rows).select("name", "parent_id", "id")
 
 
 
-@query("cache_latest_ttl", "WITH l AS (SELECT user_id AS key, ts AS created_at, event_type AS op, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), m AS (SELECT max(ts) AS now FROM events) SELECT key, op, round(value, 6) AS value FROM l, m WHERE rn = 1 AND epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) <= 604800")
+@query(
+    "cache_latest_ttl",
+    """WITH l AS (SELECT user_id AS key, ts AS created_at, event_type AS op, value, row_number() OVER (PARTITION BY user_id
+ORDER BY ts DESC, event_id DESC) AS rn FROM events), m AS (SELECT max(ts) AS now FROM events) SELECT key, op, round(value, 6) AS value FROM l, m
+WHERE rn = 1 AND epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) <= 604800""",
+)
 def cache_latest_ttl(spark, d):  # noqa: ANN001, ANN201
     events = table(spark, d, "events")
     now = events.agg(F.max("ts").alias("now"))
@@ -566,7 +693,11 @@ def cache_latest_ttl(spark, d):  # noqa: ANN001, ANN201
     return kept.select("key", "op", F.round("value", 6).alias("value"))
 
 
-@query("generation_status", "SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'success' WHEN quality = 0 THEN 'failed' END, 'pending') AS status FROM documents LEFT JOIN labels USING (doc_id)")
+@query(
+    "generation_status",
+    """SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'success' WHEN quality = 0 THEN 'failed' END, 'pending') AS status FROM documents LEFT
+JOIN labels USING (doc_id)""",
+)
 def generation_status(spark, d):  # noqa: ANN001, ANN201
     records = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "success").otherwise("failed").alias("status"))
     return state.statuses(table(spark, d, "documents"), records)
@@ -590,10 +721,13 @@ def json_props(spark, d):  # noqa: ANN001, ANN201
 CALL_ROWS = [(a, b, "calls", n) for n, (a, b) in enumerate(corpus.CALLS, 1)] + [("a", "e", "imports", 20), ("f", "b", "uses", 21)]
 NODE_ROWS = [(x, x.upper(), k, p, n) for n, (x, k, p) in enumerate((("a", "function", "src/one/a.py"), ("b", "class", "src/one/a.py"), ("c", "method", "src/two/c.py"), ("d", "function", "src/two/c.py"), ("e", "variable", "e.py"), ("g", "function", "src/one/a.py")), 1)]
 GRAPH_SQL = "edges AS (SELECT * FROM " + corpus.values(CALL_ROWS, "source, target, edge_type, line") + "), nodes AS (SELECT * FROM " + corpus.values(NODE_ROWS, "id, name, kind, file, line") + ")"
-RANK_SQL = """links AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'calls' AND source <> target), v AS (SELECT id FROM nodes UNION SELECT source FROM links UNION SELECT target FROM links), deg AS (SELECT source, count(*) AS n FROM links GROUP BY source),
+RANK_SQL = """links AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'calls' AND source <> target), v AS (SELECT id FROM nodes UNION SELECT source
+FROM links UNION SELECT target FROM links), deg AS (SELECT source, count(*) AS n FROM links GROUP BY source),
 pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v UNION ALL
-  SELECT p.turn + 1, v.id, 0.85 * (sum(CASE WHEN e.target IS NOT NULL THEN p.score / deg.n ELSE 0 END) + sum(CASE WHEN deg.n IS NULL THEN p.score ELSE 0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
-  FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.source = p.id LEFT JOIN links e ON e.source = p.id AND e.target = v.id WHERE p.turn < 24 GROUP BY p.turn, v.id)"""
+  SELECT p.turn + 1, v.id, 0.85 * (sum(CASE WHEN e.target IS NOT NULL THEN p.score / deg.n ELSE 0 END) + sum(CASE WHEN deg.n IS NULL THEN p.score ELSE
+0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
+  FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.source = p.id LEFT JOIN links e ON e.source = p.id AND e.target = v.id WHERE p.turn < 24
+GROUP BY p.turn, v.id)"""
 
 
 def _graph(spark):  # noqa: ANN001, ANN202
@@ -602,7 +736,11 @@ def _graph(spark):  # noqa: ANN001, ANN202
     return nodes.select("*", F.col("line").alias("end_line"), F.lit("").alias("signature"), F.lit("").alias("doc")), edges
 
 
-@query("core_symbols", f"WITH RECURSIVE {GRAPH_SQL}, {RANK_SQL}, r AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM pr WHERE turn = 24) SELECT id, rank::INTEGER AS rank, round(score, 6) AS score, name, kind FROM r JOIN nodes USING (id) WHERE rank <= 5")
+@query(
+    "core_symbols",
+    f"""WITH RECURSIVE {GRAPH_SQL}, {RANK_SQL}, r AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM pr WHERE turn = 24)
+SELECT id, rank::INTEGER AS rank, round(score, 6) AS score, name, kind FROM r JOIN nodes USING (id) WHERE rank <= 5""",
+)
 def core_symbols(spark, d):  # noqa: ANN001, ANN201
     nodes, edges = _graph(spark)
     return symbol_graph.core_symbols(nodes, edges, 5, most=24, tolerance=0).select("id", "rank", F.round("score", 6).alias("score"), "name", "kind")
@@ -618,18 +756,31 @@ def symbol_diagram(spark, d):  # noqa: ANN001, ANN201
     return symbol_graph.symbol_diagram(*_graph(spark))
 
 
-@query("related_symbols", f"WITH RECURSIVE {GRAPH_SQL}, b AS (SELECT source AS x, target AS y FROM edges WHERE edge_type = 'calls' UNION SELECT target, source FROM edges WHERE edge_type = 'calls'), r AS (SELECT 'f' AS id, 0 AS depth UNION SELECT b.y, r.depth + 1 FROM r JOIN b ON b.x = r.id WHERE r.depth < 2) SELECT 'f' AS start, id, min(depth)::INTEGER AS depth FROM r WHERE id <> 'f' GROUP BY id")
+@query(
+    "related_symbols",
+    f"""WITH RECURSIVE {GRAPH_SQL}, b AS (SELECT source AS x, target AS y FROM edges WHERE edge_type = 'calls' UNION SELECT target, source FROM edges
+WHERE edge_type = 'calls'), r AS (SELECT 'f' AS id, 0 AS depth UNION SELECT b.y, r.depth + 1 FROM r JOIN b ON b.x = r.id WHERE r.depth < 2)
+SELECT 'f' AS start, id, min(depth)::INTEGER AS depth FROM r WHERE id <> 'f' GROUP BY id""",
+)
 def related_symbols(spark, d):  # noqa: ANN001, ANN201
     return symbol_graph.related_symbols(_graph(spark)[1], spark.createDataFrame([("f",)], "id string"))
 
 
-@query("symbol_callers", "SELECT 's' || l_suppkey AS id, 'c' || o_custkey AS caller, count(*) AS calls FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey <= 5 GROUP BY ALL")
+@query(
+    "symbol_callers",
+    """SELECT 's' || l_suppkey AS id, 'c' || o_custkey AS caller, count(*) AS calls FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey <= 5
+GROUP BY ALL""",
+)
 def symbol_callers(spark, d):  # noqa: ANN001, ANN201
     ids = table(spark, d, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
     return symbol_graph.callers(_purchases(spark, d), ids).groupBy("id", "caller").agg(F.count("*").alias("calls"))
 
 
-@query("symbol_callees", "SELECT 'c' || o_custkey AS id, 's' || l_suppkey AS callee, count(*) AS calls FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey <= 20 GROUP BY ALL")
+@query(
+    "symbol_callees",
+    """SELECT 'c' || o_custkey AS id, 's' || l_suppkey AS callee, count(*) AS calls FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+WHERE o_custkey <= 20 GROUP BY ALL""",
+)
 def symbol_callees(spark, d):  # noqa: ANN001, ANN201
     ids = table(spark, d, "customer").where("c_custkey <= 20").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     return symbol_graph.callees(_purchases(spark, d), ids).groupBy("id", "callee").agg(F.count("*").alias("calls"))
@@ -640,7 +791,11 @@ def _purchases(spark, d):  # noqa: ANN001, ANN202
     return lots.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), F.lit("calls").alias("edge_type"))
 
 
-@query("symbol_graph_changes", f"WITH {GRAPH_SQL} SELECT id, name, kind, file FROM nodes WHERE id NOT IN ('a', 'g') UNION ALL SELECT 'a', 'NEW', 'class', 'x/y.py' UNION ALL SELECT 'z', 'Z', 'function', 'x/y.py'")
+@query(
+    "symbol_graph_changes",
+    f"""WITH {GRAPH_SQL} SELECT id, name, kind, file FROM nodes WHERE id NOT IN ('a', 'g') UNION ALL SELECT 'a', 'NEW', 'class', 'x/y.py' UNION ALL
+SELECT 'z', 'Z', 'function', 'x/y.py'""",
+)
 def symbol_graph_changes(spark, d):  # noqa: ANN001, ANN201
     nodes, _ = _graph(spark)
     new = spark.createDataFrame([("a", "NEW", "class", "x/y.py"), ("z", "Z", "function", "x/y.py")], "id string, name string, kind string, file string")
@@ -654,18 +809,31 @@ def symbol_import_graph(spark, d):  # noqa: ANN001, ANN201
     return symbol_graph.import_graph(*_graph(spark))
 
 
-@query("symbol_json_round_trip", f"WITH {GRAPH_SQL} SELECT 'symbol' AS what, id AS a, name AS b, kind AS c, line::INTEGER AS line FROM nodes UNION ALL SELECT 'edge', source, target, edge_type, line::INTEGER FROM edges")
+@query(
+    "symbol_json_round_trip",
+    f"""WITH {GRAPH_SQL} SELECT 'symbol' AS what, id AS a, name AS b, kind AS c, line::INTEGER AS line FROM nodes UNION ALL
+SELECT 'edge', source, target, edge_type, line::INTEGER FROM edges""",
+)
 def symbol_json_round_trip(spark, d):  # noqa: ANN001, ANN201
     nodes, edges = symbol_graph.from_json(symbol_graph.to_json(*_graph(spark)))
     return nodes.select(F.lit("symbol").alias("what"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("kind").alias("c"), "line").union(edges.select(F.lit("edge"), "source", "target", "edge_type", "line"))
 
 
-@query("symbol_summary", f"WITH {GRAPH_SQL} SELECT 'symbols' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'files', count(DISTINCT file) FROM nodes UNION ALL SELECT kind, count(*) FROM nodes GROUP BY kind")
+@query(
+    "symbol_summary",
+    f"""WITH {GRAPH_SQL} SELECT 'symbols' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL
+SELECT 'files', count(DISTINCT file) FROM nodes UNION ALL SELECT kind, count(*) FROM nodes GROUP BY kind""",
+)
 def symbol_summary(spark, d):  # noqa: ANN001, ANN201
     return symbol_graph.summary(*_graph(spark))
 
 
-@query("symbol_lookups", f"WITH {GRAPH_SQL} SELECT 'kind' AS what, id FROM nodes WHERE kind = 'function' UNION ALL SELECT 'file', id FROM nodes WHERE file = 'src/two/c.py' UNION ALL SELECT 'id', id FROM nodes WHERE id = 'e' UNION ALL SELECT 'uses', source || target FROM edges WHERE edge_type = 'uses' UNION ALL SELECT 'chain', 'fab'")
+@query(
+    "symbol_lookups",
+    f"""WITH {GRAPH_SQL} SELECT 'kind' AS what, id FROM nodes WHERE kind = 'function' UNION ALL SELECT 'file', id FROM nodes WHERE file = 'src/two/c.py'
+UNION ALL SELECT 'id', id FROM nodes WHERE id = 'e' UNION ALL SELECT 'uses', source || target FROM edges WHERE edge_type = 'uses' UNION ALL
+SELECT 'chain', 'fab'""",
+)
 def symbol_lookups(spark, d):  # noqa: ANN001, ANN201
     nodes, edges = _graph(spark)
     rows = lambda what, df, c="id": df.select(F.lit(what).alias("what"), F.col(c).alias("id"))
@@ -689,7 +857,12 @@ def _plan(spark, d):  # noqa: ANN001, ANN202
     return r.union(n), docs, written
 
 
-@query("wiki_page_list", "SELECT 'docs/s' || s_suppkey AS id, s_name AS title, 'category/n' || s_nationkey AS parent_id, s_suppkey::INTEGER AS ord FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'category/n' || n_nationkey, any_value(n_name), 'category/r' || any_value(n_regionkey), n_nationkey::INTEGER FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(*) >= 3")
+@query(
+    "wiki_page_list",
+    """SELECT 'docs/s' || s_suppkey AS id, s_name AS title, 'category/n' || s_nationkey AS parent_id, s_suppkey::INTEGER AS ord FROM supplier
+WHERE s_acctbal > 0 UNION ALL SELECT 'category/n' || n_nationkey, any_value(n_name), 'category/r' || any_value(n_regionkey), n_nationkey::INTEGER
+FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(*) >= 3""",
+)
 def wiki_page_list(spark, d):  # noqa: ANN001, ANN201
     return docmap.category_branches(*_plan(spark, d))[0].select("id", "title", "parent_id", "ord")
 
@@ -697,10 +870,13 @@ def wiki_page_list(spark, d):  # noqa: ANN001, ANN201
 @query(
     "wiki_sidebar",
     """WITH w AS (SELECT * FROM supplier WHERE s_acctbal > 0), big AS (SELECT s_nationkey AS k FROM supplier GROUP BY 1 HAVING count(*) >= 3),
-e AS (SELECT DISTINCT [1, r_regionkey] AS p, 0 AS depth, r_name AS title, '' AS page_id FROM w JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL
-  SELECT DISTINCT [1, n_regionkey, 1, n_nationkey], 1, n_name, CASE WHEN n_nationkey IN (SELECT k FROM big) THEN 'category/n' || n_nationkey ELSE '' END FROM w JOIN nation ON n_nationkey = s_nationkey UNION ALL
+e AS (SELECT DISTINCT [1, r_regionkey] AS p, 0 AS depth, r_name AS title, '' AS page_id FROM w JOIN nation ON n_nationkey = s_nationkey
+JOIN region ON r_regionkey = n_regionkey UNION ALL
+  SELECT DISTINCT [1, n_regionkey, 1, n_nationkey], 1, n_name, CASE WHEN n_nationkey IN (SELECT k
+FROM big) THEN 'category/n' || n_nationkey ELSE '' END FROM w JOIN nation ON n_nationkey = s_nationkey UNION ALL
   SELECT [1, n_regionkey, 1, n_nationkey, 0, s_suppkey], 2, s_name, 'docs/s' || s_suppkey FROM w JOIN nation ON n_nationkey = s_nationkey)
-SELECT string_agg(repeat('  ', depth) || CASE WHEN page_id = '' THEN '- **' || title || '**' ELSE '- [' || title || '](content/' || page_id || '.md)' END, chr(10) ORDER BY p) AS text FROM e""",
+SELECT string_agg(repeat('  ', depth) || CASE WHEN page_id = '' THEN '- **' || title || '**' ELSE '- [' || title || '](content/' || page_id || '.md)'
+END, chr(10) ORDER BY p) AS text FROM e""",
 )
 def wiki_sidebar(spark, d):  # noqa: ANN001, ANN201
     return render.sidebar(docmap.category_branches(*_plan(spark, d))[1])
@@ -709,15 +885,22 @@ def wiki_sidebar(spark, d):  # noqa: ANN001, ANN201
 @query(
     "wiki_category_index",
     """WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS no FROM supplier)
-SELECT 'category/n' || n_nationkey AS id, md5('# ' || any_value(n_name) || chr(10) || chr(10) || '<cite>' || chr(10) || chr(10) || '**分类文档: ' || any_value(n_name) || '**' || chr(10) || chr(10) || '- 包含 ' || count(*) || ' 个文档' || chr(10) || chr(10) || '</cite>' || chr(10) || chr(10) || '## 目录' || chr(10) || chr(10)
+SELECT 'category/n' || n_nationkey AS id,
+md5('# ' || any_value(n_name) || chr(10) || chr(10) || '<cite>' || chr(10) || chr(10) || '**分类文档: ' || any_value(n_name) || '**' || chr(10) || chr(10)
+|| '- 包含 ' || count(*) || ' 个文档' || chr(10) || chr(10) || '</cite>' || chr(10) || chr(10) || '## 目录' || chr(10) || chr(10)
   || string_agg(no || '. [' || s_name || '](#s' || s_suppkey || ')', chr(10) ORDER BY no) || chr(10) || chr(10) || '## 文档列表' || chr(10) || chr(10)
-  || string_agg('- [' || CASE WHEN s_acctbal > 0 THEN '✓' ELSE '○' END || '] [' || s_name || '](docs/s' || s_suppkey || ') — sells', chr(10) ORDER BY no)) AS content FROM s JOIN nation ON n_nationkey = s_nationkey GROUP BY n_nationkey HAVING count(*) >= 3""",
+  || string_agg('- [' || CASE WHEN s_acctbal > 0 THEN '✓' ELSE '○' END || '] [' || s_name || '](docs/s' || s_suppkey || ') — sells', chr(10)
+ORDER BY no)) AS content FROM s JOIN nation ON n_nationkey = s_nationkey GROUP BY n_nationkey HAVING count(*) >= 3""",
 )
 def wiki_category_index(spark, d):  # noqa: ANN001, ANN201
     return docmap.category_branches(*_plan(spark, d))[0].where("id like 'category/%'").select("id", F.md5("content").alias("content"))
 
 
-@query("metadata_round_trip", "SELECT 'catalog' AS what, n_name AS name, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'item', s_name, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'relation', 's' || s_suppkey, 'n' || s_nationkey FROM supplier")
+@query(
+    "metadata_round_trip",
+    """SELECT 'catalog' AS what, n_name AS name, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'item', s_name, 'n' || s_nationkey FROM supplier
+UNION ALL SELECT 'relation', 's' || s_suppkey, 'n' || s_nationkey FROM supplier""",
+)
 def metadata_round_trip(spark, d):  # noqa: ANN001, ANN201
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     made = metadata.catalogs(n.select(F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id")))
@@ -732,7 +915,8 @@ def metadata_round_trip(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "metadata_lookups",
-    f"""WITH t AS (SELECT 'tree' AS what, r_name AS name FROM region UNION ALL SELECT 'tree', r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+    f"""WITH t AS (SELECT 'tree' AS what, r_name AS name FROM region UNION ALL SELECT 'tree', r_name || '/' || n_name FROM nation
+JOIN region ON r_regionkey = n_regionkey)
 SELECT * FROM t UNION ALL SELECT 'title', min(s_name) FROM supplier UNION ALL SELECT 'in catalog', s_name FROM supplier WHERE s_nationkey = 1
 UNION ALL SELECT 'below', s_name FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'next relation', (count(*) + 1)::VARCHAR FROM supplier""",
 )
@@ -757,7 +941,8 @@ def metadata_lookups(spark, d):  # noqa: ANN001, ANN201
     """WITH p AS (SELECT r_regionkey AS ord, 'r' || r_regionkey AS id, r_name AS title FROM region)
 SELECT '<!doctype html><html><head><meta charset="utf-8"><title>Regions &amp; more</title></head><body><nav>'
   || string_agg('<a href="#' || id || '">' || title || '</a>', chr(10) ORDER BY ord) || '</nav><main>'
-  || string_agg('<section id="' || id || '"><h1>' || title || '</h1>' || chr(10) || '<p>about <strong>' || title || '</strong></p>' || chr(10) || '</section>', chr(10) ORDER BY ord)
+  || string_agg('<section id="' || id || '"><h1>' || title || '</h1>' || chr(10) || '<p>about <strong>' || title || '</strong></p>' || chr(10) ||
+'</section>', chr(10) ORDER BY ord)
   || '</main></body></html>' AS html FROM p""",
 )
 def wiki_single_page(spark, d):  # noqa: ANN001, ANN201
@@ -766,13 +951,21 @@ def wiki_single_page(spark, d):  # noqa: ANN001, ANN201
     return sinks.single_page(pages, "Regions & more")
 
 
-@query("relation_numbers", "SELECT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id, row_number() OVER (ORDER BY 'c' || o_custkey, 's' || l_suppkey) AS rel_id FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)")
+@query(
+    "relation_numbers",
+    """SELECT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id, row_number() OVER (ORDER BY 'c' || o_custkey, 's' || l_suppkey) AS rel_id
+FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)""",
+)
 def relation_numbers(spark, d):  # noqa: ANN001, ANN201
     pairs = _purchases(spark, d).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("BUYS").alias("kind"))
     return metadata.relations(pairs).select("source_id", "target_id", F.col("rel_id").cast("long").alias("rel_id"))
 
 
-@query("page_relations", "SELECT 'n' || s_nationkey AS source_id, 's' || s_suppkey AS target_id, 'Wiki parent-child relationship: category/n' || s_nationkey || ' -> docs/s' || s_suppkey AS extra FROM supplier WHERE s_acctbal > 0")
+@query(
+    "page_relations",
+    """SELECT 'n' || s_nationkey AS source_id, 's' || s_suppkey AS target_id,
+'Wiki parent-child relationship: category/n' || s_nationkey || ' -> docs/s' || s_suppkey AS extra FROM supplier WHERE s_acctbal > 0""",
+)
 def page_relations(spark, d):  # noqa: ANN001, ANN201
     pages = docmap.category_branches(*_plan(spark, d))[0].where("id like 'docs/%'")
     return metadata.page_relations(pages).select("source_id", "target_id", "extra")
@@ -784,19 +977,32 @@ def resume_pending(spark, d):  # noqa: ANN001, ANN201
     return state.pending(table(spark, d, "documents").select("doc_id"), records, "resume")
 
 
-@query("cache_get", "WITH l AS (SELECT user_id AS key, props AS value, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, props DESC) AS rn FROM events) SELECT key, value FROM l WHERE rn = 1 AND key IN (SELECT c_custkey FROM customer) AND event_type <> 'delete' AND epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts)) <= 604800")
+@query(
+    "cache_get",
+    """WITH l AS (SELECT user_id AS key, props AS value, ts, event_type, row_number() OVER (PARTITION BY user_id
+ORDER BY ts DESC, event_type DESC, props DESC) AS rn FROM events) SELECT key, value FROM l WHERE rn = 1 AND key IN (SELECT c_custkey
+FROM customer) AND event_type <> 'delete' AND epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts)) <= 604800""",
+)
 def cache_get(spark, d):  # noqa: ANN001, ANN201
     log = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("op"), F.col("props").alias("value"))
     return state.cached(log, table(spark, d, "customer").select(F.col("c_custkey").alias("key")), F.lit("2024-01-31 00:00:00").cast("timestamp"))
 
 
-@query("generation_outcome", "SELECT count(*) FILTER (WHERE text NOT LIKE '%Warning%' AND doc_id % 5 <> 0) AS successful, count(*) FILTER (WHERE text LIKE '%Warning%' OR doc_id % 5 = 0) AS failed FROM documents")
+@query(
+    "generation_outcome",
+    """SELECT count(*) FILTER (WHERE text NOT LIKE '%Warning%' AND doc_id % 5 <> 0) AS successful,
+count(*) FILTER (WHERE text LIKE '%Warning%' OR doc_id % 5 = 0) AS failed FROM documents""",
+)
 def generation_outcome(spark, d):  # noqa: ANN001, ANN201
     text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Warning: "), "text")).otherwise(F.col("text"))
     return state.outcome(table(spark, d, "documents").select(text.alias("content")))
 
 
-@query("usage_totals", "SELECT count(*) AS calls, sum(event_id % 100)::BIGINT AS prompt_tokens, sum(user_id)::BIGINT AS completion_tokens, round(sum(value), 2) AS cost FROM events")
+@query(
+    "usage_totals",
+    """SELECT count(*) AS calls, sum(event_id % 100)::BIGINT AS prompt_tokens, sum(user_id)::BIGINT AS completion_tokens, round(sum(value), 2) AS cost
+FROM events""",
+)
 def usage_totals(spark, d):  # noqa: ANN001, ANN201
     calls = table(spark, d, "events").select((F.col("event_id") % 100).alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"), F.col("value").alias("cost"))
     return state.usage(calls).withColumn("cost", F.round("cost", 2))
@@ -820,7 +1026,16 @@ def chinese_ids(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(k,) for k in ("guide/Setup/x", "API", "none", "core/PayPal")], "id string").select("id", f.chinese_id(F.col("id")).alias("shown"))
 
 
-@query("module_pages", "SELECT 'src' || i AS name, '# src' || i || chr(10) || chr(10) || '<cite>' || chr(10) || chr(10) || '**本文引用的文件**' || chr(10) || chr(10) || '- [src' || i || '/a.py](file://src' || i || '/a.py)' || chr(10) || '</cite>' || chr(10) || chr(10) || '> does ' || i || chr(10) || chr(10) || '## Files' || chr(10) || chr(10) || '### `src' || i || '/a.py`' || chr(10) || chr(10) || 'main' || chr(10) || chr(10) || '**Key Symbols:**' || chr(10) || chr(10) || '- `go` (function) (line 3) — runs' || chr(10) || '- `X` (class)' || chr(10) || chr(10) || '- [src' || i || '/a.py:3-3](file://src' || i || '/a.py#3-3)' || chr(10) || '- [src' || i || '/a.py](file://src' || i || '/a.py)' || chr(10) || chr(10) || '## Key Concepts' || chr(10) || chr(10) || '- **Idea**: why' || chr(10) || chr(10) || '## Internal Relationships' || chr(10) || chr(10) || '- `a` → `b`: calls' || chr(10) AS page FROM range(3) AS t(i)")
+@query(
+    "module_pages",
+    """SELECT 'src' || i AS name, '# src' || i || chr(10) || chr(10) || '<cite>' || chr(10) || chr(10) || '**本文引用的文件**' || chr(10) || chr(10) || '- [src' ||
+i || '/a.py](file://src' || i || '/a.py)' || chr(10) || '</cite>' || chr(10) || chr(10) || '> does ' || i || chr(10) || chr(10) || '## Files' ||
+chr(10) || chr(10) || '### `src' || i || '/a.py`' || chr(10) || chr(10) || 'main' || chr(10) || chr(10) || '**Key Symbols:**' || chr(10) || chr(10) ||
+'- `go` (function) (line 3) — runs' || chr(10) || '- `X` (class)' || chr(10) || chr(10) || '- [src' || i || '/a.py:3-3](file://src' || i ||
+'/a.py#3-3)' || chr(10) || '- [src' || i || '/a.py](file://src' || i || '/a.py)' || chr(10) || chr(10) || '## Key Concepts' || chr(10) || chr(10) ||
+'- **Idea**: why' || chr(10) || chr(10) || '## Internal Relationships' || chr(10) || chr(10) || '- `a` → `b`: calls' || chr(10) AS page
+FROM range(3) AS t(i)""",
+)
 def module_pages(spark, d):  # noqa: ANN001, ANN201
     symbols_ = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(x).alias("line"), F.lit(t).alias("description")) for n, k, x, t in (("go", "function", 3, "runs"), ("X", "class", 0, ""))))
     path = F.concat(F.lit("src"), "id", F.lit("/a.py"))
@@ -834,16 +1049,22 @@ def module_pages(spark, d):  # noqa: ANN001, ANN201
 # ---- rendering -----------------------------------------------------------------------------------
 
 
-@query("mermaid_edges", f"WITH {LINKS_SQL} SELECT DISTINCT source_file AS src, target_file AS dst, '  ' || regexp_replace(source_file, '[^a-zA-Z0-9_]', '_', 'g') || ' --> ' || regexp_replace(target_file, '[^a-zA-Z0-9_]', '_', 'g') AS line FROM links WHERE NOT is_external")
+@query(
+    "mermaid_edges",
+    f"""WITH {LINKS_SQL} SELECT DISTINCT source_file AS src, target_file AS dst, '  ' || regexp_replace(source_file, '[^a-zA-Z0-9_]', '_',
+'g') || ' --> ' || regexp_replace(target_file, '[^a-zA-Z0-9_]', '_', 'g') AS line FROM links WHERE NOT is_external""",
+)
 def mermaid_edges(spark, d):  # noqa: ANN001, ANN201
     return render.edge_lines(_links(spark, d).where("not is_external").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst")))
 
 
 @query(
     "module_diagram",
-    f"""WITH {TRADE_SQL}, {FILES_SQL}, deps AS (SELECT DISTINCT 'r' || a.n_regionkey AS src, 'r' || b.n_regionkey AS dst FROM trade t JOIN nation a ON a.n_nationkey = t.src JOIN nation b ON b.n_nationkey = t.dst WHERE a.n_regionkey <> b.n_regionkey),
+    f"""WITH {TRADE_SQL}, {FILES_SQL}, deps AS (SELECT DISTINCT 'r' || a.n_regionkey AS src, 'r' || b.n_regionkey AS dst FROM trade t
+JOIN nation a ON a.n_nationkey = t.src JOIN nation b ON b.n_nationkey = t.dst WHERE a.n_regionkey <> b.n_regionkey),
 m AS (SELECT string_split(path, '/')[1] AS module, count(*) AS n FROM files GROUP BY 1 ORDER BY n DESC, module LIMIT 12)
-SELECT 'graph TD' || chr(10) || (SELECT string_agg('  ' || module || '[(' || module || ' - ' || n || ' files)]', chr(10) ORDER BY n DESC, module) FROM m) || chr(10) || chr(10) || (SELECT string_agg('  ' || src || ' --> ' || dst, chr(10) ORDER BY src, dst) FROM deps) AS diagram""",
+SELECT 'graph TD' || chr(10) || (SELECT string_agg('  ' || module || '[(' || module || ' - ' || n || ' files)]', chr(10) ORDER BY n DESC, module)
+FROM m) || chr(10) || chr(10) || (SELECT string_agg('  ' || src || ' --> ' || dst, chr(10) ORDER BY src, dst) FROM deps) AS diagram""",
 )
 def module_diagram(spark, d):  # noqa: ANN001, ANN201
     return render.module_diagram(_files(spark, d), module_dependencies(spark, d))
@@ -858,14 +1079,28 @@ def markdown_to_html(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame(corpus.MARKDOWN, "id int, text string").select("id", render.markdown_to_html(F.col("text")).alias("html"))
 
 
-@query("category_pages", "WITH n AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS no FROM nation) SELECT 'r' || r_regionkey AS category_id, any_value(r_name) AS title, count(*) AS n_docs, '# ' || any_value(r_name) || chr(10) || chr(10) || string_agg(no || '. **' || n_name || '**: nation ' || n_nationkey, chr(10) ORDER BY no) AS content FROM n JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey HAVING count(*) >= 3")
+@query(
+    "category_pages",
+    """WITH n AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS no FROM nation)
+SELECT 'r' || r_regionkey AS category_id, any_value(r_name) AS title, count(*) AS n_docs,
+'# ' || any_value(r_name) || chr(10) || chr(10) || string_agg(no || '. **' || n_name || '**: nation ' || n_nationkey, chr(10) ORDER BY no) AS content
+FROM n JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey HAVING count(*) >= 3""",
+)
 def category_pages(spark, d):  # noqa: ANN001, ANN201
     r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"))
     n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), F.concat(F.lit("r"), "n_regionkey").alias("category_id"), F.concat(F.lit("nation "), "n_nationkey").alias("purpose"), F.col("n_nationkey").alias("ord"))
     return render.category_pages(r, n)
 
 
-@query("sidebar", "SELECT '- **Alone**\n- **Docs**\n  - **API**\n    - [Auth](content/auth.md)\n      - [Tokens](content/tokens.md)\n  - **Guide**' AS text")
+@query(
+    "sidebar",
+    """SELECT '- **Alone**
+- **Docs**
+  - **API**
+    - [Auth](content/auth.md)
+      - [Tokens](content/tokens.md)
+  - **Guide**' AS text""",
+)
 def sidebar(spark, d):  # noqa: ANN001, ANN201
     tree = docmap.tree_paths(spark.createDataFrame(corpus.CATEGORIES, "id string, parent_id string, title string"))
     return render.sidebar(tree.select(F.col("path").alias("sort_path"), "depth", F.element_at(F.split("path", "/"), -1).alias("title"), F.when(F.col("depth") > 1, F.col("id")).otherwise("").alias("page_id")))
@@ -889,7 +1124,10 @@ def project_type(spark, d):  # noqa: ANN001, ANN201
     return generation.project_type(corpus.code_files(spark).union(extra).withColumn("is_config", f.is_config(F.col("path"))))
 
 
-@query("missing_dependencies", f"WITH {CALLS_SQL} SELECT dst AS target_file, min(src) AS source_file FROM calls WHERE src IN ('a', 'b') AND dst NOT IN ('a', 'b') GROUP BY dst")
+@query(
+    "missing_dependencies",
+    f"""WITH {CALLS_SQL} SELECT dst AS target_file, min(src) AS source_file FROM calls WHERE src IN ('a', 'b') AND dst NOT IN ('a', 'b') GROUP BY dst""",
+)
 def missing_dependencies(spark, d):  # noqa: ANN001, ANN201
     edges = spark.createDataFrame(corpus.CALLS, "source_file string, target_file string")
     return docmap.missing_dependencies(edges, spark.createDataFrame([("a",), ("b",)], "path string"))
@@ -897,9 +1135,11 @@ def missing_dependencies(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "module_prompts",
-    f"""WITH {FILES_SQL}, r AS (SELECT string_split(path, '/')[1] AS id, path, CASE WHEN length(content) > 2048 THEN substr(content, 1, 2048) || chr(10) || '... (truncated)' ELSE content END AS shown FROM files),
+    f"""WITH {FILES_SQL}, r AS (SELECT string_split(path, '/')[1] AS id, path, CASE WHEN length(content) > 2048 THEN substr(content, 1,
+2048) || chr(10) || '... (truncated)' ELSE content END AS shown FROM files),
 n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path) AS place, count(*) OVER (PARTITION BY id) AS n_files FROM r)
-SELECT id, any_value(n_files) AS n_files, md5(string_agg('--- ' || path || chr(10) || shown, chr(10) || chr(10) ORDER BY path)) AS body FROM n WHERE place <= 20 GROUP BY id""",
+SELECT id, any_value(n_files) AS n_files, md5(string_agg('--- ' || path || chr(10) || shown, chr(10) || chr(10) ORDER BY path)) AS body FROM n
+WHERE place <= 20 GROUP BY id""",
 )
 def module_prompts(spark, d):  # noqa: ANN001, ANN201
     rows = generation.module_prompts(_files(spark, d), f.module_name)
@@ -907,13 +1147,19 @@ def module_prompts(spark, d):  # noqa: ANN001, ANN201
     return rows.select("id", "n_files", F.md5(body).alias("body"))
 
 
-@query("metadata_from_symbols", "SELECT n_name AS title, 'nation: ' || n_name AS description, substr(sha256('' || chr(31) || 'r' || n_regionkey), 1, 32) AS catalog_id FROM nation")
+@query(
+    "metadata_from_symbols",
+    """SELECT n_name AS title, 'nation: ' || n_name AS description, substr(sha256('' || chr(31) || 'r' || n_regionkey), 1, 32) AS catalog_id FROM nation""",
+)
 def metadata_from_symbols(spark, d):  # noqa: ANN001, ANN201
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.lit("nation").alias("kind"), F.concat(F.lit("r"), "n_regionkey", F.lit("/x")).alias("file"))
     return metadata.from_symbols(n)[1].select("title", "description", "catalog_id")
 
 
-@query("retry_queue", "SELECT doc_id, 'failed' AS status, (doc_id % 3 + 1)::INTEGER AS retry_count FROM labels WHERE quality = 0 AND doc_id % 3 + 1 <= 2")
+@query(
+    "retry_queue",
+    """SELECT doc_id, 'failed' AS status, (doc_id % 3 + 1)::INTEGER AS retry_count FROM labels WHERE quality = 0 AND doc_id % 3 + 1 <= 2""",
+)
 def retry_queue(spark, d):  # noqa: ANN001, ANN201
     labels = table(spark, d, "labels")
     before = labels.select("doc_id", F.lit("pending").alias("status"), (F.col("doc_id") % 3).cast("int").alias("retry_count"))
