@@ -332,5 +332,5 @@ def score(docs: DataFrame, net: ToxicNet | None) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    net = fit(docs.where(~held_out()), labels)
+    net = fit(docs.where(~held_out()), labels.where(~held_out()))
     return score(docs, net).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
