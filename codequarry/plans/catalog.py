@@ -314,7 +314,11 @@ def parse_imports_rust(spark, d):  # noqa: ANN001, ANN201
     return imports.parse_imports(corpus.code_files(spark).where("language = 'rust'")).select("source_file", "module", "kind", "line", "is_external", "raw")
 
 
-@query("parse_imports", None)
+@query(
+    "parse_imports",
+    "SELECT source_file, language, module, name, kind, line::INTEGER AS line, is_external, raw FROM "
+    + corpus.values(corpus.IMPORTED, "source_file, language, module, name, kind, line, is_external, raw"),
+)
 def parse_imports(spark, d):  # noqa: ANN001, ANN201
     return imports.parse_imports(corpus.code_files(spark))
 
@@ -472,23 +476,25 @@ def pagerank_files(spark, d):  # noqa: ANN001, ANN201
     return graph.page_rank(nations, _trade(spark, d), most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
 
 
-@query(
-    "pagerank_pages",
-    f"""WITH RECURSIVE {LINKS_SQL}, e AS (SELECT DISTINCT source_file AS src, target_file AS dst FROM links
-WHERE NOT is_external AND source_file <> target_file),
-v AS (SELECT source_file AS id FROM links UNION SELECT target_file FROM links WHERE NOT is_external), {PAGE_RANK_SQL}""",
-)
-def pagerank_pages(spark, d):  # noqa: ANN001, ANN201
+PAGE_GRAPH_SQL = f"""{LINKS_SQL}, e AS (SELECT DISTINCT source_file AS src, target_file AS dst FROM links WHERE NOT is_external AND source_file <> target_file),
+v AS (SELECT source_file AS id FROM links UNION SELECT target_file FROM links WHERE NOT is_external)"""
+
+
+def _page_ranks(spark, d):  # noqa: ANN001, ANN202
     links = _links(spark, d)
     edges = links.where("not is_external").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst"))
     pages = links.select(F.col("source_file").alias("id")).distinct()
     return graph.page_rank(pages, edges, most=20, tolerance=0).select("id", F.round("score", 6).alias("score"))
 
 
-@query("core_files", None)
+@query("pagerank_pages", f"WITH RECURSIVE {PAGE_GRAPH_SQL}, {PAGE_RANK_SQL}")
+def pagerank_pages(spark, d):  # noqa: ANN001, ANN201
+    return _page_ranks(spark, d)
+
+
+@query("core_files", f"WITH RECURSIVE {PAGE_GRAPH_SQL}, {PAGE_RANK_SQL} ORDER BY score DESC, id LIMIT 10")
 def core_files(spark, d):  # noqa: ANN001, ANN201
-    links = _links(spark, d).where("not is_external").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst"))
-    return graph.page_rank(links.select(F.col("src").alias("id")).distinct(), links).orderBy(F.col("score").desc(), "id").limit(10).select("id", F.round("score", 6).alias("score"))
+    return _page_ranks(spark, d).orderBy(F.col("score").desc(), "id").limit(10)
 
 
 BUYS_SQL = "buys AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), both_ways AS (SELECT a AS src, b AS dst FROM buys UNION SELECT b, a FROM buys)"

@@ -26,6 +26,43 @@ FILES: list[tuple[str, str, str]] = [
     ("notes.xyz", "unknown", "import nothing\n"),
 ]
 
+#: The import rows of the files above, as read off by hand: file, language, module, name, kind, line, external, statement.
+IMPORTED: list[tuple] = [
+    ("src/core/main.py", "python", "os", None, "import", 1, True, "import os"),
+    ("src/core/main.py", "python", "utils", None, "import", 2, True, "import utils"),
+    ("src/core/main.py", "python", "src.core", "models", "from", 3, True, "from src.core import models"),
+    ("src/core/main.py", "python", ".", "helper", "from", 4, False, "from . import helper"),
+    ("src/core/main.py", "python", "utils", None, "import", 5, True, "import utils"),
+    ("src/core/models.py", "python", "src.core.main", "run", "from", 1, True, "from src.core.main import run"),
+    ("src/core/models.py", "python", "json", None, "import", 2, True, "import json"),
+    ("src/core/helper.py", "python", "src.core.models", None, "import", 1, True, "import src.core.models"),
+    ("utils.py", "python", "sys", None, "import", 1, True, "import sys"),
+    ("utils.py", "python", "utils", None, "import", 2, True, "import utils"),
+    ("web/app.js", "javascript", "./lib/a", None, "import", 1, True, "import a from './lib/a'"),
+    ("web/app.js", "javascript", "react", None, "import", 2, True, 'import {b} from "react"'),
+    ("web/app.js", "javascript", "fs", None, "require", 4, True, "require('fs')"),
+    ("web/lib/a.js", "javascript", "../app", None, "import", 1, True, "import app from '../app'"),
+    ("src/main/java/a/B.java", "java", "java.util.List", None, "import", 2, True, "import java.util.List;"),
+    ("src/main/java/a/B.java", "java", "a.C.run", None, "static", 3, True, "import static a.C.run;"),
+    ("src/main/java/a/B.java", "java", "a.C", None, "import", 4, True, "import a.C;"),
+    ("src/main/java/a/C.java", "java", "a.B", None, "import", 1, True, "import a.B;"),
+    ("cmd/main.go", "go", "fmt", None, "import", 2, True, 'import "fmt"'),
+    ("cmd/main.go", "go", "example.org/app/cmd/util", None, "import", 4, True, '"example.org/app/cmd/util"'),
+    ("cmd/main.go", "go", "os", None, "import", 5, True, '"os"'),
+    ("src/lib.rs", "rust", "shapes", None, "mod", 1, False, "mod shapes;"),
+    ("src/lib.rs", "rust", "std::fmt", None, "import", 2, True, "use std::fmt;"),
+    ("src/lib.rs", "rust", "crate::shapes::Circle", None, "import", 3, False, "use crate::shapes::Circle;"),
+    ("src/shapes.rs", "rust", "super::Dot", None, "import", 2, False, "use super::Dot;"),
+    ("db/all.sql", "sql", "tables.sql", None, "sql_file", 2, False, "\\i tables.sql"),
+    ("db/all.sql", "sql", "users", None, "table", 3, True, "FROM users"),
+    ("db/all.sql", "sql", "orders", None, "table", 3, True, "JOIN orders"),
+    ("db/all.sql", "sql", "refresh_all", None, "procedure", 4, False, "EXEC refresh_all"),
+    ("db/all.sql", "sql", "log", None, "table", 5, True, "INSERT INTO log"),
+    ("db/all.sql", "sql", "audit", None, "table", 5, True, "SELECT audit"),
+    ("db/all.sql", "sql", "audit.note", None, "function", 5, True, "audit.note("),
+    ("tables.sql", "sql", "users", None, "table", 1, True, "CREATE TABLE IF NOT EXISTS users"),
+    ("tables.sql", "sql", "old_users", None, "table", 2, True, "DROP TABLE old_users"),
+]
 #: What the files above import, as read off by hand: file, language, module, line, file it resolves to, external.
 RESOLVED: list[tuple] = [
     ("src/core/main.py", "python", "os", 1, None, "true"), ("src/core/main.py", "python", "utils", 2, "utils.py", "false"), ("src/core/main.py", "python", "src.core", 3, "src/core/models.py", "false"),

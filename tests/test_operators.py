@@ -34,6 +34,33 @@ def test_other_imports(spark):  # noqa: ANN001
     assert parse(spark, "cobol", "COPY x").count() == 0
 
 
+def test_registered_languages(spark, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(imports, "PARSERS", dict(imports.PARSERS))
+    monkeypatch.setattr(imports, "RESOLVERS", dict(imports.RESOLVERS))
+    monkeypatch.setattr(symbols, "FINDERS", dict(symbols.FINDERS))
+    kind = imports.Import
+
+    def copies(text):  # noqa: ANN001, ANN202
+        for n, line in enumerate(text.split("\n"), 1):
+            if line.startswith("COPY "):
+                yield kind(line[5:], None, "copy", n, True, line)
+
+    def programs(path, text):  # noqa: ANN001, ANN202
+        for n, line in enumerate(text.split("\n"), 1):
+            if line.startswith("PROGRAM "):
+                yield symbols._at(path, line[8:], "class", n, line)
+
+    imports.register_parser("cobol", copies)
+    imports.register_resolver("cobol", lambda module, source: F.array(F.concat(F.lower(module), F.lit(".cpy"))))
+    symbols.register_symbols("cobol", programs)
+    code = spark.createDataFrame([("a.cob", "cobol", "PROGRAM A\nCOPY X\nCOPY Y"), ("x.cpy", "text", "")], "path string, language string, content string")
+    got = imports.resolve_imports(imports.parse_imports(code), code)
+    assert rows(got, "module", "line", "target_file", "is_external") == [("X", 2, "x.cpy", False), ("Y", 3, None, True)]
+    assert rows(symbols.parse_symbols(code), "name", "kind", "line") == [("A", "class", 1)]
+    own = {"cobol": lambda text: iter(())}
+    assert imports.parse_imports(code, own).count() == 0
+
+
 def test_resolution_takes_the_first_candidate(spark):  # noqa: ANN001
     code = spark.createDataFrame([("src/main.py", "python", "import utils\nimport os\nfrom . import helper\n"), ("utils.py", "python", ""), ("src/utils.py", "python", ""), ("src/helper.py", "python", "")], "path string, language string, content string")
     got = {(r.module, r.name): (r.target_file, r.is_external) for r in imports.resolve_imports(imports.parse_imports(code), code).collect()}
@@ -295,7 +322,7 @@ def test_wiki(spark, tmp_path):  # noqa: ANN001
 
 
 def test_project(spark, tmp_path):  # noqa: ANN001
-    from codequarry.plans.project import Project, Projects
+    from codequarry.plans.project import Project, Projects, doc_page
 
     known = Projects()
     project = Project(spark, project_folder(tmp_path), client=lambda p: "said " + str(len(p)))
@@ -311,6 +338,9 @@ def test_project(spark, tmp_path):  # noqa: ANN001
     graph_ = project.graph()
     assert rows(graph_["edges"], "src", "dst") == [("lib/util.py", "lib/other.py"), ("main.py", "lib/util.py")] and graph_["rankings"].count() == 3
     assert rows(project.search("UTIL"), "path") == [("lib/util.py",)] and project.ask("where is Factory?").first().status == "success"
+    written = rows(project.pages.where("id like 'docs/%'"), "id")
+    docs = spark.createDataFrame([(written[0][0].removeprefix("docs/"), "c"), ("none", "c")], "id string, category_id string")
+    assert rows(doc_page(project, docs, docs.first().id), "id") == written[:1] and doc_page(project, docs, "none").count() == 0
     failed = Project(spark, str(tmp_path / "none")).scan()
     assert failed.status == "error" and failed.message
 
