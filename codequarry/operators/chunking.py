@@ -41,7 +41,10 @@ def line_ranges(lines: Column, most: int = MAX_LINES, least: int = BREAK_LINES)
         size = row["i"] - state["start"] + 1
         close = (size >= most) | (row["blank"] & (size >= least)) | (row["i"] == F.size(lines) - 1)
         new = F.array(F.struct(state["start"].alias("start"), row["i"].alias("end")))
-        return F.struct(F.when(close, row["i"] + 1).otherwise(state["start"]).alias("start"), F.when(close, F.concat(state["out"], new)).otherwise(state["out"]).alias("out"))
+        return F.struct(
+            F.when(close, row["i"] + 1).otherwise(state["start"]).alias("start"),
+            F.when(close, F.concat(state["out"], new)).otherwise(state["out"]).alias("out")
+        )
 
     return F.aggregate(rows, F.struct(F.lit(0).alias("start"), empty.alias("out")), step, lambda s: s["out"])
 
@@ -79,7 +82,10 @@ def structural_chunks(files: DataFrame, most: int = CHUNK_CHARS, share: float =
         return F.struct(i.alias("i"), (F.length(x) + 1).alias("len"), found.alias("found"))
 
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,name:string>>")
-    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"), empty.alias("out"))
+    start = F.struct(
+        F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"),
+        empty.alias("out")
+    )
 
     def step(s: Column, row: Column) -> Column:
         new = row["found"]

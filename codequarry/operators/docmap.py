@@ -40,7 +40,11 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     out = level
     children = nodes.where("coalesce(parent_id, '') <> ''").select(F.col("id").alias("child"), "parent_id", "title")
     while not level.isEmpty():
-        level = durable(level.join(children, level["id"] == children["parent_id"]).select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "title").alias("path")))
+        level = durable(
+            level.join(children, level["id"] == children["parent_id"]).select(
+                F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "title").alias("path")
+            )
+        )
         out = out.union(level)
     return out
 
@@ -48,16 +52,29 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
 def tree_entries(files: DataFrame) -> DataFrame:
     """entry, depth, is_dir: every file of files(path) and each of its folders, once."""
     parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("entry"), (i - 1).alias("depth"), (i < F.size(parts)).alias("is_dir")))
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(
+            F.array_join(F.slice(parts, F.lit(1), i), "/").alias("entry"), (i - 1).alias("depth"), (i < F.size(parts)).alias("is_dir")
+        )
+    )
     return files.select(F.inline(prefixes)).distinct()
 
 
 def file_tree(files: DataFrame, most: int = 200) -> DataFrame:
     """line_no, line: the entries in order, indented by depth, folders with a slash; beyond `most` a last line tells how many there are more."""
     entries = tree_entries(files)
-    first = entries.orderBy("entry").limit(most).select("entry", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.element_at(F.split("entry", "/"), -1), F.when(F.col("is_dir"), "/").otherwise("")).alias("line"))
-    numbered = first.agg(F.sort_array(F.collect_list(F.struct("entry", "line"))).alias("a")).select(F.posexplode("a").alias("line_no", "x")).select("line_no", F.col("x.line").alias("line"))
-    more = entries.agg((F.count("*") - most).alias("rest")).where("rest > 0").select(F.lit(most).alias("line_no"), F.format_string("... and %d more entries", "rest").alias("line"))
+    first = entries.orderBy("entry").limit(most).select(
+        "entry",
+        F.concat(
+            F.repeat(F.lit("  "), F.col("depth")), F.element_at(F.split("entry", "/"), -1), F.when(F.col("is_dir"), "/").otherwise("")
+        ).alias("line")
+    )
+    numbered = first.agg(
+        F.sort_array(F.collect_list(F.struct("entry", "line"))).alias("a")
+    ).select(F.posexplode("a").alias("line_no", "x")).select("line_no", F.col("x.line").alias("line"))
+    more = entries.agg((F.count("*") - most).alias("rest")).where("rest > 0").select(
+        F.lit(most).alias("line_no"), F.format_string("... and %d more entries", "rest").alias("line")
+    )
     return numbered.union(more)
 
 
@@ -68,7 +85,9 @@ def default_map(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     slug = F.lower(F.translate("module", " _", "--"))
     named = by_size.select(slug.alias("id"), title_of(F.col("module")).alias("title"), F.lit("").alias("parent_id"), F.col("ord").cast("int").alias("ord"), "module")
     docs = named.select(
-        F.concat("id", F.lit("/overview")).alias("id"), "title", F.col("id").alias("category_id"), F.concat(F.lit("What the module "), "module", F.lit(" does")).alias("purpose"),
+        F.concat("id", F.lit("/overview")).alias("id"), "title", F.col("id").alias("category_id"), F.concat(
+            F.lit("What the module "), "module", F.lit(" does")
+        ).alias("purpose"),
         F.array(F.concat("module", F.lit("/*"))).alias("patterns"), F.array().cast("array<string>").alias("depends_on"), "ord",
     )
     return named.select("id", "title", F.lit("").alias("description"), "parent_id", "ord"), docs

@@ -22,7 +22,10 @@ Client = Callable[[str], str]
 CODE_SUFFIXES = "java|py|ts|js|tsx|jsx|go|rs|c|cpp|h|hpp|cs|rb|php|swift|kt|scala|lua|dart|vue|svelte|sql|sh|bash"
 ASKING = r"(?:show|see|look\s*(?:at|into)|read|examine|review|check|could\s+you|can\s+you|please|帮我|我想看|请给我|查看|看看)"
 SIGNATURES = {
-    "java": (r"(?:(?:public|private|protected|abstract|final)\s+)?(?:class|interface|enum)\s+\w+", r"(?:public|private|protected)\s+(?:static\s+)?(?:\w+\s)+(?!get|set|is)\w+\s*\([^)]*\)"),
+    "java": (
+        r"(?:(?:public|private|protected|abstract|final)\s+)?(?:class|interface|enum)\s+\w+",
+        r"(?:public|private|protected)\s+(?:static\s+)?(?:\w+\s)+(?!get|set|is)\w+\s*\([^)]*\)"
+    ),
     "python": (r"(?m)^(?:async\s+)?def\s+\w+\s*\([^)]*\)", r"(?m)^class\s+\w+"),
     "javascript": (r"function\s+\w+|const\s+\w+\s*=|\w+\s*\([^)]*\)\s*\{",),
     "typescript": (r"function\s+\w+|const\s+\w+\s*=|\w+\s*\([^)]*\)\s*\{",),
@@ -110,13 +113,17 @@ def project_type(files: DataFrame) -> DataFrame:
     p = F.col("path")
     ui = p.startswith("src/") & p.rlike(r"\.(tsx|jsx|vue|svelte)")
     front = p.isin("package.json", "tsconfig.json", "vite.config.ts", "webpack.config.js") | ui
-    back = p.isin("requirements.txt", "pyproject.toml", "setup.py", "Gemfile", "go.mod", "Cargo.toml") | p.contains("app.py") | p.contains("server.py") | (p.startswith("src/") & F.col("language").isin("python", "go", "rust"))
+    back = p.isin(
+        "requirements.txt", "pyproject.toml", "setup.py", "Gemfile", "go.mod", "Cargo.toml"
+    ) | p.contains("app.py") | p.contains("server.py") | (p.startswith("src/") & F.col("language").isin("python", "go", "rust"))
     cli = p.isin("setup.py", "pyproject.toml") & F.col("content").rlike("console_scripts|entry_points|scripts")
     mono = p.contains("packages/") | p.contains("workspace") | F.lower(p).contains("monorepo")
     code = F.col("language").isin("python", "rust", "go") & ~F.col("is_config")
     any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     marks = files.agg(any_of(front).alias("front"), any_of(back).alias("back"), any_of(cli).alias("cli"), any_of(mono).alias("mono"), F.count_if(code).alias("code"))
-    kind = F.when(F.col("mono"), "monorepo").when(F.col("front") & F.col("back"), "full-stack").when(F.col("front"), "frontend-app").when(F.col("back"), "backend-app").when(F.col("cli"), "cli-tool").when(F.col("code") > 5, "library")
+    kind = F.when(F.col("mono"), "monorepo").when(
+        F.col("front") & F.col("back"), "full-stack"
+    ).when(F.col("front"), "frontend-app").when(F.col("back"), "backend-app").when(F.col("cli"), "cli-tool").when(F.col("code") > 5, "library")
     return marks.select(kind.otherwise("unknown").alias("project_type"))
 
 
@@ -124,7 +131,10 @@ def module_prompts(files: DataFrame, module_of: Callable[[Column], Column], most
     """id (the module), prompt, memo, n_files: a prompt for each module of files(path, content) over its first files by path, and the key under
     which an answer is kept, which changes with any of the module's contents. Only the files that are shown are gathered; the others
     enter by a sum of hashes."""
-    own = files.select(module_of(F.col("path")).alias("id"), "path", truncated(F.col("content"), most_chars).alias("shown"), F.xxhash64("path", F.md5("content")).alias("h"))
+    own = files.select(
+        module_of(F.col("path")).alias("id"), "path", truncated(F.col("content"), most_chars).alias("shown"),
+        F.xxhash64("path", F.md5("content")).alias("h")
+    )
     keys = own.groupBy("id").agg(F.bit_xor("h").alias("h"), F.count("*").alias("n_files"))
     first = own.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("path"))).where(F.col("at") <= most_files)
     parts = first.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("path", "shown"))).alias("parts"))

@@ -99,7 +99,15 @@ def cycles(edges: DataFrame, most: int = 10, rotations: bool = False) -> DataFra
             break
     paths = reduce(DataFrame.union, found)
     if rotations:
-        paths = paths.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda i: F.concat(F.slice("path", i + 1, F.size("path") - i), F.slice("path", F.lit(1), i)))).alias("path"))
+        paths = paths.select(
+            F.explode(
+                F.transform(
+                    F.sequence(F.lit(0), F.size("path") - 1), lambda i: F.concat(
+                        F.slice("path", i + 1, F.size("path") - i), F.slice("path", F.lit(1), i)
+                    )
+                )
+            ).alias("path")
+        )
     return paths.select(F.array_append("path", F.get("path", F.lit(0))).alias("cycle"))
 
 

@@ -160,7 +160,10 @@ def _python_candidates(module: Column, source: Column) -> Column:
     tail = _dotted(F.regexp_replace(module, r"^\.+", ""))
     inside = F.array_join(F.filter(F.array(base, tail), lambda x: x != ""), "/")
     stem = F.when(dots > 0, inside).otherwise(_dotted(module))
-    return F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")), F.concat(F.lit("src/"), stem, F.lit(".py")), F.concat(F.lit("src/"), stem, F.lit("/__init__.py")))
+    return F.array(
+        F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")), F.concat(F.lit("src/"), stem, F.lit(".py")),
+        F.concat(F.lit("src/"), stem, F.lit("/__init__.py"))
+    )
 
 
 def _javascript_candidates(module: Column, source: Column) -> Column:
@@ -211,7 +214,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame, trust_files: bool = Tr
     below = F.when(module.endswith("."), F.concat(module, name)).otherwise(F.concat(module, F.lit("."), name))
     python = RESOLVERS.get("python")
     if python:
-        candidates = F.when((F.col("language") == "python") & (F.col("kind") == "from") & name.isNotNull(), F.concat(candidates, python(below, F.col("source_file")))).otherwise(candidates)
+        candidates = F.when(
+            (F.col("language") == "python") & (F.col("kind") == "from") & name.isNotNull(),
+            F.concat(candidates, python(below, F.col("source_file")))
+        ).otherwise(candidates)
     keyed = imports.withColumn("__id", F.xxhash64("source_file", "module", "name", "kind", "line", "raw"))
     options = keyed.select("__id", F.posexplode(candidates).alias("pos", "path")).distinct()
     hits = options.join(files.select("path").distinct(), "path").groupBy("__id").agg(F.min_by("path", "pos").alias("target_file"))

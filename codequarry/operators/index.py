@@ -65,7 +65,10 @@ def statistics(files: DataFrame, imports: DataFrame) -> DataFrame:
     outside = external_modules(imports)
     first = outside.orderBy("target_module").limit(50).agg(F.sort_array(F.collect_list("target_module")).alias("top_external"))
     return (
-        files.agg(F.count("*").alias("total_files"), F.count_distinct(top_folder(F.col("path"))).alias("module_count"), F.count_distinct("language").alias("language_count"))
+        files.agg(
+            F.count("*").alias("total_files"), F.count_distinct(top_folder(F.col("path"))).alias("module_count"),
+            F.count_distinct("language").alias("language_count")
+        )
         .crossJoin(imports.agg(F.count("*").alias("total_imports"))).crossJoin(outside.agg(F.count("*").alias("external_dependencies"))).crossJoin(first)
     )
 
@@ -73,7 +76,9 @@ def statistics(files: DataFrame, imports: DataFrame) -> DataFrame:
 def language_statistics(files: DataFrame, imports: DataFrame) -> DataFrame:
     per_file = imports.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("n"))
     return files.select("path", "language").join(per_file, "path", "left").groupBy("language").agg(
-        F.count("*").alias("file_count"), F.sum(F.coalesce("n", F.lit(0))).alias("total_imports"), F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("avg_imports_per_file")
+        F.count("*").alias("file_count"), F.sum(F.coalesce("n", F.lit(0))).alias("total_imports"), F.round(
+            F.avg(F.coalesce("n", F.lit(0))), 6
+        ).alias("avg_imports_per_file")
     )
 
 
@@ -81,7 +86,9 @@ def module_statistics(files: DataFrame, imports: DataFrame) -> DataFrame:
     inside = F.count_if(~F.col("is_external")).alias("inside")
     per_file = imports.groupBy(F.col("source_file").alias("path")).agg(inside, F.count_if("is_external").alias("outside"))
     return files.select("path", "lines").join(per_file, "path", "left").groupBy(top_folder(F.col("path")).alias("module")).agg(
-        F.count("*").alias("file_count"), F.sum("lines").alias("total_lines"), F.sum(F.coalesce("inside", F.lit(0))).alias("internal_imports"), F.sum(F.coalesce("outside", F.lit(0))).alias("external_imports")
+        F.count("*").alias("file_count"), F.sum("lines").alias("total_lines"), F.sum(F.coalesce("inside", F.lit(0))).alias("internal_imports"), F.sum(
+            F.coalesce("outside", F.lit(0))
+        ).alias("external_imports")
     )
 
 

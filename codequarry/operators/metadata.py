@@ -63,7 +63,10 @@ def document(project: str, made: DataFrame, listed: DataFrame, links: DataFrame,
     whole = lambda df, schema, name: df.agg(F.sort_array(F.collect_list(F.struct(*_names(schema)))).alias(name))
     parts = whole(links, RELATIONS, "knowledge_relations").crossJoin(whole(made, CATALOGS, "wiki_catalogs")).crossJoin(whole(listed, ITEMS, "wiki_items"))
     overview = F.struct(F.lit(f"# {project}\n\nProject documentation.").alias("content")).alias("wiki_overview")
-    repo = F.struct(key_of(F.lit(project)).alias("id"), F.lit(project).alias("name"), F.lit("completed").alias("progress_status"), F.lit("COMPLETED").alias("wiki_present_status")).alias("wiki_repo")
+    repo = F.struct(
+        key_of(F.lit(project)).alias("id"), F.lit(project).alias("name"), F.lit("completed").alias("progress_status"),
+        F.lit("COMPLETED").alias("wiki_present_status")
+    ).alias("wiki_repo")
     columns = ["knowledge_relations", "wiki_catalogs", "wiki_items", overview, repo]
     if pages is not None:
         parts = parts.crossJoin(whole(pages.where("id not in ('index', 'dependencies')"), "id string, title string", "docs"))
@@ -74,7 +77,12 @@ def document(project: str, made: DataFrame, listed: DataFrame, links: DataFrame,
 def read_document(text: DataFrame) -> dict[str, DataFrame]:
     """catalogs, items and relations of text(json) as document() writes it."""
     shape = lambda schema: ",".join(c.replace(" ", ":", 1) for c in schema.split(", "))
-    whole = text.select(F.from_json("json", f"wiki_catalogs array<struct<{shape(CATALOGS)}>>, wiki_items array<struct<{shape(ITEMS)}>>, knowledge_relations array<struct<{shape(RELATIONS)}>>").alias("d"))
+    whole = text.select(
+        F.from_json(
+            "json",
+            f"wiki_catalogs array<struct<{shape(CATALOGS)}>>, wiki_items array<struct<{shape(ITEMS)}>>, knowledge_relations array<struct<{shape(RELATIONS)}>>"
+        ).alias("d")
+    )
     return {name: whole.select(F.inline(f"d.{part}")) for name, part in (("catalogs", "wiki_catalogs"), ("items", "wiki_items"), ("relations", "knowledge_relations"))}
 
 

@@ -79,15 +79,27 @@ def key_files(entry_points: Column, files: Column) -> Column:
 def overview_page(o: Column, files: Column, language: str = "zh") -> Column:
     words = labels(language)
     # Entries of the contents.
-    contents = (("项目类型", given(o["project_type"]).isNotNull()), ("入口点", some(o["entry_points"])), ("技术栈", some(o["tech_stack"])), ("主要特性", some(o["key_features"])), ("快速开始", some(o["setup_instructions"])))
+    contents = (
+        ("项目类型", given(o["project_type"]).isNotNull()), ("入口点", some(o["entry_points"])), ("技术栈", some(o["tech_stack"])),
+        ("主要特性", some(o["key_features"])), ("快速开始", some(o["setup_instructions"]))
+    )
     toc = F.filter(F.array(*(F.when(shown, F.lit(name)) for name, shown in contents)), lambda x: x.isNotNull())
-    tech = lambda t: F.concat(F.lit("- **"), t["name"], F.lit("**"), F.coalesce(F.concat(F.lit(" "), given(t["version"])), F.lit("")), F.coalesce(F.concat(F.lit(" ("), given(t["category"]), F.lit(")")), F.lit("")))
+    tech = lambda t: F.concat(
+        F.lit("- **"), t["name"], F.lit("**"), F.coalesce(F.concat(F.lit(" "), given(t["version"])), F.lit("")),
+        F.coalesce(F.concat(F.lit(" ("), given(t["category"]), F.lit(")")), F.lit(""))
+    )
     return F.concat_ws(
         "\n", F.concat(F.lit("# "), o["name"], F.lit("\n")), cited(key_files(o["entry_points"], files), 15, words["cited"]),
         F.concat(F.lit("> "), given(o["one_liner"]), F.lit("\n")), F.concat(given(o["description"]), F.lit("\n")), F.lit(f"## {words['toc']}\n"),
         given(_numbered(toc, lambda x: F.concat(F.lit("["), x, F.lit("](#"), x, F.lit(")")))), F.lit(""),
         F.concat(F.lit("**Project Type:** "), given(o["project_type"]), F.lit("\n")),
-        F.when(some(o["entry_points"]), F.concat(F.lit("**Entry Points:** "), F.array_join(F.transform(o["entry_points"], lambda e: F.concat(F.lit("`"), e, F.lit("`"))), ", "), F.lit("\n"))),
+        F.when(
+            some(o["entry_points"]),
+            F.concat(
+                F.lit("**Entry Points:** "),
+                F.array_join(F.transform(o["entry_points"], lambda e: F.concat(F.lit("`"), e, F.lit("`"))), ", "), F.lit("\n")
+            )
+        ),
         block(some(o["tech_stack"]), "\n## Tech Stack\n", lines(o["tech_stack"], tech), ""),
         block(some(o["key_features"]), "\n## Key Features\n", lines(o["key_features"], lambda x: F.concat(F.lit("- "), x)), ""),
         block(some(o["setup_instructions"]), "\n## Getting Started\n", _numbered(o["setup_instructions"], lambda x: x), ""),
@@ -96,24 +108,44 @@ def overview_page(o: Column, files: Column, language: str = "zh") -> Column:
 
 def _component(c: Column) -> Column:
     files = F.array_join(F.transform(c["files"], lambda f: F.concat(F.lit("`"), f, F.lit("`"))), ", ")
-    return F.concat_ws("\n", F.concat(F.lit("### "), c["name"], F.lit("\n")), F.concat(given(c["purpose"]), F.lit("\n")), F.when(some(c["files"]), F.concat(F.lit("Files: "), files, F.lit("\n"))))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("### "), c["name"], F.lit("\n")), F.concat(given(c["purpose"]), F.lit("\n")),
+        F.when(some(c["files"]), F.concat(F.lit("Files: "), files, F.lit("\n")))
+    )
 
 
 def combined_diagrams(a: Column) -> Column:
     """The components as boxes of one diagram, then each with its purpose and files."""
     box = lambda c: F.concat(F.lit("    "), F.translate(c["name"], " ", "_"), F.lit('["'), c["name"], F.lit('"]'))
-    return F.concat_ws("\n", F.lit("## Combined Architecture\n"), F.lit("```mermaid\n"), F.lit("flowchart TB\n"), given(lines(a["components"], box)), F.lit("```\n"), block(some(a["components"]), "## Components\n", lines(a["components"], _component)))
+    return F.concat_ws(
+        "\n", F.lit("## Combined Architecture\n"), F.lit("```mermaid\n"), F.lit("flowchart TB\n"), given(lines(a["components"], box)),
+        F.lit("```\n"), block(some(a["components"]), "## Components\n", lines(a["components"], _component))
+    )
 
 
 def architecture_page(a: Column, language: str = "zh") -> Column:
     words = labels(language)
-    files = F.array_distinct(F.flatten(F.transform(F.coalesce(a["components"], F.array().cast("array<struct<name:string,purpose:string,files:array<string>>>")), lambda c: listed(c["files"]))))
+    files = F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.coalesce(
+                    a["components"], F.array().cast("array<struct<name:string,purpose:string,files:array<string>>>")
+                ), lambda c: listed(c["files"])
+            )
+        )
+    )
     sources = block(some(files), f"**{words['diagram']}**\n", lines(F.slice(files, 1, 5), linked), "")
     drawn = lambda title, c: block(given(c).isNotNull(), f"## {title}\n", F.concat(F.lit("```mermaid\n"), c, F.lit("\n```\n")), sources)
     both = given(a["mermaid_component"]).isNotNull() & given(a["mermaid_sequence"]).isNotNull()
-    apart = F.concat_ws("\n", drawn("Component Diagram", a["mermaid_component"]), block(some(a["components"]), "## Components\n", lines(a["components"], _component)), drawn("Sequence Diagram", a["mermaid_sequence"]))
+    apart = F.concat_ws(
+        "\n", drawn("Component Diagram", a["mermaid_component"]),
+        block(some(a["components"]), "## Components\n", lines(a["components"], _component)),
+        drawn("Sequence Diagram", a["mermaid_sequence"])
+    )
     return F.concat_ws(
-        "\n", F.lit("# Architecture\n"), cited(files, 15, words["cited"]), F.concat(F.lit("**Type:** "), given(a["architecture_type"]), F.lit("\n")), F.concat(given(a["description"]), F.lit("\n")),
+        "\n", F.lit("# Architecture\n"), cited(files, 15, words["cited"]), F.concat(
+            F.lit("**Type:** "), given(a["architecture_type"]), F.lit("\n")
+        ), F.concat(given(a["description"]), F.lit("\n")),
         given(F.when(both, combined_diagrams(a)).otherwise(apart)), block(given(a["data_flow"]).isNotNull(), "## Data Flow\n", F.concat(a["data_flow"], F.lit("\n"))),
     )
 
@@ -127,18 +159,39 @@ def module_page(m: Column, language: str = "zh") -> Column:
         return F.concat(F.lit("- `"), s["name"], F.lit("` ("), s["kind"], F.lit(")"), line, F.coalesce(F.concat(F.lit(" — "), given(s["description"])), F.lit("")))
 
     def file(f: Column) -> Column:
-        return F.concat_ws("\n", F.concat(F.lit("### `"), f["path"], F.lit("`\n")), F.concat(given(f["purpose"]), F.lit("\n")), block(some(f["key_symbols"]), "**Key Symbols:**\n", lines(f["key_symbols"], told), ""))
+        return F.concat_ws(
+            "\n", F.concat(F.lit("### `"), f["path"], F.lit("`\n")), F.concat(given(f["purpose"]), F.lit("\n")),
+            block(some(f["key_symbols"]), "**Key Symbols:**\n", lines(f["key_symbols"], told), "")
+        )
 
     def references(f: Column) -> Column:
-        at = lambda n: F.when(n > 0, F.concat(F.lit("- ["), f["path"], F.lit(":"), n.cast("string"), F.lit("-"), n.cast("string"), F.lit("](file://"), f["path"], F.lit("#"), n.cast("string"), F.lit("-"), n.cast("string"), F.lit(")"))).otherwise(linked(f["path"]))
-        return F.when(some(f["key_symbols"]), F.transform(F.coalesce(f["key_symbols"], none), lambda s: at(F.coalesce(s["line"], F.lit(0))))).otherwise(F.array(linked(f["path"])))
+        at = lambda n: F.when(
+            n > 0,
+            F.concat(
+                F.lit("- ["), f["path"], F.lit(":"), n.cast("string"), F.lit("-"), n.cast("string"), F.lit("](file://"), f["path"],
+                F.lit("#"), n.cast("string"), F.lit("-"), n.cast("string"), F.lit(")")
+            )
+        ).otherwise(linked(f["path"]))
+        return F.when(
+            some(f["key_symbols"]), F.transform(F.coalesce(f["key_symbols"], none), lambda s: at(F.coalesce(s["line"], F.lit(0))))
+        ).otherwise(F.array(linked(f["path"])))
 
     refs = F.array_distinct(F.flatten(F.transform(F.slice(m["files"], 1, 10), references)))
     return F.concat_ws(
-        "\n", F.concat(F.lit("# "), m["name"], F.lit("\n")), cited(F.transform(m["files"], lambda f: f["path"]), 10, words["cited"]), F.concat(F.lit("> "), given(m["purpose"]), F.lit("\n")),
+        "\n", F.concat(F.lit("# "), m["name"], F.lit("\n")), cited(
+            F.transform(m["files"], lambda f: f["path"]), 10, words["cited"]
+        ), F.concat(F.lit("> "), given(m["purpose"]), F.lit("\n")),
         F.concat(given(m["description"]), F.lit("\n")), block(some(m["files"]), "## Files\n", lines(m["files"], file), F.array_join(refs, "\n"), ""),
         block(some(m["key_concepts"]), "## Key Concepts\n", lines(m["key_concepts"], lambda c: F.concat(F.lit("- **"), c["name"], F.lit("**: "), c["explanation"])), ""),
-        block(some(m["relationships"]), "## Internal Relationships\n", lines(m["relationships"], lambda r: F.concat(F.lit("- `"), r["source"], F.lit("` → `"), r["target"], F.lit("`: "), r["description"])), ""),
+        block(
+            some(m["relationships"]), "## Internal Relationships\n",
+            lines(
+                m["relationships"], lambda r: F.concat(
+                    F.lit("- `"), r["source"], F.lit("` → `"), r["target"], F.lit("`: "), r["description"]
+                )
+            ),
+            ""
+        ),
     )
 
 
@@ -149,7 +202,9 @@ def guide_page(g: Column, language: str = "zh") -> Column:
         time = F.coalesce(F.concat(F.lit(" (~"), given(s["time_estimate"]), F.lit(")")), F.lit(""))
         files = F.array_join(F.transform(s["files"], lambda f: F.concat(F.lit("`"), f, F.lit("`"))), ", ")
         return F.concat_ws(
-            "\n", F.concat(F.lit("## Step "), s["order"].cast("string"), F.lit(": "), s["title"], time, F.lit("\n")), F.when(some(s["files"]), F.concat(F.lit("**Files:** "), files, F.lit("\n"))),
+            "\n", F.concat(
+                F.lit("## Step "), s["order"].cast("string"), F.lit(": "), s["title"], time, F.lit("\n")
+            ), F.when(some(s["files"]), F.concat(F.lit("**Files:** "), files, F.lit("\n"))),
             F.concat(given(s["explanation"]), F.lit("\n")), block(some(s["files"]), f"**{words['section']}**\n", lines(s["files"], linked), ""),
         )
 
@@ -171,9 +226,14 @@ def dependency_page(diagram: Column, core: Column, entries: Column) -> Column:
 
 def category_page(category: Column, docs: Column, language: str = "zh") -> Column:
     """Index of a category(title, description) with docs(id, title, purpose, done) in order. Its headings."""
-    entry = lambda d: F.concat(F.lit("- ["), F.when(d["done"], "✓").otherwise("○"), F.lit("] ["), d["title"], F.lit("](docs/"), d["id"], F.lit(") — "), F.coalesce(d["purpose"], F.lit("")))
+    entry = lambda d: F.concat(
+        F.lit("- ["), F.when(d["done"], "✓").otherwise("○"), F.lit("] ["), d["title"], F.lit("](docs/"), d["id"], F.lit(") — "),
+        F.coalesce(d["purpose"], F.lit(""))
+    )
     return F.concat_ws(
-        "\n", F.concat(F.lit("# "), category["title"], F.lit("\n")), F.concat(given(category["description"]), F.lit("\n\n")), F.lit("<cite>\n"), F.concat(F.lit("**分类文档: "), category["title"], F.lit("**\n")),
+        "\n", F.concat(F.lit("# "), category["title"], F.lit("\n")), F.concat(given(category["description"]), F.lit("\n\n")), F.lit("<cite>\n"), F.concat(
+            F.lit("**分类文档: "), category["title"], F.lit("**\n")
+        ),
         F.concat(F.lit("- 包含 "), F.size(docs).cast("string"), F.lit(" 个文档\n")), F.lit("</cite>\n"), F.lit(f"## {labels(language)['toc']}\n"),
         _numbered(docs, lambda d: F.concat(F.lit("["), d["title"], F.lit("](#"), d["id"], F.lit(")"))), F.lit(""), F.lit("## 文档列表\n"), lines(docs, entry),
     )

@@ -23,23 +23,38 @@ def _asked(task: str, language: str, *parts: tuple[str, Column | str], fields: s
 
 
 def overview(tree: Column, key_files: Column, language: str = "en") -> Column:
-    return _asked("Describe this project: its purpose, kind, entry points, technologies, features and first steps.", language, ("File tree", tree), ("Key files", key_files), fields=pages.OVERVIEW)
+    return _asked(
+        "Describe this project: its purpose, kind, entry points, technologies, features and first steps.", language, ("File tree", tree),
+        ("Key files", key_files), fields=pages.OVERVIEW
+    )
 
 
 def architecture(tree: Column, dependencies: Column, summaries: Column, language: str = "en") -> Column:
-    return _asked("Describe the architecture: its type, components with their files, and how data flows. Draw components and a typical sequence in Mermaid.", language, ("File tree", tree), ("Module dependencies", dependencies), ("Modules", summaries), fields=pages.ARCHITECTURE)
+    return _asked(
+        "Describe the architecture: its type, components with their files, and how data flows. Draw components and a typical sequence in Mermaid.",
+        language, ("File tree", tree), ("Module dependencies", dependencies), ("Modules", summaries), fields=pages.ARCHITECTURE
+    )
 
 
 def reading_guide(tree: Column, core: Column, summaries: Column, language: str = "en") -> Column:
-    return _asked("Write a guide to reading this project: steps in order with their files, why they come then, and how long they take.", language, ("File tree", tree), ("Most important files", core), ("Modules", summaries), fields=pages.GUIDE)
+    return _asked(
+        "Write a guide to reading this project: steps in order with their files, why they come then, and how long they take.", language,
+        ("File tree", tree), ("Most important files", core), ("Modules", summaries), fields=pages.GUIDE
+    )
 
 
 def module(name: Column, files: Column, language: str = "en") -> Column:
-    return _asked("Document this module: its purpose, its files with their main symbols, how they work together, and its concepts.", language, ("Module", name), ("Files", files), fields=pages.MODULE)
+    return _asked(
+        "Document this module: its purpose, its files with their main symbols, how they work together, and its concepts.", language,
+        ("Module", name), ("Files", files), fields=pages.MODULE
+    )
 
 
 def chat(question: Column, context: Column, language: str = "en") -> Column:
-    return _asked("Answer the question from the quoted parts of the project, and name the files you rely on.", language, ("Quoted parts", context), ("Question", question))
+    return _asked(
+        "Answer the question from the quoted parts of the project, and name the files you rely on.", language, ("Quoted parts", context),
+        ("Question", question)
+    )
 
 
 def document_map(summary: Column, language: str = "en") -> Column:
@@ -63,7 +78,10 @@ def category_index(title: Column, description: Column, docs: Column, language: s
 def exploration(name: Column, project: Column, signatures: Column, cross: Column, language: str = "en") -> Column:
     """First prompt of an exploration: an answer may ask for files under `## Files I Need`, or be the module's JSON."""
     rules = "Ask for files you need in full, a path a line, under the heading `## Files I Need`. When you know enough, answer with the JSON alone."
-    return _asked("Explore and document this module.", language, ("Module", name), ("Project", project), ("Signatures", signatures), ("Files of other modules", cross), ("Rules", rules), fields=pages.MODULE)
+    return _asked(
+        "Explore and document this module.", language, ("Module", name), ("Project", project), ("Signatures", signatures),
+        ("Files of other modules", cross), ("Rules", rules), fields=pages.MODULE
+    )
 
 
 def structure_summary(tree: Column, dependencies: Column, core: Column) -> Column:
@@ -77,7 +95,9 @@ def structure_summary(tree: Column, dependencies: Column, core: Column) -> Colum
 
 def files_context(files: Column, most: int = 4096) -> Column:
     """Files (path, language, content) as fenced blocks under their paths, each cut at `most` characters."""
-    shown = lambda f: F.when(F.length(f["content"]) > most, F.concat(F.substring(f["content"], 1, most), F.lit("\n... (truncated)"))).otherwise(f["content"])
+    shown = lambda f: F.when(
+        F.length(f["content"]) > most, F.concat(F.substring(f["content"], 1, most), F.lit("\n... (truncated)"))
+    ).otherwise(f["content"])
     return F.array_join(F.transform(files, lambda f: F.concat(F.lit("### "), f["path"], F.lit("\n```"), f["language"], F.lit("\n"), shown(f), F.lit("\n```"))), "\n\n")
 
 

@@ -40,10 +40,24 @@ def markdown_to_html(text: Column) -> Column:
         fence = line.startswith("```")
         lang = F.regexp_replace(F.regexp_replace(line, "^```", ""), r"^\s+|\s+$", "")
         code = escaped(F.array_join(s["code"], "\n"))
-        block = F.when(s["lang"] == "mermaid", F.concat(F.lit('<div class="mermaid">'), code, F.lit("</div>"))).otherwise(F.concat(F.lit('<pre><code class="language-'), s["lang"], F.lit('">'), code, F.lit("</code></pre>")))
+        block = F.when(s["lang"] == "mermaid", F.concat(F.lit('<div class="mermaid">'), code, F.lit("</div>"))).otherwise(
+            F.concat(F.lit('<pre><code class="language-'), s["lang"], F.lit('">'), code, F.lit("</code></pre>"))
+        )
         return (
-            F.when(fence & s["open"], F.struct(F.lit(False).alias("open"), F.lit("").alias("lang"), F.array().cast("array<string>").alias("code"), F.array_append(s["out"], block).alias("out")))
-            .when(fence, F.struct(F.lit(True).alias("open"), F.when(lang == "", "text").otherwise(lang).alias("lang"), F.array().cast("array<string>").alias("code"), s["out"].alias("out")))
+            F.when(
+                fence & s["open"],
+                F.struct(
+                    F.lit(False).alias("open"), F.lit("").alias("lang"), F.array().cast("array<string>").alias("code"),
+                    F.array_append(s["out"], block).alias("out")
+                )
+            )
+            .when(
+                fence,
+                F.struct(
+                    F.lit(True).alias("open"), F.when(lang == "", "text").otherwise(lang).alias("lang"),
+                    F.array().cast("array<string>").alias("code"), s["out"].alias("out")
+                )
+            )
             .when(s["open"], F.struct(s["open"].alias("open"), s["lang"].alias("lang"), F.array_append(s["code"], line).alias("code"), s["out"].alias("out")))
             .otherwise(F.struct(s["open"].alias("open"), s["lang"].alias("lang"), s["code"].alias("code"), F.array_append(s["out"], tag(line)).alias("out")))
         )
@@ -53,7 +67,9 @@ def markdown_to_html(text: Column) -> Column:
 
 def edge_lines(edges: DataFrame) -> DataFrame:
     """line of a diagram for every distinct edge of edges(src, dst)."""
-    return edges.select("src", "dst").distinct().select("src", "dst", F.concat(F.lit("  "), diagram_id(F.col("src")), F.lit(" --> "), diagram_id(F.col("dst"))).alias("line"))
+    return edges.select("src", "dst").distinct().select(
+        "src", "dst", F.concat(F.lit("  "), diagram_id(F.col("src")), F.lit(" --> "), diagram_id(F.col("dst"))).alias("line")
+    )
 
 
 def module_diagram(files: DataFrame, dependencies: DataFrame, most: int = 12) -> DataFrame:
@@ -62,12 +78,20 @@ def module_diagram(files: DataFrame, dependencies: DataFrame, most: int = 12) ->
     sizes = files.groupBy(module_name(F.col("path")).alias("module")).agg(F.count("*").alias("n"))
     sources = dependencies.select(F.col("src_module").alias("module")).distinct().join(sizes, "module", "left").select("module", F.coalesce("n", F.lit(0)).alias("n"))
     front = F.exists(F.array(*(F.lit(w) for w in UI_WORDS)), lambda w: F.contains(F.lower("module"), w))
-    box = lambda pad: F.concat(F.lit(pad), diagram_id(F.col("module")), F.lit("[("), F.col("module"), F.lit(" - "), F.col("n").cast("string"), F.lit(" files)]"))
+    box = lambda pad: F.concat(
+        F.lit(pad), diagram_id(F.col("module")), F.lit("[("), F.col("module"), F.lit(" - "), F.col("n").cast("string"), F.lit(" files)]")
+    )
     split = sources.select("module", front.alias("front"), box("    ").alias("line")).agg(
-        F.sort_array(F.collect_list(F.when(F.col("front"), F.struct("module", "line")))).alias("f"), F.sort_array(F.collect_list(F.when(~F.col("front"), F.struct("module", "line")))).alias("b")
+        F.sort_array(F.collect_list(F.when(F.col("front"), F.struct("module", "line")))).alias("f"), F.sort_array(
+            F.collect_list(F.when(~F.col("front"), F.struct("module", "line")))
+        ).alias("b")
     )
-    plain = sizes.orderBy(F.col("n").desc(), "module").limit(most).select(F.col("n"), F.col("module"), box("  ").alias("line")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "module", "line"))).alias("p"))
-    edges = edge_lines(dependencies.select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))).agg(F.sort_array(F.collect_list(F.struct("src", "dst", "line"))).alias("e"))
+    plain = sizes.orderBy(F.col("n").desc(), "module").limit(most).select(F.col("n"), F.col("module"), box("  ").alias("line")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "module", "line"))).alias("p")
+    )
+    edges = edge_lines(
+        dependencies.select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
+    ).agg(F.sort_array(F.collect_list(F.struct("src", "dst", "line"))).alias("e"))
     text = lambda c: F.transform(c, lambda x: x["line"])
     both = (F.size("f") > 0) & (F.size("b") > 0)
     parts = F.when(
@@ -80,8 +104,15 @@ def module_diagram(files: DataFrame, dependencies: DataFrame, most: int = 12) ->
 
 def sidebar(items: DataFrame) -> DataFrame:
     """text: one row for items(sort_path, depth, title, page_id), nested by depth in the order of sort_path; slashes stay slashes."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(F.col("page_id") != "", F.concat(F.lit("- ["), "title", F.lit("](content/"), "page_id", F.lit(".md)"))).otherwise(F.concat(F.lit("- **"), "title", F.lit("**"))))
-    return items.agg(F.sort_array(F.collect_list(F.struct("sort_path", line.alias("line")))).alias("a")).select(F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("text"))
+    line = F.concat(
+        F.repeat(F.lit("  "), F.col("depth")),
+        F.when(
+            F.col("page_id") != "", F.concat(F.lit("- ["), "title", F.lit("](content/"), "page_id", F.lit(".md)"))
+        ).otherwise(F.concat(F.lit("- **"), "title", F.lit("**")))
+    )
+    return items.agg(
+        F.sort_array(F.collect_list(F.struct("sort_path", line.alias("line")))).alias("a")
+    ).select(F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("text"))
 
 
 def category_pages(categories: DataFrame, docs: DataFrame, least: int = 3) -> DataFrame:
@@ -89,7 +120,12 @@ def category_pages(categories: DataFrame, docs: DataFrame, least: int = 3) -> Da
     order = Window.partitionBy("category_id").orderBy("ord", "id")
     numbered = docs.withColumn("no", F.row_number().over(order))
     line = F.concat(F.col("no").cast("string"), F.lit(". **"), F.col("title"), F.lit("**: "), F.col("purpose"))
-    lists = numbered.groupBy("category_id").agg(F.count("*").alias("n_docs"), F.sort_array(F.collect_list(F.struct("no", line.alias("line")))).alias("a")).where(F.col("n_docs") >= least)
+    lists = numbered.groupBy("category_id").agg(
+        F.count("*").alias("n_docs"), F.sort_array(F.collect_list(F.struct("no", line.alias("line")))).alias("a")
+    ).where(F.col("n_docs") >= least)
     named = categories.select(F.col("id").alias("category_id"), F.col("title"))
-    return lists.join(named, "category_id").select("category_id", "title", "n_docs", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("content"))
+    return lists.join(named, "category_id").select(
+        "category_id", "title", "n_docs",
+        F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("content")
+    )
 

@@ -53,7 +53,9 @@ def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFra
     asked = durable(asked)
     asked_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("query_norm"))
     picked = weighted(tf.join(asked.select("token").distinct(), "token", "left_semi"), idf)
-    dots = picked.join(asked.select("query_id", "token", F.col("w").alias("qw")), "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    dots = picked.join(
+        asked.select("query_id", "token", F.col("w").alias("qw")), "token"
+    ).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     score = F.round(F.col("dot") / (F.col("norm") * F.col("query_norm")), 6).alias("score")
     scored = dots.join(length, "chunk_id").join(asked_norm, "query_id").select("query_id", "chunk_id", score)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").desc())
@@ -62,7 +64,10 @@ def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFra
 
 def chat_context(hits: DataFrame) -> DataFrame:
     """query_id, context, refs for hits(query_id, rank, path, start_line, end_line, content): the blocks a prompt quotes, in rank order."""
-    block = F.concat(F.lit("### "), F.col("path"), F.lit(" (lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")\n"), F.col("content"))
+    block = F.concat(
+        F.lit("### "), F.col("path"), F.lit(" (lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"),
+        F.lit(")\n"), F.col("content")
+    )
     ref = F.struct("rank", F.col("path").alias("path"), F.substring("content", 1, 200).alias("snippet"))
     out = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))).alias("blocks"), F.sort_array(F.collect_list(ref)).alias("refs"))
     return out.select("query_id", F.array_join(F.transform("blocks", lambda x: x["b"]), "\n\n").alias("context"), "refs")

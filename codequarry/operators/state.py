@@ -53,13 +53,18 @@ def usage(calls: DataFrame) -> DataFrame:
 
 def statuses(docs: DataFrame, records: DataFrame) -> DataFrame:
     """doc_id, status of docs(doc_id) by records(doc_id, status); without a record it is pending."""
-    return docs.select("doc_id").join(records.groupBy("doc_id").agg(F.max("status").alias("status")), "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("pending")).alias("status"))
+    return docs.select("doc_id").join(
+        records.groupBy("doc_id").agg(F.max("status").alias("status")), "doc_id", "left"
+    ).select("doc_id", F.coalesce("status", F.lit("pending")).alias("status"))
 
 
 def after_attempt(records: DataFrame, results: DataFrame) -> DataFrame:
     """doc_id, status, retry_count: records with results(doc_id, ok) applied; a failure counts as a retry, a placeholder is no success."""
     done = results.select("doc_id", F.when(F.col("ok"), "success").otherwise("failed").alias("new"))
-    return records.join(done, "doc_id", "full_outer").select("doc_id", F.coalesce("new", "status").alias("status"), (F.coalesce("retry_count", F.lit(0)) + F.when(F.col("new") == "failed", 1).otherwise(0)).alias("retry_count"))
+    return records.join(done, "doc_id", "full_outer").select(
+        "doc_id", F.coalesce("new", "status").alias("status"),
+        (F.coalesce("retry_count", F.lit(0)) + F.when(F.col("new") == "failed", 1).otherwise(0)).alias("retry_count")
+    )
 
 
 def to_retry(records: DataFrame, most: int = 2) -> DataFrame:
@@ -68,7 +73,9 @@ def to_retry(records: DataFrame, most: int = 2) -> DataFrame:
 
 def changed(pages: DataFrame, records: DataFrame) -> DataFrame:
     """Rows of pages(id, content) whose md5 differs from that of records(id, hash), or that have none."""
-    return pages.withColumn("hash", F.md5("content")).join(records.select("id", F.col("hash").alias("old")), "id", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).drop("old")
+    return pages.withColumn("hash", F.md5("content")).join(
+        records.select("id", F.col("hash").alias("old")), "id", "left"
+    ).where(~F.col("hash").eqNullSafe(F.col("old"))).drop("old")
 
 
 def merged(records: DataFrame, pages: DataFrame) -> DataFrame:

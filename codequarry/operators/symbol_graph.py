@@ -94,7 +94,9 @@ def symbol_diagram(symbols: DataFrame, edges: DataFrame, top: int = 50, **option
     """diagram: one row of text with the `top` ranked symbols, by file, larger files first, and the edges among the ranked ids, each
     pair once with its first label."""
     ranked = rank_symbols(symbols, edges, **options).orderBy(F.col("score").desc(), "id").limit(top)
-    place = ranked.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "id"))).alias("a")).select(F.posexplode("a").alias("at", "x")).select("at", F.col("x.id").alias("id"))
+    place = ranked.agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "id"))).alias("a")
+    ).select(F.posexplode("a").alias("at", "x")).select("at", F.col("x.id").alias("id"))
     shown = symbols.join(F.broadcast(place), "id")
     line = F.concat(F.lit("    "), symbol_diagram_id(F.col("id")), F.lit("["), kind_icon(F.col("kind")), F.lit(" "), "name", F.lit("]"))
     groups = shown.groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.array_sort(F.collect_list(F.struct("at", line.alias("line")))).alias("own"))
@@ -105,7 +107,10 @@ def symbol_diagram(symbols: DataFrame, edges: DataFrame, top: int = 50, **option
     ids = F.broadcast(place.select("id"))
     among = edges.join(ids.withColumnRenamed("id", "source"), "source").join(ids.withColumnRenamed("id", "target"), "target")
     labelled = among.groupBy("source", "target").agg(F.min(F.struct("line", "edge_type")).alias("first"))
-    arrow = F.concat(F.lit("  "), symbol_diagram_id(F.col("source")), F.lit(" -->|"), edge_label(F.col("first.edge_type")), F.lit("| "), symbol_diagram_id(F.col("target")))
+    arrow = F.concat(
+        F.lit("  "), symbol_diagram_id(F.col("source")), F.lit(" -->|"), edge_label(F.col("first.edge_type")), F.lit("| "),
+        symbol_diagram_id(F.col("target"))
+    )
     arrows = labelled.agg(F.array_sort(F.collect_list(F.struct("source", "target", arrow.alias("line")))).alias("arrows"))
     lines = F.concat(F.flatten(F.transform("blocks", lambda x: x["lines"])), F.array(F.lit("")), F.transform("arrows", lambda x: x["line"]))
     text = F.concat_ws("\n", F.array(F.lit("graph TD")), F.when(F.size("blocks") > 0, lines))

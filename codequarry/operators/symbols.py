@@ -41,10 +41,16 @@ def python_symbols(path: str, text: str) -> Iterator[Symbol]:
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             result = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-            yield Symbol(f"{path}:{node.name}:{node.lineno}", node.name, "function", node.lineno, node.end_lineno, f"def {node.name}({ast.unparse(node.args)}){result}", ast.get_docstring(node) or "")
+            yield Symbol(
+                f"{path}:{node.name}:{node.lineno}", node.name, "function", node.lineno, node.end_lineno,
+                f"def {node.name}({ast.unparse(node.args)}){result}", ast.get_docstring(node) or ""
+            )
         elif isinstance(node, ast.ClassDef):
             bases = f"({', '.join(map(ast.unparse, node.bases))})" if node.bases else ""
-            yield Symbol(f"{path}:{node.name}:{node.lineno}", node.name, "class", node.lineno, node.end_lineno, f"class {node.name}{bases}", ast.get_docstring(node) or "")
+            yield Symbol(
+                f"{path}:{node.name}:{node.lineno}", node.name, "class", node.lineno, node.end_lineno, f"class {node.name}{bases}",
+                ast.get_docstring(node) or ""
+            )
         elif isinstance(node, ast.Assign):
             for target in node.targets:
                 if isinstance(target, ast.Name):
@@ -70,7 +76,9 @@ def java_symbols(path: str, text: str) -> Iterator[Symbol]:
         line = line.split("//", 1)[0].strip()
         if m := re.match(r"(?:(?:public|private|protected|abstract|final|static)\s+)*class\s+(\w+)", line):
             yield _at(path, m[1], "class", number, f"class {m[1]}")
-        elif (m := re.match(r"(?:(?:public|private|protected|static|final)\s+)*([\w<>\[\],]+)\s+(\w+)\s*\(", line)) and m[1] not in _JAVA_WORDS and m[2] not in _JAVA_WORDS:
+        elif (
+            m := re.match(r"(?:(?:public|private|protected|static|final)\s+)*([\w<>\[\],]+)\s+(\w+)\s*\(", line)
+        ) and m[1] not in _JAVA_WORDS and m[2] not in _JAVA_WORDS:
             yield _at(path, m[2], "method", number, f"{m[2]}(...)")
 
 
@@ -88,10 +96,23 @@ def _by_line(patterns: tuple[tuple[str, str, str, str], ...]) -> Finder:
     return find
 
 
-go_symbols = _by_line(((r"func\s+(\w+)\s*\(", "function", "func", ""), (r"type\s+(\w+)\s+struct", "class", "type", ""), (r"type\s+(\w+)\s+interface", "interface", "type", "")))
-rust_symbols = _by_line(((r"fn\s+(\w+)\s*\(", "function", "fn", ""), (r"struct\s+(\w+)", "class", "struct", ""), (r"enum\s+(\w+)", "class", "enum", ""), (r"impl\s+(?:<[^>]+>)?\s*(\w+)", "class", "impl", "impl_")))
+go_symbols = _by_line(
+    (
+        (r"func\s+(\w+)\s*\(", "function", "func", ""), (r"type\s+(\w+)\s+struct", "class", "type", ""),
+        (r"type\s+(\w+)\s+interface", "interface", "type", "")
+    )
+)
+rust_symbols = _by_line(
+    (
+        (r"fn\s+(\w+)\s*\(", "function", "fn", ""), (r"struct\s+(\w+)", "class", "struct", ""), (r"enum\s+(\w+)", "class", "enum", ""),
+        (r"impl\s+(?:<[^>]+>)?\s*(\w+)", "class", "impl", "impl_")
+    )
+)
 
-FINDERS: dict[str, Finder] = {"python": python_symbols, "javascript": javascript_symbols, "typescript": javascript_symbols, "java": java_symbols, "go": go_symbols, "rust": rust_symbols}
+FINDERS: dict[str, Finder] = {
+    "python": python_symbols, "javascript": javascript_symbols, "typescript": javascript_symbols, "java": java_symbols, "go": go_symbols,
+    "rust": rust_symbols
+}
 
 
 def register_symbols(language: str, finder: Finder) -> None:
@@ -138,16 +159,22 @@ def call_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "caller", "callee", "line"])
 
     python = files.where("language = 'python'").select("path", "content").mapInPandas(run, "file string, caller string, callee string, line int")
-    lines = files.where("language in ('javascript', 'typescript')").select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("no", "text")).withColumn("line", F.col("no") + 1)
+    lines = files.where("language in ('javascript', 'typescript')").select(
+        F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("no", "text")
+    ).withColumn("line", F.col("no") + 1)
     calls = lines.select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(r"\.(\w+)\s*\("), F.lit(1))).alias("callee"))
     functions = symbols.where("kind = 'function' and language in ('javascript', 'typescript')").select("file", "line", F.col("name").alias("caller"))
-    timeline = calls.select("file", "line", "callee", F.lit(None).cast("string").alias("caller")).unionByName(functions.select("file", "line", F.lit(None).cast("string").alias("callee"), "caller"))
+    timeline = calls.select("file", "line", "callee", F.lit(None).cast("string").alias("caller")).unionByName(
+        functions.select("file", "line", F.lit(None).cast("string").alias("callee"), "caller")
+    )
     before = Window.partitionBy("file").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
     owned = timeline.withColumn("caller", F.coalesce(F.last("caller", ignorenulls=True).over(before), "caller")).where("callee is not null and caller is not null")
     both = python.select("file", "caller", "callee", "line").union(owned.select("file", "caller", "callee", "line"))
     named = symbols.groupBy("name").agg(F.max("id").alias("target"))
     own = symbols.groupBy("file", "name").agg(F.max("id").alias("source"))
-    return both.join(own, (both["file"] == own["file"]) & (both["caller"] == own["name"])).select("source", "callee", both["line"]).join(named, F.col("callee") == F.col("name")).select("source", "target", F.lit("calls").alias("edge_type"), "line")
+    return both.join(
+        own, (both["file"] == own["file"]) & (both["caller"] == own["name"])
+    ).select("source", "callee", both["line"]).join(named, F.col("callee") == F.col("name")).select("source", "target", F.lit("calls").alias("edge_type"), "line")
 
 
 def kind_counts(symbols: DataFrame, zeros: bool = True) -> DataFrame:

@@ -106,7 +106,10 @@ SELECT path, name IN {IN(f.CONFIG_NAMES)} AS is_config,
 )
 def file_roles(spark, d):  # noqa: ANN001, ANN201
     p = F.col("path")
-    return _paths(spark).select("path", f.is_config(p).alias("is_config"), f.is_entrypoint(p).alias("is_entrypoint"), f.has_skipped_suffix(p).alias("skipped"), f.in_skipped_dir(p).alias("in_skipped_dir"), f.is_noise(p).alias("is_noise"))
+    return _paths(spark).select(
+        "path", f.is_config(p).alias("is_config"), f.is_entrypoint(p).alias("is_entrypoint"), f.has_skipped_suffix(p).alias("skipped"),
+        f.in_skipped_dir(p).alias("in_skipped_dir"), f.is_noise(p).alias("is_noise")
+    )
 
 
 @query(
@@ -164,7 +167,15 @@ def content_hashes(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "documents").select("doc_id", f.content_hash(F.col("text")).alias("content_hash"), F.md5("text").alias("page_hash"))
 
 
-@query("git_urls", "SELECT * FROM " + corpus.values(list(zip(corpus.URLS, ("github.com", "gitlab.com", "", "bitbucket.org"), ("acme", "group", "", "team"), ("tool", "lib", "", "repo"))), "url, host, owner, repo"))
+@query(
+    "git_urls",
+    "SELECT * FROM " + corpus.values(
+        list(
+            zip(corpus.URLS, ("github.com", "gitlab.com", "", "bitbucket.org"), ("acme", "group", "", "team"), ("tool", "lib", "", "repo"))
+        ),
+        "url, host, owner, repo"
+    )
+)
 def git_urls(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(u,) for u in corpus.URLS], "url string").select("url", *f.git_url_parts(F.col("url")))
 
@@ -250,13 +261,18 @@ def rag_topk(spark, d):  # noqa: ANN001, ANN201
     "SELECT conv_id AS query_id, string_agg('### ' || role || ' (lines ' || turn || '-' || turn || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context, count(*)::INTEGER AS n_refs FROM conversations GROUP BY conv_id",
 )
 def chat_context(spark, d):  # noqa: ANN001, ANN201
-    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("path"), F.col("turn").alias("start_line"), F.col("turn").alias("end_line"), F.col("text").alias("content"))
+    turns = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("path"), F.col("turn").alias("start_line"),
+        F.col("turn").alias("end_line"), F.col("text").alias("content")
+    )
     return retrieval.chat_context(turns).select("query_id", "context", F.size("refs").alias("n_refs"))
 
 
 CODE_SQL = "code AS (SELECT * FROM " + corpus.values(corpus.FILES, "path, language, content") + ")"
 STRUCTURE_KIND = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{k}'" for p, k in chunking.STRUCTURES) + " END"
-STRUCTURE_NAME = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN " + (f"regexp_extract(x, '{p}', 1)" if r"(\w+)" in p else f"'{k}'") for p, k in chunking.STRUCTURES) + " END"
+STRUCTURE_NAME = "CASE " + " ".join(
+    f"WHEN regexp_matches(x, '{p}') THEN " + (f"regexp_extract(x, '{p}', 1)" if r"(\w+)" in p else f"'{k}'") for p, k in chunking.STRUCTURES
+) + " END"
 
 
 @query(
@@ -323,7 +339,12 @@ def parse_imports(spark, d):  # noqa: ANN001, ANN201
     return imports.parse_imports(corpus.code_files(spark))
 
 
-@query("resolve_imports", "SELECT source_file, language, module, line::INTEGER AS line, target_file, is_external FROM " + corpus.values([(*r[:5], r[5] == "true") for r in corpus.RESOLVED], "source_file, language, module, line, target_file, is_external"))
+@query(
+    "resolve_imports",
+    "SELECT source_file, language, module, line::INTEGER AS line, target_file, is_external FROM " + corpus.values(
+        [(*r[:5], r[5] == "true") for r in corpus.RESOLVED], "source_file, language, module, line, target_file, is_external"
+    )
+)
 def resolve_imports(spark, d):  # noqa: ANN001, ANN201
     code = corpus.code_files(spark)
     return imports.resolve_imports(imports.parse_imports(code), code).select("source_file", "language", "module", "line", "target_file", "is_external")
@@ -390,7 +411,12 @@ def symbol_density(spark, d):  # noqa: ANN001, ANN201
 )
 def entry_points(spark, d):  # noqa: ANN001, ANN201
     links = _links(spark, d)
-    return index.entry_points(links.select(F.col("source_file").alias("path")).union(table(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*", ""), r"[?#].*$", ""))).distinct(), links)
+    return index.entry_points(
+        links.select(F.col("source_file").alias("path")).union(
+            table(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*", ""), r"[?#].*$", ""))
+        ).distinct(),
+        links
+    )
 
 
 @query(
@@ -401,7 +427,9 @@ SELECT DISTINCT 'r' || ra AS src_module, 'r' || rb AS dst_module FROM n WHERE ra
 )
 def module_dependencies(spark, d):  # noqa: ANN001, ANN201
     n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("path"))
-    t = _trade(spark, d).join(n.select(F.col("n_nationkey").alias("src"), F.col("path").alias("source_file")), "src").join(n.select(F.col("n_nationkey").alias("dst"), F.col("path").alias("target_file")), "dst")
+    t = _trade(spark, d).join(
+        n.select(F.col("n_nationkey").alias("src"), F.col("path").alias("source_file")), "src"
+    ).join(n.select(F.col("n_nationkey").alias("dst"), F.col("path").alias("target_file")), "dst")
     return index.module_dependencies(t.withColumn("is_external", F.lit(False)))
 
 
@@ -503,7 +531,9 @@ BUYS_SQL = "buys AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS
 def _buys(spark, d):  # noqa: ANN001, ANN202
     lots = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    return lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")
+    ).distinct()
 
 
 @query("related_files_d1", f"WITH {BUYS_SQL} SELECT src AS start, dst AS id, 1 AS depth FROM both_ways WHERE src IN ('s1', 's2')")
@@ -523,7 +553,9 @@ def related_files_d2(spark, d):  # noqa: ANN001, ANN201
 @query("pagerank_symbols")
 def pagerank_symbols(spark, d):  # noqa: ANN001, ANN201
     """Customers and suppliers as symbols, all purchases as calls."""
-    people = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey")))
+    people = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(
+        table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"))
+    )
     return graph.page_rank(people, _buys(spark, d), most=20, tolerance=0).select("id", F.round("score", 9).alias("score"))
 
 
@@ -559,7 +591,9 @@ JOIN n ON n.need = l.id WHERE n.id NOT IN (SELECT id FROM bad))
 SELECT i.id, coalesce(max(l.level), -1)::INTEGER AS level, any_value(i.ord)::INTEGER AS ord FROM i LEFT JOIN l USING (id) GROUP BY i.id""",
 )
 def topo_levels(spark, d):  # noqa: ANN001, ANN201
-    return graph.levels(spark.createDataFrame(corpus.STEPS, "id string, ord int"), spark.createDataFrame(corpus.NEEDS, "id string, on string")).select("id", F.coalesce("level", F.lit(-1)).alias("level"), "ord")
+    return graph.levels(
+        spark.createDataFrame(corpus.STEPS, "id string, ord int"), spark.createDataFrame(corpus.NEEDS, "id string, on string")
+    ).select("id", F.coalesce("level", F.lit(-1)).alias("level"), "ord")
 
 
 @query("topo_order", "SELECT * FROM " + corpus.values([("c", 0), ("e", 1), ("a", 2), ("b", 3), ("d", 4), ("x", 5), ("y", 6), ("z", 7)], "id, place"))
@@ -590,14 +624,25 @@ def symbols_all(spark, d):  # noqa: ANN001, ANN201
 
 
 @query("call_edges", "SELECT source, target, 'calls' AS edge_type, line::INTEGER AS line FROM " + corpus.values([
-    ("src/core/main.py:start:11", "src/main/java/a/C.java:run:3", 12), ("src/core/main.py:run:7", "src/core/helper.py:show:2", 8), ("web/app.js:start:8", "web/lib/a.js:load:2", 9), ("web/lib/a.js:save:3", "web/lib/a.js:load:2", 4),
+    (
+        "src/core/main.py:start:11", "src/main/java/a/C.java:run:3", 12
+    ), ("src/core/main.py:run:7", "src/core/helper.py:show:2", 8), ("web/app.js:start:8", "web/lib/a.js:load:2", 9), ("web/lib/a.js:save:3", "web/lib/a.js:load:2", 4),
 ], "source, target, line"))
 def call_edges(spark, d):  # noqa: ANN001, ANN201
     code = corpus.code_files(spark).where(~F.col("path").isin(*corpus.GENERATED))
     return symbols.call_edges(code, symbols.parse_symbols(code))
 
 
-@query("symbol_kinds", "SELECT * FROM " + corpus.values([("function", 69), ("class", 9), ("module", 0), ("method", 2), ("interface", 1), ("variable", 102), ("constant", 0), ("property", 0)], "kind, n"))
+@query(
+    "symbol_kinds",
+    "SELECT * FROM " + corpus.values(
+        [
+            ("function", 69), ("class", 9), ("module", 0), ("method", 2), ("interface", 1), ("variable", 102), ("constant", 0),
+            ("property", 0)
+        ],
+        "kind, n"
+    )
+)
 def symbol_kinds(spark, d):  # noqa: ANN001, ANN201
     return symbols.kind_counts(symbols.parse_symbols(corpus.code_files(spark)))
 
@@ -620,7 +665,9 @@ def arch_patterns(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "design_patterns",
-    "WITH k AS (SELECT * FROM " + corpus.values([(k, n, x) for k, (n, x) in patterns.DESIGN.items()], "pattern_key, pattern, features") + "), s AS (SELECT lower(event_type) || CASE WHEN event_id % 2 = 0 THEN 'Event' ELSE 'listener' END AS name FROM events), h AS (SELECT pattern_key, pattern FROM k, s WHERE len(list_filter(features, lambda x: contains(lower(s.name), x))) > 0)\nSELECT pattern_key, pattern, count(*) AS n_matches, least(count(*) / 4, 1.0)::DOUBLE AS confidence FROM h GROUP BY ALL HAVING count(*) >= 2",
+    "WITH k AS (SELECT * FROM " + corpus.values(
+        [(k, n, x) for k, (n, x) in patterns.DESIGN.items()], "pattern_key, pattern, features"
+    ) + "), s AS (SELECT lower(event_type) || CASE WHEN event_id % 2 = 0 THEN 'Event' ELSE 'listener' END AS name FROM events), h AS (SELECT pattern_key, pattern FROM k, s WHERE len(list_filter(features, lambda x: contains(lower(s.name), x))) > 0)\nSELECT pattern_key, pattern, count(*) AS n_matches, least(count(*) / 4, 1.0)::DOUBLE AS confidence FROM h GROUP BY ALL HAVING count(*) >= 2",
 )
 def design_patterns(spark, d):  # noqa: ANN001, ANN201
     tail = F.when(F.col("event_id") % 2 == 0, "Event").otherwise("listener")
@@ -631,7 +678,10 @@ def design_patterns(spark, d):  # noqa: ANN001, ANN201
 
 
 def _glob_rows(spark, d):  # noqa: ANN001, ANN202
-    return spark.createDataFrame([("en", ["*/en/*"], []), ("ones", ["src?/*/doc_*1.txt"], ["en"]), ("low", ["src[0-4]/[!e]*/*9.txt"], [])], "doc_id string, patterns array<string>, depends_on array<string>")
+    return spark.createDataFrame(
+        [("en", ["*/en/*"], []), ("ones", ["src?/*/doc_*1.txt"], ["en"]), ("low", ["src[0-4]/[!e]*/*9.txt"], [])],
+        "doc_id string, patterns array<string>, depends_on array<string>"
+    )
 
 
 @query(
@@ -679,7 +729,9 @@ def region_tree(spark, d):  # noqa: ANN001, ANN201
 JOIN supplier ON s_nationkey = n_nationkey""",
 )
 def catalog_upsert(spark, d):  # noqa: ANN001, ANN201
-    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id")
+    )
     return metadata.catalogs(rows).select("name", "parent_id", "id")
 
 
@@ -725,8 +777,18 @@ def json_props(spark, d):  # noqa: ANN001, ANN201
 # ---- the symbol graph ----------------------------------------------------------------------------
 
 CALL_ROWS = [(a, b, "calls", n) for n, (a, b) in enumerate(corpus.CALLS, 1)] + [("a", "e", "imports", 20), ("f", "b", "uses", 21)]
-NODE_ROWS = [(x, x.upper(), k, p, n) for n, (x, k, p) in enumerate((("a", "function", "src/one/a.py"), ("b", "class", "src/one/a.py"), ("c", "method", "src/two/c.py"), ("d", "function", "src/two/c.py"), ("e", "variable", "e.py"), ("g", "function", "src/one/a.py")), 1)]
-GRAPH_SQL = "edges AS (SELECT * FROM " + corpus.values(CALL_ROWS, "source, target, edge_type, line") + "), nodes AS (SELECT * FROM " + corpus.values(NODE_ROWS, "id, name, kind, file, line") + ")"
+NODE_ROWS = [
+    (x, x.upper(), k, p, n) for n, (x, k, p) in enumerate(
+        (
+            ("a", "function", "src/one/a.py"), ("b", "class", "src/one/a.py"), ("c", "method", "src/two/c.py"),
+            ("d", "function", "src/two/c.py"), ("e", "variable", "e.py"), ("g", "function", "src/one/a.py")
+        ),
+        1
+    )
+]
+GRAPH_SQL = "edges AS (SELECT * FROM " + corpus.values(
+    CALL_ROWS, "source, target, edge_type, line"
+) + "), nodes AS (SELECT * FROM " + corpus.values(NODE_ROWS, "id, name, kind, file, line") + ")"
 RANK_SQL = """links AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'calls' AND source <> target), v AS (SELECT id FROM nodes UNION SELECT source
 FROM links UNION SELECT target FROM links), deg AS (SELECT source, count(*) AS n FROM links GROUP BY source),
 pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v UNION ALL
@@ -757,7 +819,17 @@ def symbol_ranks(spark, d):  # noqa: ANN001, ANN201
     return symbol_graph.rank_symbols(*_graph(spark), most=24, tolerance=0).select("id", F.round("score", 6).alias("score"))
 
 
-@query("symbol_diagram", "SELECT * FROM " + corpus.values([("graph TD\n  subgraph a\n    a[𝑓 A]\n    b[𝐶 B]\n    g[𝑓 G]\n  end\n  subgraph c\n    c[𝑚 C]\n    d[𝑓 D]\n  end\n  subgraph e\n    e[𝑣 E]\n  end\n\n  a -->|calls| b\n  a -->|calls| d\n  a -->|imports| e\n  b -->|calls| c\n  b -->|calls| d\n  c -->|calls| a\n  c -->|calls| d\n  d -->|calls| d\n  d -->|calls| e\n  e -->|calls| c\n  f -->|calls| a\n  f -->|uses| b",)], "diagram"))
+@query(
+    "symbol_diagram",
+    "SELECT * FROM " + corpus.values(
+        [
+            (
+                "graph TD\n  subgraph a\n    a[𝑓 A]\n    b[𝐶 B]\n    g[𝑓 G]\n  end\n  subgraph c\n    c[𝑚 C]\n    d[𝑓 D]\n  end\n  subgraph e\n    e[𝑣 E]\n  end\n\n  a -->|calls| b\n  a -->|calls| d\n  a -->|imports| e\n  b -->|calls| c\n  b -->|calls| d\n  c -->|calls| a\n  c -->|calls| d\n  d -->|calls| d\n  d -->|calls| e\n  e -->|calls| c\n  f -->|calls| a\n  f -->|uses| b",
+            )
+        ],
+        "diagram"
+    )
+)
 def symbol_diagram(spark, d):  # noqa: ANN001, ANN201
     return symbol_graph.symbol_diagram(*_graph(spark))
 
@@ -793,7 +865,9 @@ def symbol_callees(spark, d):  # noqa: ANN001, ANN201
 
 
 def _purchases(spark, d):  # noqa: ANN001, ANN202
-    lots = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lots = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(
+        table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
     return lots.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), F.lit("calls").alias("edge_type"))
 
 
@@ -822,7 +896,9 @@ SELECT 'edge', source, target, edge_type, line::INTEGER FROM edges""",
 )
 def symbol_json_round_trip(spark, d):  # noqa: ANN001, ANN201
     nodes, edges = symbol_graph.from_json(symbol_graph.to_json(*_graph(spark)))
-    return nodes.select(F.lit("symbol").alias("what"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("kind").alias("c"), "line").union(edges.select(F.lit("edge"), "source", "target", "edge_type", "line"))
+    return nodes.select(
+        F.lit("symbol").alias("what"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("kind").alias("c"), "line"
+    ).union(edges.select(F.lit("edge"), "source", "target", "edge_type", "line"))
 
 
 @query(
@@ -844,7 +920,9 @@ def symbol_lookups(spark, d):  # noqa: ANN001, ANN201
     nodes, edges = _graph(spark)
     rows = lambda what, df, c="id": df.select(F.lit(what).alias("what"), F.col(c).alias("id"))
     chains = symbol_graph.call_chain(edges, "f", "b", 2).select(F.array_join("chain", "").alias("id"))
-    out = rows("kind", symbol_graph.symbols_of_kind(nodes, "function")).union(rows("file", symbol_graph.symbols_in(nodes, "src/two/c.py"))).union(rows("id", symbol_graph.symbol(nodes, "e")))
+    out = rows("kind", symbol_graph.symbols_of_kind(nodes, "function")).union(
+        rows("file", symbol_graph.symbols_in(nodes, "src/two/c.py"))
+    ).union(rows("id", symbol_graph.symbol(nodes, "e")))
     uses = symbol_graph.edges_of_type(edges, "uses").select(F.concat("source", "target").alias("id"))
     return out.union(rows("uses", uses)).union(rows("chain", chains))
 
@@ -855,10 +933,20 @@ def symbol_lookups(spark, d):  # noqa: ANN001, ANN201
 def _plan(spark, d):  # noqa: ANN001, ANN202
     """Regions and nations as categories, suppliers as documents, of which those with a balance are written."""
     none = F.lit("").alias("description")
-    r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"), none, F.lit("").alias("parent_id"), F.col("r_regionkey").cast("int").alias("ord"))
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), none, F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_nationkey").cast("int").alias("ord"))
+    r = table(spark, d, "region").select(
+        F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"), none, F.lit("").alias("parent_id"),
+        F.col("r_regionkey").cast("int").alias("ord")
+    )
+    n = table(spark, d, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), none,
+        F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_nationkey").cast("int").alias("ord")
+    )
     s = table(spark, d, "supplier")
-    docs = s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("title"), F.concat(F.lit("n"), "s_nationkey").alias("category_id"), F.lit("sells").alias("purpose"), F.col("s_suppkey").cast("int").alias("ord"))
+    docs = s.select(
+        F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("title"),
+        F.concat(F.lit("n"), "s_nationkey").alias("category_id"), F.lit("sells").alias("purpose"),
+        F.col("s_suppkey").cast("int").alias("ord")
+    )
     written = s.where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("doc_id"), F.concat(F.lit("# "), "s_name").alias("content"))
     return r.union(n), docs, written
 
@@ -910,13 +998,23 @@ UNION ALL SELECT 'relation', 's' || s_suppkey, 'n' || s_nationkey FROM supplier"
 def metadata_round_trip(spark, d):  # noqa: ANN001, ANN201
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     made = metadata.catalogs(n.select(F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id")))
-    listed = metadata.items(s.select(F.concat(F.lit("n"), "s_nationkey").alias("catalog_id"), F.col("s_name").alias("title"), F.lit("sells").alias("description"), F.lit("").alias("parent_id")))
+    listed = metadata.items(
+        s.select(
+            F.concat(F.lit("n"), "s_nationkey").alias("catalog_id"), F.col("s_name").alias("title"), F.lit("sells").alias("description"),
+            F.lit("").alias("parent_id")
+        )
+    )
     pairs = s.select(F.concat(F.lit("n"), "s_nationkey").alias("source_id"), F.concat(F.lit("s"), "s_suppkey").alias("target_id"), F.lit("PARENT_CHILD").alias("kind"))
     item = F.lit("WIKI_ITEM")
-    links = metadata.relations(pairs).select(F.col("rel_id").cast("long").alias("id"), "source_id", "target_id", item.alias("source_type"), item.alias("target_type"), F.col("kind").alias("relationship_type"), F.lit("").alias("extra"))
+    links = metadata.relations(pairs).select(
+        F.col("rel_id").cast("long").alias("id"), "source_id", "target_id", item.alias("source_type"), item.alias("target_type"),
+        F.col("kind").alias("relationship_type"), F.lit("").alias("extra")
+    )
     back = metadata.read_document(metadata.document("trade", made, listed, links))
     rows = lambda what, df, name, parent: df.select(F.lit(what).alias("what"), F.col(name).alias("name"), F.col(parent).alias("parent"))
-    return rows("catalog", back["catalogs"], "name", "parent_id").union(rows("item", back["items"], "title", "catalog_id")).union(rows("relation", back["relations"], "target_id", "source_id"))
+    return rows("catalog", back["catalogs"], "name", "parent_id").union(rows("item", back["items"], "title", "catalog_id")).union(
+        rows("relation", back["relations"], "target_id", "source_id")
+    )
 
 
 @query(
@@ -932,7 +1030,12 @@ def metadata_lookups(spark, d):  # noqa: ANN001, ANN201
     below = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), metadata.key_of(F.lit(""), F.col("r_name")).alias("parent_id"))
     tree = metadata.catalog_tree(metadata.catalogs(top.union(below)))
     parent = F.when(F.col("s_acctbal") > 0, "rich").otherwise("")
-    listed = metadata.items(s.select(F.concat(F.lit("n"), "s_nationkey").alias("catalog_id"), F.col("s_name").alias("title"), F.lit("").alias("description"), parent.alias("parent_id")))
+    listed = metadata.items(
+        s.select(
+            F.concat(F.lit("n"), "s_nationkey").alias("catalog_id"), F.col("s_name").alias("title"), F.lit("").alias("description"),
+            parent.alias("parent_id")
+        )
+    )
     pairs = s.select(F.concat(F.lit("n"), "s_nationkey").alias("source_id"), F.concat(F.lit("s"), "s_suppkey").alias("target_id"), F.lit("PARENT_CHILD").alias("kind"))
     following = metadata.next_relation_id(metadata.relations(pairs).withColumnRenamed("rel_id", "id"))
     first = s.agg(F.min("s_name")).first()[0] or ""
@@ -953,7 +1056,10 @@ SELECT '<!doctype html><html><head><meta charset="utf-8"><title>Regions &amp; mo
 )
 def wiki_single_page(spark, d):  # noqa: ANN001, ANN201
     content = F.concat(F.lit("about **"), "r_name", F.lit("**"))
-    pages = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"), content.alias("content"), F.col("r_regionkey").alias("ord"))
+    pages = table(spark, d, "region").select(
+        F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"), content.alias("content"),
+        F.col("r_regionkey").alias("ord")
+    )
     return sinks.single_page(pages, "Regions & more")
 
 
@@ -990,7 +1096,10 @@ ORDER BY ts DESC, event_type DESC, props DESC) AS rn FROM events) SELECT key, va
 FROM customer) AND event_type <> 'delete' AND epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts)) <= 604800""",
 )
 def cache_get(spark, d):  # noqa: ANN001, ANN201
-    log = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("op"), F.col("props").alias("value"))
+    log = table(spark, d, "events").select(
+        F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("op"),
+        F.col("props").alias("value")
+    )
     return state.cached(log, table(spark, d, "customer").select(F.col("c_custkey").alias("key")), F.lit("2024-01-31 00:00:00").cast("timestamp"))
 
 
@@ -1016,13 +1125,20 @@ def usage_totals(spark, d):  # noqa: ANN001, ANN201
 
 @query("wanted_files", "SELECT 'd' || doc_id AS id, 'src/m' || doc_id % 7 || '.py' AS path FROM documents WHERE doc_id % 7 < 5 AND doc_id % 3 <> 0")
 def wanted_files(spark, d):  # noqa: ANN001, ANN201
-    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("src/m"), F.col("doc_id") % 7, F.lit(".py")).alias("path"), "doc_id")
+    docs = table(spark, d, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("src/m"), F.col("doc_id") % 7, F.lit(".py")).alias("path"), "doc_id"
+    )
     answers = docs.select("id", F.concat(F.lit("please show me "), "path").alias("answer"))
     known = spark.range(5).select(F.concat(F.lit("src/m"), "id", F.lit(".py")).alias("path"))
     return generation.wanted_files(answers, known, docs.where("doc_id % 3 = 0").select("id", "path"))
 
 
-@query("import_kinds", "SELECT * FROM " + corpus.values([("import", "import"), ("dynamic", "dynamic"), ("mod", "import"), ("sql_file", "sql_file"), ("", "import")], "kind, known"))
+@query(
+    "import_kinds",
+    "SELECT * FROM " + corpus.values(
+        [("import", "import"), ("dynamic", "dynamic"), ("mod", "import"), ("sql_file", "sql_file"), ("", "import")], "kind, known"
+    )
+)
 def import_kinds(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(k,) for k in ("import", "dynamic", "mod", "sql_file", "")], "kind string").select("kind", f.known_kind(F.col("kind")).alias("known"))
 
@@ -1043,12 +1159,21 @@ chr(10) || chr(10) || '### `src' || i || '/a.py`' || chr(10) || chr(10) || 'main
 FROM range(3) AS t(i)""",
 )
 def module_pages(spark, d):  # noqa: ANN001, ANN201
-    symbols_ = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(x).alias("line"), F.lit(t).alias("description")) for n, k, x, t in (("go", "function", 3, "runs"), ("X", "class", 0, ""))))
+    symbols_ = F.array(
+        *(
+            F.struct(
+                F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(x).alias("line"), F.lit(t).alias("description")
+            ) for n, k, x, t in (("go", "function", 3, "runs"), ("X", "class", 0, ""))
+        )
+    )
     path = F.concat(F.lit("src"), "id", F.lit("/a.py"))
     files = F.array(F.struct(path.alias("path"), F.lit("main").alias("purpose"), symbols_.alias("key_symbols")))
     links = F.array(F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("calls").alias("description")))
     ideas = F.array(F.struct(F.lit("Idea").alias("name"), F.lit("why").alias("explanation")))
-    rows = spark.range(3).select(F.concat(F.lit("src"), "id").alias("name"), F.concat(F.lit("does "), "id").alias("purpose"), F.lit("").alias("description"), files.alias("files"), links.alias("relationships"), ideas.alias("key_concepts"))
+    rows = spark.range(3).select(
+        F.concat(F.lit("src"), "id").alias("name"), F.concat(F.lit("does "), "id").alias("purpose"), F.lit("").alias("description"),
+        files.alias("files"), links.alias("relationships"), ideas.alias("key_concepts")
+    )
     return rows.select("name", wiki_pages.module_page(F.struct(*rows.columns)).alias("page"))
 
 
@@ -1077,7 +1202,10 @@ def module_diagram(spark, d):  # noqa: ANN001, ANN201
 
 
 @query("markdown_to_html", "SELECT * FROM " + corpus.values([
-    (1, "<h1>Title &amp; more</h1>\n<br>\n<p>text <strong>bold</strong> and <code>code</code> &lt;tag&gt;</p>\n<li>item</li>\n<li>first</li>\n<blockquote>quote</blockquote>"),
+    (
+        1,
+        "<h1>Title &amp; more</h1>\n<br>\n<p>text <strong>bold</strong> and <code>code</code> &lt;tag&gt;</p>\n<li>item</li>\n<li>first</li>\n<blockquote>quote</blockquote>"
+    ),
     (2, '<pre><code class="language-python">x = &quot;&lt;a&gt;&quot;</code></pre>\n<p>after</p>'), (3, '<div class="mermaid">graph TD</div>'),
     (4, '<h2>Two <a href="http://a?b=1&amp;c=2">link</a></h2>\n<h3>Three</h3>\n<pre><code class="language-text">plain</code></pre>'),
 ], "id, html"))
@@ -1094,7 +1222,11 @@ FROM n JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey HAVING coun
 )
 def category_pages(spark, d):  # noqa: ANN001, ANN201
     r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"))
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), F.concat(F.lit("r"), "n_regionkey").alias("category_id"), F.concat(F.lit("nation "), "n_nationkey").alias("purpose"), F.col("n_nationkey").alias("ord"))
+    n = table(spark, d, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"),
+        F.concat(F.lit("r"), "n_regionkey").alias("category_id"), F.concat(F.lit("nation "), "n_nationkey").alias("purpose"),
+        F.col("n_nationkey").alias("ord")
+    )
     return render.category_pages(r, n)
 
 
@@ -1109,7 +1241,12 @@ def category_pages(spark, d):  # noqa: ANN001, ANN201
 )
 def sidebar(spark, d):  # noqa: ANN001, ANN201
     tree = docmap.tree_paths(spark.createDataFrame(corpus.CATEGORIES, "id string, parent_id string, title string"))
-    return render.sidebar(tree.select(F.col("path").alias("sort_path"), "depth", F.element_at(F.split("path", "/"), -1).alias("title"), F.when(F.col("depth") > 1, F.col("id")).otherwise("").alias("page_id")))
+    return render.sidebar(
+        tree.select(
+            F.col("path").alias("sort_path"), "depth", F.element_at(F.split("path", "/"), -1).alias("title"),
+            F.when(F.col("depth") > 1, F.col("id")).otherwise("").alias("page_id")
+        )
+    )
 
 
 @query(
@@ -1158,7 +1295,10 @@ def module_prompts(spark, d):  # noqa: ANN001, ANN201
     """SELECT n_name AS title, 'nation: ' || n_name AS description, substr(sha256('' || chr(31) || 'r' || n_regionkey), 1, 32) AS catalog_id FROM nation""",
 )
 def metadata_from_symbols(spark, d):  # noqa: ANN001, ANN201
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.lit("nation").alias("kind"), F.concat(F.lit("r"), "n_regionkey", F.lit("/x")).alias("file"))
+    n = table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.lit("nation").alias("kind"),
+        F.concat(F.lit("r"), "n_regionkey", F.lit("/x")).alias("file")
+    )
     return metadata.from_symbols(n)[1].select("title", "description", "catalog_id")
 
 
@@ -1187,6 +1327,8 @@ def streaming_file_ingest(spark, d):  # noqa: ANN001, ANN201
     import uuid
 
     stream = counts_by_language(stream_table(spark, d, "documents"))
-    done = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{where}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    done = stream.writeStream.outputMode("complete").foreachBatch(keep).option(
+        "checkpointLocation", f"{where}/stream-{uuid.uuid4().hex}"
+    ).trigger(availableNow=True).start()
     done.awaitTermination()
     return found[-1]

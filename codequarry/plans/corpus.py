@@ -8,19 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 _LONG = "class Store {\n" + "".join(f"function load{i}(a, b) {{\n  const value{i} = a + b * {i};\n  return helper.run(value{i});\n}}\n" for i in range(60)) + "}\n"
 
 FILES: list[tuple[str, str, str]] = [
-    ("src/core/main.py", "python", "import os\nimport utils\nfrom src.core import models\nfrom . import helper\nimport utils\n\ndef run(x: int) -> str:\n    return helper.show(x)\n\nclass App(Base):\n    def start(self):\n        run(1)\n"),
+    (
+        "src/core/main.py", "python",
+        "import os\nimport utils\nfrom src.core import models\nfrom . import helper\nimport utils\n\ndef run(x: int) -> str:\n    return helper.show(x)\n\nclass App(Base):\n    def start(self):\n        run(1)\n"
+    ),
     ("src/core/models.py", "python", "from src.core.main import run\nimport json\nLIMIT = 5\n"),
     ("src/core/helper.py", "python", "import src.core.models\ndef show(x):\n    return x\n"),
     ("utils.py", "python", "import sys\nimport utils\n" + "\n".join(f"V{i} = {i}" + ("\n" if i % 7 == 6 else "") for i in range(40))),
-    ("web/app.js", "javascript", "import a from './lib/a'\nimport {b} from \"react\"\n// import c from 'gone'\nconst fs = require('fs')\n/* block\nimport d from 'hidden'\n*/\nfunction start() {\n  a.load()\n}\nclass Shell {\n}\n"),
+    (
+        "web/app.js", "javascript",
+        "import a from './lib/a'\nimport {b} from \"react\"\n// import c from 'gone'\nconst fs = require('fs')\n/* block\nimport d from 'hidden'\n*/\nfunction start() {\n  a.load()\n}\nclass Shell {\n}\n"
+    ),
     ("web/lib/a.js", "javascript", "import app from '../app'\nfunction load() {}\nfunction save() {\n  store.load()\n}\n"),
-    ("src/main/java/a/B.java", "java", "package a;\nimport java.util.List;\nimport static a.C.run;\nimport a.C;\npublic class B {\n    public void go(int x) {\n        return run(x);\n    }\n}\n"),
+    (
+        "src/main/java/a/B.java", "java",
+        "package a;\nimport java.util.List;\nimport static a.C.run;\nimport a.C;\npublic class B {\n    public void go(int x) {\n        return run(x);\n    }\n}\n"
+    ),
     ("src/main/java/a/C.java", "java", "import a.B;\nclass C {\n  static int run(int x) { return x; }\n}\n"),
-    ("cmd/main.go", "go", "package main\nimport \"fmt\"\nimport (\n  \"example.org/app/cmd/util\"\n  \"os\"\n)\nfunc main() {\n}\ntype Box struct {\n}\ntype Shape interface {\n}\n"),
+    (
+        "cmd/main.go", "go",
+        "package main\nimport \"fmt\"\nimport (\n  \"example.org/app/cmd/util\"\n  \"os\"\n)\nfunc main() {\n}\ntype Box struct {\n}\ntype Shape interface {\n}\n"
+    ),
     ("cmd/util.go", "go", "package util\nfunc Help() {\n}\n"),
     ("src/lib.rs", "rust", "mod shapes;\nuse std::fmt;\nuse crate::shapes::Circle; // note\nfn area() {\n}\nstruct Dot {\n}\nenum Kind {\n}\nimpl Dot {\n}\n"),
     ("src/shapes.rs", "rust", "pub struct Circle {}\nuse super::Dot;\n"),
-    ("db/all.sql", "sql", "-- comment\n\\i tables.sql\nSELECT * FROM users JOIN orders ON users.id = orders.uid;\nEXEC refresh_all\nINSERT INTO log SELECT audit.note(1);\n"),
+    (
+        "db/all.sql", "sql",
+        "-- comment\n\\i tables.sql\nSELECT * FROM users JOIN orders ON users.id = orders.uid;\nEXEC refresh_all\nINSERT INTO log SELECT audit.note(1);\n"
+    ),
     ("tables.sql", "sql", "CREATE TABLE IF NOT EXISTS users (id INT);\nDROP TABLE old_users;\n"),
     ("web/store.js", "javascript", _LONG),
     ("notes.xyz", "unknown", "import nothing\n"),
@@ -65,22 +80,48 @@ IMPORTED: list[tuple] = [
 ]
 #: What the files above import, as read off by hand: file, language, module, line, file it resolves to, external.
 RESOLVED: list[tuple] = [
-    ("src/core/main.py", "python", "os", 1, None, "true"), ("src/core/main.py", "python", "utils", 2, "utils.py", "false"), ("src/core/main.py", "python", "src.core", 3, "src/core/models.py", "false"),
-    ("src/core/main.py", "python", ".", 4, "src/core/helper.py", "false"), ("src/core/main.py", "python", "utils", 5, "utils.py", "false"), ("src/core/models.py", "python", "src.core.main", 1, "src/core/main.py", "false"),
-    ("src/core/models.py", "python", "json", 2, None, "true"), ("src/core/helper.py", "python", "src.core.models", 1, "src/core/models.py", "false"), ("utils.py", "python", "sys", 1, None, "true"), ("utils.py", "python", "utils", 2, "utils.py", "false"),
-    ("web/app.js", "javascript", "./lib/a", 1, "web/lib/a.js", "false"), ("web/app.js", "javascript", "react", 2, None, "true"), ("web/app.js", "javascript", "fs", 4, None, "true"), ("web/lib/a.js", "javascript", "../app", 1, "web/app.js", "false"),
-    ("src/main/java/a/B.java", "java", "java.util.List", 2, None, "true"), ("src/main/java/a/B.java", "java", "a.C.run", 3, None, "true"), ("src/main/java/a/B.java", "java", "a.C", 4, "src/main/java/a/C.java", "false"),
-    ("src/main/java/a/C.java", "java", "a.B", 1, "src/main/java/a/B.java", "false"), ("cmd/main.go", "go", "fmt", 2, None, "true"), ("cmd/main.go", "go", "example.org/app/cmd/util", 4, "cmd/util.go", "false"), ("cmd/main.go", "go", "os", 5, None, "true"),
-    ("src/lib.rs", "rust", "shapes", 1, "src/shapes.rs", "false"), ("src/lib.rs", "rust", "std::fmt", 2, None, "true"), ("src/lib.rs", "rust", "crate::shapes::Circle", 3, "src/shapes.rs", "false"), ("src/shapes.rs", "rust", "super::Dot", 2, None, "false"),
-    ("db/all.sql", "sql", "tables.sql", 2, "tables.sql", "false"), ("db/all.sql", "sql", "users", 3, None, "true"), ("db/all.sql", "sql", "orders", 3, None, "true"), ("db/all.sql", "sql", "refresh_all", 4, None, "false"), ("db/all.sql", "sql", "log", 5, None, "true"),
-    ("db/all.sql", "sql", "audit", 5, None, "true"), ("db/all.sql", "sql", "audit.note", 5, None, "true"), ("tables.sql", "sql", "users", 1, None, "true"), ("tables.sql", "sql", "old_users", 2, None, "true"),
+    ("src/core/main.py", "python", "os", 1, None, "true"), ("src/core/main.py", "python", "utils", 2, "utils.py", "false"), (
+        "src/core/main.py", "python", "src.core", 3, "src/core/models.py", "false"
+    ),
+    ("src/core/main.py", "python", ".", 4, "src/core/helper.py", "false"), ("src/core/main.py", "python", "utils", 5, "utils.py", "false"), (
+        "src/core/models.py", "python", "src.core.main", 1, "src/core/main.py", "false"
+    ),
+    ("src/core/models.py", "python", "json", 2, None, "true"), (
+        "src/core/helper.py", "python", "src.core.models", 1, "src/core/models.py", "false"
+    ), ("utils.py", "python", "sys", 1, None, "true"), ("utils.py", "python", "utils", 2, "utils.py", "false"),
+    (
+        "web/app.js", "javascript", "./lib/a", 1, "web/lib/a.js", "false"
+    ), ("web/app.js", "javascript", "react", 2, None, "true"), ("web/app.js", "javascript", "fs", 4, None, "true"), ("web/lib/a.js", "javascript", "../app", 1, "web/app.js", "false"),
+    ("src/main/java/a/B.java", "java", "java.util.List", 2, None, "true"), ("src/main/java/a/B.java", "java", "a.C.run", 3, None, "true"), (
+        "src/main/java/a/B.java", "java", "a.C", 4, "src/main/java/a/C.java", "false"
+    ),
+    (
+        "src/main/java/a/C.java", "java", "a.B", 1, "src/main/java/a/B.java", "false"
+    ), ("cmd/main.go", "go", "fmt", 2, None, "true"), ("cmd/main.go", "go", "example.org/app/cmd/util", 4, "cmd/util.go", "false"), ("cmd/main.go", "go", "os", 5, None, "true"),
+    ("src/lib.rs", "rust", "shapes", 1, "src/shapes.rs", "false"), ("src/lib.rs", "rust", "std::fmt", 2, None, "true"), (
+        "src/lib.rs", "rust", "crate::shapes::Circle", 3, "src/shapes.rs", "false"
+    ), ("src/shapes.rs", "rust", "super::Dot", 2, None, "false"),
+    (
+        "db/all.sql", "sql", "tables.sql", 2, "tables.sql", "false"
+    ), ("db/all.sql", "sql", "users", 3, None, "true"), ("db/all.sql", "sql", "orders", 3, None, "true"), ("db/all.sql", "sql", "refresh_all", 4, None, "false"), ("db/all.sql", "sql", "log", 5, None, "true"),
+    ("db/all.sql", "sql", "audit", 5, None, "true"), (
+        "db/all.sql", "sql", "audit.note", 5, None, "true"
+    ), ("tables.sql", "sql", "users", 1, None, "true"), ("tables.sql", "sql", "old_users", 2, None, "true"),
 ]
 #: Symbols of all files but the two generated ones: file, name, kind, line.
 NAMED: list[tuple] = [
-    ("src/core/main.py", "run", "function", 7), ("src/core/main.py", "App", "class", 10), ("src/core/main.py", "start", "function", 11), ("src/core/models.py", "LIMIT", "variable", 3), ("src/core/helper.py", "show", "function", 2),
-    ("web/app.js", "fs", "variable", 4), ("web/app.js", "start", "function", 8), ("web/app.js", "Shell", "class", 11), ("web/lib/a.js", "load", "function", 2), ("web/lib/a.js", "save", "function", 3), ("src/main/java/a/B.java", "B", "class", 5),
-    ("src/main/java/a/B.java", "go", "method", 6), ("src/main/java/a/C.java", "C", "class", 2), ("src/main/java/a/C.java", "run", "method", 3), ("cmd/main.go", "main", "function", 7), ("cmd/main.go", "Box", "class", 9), ("cmd/main.go", "Shape", "interface", 11),
-    ("cmd/util.go", "Help", "function", 2), ("src/lib.rs", "area", "function", 4), ("src/lib.rs", "Dot", "class", 6), ("src/lib.rs", "Kind", "class", 8), ("src/lib.rs", "impl_Dot", "class", 10),
+    ("src/core/main.py", "run", "function", 7), ("src/core/main.py", "App", "class", 10), ("src/core/main.py", "start", "function", 11), (
+        "src/core/models.py", "LIMIT", "variable", 3
+    ), ("src/core/helper.py", "show", "function", 2),
+    ("web/app.js", "fs", "variable", 4), ("web/app.js", "start", "function", 8), ("web/app.js", "Shell", "class", 11), ("web/lib/a.js", "load", "function", 2), ("web/lib/a.js", "save", "function", 3), (
+        "src/main/java/a/B.java", "B", "class", 5
+    ),
+    ("src/main/java/a/B.java", "go", "method", 6), ("src/main/java/a/C.java", "C", "class", 2), (
+        "src/main/java/a/C.java", "run", "method", 3
+    ), ("cmd/main.go", "main", "function", 7), ("cmd/main.go", "Box", "class", 9), ("cmd/main.go", "Shape", "interface", 11),
+    ("cmd/util.go", "Help", "function", 2), ("src/lib.rs", "area", "function", 4), ("src/lib.rs", "Dot", "class", 6), ("src/lib.rs", "Kind", "class", 8), (
+        "src/lib.rs", "impl_Dot", "class", 10
+    ),
 ]
 GENERATED = ("web/store.js", "utils.py")
 
@@ -93,7 +134,9 @@ PATHS = [
     "node_modules/p/index.js", "pkg/only.go", "app/views/page.vue", "deep/src/a.rs", "x/FooDto.java", "x/BarService.java", "y/AppConfig.java", "scripts/run.sh", "a.b.c/file.tar.gz", "web.egg-info/x.py",
 ]
 MARKDOWN = [
-    (1, "# Title & more\n\ntext **bold** and `code` <tag>\n- item\n1. first\n> quote"), (2, "```python\nx = \"<a>\"\n```\nafter"), (3, "```mermaid\ngraph TD\n```"), (4, "## Two [link](http://a?b=1&c=2)\n### Three\n```\nplain\n```\n```open\nlost"),
+    (
+        1, "# Title & more\n\ntext **bold** and `code` <tag>\n- item\n1. first\n> quote"
+    ), (2, "```python\nx = \"<a>\"\n```\nafter"), (3, "```mermaid\ngraph TD\n```"), (4, "## Two [link](http://a?b=1&c=2)\n### Three\n```\nplain\n```\n```open\nlost"),
 ]
 URLS = ["https://github.com/acme/tool.git", "gitlab.com/group/lib/", "https://example.org/acme/tool", " http://www.bitbucket.org/team/repo?x=1 "]
 

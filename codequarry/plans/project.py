@@ -49,7 +49,10 @@ class Project:
             self.tables = wiki.analyse(self.spark, root, self.config, self.client, self._note)
             categories, docs = wiki.document_map(self.tables, self.client, language=self.config.language)
             generated = wiki.generate_documents(self.tables, docs, self.client, concurrency=self.config.concurrency, language=self.config.language)
-            pages, entries = wiki.from_map(self.tables, categories, docs, generated.where("status = 'success'").select("doc_id", "content"), language=self.config.language)
+            pages, entries = wiki.from_map(
+                self.tables, categories, docs, generated.where("status = 'success'").select("doc_id", "content"),
+                language=self.config.language
+            )
             self.pages, self.sidebar = durable(pages), durable(entries)
             self.status = "done"
             self._note("done")
@@ -62,7 +65,14 @@ class Project:
         """project_id, status, message, name, project_type, n_files, total_lines; the last four are null until it is scanned."""
         own = self.spark.createDataFrame([(self.id, self.status, self.message)], "project_id string, status string, message string")
         if self.status != "done":
-            return own.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("project_type", "string"), ("n_files", "long"), ("total_lines", "long"))))
+            return own.select(
+                "*",
+                *(
+                    F.lit(None).cast(t).alias(c) for c, t in (
+                        ("name", "string"), ("project_type", "string"), ("n_files", "long"), ("total_lines", "long")
+                    )
+                )
+            )
         counts = self.tables["files"].agg(F.count("*").alias("n_files"), F.sum("lines").alias("total_lines"))
         return own.crossJoin(self.tables["name"]).crossJoin(self.tables["project"]).crossJoin(counts)
 
@@ -81,7 +91,10 @@ class Project:
         files, links = self.tables["files"], self.tables["imports"]
         edges = wiki.internal_edges(links).where("src <> dst").distinct()
         rankings = self.tables["ranks"].orderBy(F.col("score").desc(), "id").limit(top).select(F.col("id").alias("path"), F.round("score", 6).alias("score"))
-        return {"nodes": files.select(F.col("path").alias("id"), "language", "lines"), "edges": edges, "rankings": rankings, "diagram": render.module_diagram(files, index.module_dependencies(links))}
+        return {
+            "nodes": files.select(F.col("path").alias("id"), "language", "lines"), "edges": edges, "rankings": rankings,
+            "diagram": render.module_diagram(files, index.module_dependencies(links))
+        }
 
     def search(self, query: str, **filters: str) -> DataFrame:
         return index.search_files(self.tables["files"], query, **filters)

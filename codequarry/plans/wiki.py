@@ -41,7 +41,10 @@ def internal_edges(links: DataFrame) -> DataFrame:
     return links.where("target_file is not null").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst"))
 
 
-def analyse(spark: SparkSession, root: str, config: Config | None = None, client: generation.Client = generation.offline, on_progress: Progress = silent) -> dict[str, DataFrame]:
+def analyse(
+    spark: SparkSession, root: str, config: Config | None = None, client: generation.Client = generation.offline,
+    on_progress: Progress = silent
+) -> dict[str, DataFrame]:
     """The tables of a project: files, name, tree, imports (resolved), ranks, symbols, patterns, kind of project, and answers by module."""
     config = config or Config()
     on_progress("scanning")
@@ -55,7 +58,10 @@ def analyse(spark: SparkSession, root: str, config: Config | None = None, client
     asked = generation.module_prompts(files, module_name)
     answers = durable(generation.complete(asked, client, concurrency=config.concurrency))
     ranks = graph.page_rank(files.select(F.col("path").alias("id")), internal_edges(links))
-    return tables | {"imports": links, "ranks": ranks, "symbols": found, "patterns": patterns.recognise(found), "project": generation.project_type(files), "documents": answers}
+    return tables | {
+        "imports": links, "ranks": ranks, "symbols": found, "patterns": patterns.recognise(found),
+        "project": generation.project_type(files), "documents": answers
+    }
 
 
 def structure(tables: dict[str, DataFrame]) -> DataFrame:
@@ -93,10 +99,16 @@ def document_prompts(tables: dict[str, DataFrame], docs: DataFrame, language: st
     ready = docs.join(ranked.withColumnRenamed("doc_id", "id"), "id", "left").withColumn("context", prompts.files_context(F.col("files")))
     needs = F.array_join(F.col("depends_on"), ", ")
     memo = F.concat_ws(":", F.lit("doc"), "id", F.substring(F.sha2(F.substring("context", 1, 5000), 256), 1, 24))
-    return ready.select("id", prompts.document(F.col("title"), F.col("purpose"), F.col("context"), needs, language).alias("prompt"), memo.alias("memo"), prompts.referenced(F.col("context")).alias("referenced"))
+    return ready.select(
+        "id", prompts.document(F.col("title"), F.col("purpose"), F.col("context"), needs, language).alias("prompt"), memo.alias("memo"),
+        prompts.referenced(F.col("context")).alias("referenced")
+    )
 
 
-def generate_documents(tables: dict[str, DataFrame], docs: DataFrame, client: generation.Client = generation.offline, records: DataFrame | None = None, cache: DataFrame | None = None, concurrency: int = 5, language: str = "en") -> DataFrame:
+def generate_documents(
+    tables: dict[str, DataFrame], docs: DataFrame, client: generation.Client = generation.offline, records: DataFrame | None = None,
+    cache: DataFrame | None = None, concurrency: int = 5, language: str = "en"
+) -> DataFrame:
     """doc_id, content, memo, status for docs: texts in cache(memo, answer) are taken from there; with records(doc_id, status) a run is resumed
     and documents that have succeeded are taken from the cache or not at all; the others are asked for."""
     asked = durable(document_prompts(tables, docs, language))
@@ -120,10 +132,17 @@ def overview_page(tables: dict[str, DataFrame], overview: DataFrame | None = Non
         entries = tables["files"].where("is_entrypoint").agg(F.sort_array(F.collect_list("path")).alias("entries"))
         rows = tables["name"].crossJoin(tables["project"]).crossJoin(entries)
         blank = "array<struct<name:string,version:string,category:string>>"
-        overview = rows.select("name", F.lit("").alias("one_liner"), F.lit("").alias("description"), "project_type", F.slice("entries", 1, 5).alias("entry_points"), F.array().cast(blank).alias("tech_stack"), F.array().cast("array<string>").alias("key_features"), F.array().cast("array<string>").alias("setup_instructions"))
+        overview = rows.select(
+            "name", F.lit("").alias("one_liner"), F.lit("").alias("description"), "project_type",
+            F.slice("entries", 1, 5).alias("entry_points"), F.array().cast(blank).alias("tech_stack"),
+            F.array().cast("array<string>").alias("key_features"), F.array().cast("array<string>").alias("setup_instructions")
+        )
     o = F.struct(*overview.columns)
     text = render_pages.overview_page(o, F.col("files"), language)
-    return overview.crossJoin(files).select(F.lit("index").alias("id"), F.lit("Overview").alias("title"), text.alias("content"), F.lit("").alias("parent_id"), F.lit(0).alias("ord"))
+    return overview.crossJoin(files).select(
+        F.lit("index").alias("id"), F.lit("Overview").alias("title"), text.alias("content"), F.lit("").alias("parent_id"),
+        F.lit(0).alias("ord")
+    )
 
 
 def dependency_page(tables: dict[str, DataFrame], order: int = 100) -> DataFrame:
@@ -132,7 +151,10 @@ def dependency_page(tables: dict[str, DataFrame], order: int = 100) -> DataFrame
     core = tables["ranks"].orderBy(F.col("score").desc(), "id").limit(10).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "id"))).alias("core"))
     entries = index.entry_points(tables["files"], tables["imports"]).orderBy("path").limit(10).agg(F.sort_array(F.collect_list("path")).alias("entries"))
     text = render_pages.dependency_page(F.col("diagram"), F.transform("core", lambda x: x["id"]), F.col("entries"))
-    return drawn.crossJoin(core).crossJoin(entries).select(F.lit("dependencies").alias("id"), F.lit("Dependencies").alias("title"), text.alias("content"), F.lit("").alias("parent_id"), F.lit(order).alias("ord"))
+    return drawn.crossJoin(core).crossJoin(entries).select(
+        F.lit("dependencies").alias("id"), F.lit("Dependencies").alias("title"), text.alias("content"), F.lit("").alias("parent_id"),
+        F.lit(order).alias("ord")
+    )
 
 
 def _entry(pages: DataFrame, place: int) -> DataFrame:
@@ -140,29 +162,53 @@ def _entry(pages: DataFrame, place: int) -> DataFrame:
     return pages.select(path.alias("sort_path"), F.lit(0).alias("depth"), "title", F.col("id").alias("page_id"))
 
 
-def from_map(tables: dict[str, DataFrame], categories: DataFrame, docs: DataFrame, generated: DataFrame, overview: DataFrame | None = None, language: str = "zh") -> tuple[DataFrame, DataFrame]:
+def from_map(
+    tables: dict[str, DataFrame], categories: DataFrame, docs: DataFrame, generated: DataFrame, overview: DataFrame | None = None,
+    language: str = "zh"
+) -> tuple[DataFrame, DataFrame]:
     """(pages, sidebar entries): the index, the tree of categories, and the dependencies."""
     first, last = durable(overview_page(tables, overview, language)), durable(dependency_page(tables))
     middle, entries = docmap.category_branches(categories, docs, generated)
     return first.union(middle).union(last), _entry(first, 0).union(entries).union(_entry(last, 9))
 
 
-def from_modules(tables: dict[str, DataFrame], modules: DataFrame, overview: DataFrame | None = None, architecture: DataFrame | None = None, guide: DataFrame | None = None, language: str = "zh") -> tuple[DataFrame, DataFrame]:
+def from_modules(
+    tables: dict[str, DataFrame], modules: DataFrame, overview: DataFrame | None = None, architecture: DataFrame | None = None,
+    guide: DataFrame | None = None, language: str = "zh"
+) -> tuple[DataFrame, DataFrame]:
     """(pages, sidebar entries) of the flat form: index, architecture (a row of its fields), a page for each of modules (rows of the
     fields of a module), reading guide, dependencies."""
     size = modules.select("*", F.coalesce(F.size("files"), F.lit(0)).alias("n")).orderBy(F.col("n").desc(), "name")
     fields = F.struct(*modules.columns)
-    page = lambda df, name, title, text, order: df.select(F.lit(name).alias("id"), F.lit(title).alias("title"), text.alias("content"), F.lit("").alias("parent_id"), F.lit(order).alias("ord"))
-    own = size.select(F.concat(F.lit("modules/"), "name").alias("id"), F.col("name").alias("title"), render_pages.module_page(fields, language).alias("content"), F.lit("modules").alias("parent_id"), (-F.col("n")).alias("ord"))
+    page = lambda df, name, title, text, order: df.select(
+        F.lit(name).alias("id"), F.lit(title).alias("title"), text.alias("content"), F.lit("").alias("parent_id"), F.lit(order).alias("ord")
+    )
+    own = size.select(
+        F.concat(F.lit("modules/"), "name").alias("id"), F.col("name").alias("title"),
+        render_pages.module_page(fields, language).alias("content"), F.lit("modules").alias("parent_id"), (-F.col("n")).alias("ord")
+    )
     parts = [(durable(overview_page(tables, overview, language)), 0)]
     if architecture is not None:
-        parts.append((page(architecture.where("architecture_type <> ''"), "architecture", "Architecture", render_pages.architecture_page(F.struct(*architecture.columns), language), 1), 1))
+        parts.append(
+            (
+                page(
+                    architecture.where("architecture_type <> ''"), "architecture", "Architecture",
+                    render_pages.architecture_page(F.struct(*architecture.columns), language), 1
+                ),
+                1
+            )
+        )
     if guide is not None:
         parts.append((page(guide.where(F.size("steps") > 0), "reading-guide", "Reading Guide", render_pages.guide_page(F.struct(*guide.columns), language), 10), 3))
     parts.append((durable(dependency_page(tables, 11)), 9))
     head = F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).alias("ord"), F.lit("").alias("id")))
     entries = own.limit(1).select(head.alias("sort_path"), F.lit(0).alias("depth"), F.lit("Modules").alias("title"), F.lit("").alias("page_id"))
-    entries = entries.union(own.select(F.concat(head, F.array(F.struct(F.lit(0).alias("kind"), F.col("ord").alias("ord"), F.col("id").alias("id")))), F.lit(1), "title", "id"))
+    entries = entries.union(
+        own.select(
+            F.concat(head, F.array(F.struct(F.lit(0).alias("kind"), F.col("ord").alias("ord"), F.col("id").alias("id")))), F.lit(1),
+            "title", "id"
+        )
+    )
     every = own
     for df, place in parts:
         every, entries = every.union(df), entries.union(_entry(df, place))
@@ -173,9 +219,21 @@ def legacy_modules(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of a module's fields from the answers by module, where they are JSON of those fields, else with the answer as description."""
     answers = tables["documents"].where("status = 'success'")
     read = generation.json_answers(answers, render_pages.MODULE)
-    paths = tables["files"].groupBy(module_name(F.col("path")).alias("id")).agg(F.sort_array(F.collect_list(F.struct("path", F.lit("").alias("purpose"), F.array().cast("array<struct<name:string,kind:string,line:int,description:string>>").alias("key_symbols")))).alias("own"))
+    paths = tables["files"].groupBy(module_name(F.col("path")).alias("id")).agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct(
+                    "path", F.lit("").alias("purpose"),
+                    F.array().cast("array<struct<name:string,kind:string,line:int,description:string>>").alias("key_symbols")
+                )
+            )
+        ).alias("own")
+    )
     rows = answers.select("id", "answer").join(read, "id", "left").join(paths, "id", "left")
-    return rows.select(F.coalesce("name", "id").alias("name"), "purpose", F.coalesce("description", "answer").alias("description"), F.coalesce("files", "own").alias("files"), "relationships", "key_concepts")
+    return rows.select(
+        F.coalesce("name", "id").alias("name"), "purpose", F.coalesce("description", "answer").alias("description"),
+        F.coalesce("files", "own").alias("files"), "relationships", "key_concepts"
+    )
 
 
 def metadata_of(project: str, categories: DataFrame, docs: DataFrame, generated: DataFrame, pages: DataFrame) -> DataFrame:
@@ -183,15 +241,29 @@ def metadata_of(project: str, categories: DataFrame, docs: DataFrame, generated:
     titles = categories.select(F.col("id").alias("parent_id"), F.col("title").alias("above"))
     named = categories.join(titles, "parent_id", "left").withColumn("catalog", metadata.key_of(F.coalesce("above", F.lit("")), F.col("title")))
     made = named.select(F.col("catalog").alias("id"), F.col("title").alias("name"), F.coalesce("above", F.lit("")).alias("parent_id")).distinct()
-    written = docs.join(generated.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").join(named.select(F.col("id").alias("category_id"), "catalog"), "category_id")
-    listed = metadata.items(written.select(F.col("catalog").alias("catalog_id"), "title", F.coalesce(render_pages.given(F.col("purpose")), F.col("title")).alias("description"), F.lit("").alias("parent_id")))
+    written = docs.join(
+        generated.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi"
+    ).join(named.select(F.col("id").alias("category_id"), "catalog"), "category_id")
+    listed = metadata.items(
+        written.select(
+            F.col("catalog").alias("catalog_id"), "title",
+            F.coalesce(render_pages.given(F.col("purpose")), F.col("title")).alias("description"), F.lit("").alias("parent_id")
+        )
+    )
     pairs = metadata.relations(listed.select(F.col("catalog_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("PARENT_CHILD").alias("kind")))
     item = F.lit("WIKI_ITEM")
-    links = pairs.select(F.col("rel_id").cast("long").alias("id"), "source_id", "target_id", item.alias("source_type"), item.alias("target_type"), F.col("kind").alias("relationship_type"), F.lit("").alias("extra"))
+    links = pairs.select(
+        F.col("rel_id").cast("long").alias("id"), "source_id", "target_id", item.alias("source_type"), item.alias("target_type"),
+        F.col("kind").alias("relationship_type"), F.lit("").alias("extra")
+    )
     return metadata.document(project, made, listed, links, pages)
 
 
-def build(spark: SparkSession, root: str, out: str, title: str | None = None, config: Config | None = None, client: generation.Client = generation.offline, records: DataFrame | None = None, mode: str | None = None, on_progress: Progress = silent) -> DataFrame:
+def build(
+    spark: SparkSession, root: str, out: str, title: str | None = None, config: Config | None = None,
+    client: generation.Client = generation.offline, records: DataFrame | None = None, mode: str | None = None,
+    on_progress: Progress = silent
+) -> DataFrame:
     """Scan root and write its wiki to out. Mode `full` writes everything anew, `incremental` what differs from the last run's record,
     `resume` asks only for documents without a success in records(doc_id, status). Returns the new record id, hash."""
     config = config or Config()
@@ -206,10 +278,18 @@ def build(spark: SparkSession, root: str, out: str, title: str | None = None, co
     else:
         pages, entries = from_map(tables, categories, docs, good, language=config.language)
     drawn = generation.pattern_document(tables["patterns"]).where("content <> '# Architecture\n\n'")
-    extra = durable(drawn.select(F.lit("architecture").alias("id"), F.lit("Architecture").alias("title"), "content", F.lit("").alias("parent_id"), F.lit(50).alias("ord")))
+    extra = durable(
+        drawn.select(
+            F.lit("architecture").alias("id"), F.lit("Architecture").alias("title"), "content", F.lit("").alias("parent_id"),
+            F.lit(50).alias("ord")
+        )
+    )
     pages, entries = durable(pages.union(extra)), entries.union(_entry(extra, 8))
     name = title or tables["name"].first().name
     on_progress("writing files")
-    record = sinks.export_markdown(pages, render.sidebar(entries), out, name, "incremental" if mode in ("incremental", "resume") else "full", metadata_of(name, categories, docs, good, pages))
+    record = sinks.export_markdown(
+        pages, render.sidebar(entries), out, name, "incremental" if mode in ("incremental", "resume") else "full",
+        metadata_of(name, categories, docs, good, pages)
+    )
     on_progress("done")
     return record

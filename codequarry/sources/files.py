@@ -17,7 +17,10 @@ def described(files: DataFrame, preview_lines: int = PREVIEW_LINES) -> DataFrame
     path, content = F.col("path"), F.col("content")
     whole = f.is_config(path) | f.is_entrypoint(path)
     shown = F.when(F.length(content) > LARGE_CHARS, f.preview(content, LARGE_PREVIEW_LINES)).when(whole, content).otherwise(f.preview(content, preview_lines))
-    return files.select("path", "size", f.language(path).alias("language"), f.line_count(content).alias("lines"), shown.alias("preview"), "content", f.is_config(path).alias("is_config"), f.is_entrypoint(path).alias("is_entrypoint"))
+    return files.select(
+        "path", "size", f.language(path).alias("language"), f.line_count(content).alias("lines"), shown.alias("preview"), "content",
+        f.is_config(path).alias("is_config"), f.is_entrypoint(path).alias("is_entrypoint")
+    )
 
 
 def wanted(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -63,7 +66,10 @@ def project_name(files: DataFrame, fallback: str) -> DataFrame:
 def document_files(documents: DataFrame) -> DataFrame:
     """documents as files: path, language, lines, size, content."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select(f.document_path(F.col("source"), F.col("lang"), F.col("doc_id")).alias("path"), F.col("lang").alias("language"), f.line_count(text).alias("lines"), F.length(text).cast("long").alias("size"), text.alias("content"))
+    return documents.select(
+        f.document_path(F.col("source"), F.col("lang"), F.col("doc_id")).alias("path"), F.col("lang").alias("language"),
+        f.line_count(text).alias("lines"), F.length(text).cast("long").alias("size"), text.alias("content")
+    )
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -108,7 +108,12 @@ def json_document(pages: DataFrame, sidebar: DataFrame, project: str) -> DataFra
     """json: one row with the whole wiki: pages(id, title, content, parent_id, ord) in order and the entries of
     sidebar(depth, title, page_id, sort_path), nested by depth."""
     order = pages.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "title", "content", "parent_id"))).alias("p"))
-    shown = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["content"].alias("content"), x["parent_id"].alias("parent_id"), x["ord"].alias("order")))
+    shown = F.transform(
+        "p", lambda x: F.struct(
+            x["id"].alias("id"), x["title"].alias("title"), x["content"].alias("content"), x["parent_id"].alias("parent_id"),
+            x["ord"].alias("order")
+        )
+    )
     entries = sidebar.agg(F.sort_array(F.collect_list(F.struct("sort_path", "depth", "title", "page_id"))).alias("s"))
 
     def nest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,12 +153,20 @@ def write_json(pages: DataFrame, path: str) -> None:
 
 def single_page(pages: DataFrame, title: str) -> DataFrame:
     """html: one row with every page of pages(id, title, content, ord), for a wiki that fits a browser."""
-    body = F.concat(F.lit('<section id="'), escaped(F.col("id")), F.lit('"><h1>'), escaped(F.col("title")), F.lit("</h1>\n"), markdown_to_html(F.col("content")), F.lit("\n</section>"))
+    body = F.concat(
+        F.lit('<section id="'), escaped(F.col("id")), F.lit('"><h1>'), escaped(F.col("title")), F.lit("</h1>\n"),
+        markdown_to_html(F.col("content")), F.lit("\n</section>")
+    )
     link = F.concat(F.lit('<a href="#'), escaped(F.col("id")), F.lit('">'), escaped(F.col("title")), F.lit("</a>"))
     rows = pages.agg(F.sort_array(F.collect_list(F.struct("ord", "id", body.alias("body"), link.alias("link")))).alias("a"))
     part = lambda name: F.array_join(F.transform("a", lambda x: x[name]), "\n")
     head = escaped(F.lit(title))
-    return rows.select(F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), head, F.lit("</title></head><body><nav>"), part("link"), F.lit("</nav><main>"), part("body"), F.lit("</main></body></html>")).alias("html"))
+    return rows.select(
+        F.concat(
+            F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), head, F.lit("</title></head><body><nav>"), part("link"),
+            F.lit("</nav><main>"), part("body"), F.lit("</main></body></html>")
+        ).alias("html")
+    )
 
 
 def read_metadata(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -55,4 +55,7 @@ def cached_values(log: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
         yield row(last["value"], last["created_at"], True)
 
     marked = log.withWatermark("created_at", "0 seconds").groupBy("key")
-    return marked.applyInPandasWithState(update, "key string, value string, created_at timestamp, live boolean", "value string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.applyInPandasWithState(
+        update, "key string, value string, created_at timestamp, live boolean", "value string, at long", "append",
+        GroupStateTimeout.EventTimeTimeout
+    )

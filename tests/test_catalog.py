@@ -52,7 +52,11 @@ def plain_rank(ids: set, edges: set, turns: int = 20) -> dict:
 
 def test_graphs_of_whole_tables(spark, sf_dir):  # noqa: ANN001
     t = {n: duckdb.sql(f"SELECT * FROM '{sf_dir}/{n}.parquet'").df() for n in ("lineitem", "orders", "customer", "supplier", "nation")}
-    customer, home, base = (dict(t[n][list(c)].itertuples(index=False)) for n, c in (("orders", ("o_orderkey", "o_custkey")), ("customer", ("c_custkey", "c_nationkey")), ("supplier", ("s_suppkey", "s_nationkey"))))
+    customer, home, base = (
+        dict(t[n][list(c)].itertuples(index=False)) for n, c in (
+            ("orders", ("o_orderkey", "o_custkey")), ("customer", ("c_custkey", "c_nationkey")), ("supplier", ("s_suppkey", "s_nationkey"))
+        )
+    )
     region = dict(t["nation"][["n_nationkey", "n_regionkey"]].itertuples(index=False))
     pairs = {(customer[o], s) for o, s in t["lineitem"][["l_orderkey", "l_suppkey"]].itertuples(index=False)}
     trade, buys = {(base[s], home[c]) for c, s in pairs}, {(f"c{c}", f"s{s}") for c, s in pairs}

@@ -21,13 +21,24 @@ def parse(spark, language, text, path="f"):  # noqa: ANN001, ANN201
 def test_python_imports(spark):  # noqa: ANN001
     text = "import os\nfrom collections import OrderedDict, namedtuple\nfrom . import utils\nfrom .. import parent\nfrom .utils import helper\nimport numpy\n"
     got = {(r.module, r.name, r.kind, r.is_external) for r in parse(spark, "python", text).collect()}
-    assert got == {("os", None, "import", True), ("collections", "OrderedDict", "from", True), ("collections", "namedtuple", "from", True), (".", "utils", "from", False), ("..", "parent", "from", False), (".utils", "helper", "from", False), ("numpy", None, "import", True)}
+    assert got == {
+        ("os", None, "import", True), ("collections", "OrderedDict", "from", True), ("collections", "namedtuple", "from", True),
+        (".", "utils", "from", False), ("..", "parent", "from", False), (".utils", "helper", "from", False), ("numpy", None, "import", True)
+    }
     assert parse(spark, "python", "def broken(:").count() == 0
 
 
 def test_other_imports(spark):  # noqa: ANN001
-    assert rows(parse(spark, "javascript", "const fs = require('fs')\nimport a from './x'\n// import b from 'no'\n/*\nimport c from 'no'\n*/\nimport 'side'"), "module", "kind", "line") == [("./x", "import", 2), ("fs", "require", 1), ("side", "import", 7)]
-    assert rows(parse(spark, "java", "import java.util.List;\nimport java.util.*;\nimport static a.B.c;"), "module", "kind") == [("a.B.c", "static"), ("java.util", "import"), ("java.util.List", "import")]
+    assert rows(
+        parse(
+            spark, "javascript",
+            "const fs = require('fs')\nimport a from './x'\n// import b from 'no'\n/*\nimport c from 'no'\n*/\nimport 'side'"
+        ),
+        "module", "kind", "line"
+    ) == [("./x", "import", 2), ("fs", "require", 1), ("side", "import", 7)]
+    assert rows(
+        parse(spark, "java", "import java.util.List;\nimport java.util.*;\nimport static a.B.c;"), "module", "kind"
+    ) == [("a.B.c", "static"), ("java.util", "import"), ("java.util.List", "import")]
     assert rows(parse(spark, "go", 'import "fmt"\nimport (\n "os"\n "a/b"\n)\n'), "module", "line") == [("a/b", 4), ("fmt", 1), ("os", 3)]
     found = rows(parse(spark, "sql", "SELECT * FROM users JOIN orders ON users.id = orders.user_id;\nEXEC usp_GetOrders\n\\i other.sql\n"), "module", "kind")
     assert {("users", "table"), ("orders", "table"), ("usp_GetOrders", "procedure"), ("other.sql", "sql_file")} <= set(found)
@@ -62,7 +73,13 @@ def test_registered_languages(spark, monkeypatch):  # noqa: ANN001
 
 
 def test_resolution_takes_the_first_candidate(spark):  # noqa: ANN001
-    code = spark.createDataFrame([("src/main.py", "python", "import utils\nimport os\nfrom . import helper\n"), ("utils.py", "python", ""), ("src/utils.py", "python", ""), ("src/helper.py", "python", "")], "path string, language string, content string")
+    code = spark.createDataFrame(
+        [
+            ("src/main.py", "python", "import utils\nimport os\nfrom . import helper\n"), ("utils.py", "python", ""),
+            ("src/utils.py", "python", ""), ("src/helper.py", "python", "")
+        ],
+        "path string, language string, content string"
+    )
     got = {(r.module, r.name): (r.target_file, r.is_external) for r in imports.resolve_imports(imports.parse_imports(code), code).collect()}
     assert got[("utils", None)] == ("utils.py", False)
     assert got[("os", None)] == (None, True)
@@ -70,7 +87,13 @@ def test_resolution_takes_the_first_candidate(spark):  # noqa: ANN001
 
 def test_index(spark):  # noqa: ANN001
     files = spark.createDataFrame([("main.py", "python", 3), ("utils/helper.py", "python", 5), ("other.py", "python", 2)], "path string, language string, lines long")
-    links = spark.createDataFrame([("main.py", "utils.helper", "utils/helper.py", False), ("other.py", "utils.helper", "utils/helper.py", False), ("main.py", "os", None, True)], "source_file string, target_module string, target_file string, is_external boolean")
+    links = spark.createDataFrame(
+        [
+            ("main.py", "utils.helper", "utils/helper.py", False), ("other.py", "utils.helper", "utils/helper.py", False),
+            ("main.py", "os", None, True)
+        ],
+        "source_file string, target_module string, target_file string, is_external boolean"
+    )
     assert rows(index.entry_points(files, links), "path") == [("main.py",), ("other.py",)]
     assert rows(index.module_dependencies(links), "src_module", "dst_module") == [("root", "utils")]
     assert rows(index.importers_of(links, "utils/helper.py"), "source_file") == [("main.py",), ("other.py",)]
@@ -102,7 +125,10 @@ def test_chunks_partition_lines(spark):  # noqa: ANN001
 
 
 def test_scan(spark, tmp_path):  # noqa: ANN001
-    for name, content in {"src/main.js": "let a = 1\n", "app.js": "x", "app.min.js": "x", "node_modules/p.js": "x", "static/chunk.js": "x" * 5000, "bin.dat": "x", "zero.py": "", "null.py": "a\0b"}.items():
+    for name, content in {
+        "src/main.js": "let a = 1\n", "app.js": "x", "app.min.js": "x", "node_modules/p.js": "x", "static/chunk.js": "x" * 5000,
+        "bin.dat": "x", "zero.py": "", "null.py": "a\0b"
+    }.items():
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(content)
@@ -114,7 +140,9 @@ def test_symbols(spark):  # noqa: ANN001
     text = 'class A(B):\n    """Doc."""\n    def go(self, x: int) -> str:\n        return show(x)\n\ndef show(x):\n    return x\n'
     code = spark.createDataFrame([("a.py", "python", text)], "path string, language string, content string")
     found = symbols.parse_symbols(code)
-    assert rows(found, "name", "kind", "signature") == [("A", "class", "class A(B)"), ("go", "function", "def go(self, x: int) -> str"), ("show", "function", "def show(x)")]
+    assert rows(found, "name", "kind", "signature") == [
+        ("A", "class", "class A(B)"), ("go", "function", "def go(self, x: int) -> str"), ("show", "function", "def show(x)")
+    ]
     assert rows(symbols.call_edges(code, found), "source", "target") == [("a.py:go:3", "a.py:show:6")]
     assert symbols.kind_counts(found).count() == 8
 
@@ -150,11 +178,19 @@ def test_export_modes(spark, tmp_path):  # noqa: ANN001
     (tmp_path / sinks.RECORD).write_text("{broken")
     assert sinks.read_record(spark, out) is None
     step = lambda *ns: [{"kind": 1, "ord": n, "id": str(n)} for n in ns]
-    entries = spark.createDataFrame([(step(1), 0, "Top", ""), (step(1, 1), 1, "Sub", "category/s"), (step(1, 1, 2), 2, "Leaf", "docs/l"), (step(1, 3), 1, "Other", "docs/o"), (step(2), 0, "Last", "dependencies")], "sort_path array<struct<kind:int,ord:int,id:string>>, depth int, title string, page_id string")
+    entries = spark.createDataFrame(
+        [
+            (step(1), 0, "Top", ""), (step(1, 1), 1, "Sub", "category/s"), (step(1, 1, 2), 2, "Leaf", "docs/l"),
+            (step(1, 3), 1, "Other", "docs/o"), (step(2), 0, "Last", "dependencies")
+        ],
+        "sort_path array<struct<kind:int,ord:int,id:string>>, depth int, title string, page_id string"
+    )
     doc = json.loads(sinks.json_document(pages, entries, "Demo").first().json)
     assert [p["id"] for p in doc["pages"]] == ["index", "docs/a"] and doc["project_name"] == "Demo"
     top, last = doc["sidebar"]
-    assert [c["title"] for c in top["children"]] == ["Sub", "Other"] and top["children"][0]["children"] == [{"title": "Leaf", "page_id": "docs/l"}] and "children" not in last
+    assert [c["title"] for c in top["children"]] == ["Sub", "Other"] and top["children"][0]["children"] == [
+        {"title": "Leaf", "page_id": "docs/l"}
+    ] and "children" not in last
 
 
 def test_cache_as_a_stream(spark, tmp_path):  # noqa: ANN001
@@ -163,7 +199,9 @@ def test_cache_as_a_stream(spark, tmp_path):  # noqa: ANN001
     shape = "key string, value string, created_at timestamp, op string"
     at = lambda day, hour=0: f"2024-01-{day:02d} {hour:02d}:00:00"
     batches = [
-        [("a", "1", at(1), "put"), ("a", "2", at(1, 5), "put"), ("b", "x", at(2), "put"), ("c", "y", at(2), "put")], [("a", "old", at(1, 2), "put"), ("c", None, at(3), "delete")],
+        [
+            ("a", "1", at(1), "put"), ("a", "2", at(1, 5), "put"), ("b", "x", at(2), "put"), ("c", "y", at(2), "put")
+        ], [("a", "old", at(1, 2), "put"), ("c", None, at(3), "delete")],
         [("d", "z", at(20), "put")], [("d", "w", at(21), "put")],
     ]
     seen: list = []
@@ -211,13 +249,34 @@ def test_pages_and_references(spark):  # noqa: ANN001
     row = lambda text, schema: F.from_json(F.lit(text), schema)
     arch = '{"architecture_type": "layered", "components": [{"name": "Core Part", "purpose": "p", "files": ["a.py", "b.py"]}], "mermaid_component": "graph", "data_flow": "down"}'
     text = one(pages.architecture_page(row(arch, pages.ARCHITECTURE), "en"))
-    assert text.startswith("# Architecture\n\n<cite>\n\n**Files Referenced**\n\n- [a.py](file://a.py)\n- [b.py](file://b.py)\n</cite>\n\n**Type:** layered\n") and "## Component Diagram\n\n```mermaid\ngraph\n```\n" in text and "Files: `a.py`, `b.py`\n" in text and text.endswith("## Data Flow\n\ndown\n")
+    assert text.startswith(
+        "# Architecture\n\n<cite>\n\n**Files Referenced**\n\n- [a.py](file://a.py)\n- [b.py](file://b.py)\n</cite>\n\n**Type:** layered\n"
+    ) and "## Component Diagram\n\n```mermaid\ngraph\n```\n" in text and "Files: `a.py`, `b.py`\n" in text and text.endswith("## Data Flow\n\ndown\n")
     both = one(pages.architecture_page(row(arch.replace('"data_flow"', '"mermaid_sequence": "seq", "data_flow"'), pages.ARCHITECTURE)))
     assert '    Core_Part["Core Part"]' in both and "Sequence Diagram" not in both
-    guide = one(pages.guide_page(row('{"introduction": "hi", "steps": [{"order": 1, "title": "Start", "time_estimate": "5m", "files": ["m.py"]}], "tips": ["t"]}', pages.GUIDE), "en"))
+    guide = one(
+        pages.guide_page(
+            row(
+                '{"introduction": "hi", "steps": [{"order": 1, "title": "Start", "time_estimate": "5m", "files": ["m.py"]}], "tips": ["t"]}',
+                pages.GUIDE
+            ),
+            "en"
+        )
+    )
     assert "## Step 1: Start (~5m)\n\n**Files:** `m.py`\n\n**Section Source**\n\n- [m.py](file://m.py)\n" in guide and guide.endswith("## Tips\n\n- t\n")
-    files = row('[{"path": "cfg", "is_config": true, "is_entrypoint": false}, {"path": "plain", "is_config": false, "is_entrypoint": false}]', "array<struct<path:string,is_config:boolean,is_entrypoint:boolean>>")
-    view = one(pages.overview_page(row('{"name": "N", "one_liner": "o", "entry_points": ["e.py"], "tech_stack": [{"name": "T", "version": "1", "category": ""}], "setup_instructions": ["do"]}', pages.OVERVIEW), files))
+    files = row(
+        '[{"path": "cfg", "is_config": true, "is_entrypoint": false}, {"path": "plain", "is_config": false, "is_entrypoint": false}]',
+        "array<struct<path:string,is_config:boolean,is_entrypoint:boolean>>"
+    )
+    view = one(
+        pages.overview_page(
+            row(
+                '{"name": "N", "one_liner": "o", "entry_points": ["e.py"], "tech_stack": [{"name": "T", "version": "1", "category": ""}], "setup_instructions": ["do"]}',
+                pages.OVERVIEW
+            ),
+            files
+        )
+    )
     assert "- [e.py](file://e.py)\n- [cfg](file://cfg)\n</cite>" in view and "1. [入口点](#入口点)\n2. [技术栈](#技术栈)\n3. [快速开始](#快速开始)" in view and "- **T** 1\n" in view and "1. do" in view and "plain" not in view
     content = "# T\n## One\ntext\n```mermaid\ngraph\n```\n\n## Two\n\n**Section Source**\n- x"
     put = one(pages.with_references(F.lit(content), F.array(F.lit("f.py")), "en"))
@@ -225,11 +284,20 @@ def test_pages_and_references(spark):  # noqa: ANN001
     assert one(pages.with_references(F.lit(content), F.array().cast("array<string>"))) == content
     shown = one(prompts.files_context(F.array(F.struct(F.lit("a.py").alias("path"), F.lit("python").alias("language"), F.lit("x" * 9).alias("content"))), 5))
     assert shown == "### a.py\n```python\nxxxxx\n... (truncated)\n```" and one(prompts.referenced(F.lit(shown))) == ["a.py"]
-    for built in (prompts.overview(F.lit("t"), F.lit("k")), prompts.architecture(F.lit("t"), F.lit("d"), F.lit("s")), prompts.reading_guide(F.lit("t"), F.lit("c"), F.lit("s"), "zh"), prompts.chat(F.lit("q"), F.lit(None).cast("string")), prompts.exploration(F.lit("m"), F.lit("p"), F.lit("s"), F.lit("c"))):
+    for built in (
+        prompts.overview(F.lit("t"), F.lit("k")), prompts.architecture(F.lit("t"), F.lit("d"), F.lit("s")),
+        prompts.reading_guide(F.lit("t"), F.lit("c"), F.lit("s"), "zh"), prompts.chat(F.lit("q"), F.lit(None).cast("string")),
+        prompts.exploration(F.lit("m"), F.lit("p"), F.lit("s"), F.lit("c"))
+    ):
         assert one(built).startswith("## Task\n")
     index_prompt = one(prompts.category_index(F.lit("C"), F.lit("d"), F.array(F.struct(F.lit("A").alias("title"), F.lit("why").alias("purpose"))), "xx"))
     assert "- **A**: why" in index_prompt and index_prompt.endswith("Respond in English.")
-    assert one(prompts.structure_summary(F.lit("tree"), F.array(F.struct(F.lit("a").alias("src_module"), F.array(F.lit("c"), F.lit("b")).alias("targets"))), F.array(F.lit("m.py")))) == "File tree:\ntree\n\n## Module Dependencies\n- a → b, c\n\n## Top Files by Importance (PageRank)\n- m.py"
+    assert one(
+        prompts.structure_summary(
+            F.lit("tree"), F.array(F.struct(F.lit("a").alias("src_module"), F.array(F.lit("c"), F.lit("b")).alias("targets"))),
+            F.array(F.lit("m.py"))
+        )
+    ) == "File tree:\ntree\n\n## Module Dependencies\n- a → b, c\n\n## Top Files by Importance (PageRank)\n- m.py"
     names = spark.createDataFrame([(f"f.py:{n}:{i}", n) for i, n in enumerate(("UserFactory", "make_it", "create", "OrderModel", "view"))], "id string, name string")
     drawn = patterns.pattern_diagram(patterns.recognise(names)).first().diagram.split("\n")
     assert drawn[0] == "graph TD" and drawn[1] == "    P0[(FACTORY)]" and "    P0_0[(UserFactory)]" in drawn and "    P0_0 --> P0" in drawn and drawn[-1].startswith("    classDef REPOSITORY")
@@ -243,7 +311,11 @@ def test_exploration(spark):  # noqa: ANN001
         return '{"name": "m"}' if "secret body" in prompt else "## Files I Need\n- src/a.py\n- src/none.py\n" if "ask" in prompt else "never" * 3
 
     files = spark.createDataFrame([("src/a.py", "secret body", 5), ("src/FooDto.java", "x", 9)], "path string, content string, size int")
-    got = {r.id: (r.answer, r.turns) for r in generation.explore(spark.createDataFrame([("m", "ask"), ("n", "tell")], "id string, prompt string"), files, client).collect()}
+    got = {
+        r.id: (r.answer, r.turns) for r in generation.explore(
+            spark.createDataFrame([("m", "ask"), ("n", "tell")], "id string, prompt string"), files, client
+        ).collect()
+    }
     assert got == {"m": ('{"name": "m"}', 2), "n": ("never" * 3, 1)}
     assert rows(generation.chosen_files(files), "path") == [("src/a.py",)]
 
@@ -258,7 +330,11 @@ def test_default_map_and_lookups(spark):  # noqa: ANN001
 
 
 def test_paths(spark):  # noqa: ANN001
-    got = {r.path: r for r in spark.createDataFrame([(p,) for p in ("Dockerfile", "a/Makefile", "x.PY", "noext", ".env")], "path string").select("path", f.language(F.col("path")).alias("l")).collect()}
+    got = {
+        r.path: r for r in spark.createDataFrame(
+            [(p,) for p in ("Dockerfile", "a/Makefile", "x.PY", "noext", ".env")], "path string"
+        ).select("path", f.language(F.col("path")).alias("l")).collect()
+    }
     assert [got[p].l for p in ("Dockerfile", "a/Makefile", "x.PY", "noext")] == ["dockerfile", "makefile", "python", "unknown"]
     tree = docmap.file_tree(spark.createDataFrame([("a/b.py",), ("a/c/d.py",), ("e.py",)], "path string"), most=3).orderBy("line_no").collect()
     assert [r.line for r in tree] == ["a/", "  b.py", "  c/", "... and 2 more entries"]
@@ -283,13 +359,19 @@ def test_generation(spark):  # noqa: ANN001
     assert read["a"] == "T" and read["b"] is None
     text = "I'd like more.\n## Files I Need\n- src/a.py\n* **lib\\b.ts**\n- not a path\n## Next\nplease show me the content of cmd/main.go and x.txt; also web/app.vue here"
     assert spark.range(1).select(generation.requested_files(F.lit(text)).alias("p")).first().p == ["src/a.py", "lib/b.ts", "cmd/main.go", "web/app.vue"]
-    files = spark.createDataFrame([("src/x.py", "python", "def a(b):\n  pass\nclass C:\n  pass", False), ("package.json", "json", "{}", True)], "path string, language string, content string, is_config boolean")
+    files = spark.createDataFrame(
+        [("src/x.py", "python", "def a(b):\n  pass\nclass C:\n  pass", False), ("package.json", "json", "{}", True)],
+        "path string, language string, content string, is_config boolean"
+    )
     assert generation.project_type(files).first().project_type == "full-stack"
     assert rows(generation.signatures(files), "path", "signatures") == [("src/x.py", ["def a(b)", "class C"])]
 
 
 def project_folder(tmp_path):  # noqa: ANN001, ANN201
-    for name, content in {"main.py": "import lib.util\nclass Factory:\n    pass\ndef create():\n    pass\n", "lib/util.py": "import lib.other\nx = 1\n", "lib/other.py": "y = 2\n"}.items():
+    for name, content in {
+        "main.py": "import lib.util\nclass Factory:\n    pass\ndef create():\n    pass\n", "lib/util.py": "import lib.other\nx = 1\n",
+        "lib/other.py": "y = 2\n"
+    }.items():
         p = tmp_path / "in" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(content)
@@ -305,7 +387,11 @@ def test_wiki(spark, tmp_path):  # noqa: ANN001
     assert rows(record, "id") == [("architecture",), ("dependencies",), ("docs/lib/overview",), ("docs/root/overview",), ("index",)]
     assert "root --> lib" in (out / "content/dependencies.md").read_text() and "FACTORY" in (out / "content/architecture.md").read_text()
     bar = (out / "_sidebar.md").read_text().split("\n")
-    assert bar[0] == "# Demo" and bar[2:] == ["- [Overview](content/index.md)", "- **Lib**", "  - [Lib](content/docs/lib/overview.md)", "- **Root**", "  - [Root](content/docs/root/overview.md)", "- [Architecture](content/architecture.md)", "- [Dependencies](content/dependencies.md)", ""]
+    assert bar[0] == "# Demo" and bar[2:] == [
+        "- [Overview](content/index.md)", "- **Lib**", "  - [Lib](content/docs/lib/overview.md)", "- **Root**",
+        "  - [Root](content/docs/root/overview.md)", "- [Architecture](content/architecture.md)",
+        "- [Dependencies](content/dependencies.md)", ""
+    ]
     back = sinks.read_metadata(spark, str(out))
     assert rows(back["catalogs"], "name") == [("Lib",), ("Root",)] and back["items"].count() == 2 and rows(back["relations"], "id") == [(1,), (2,)]
     assert steps[0] == "scanning" and steps[-1] == "done"
@@ -318,7 +404,9 @@ def test_wiki(spark, tmp_path):  # noqa: ANN001
     cache = wiki.document_prompts(tables, docs).select("memo", F.lit("kept").alias("answer"))
     assert rows(wiki.generate_documents(tables, docs, cache=cache), "doc_id", "content") == [("lib/overview", "kept"), ("root/overview", "kept")]
     pages, entries = wiki.from_modules(tables, wiki.legacy_modules(tables))
-    assert rows(pages, "id") == [("dependencies",), ("index",), ("modules/lib",), ("modules/root",)] and "  - [lib](content/modules/lib.md)" in render.sidebar(entries).first().text
+    assert rows(pages, "id") == [
+        ("dependencies",), ("index",), ("modules/lib",), ("modules/root",)
+    ] and "  - [lib](content/modules/lib.md)" in render.sidebar(entries).first().text
 
 
 def test_project(spark, tmp_path):  # noqa: ANN001
