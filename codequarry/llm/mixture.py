@@ -59,7 +59,12 @@ def _named(source: Column) -> Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, name, h (hash of id and text), size, one row for each of docs(doc_id, source, text)."""
-    return durable(docs.select("doc_id", "source", _named(F.col("source")).alias("name"), F.xxhash64("doc_id", "text").alias("h"), word_count(F.col("text")).alias("size")))
+    return durable(
+        docs.select(
+            "doc_id", "source", _named(F.col("source")).alias("name"), F.xxhash64("doc_id", "text").alias("h"),
+            word_count(F.col("text")).alias("size")
+        )
+    )
 
 
 def _firsts(sums: DataFrame, upper: int) -> DataFrame:
@@ -124,7 +129,9 @@ def draw(goals: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """shard, name, k (the source's slot), pass, block for goals(source, source_size, target): every slot of the mix."""
     ratio = F.col("target") / F.col("source_size")
     blocks = F.ceil(F.col("source_size") / block).cast("long")
-    plan = goals.where((F.col("source_size") > 0) & (F.col("target") > 0)).select(_named(F.col("source")).alias("name"), blocks.alias("blocks"), F.round(ratio * blocks).cast("long").alias("slots"))
+    plan = goals.where((F.col("source_size") > 0) & (F.col("target") > 0)).select(
+        _named(F.col("source")).alias("name"), blocks.alias("blocks"), F.round(ratio * blocks).cast("long").alias("slots")
+    )
     plan = plan.where(F.col("slots") > 0)
     before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     plan = durable(plan.withColumn("offset", F.coalesce(F.sum("slots").over(before), F.lit(0))))
@@ -151,7 +158,9 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     goals = durable(targets(sizes.select("source", "size")))
     placed = durable(positions(sizes))
     uses = draw(goals, block).groupBy("name", "block").agg(F.count("*").alias("uses"))
-    taken = pieces(placed, block).join(uses, ["name", "block"], "left").groupBy("doc_id", "name", "at", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    taken = pieces(placed, block).join(uses, ["name", "block"], "left").groupBy("doc_id", "name", "at", "size").agg(
+        F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken")
+    )
     empty = placed.where(F.col("size") == 0).select("doc_id", "name", "at", "size", F.lit(0).cast("long").alias("taken"))
     named = goals.withColumn("name", _named(F.col("source"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     rows = taken.unionByName(empty).withColumn("salt", F.pmod(F.xxhash64("at", "doc_id"), F.lit(16)).cast("int"))
@@ -166,9 +175,13 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     cut = pieces(positions(sizes), block).select("name", "h", "block", "at", "words", (F.greatest("at", F.col("block") * block) - F.col("at")).cast("int").alias("skip"))
     words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
     part = F.array_join(F.slice(words, F.col("skip") + 1, F.col("words").cast("int")), " ")
-    packed = cut.join(texts, ["name", "h"]).select("name", "block", F.struct("at", "skip", part.alias("text")).alias("piece")).groupBy("name", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    packed = cut.join(texts, ["name", "h"]).select(
+        "name", "block", F.struct("at", "skip", part.alias("text")).alias("piece")
+    ).groupBy("name", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
     whole = packed.select("name", "block", F.array_join(F.transform("pieces", lambda x: x["text"]), " ").alias("text"))
-    return draw(goals, block).join(whole, ["name", "block"]).select("shard", F.when(F.col("name") != "", F.substring("name", 2, 1 << 30)).alias("source"), "k", "pass", "block", "text")
+    return draw(goals, block).join(whole, ["name", "block"]).select(
+        "shard", F.when(F.col("name") != "", F.substring("name", 2, 1 << 30)).alias("source"), "k", "pass", "block", "text"
+    )
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

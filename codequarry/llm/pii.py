@@ -214,10 +214,18 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataF
     rank = F.array(*(F.lit(k) for k in KINDS))
 
     def place(s):  # noqa: ANN001, ANN202
-        return F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"))
+        return F.struct(
+            s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"),
+            s["score"].alias("score")
+        )
 
     both = F.array_sort(F.transform(F.concat("spans", F.coalesce("terms", F.array().cast(SPANS))), place))
-    return found.drop("terms").join(terms, "same", "left").select("doc_id", "key", F.transform(both, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))).alias("spans"))
+    return found.drop("terms").join(terms, "same", "left").select(
+        "doc_id", "key",
+        F.transform(
+            both, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))
+        ).alias("spans")
+    )
 
 
 def _cleaned(text: str, spans: list) -> str:

@@ -113,7 +113,10 @@ def _distance(x: list[Column]) -> Column:
 def _estimate(cells: DataFrame, factor: float) -> DataFrame:
     """Per group g: n, means m and Cholesky factor l of the scatter of cells(g, x0.., n)."""
     n = F.col("n")
-    sums = [F.sum(n).alias("n"), *(F.sum(n * F.col(f"x{i}")).alias(f"s{i}") for i in range(P)), *(F.sum(n * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1))]
+    sums = [
+        F.sum(n).alias("n"), *(F.sum(n * F.col(f"x{i}")).alias(f"s{i}") for i in range(P)),
+        *(F.sum(n * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1))
+    ]
     out = cells.groupBy("g").agg(*sums)
     out = out.select("g", "n", *(F.col(f"c{i}{j}") for i in range(P) for j in range(i + 1)), *((F.col(f"s{i}") / n).alias(f"m{i}") for i in range(P)))
     scatter = lambda i, j: factor * (F.col(f"c{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOOR[i] ** 2 if i == j else 0.0)
@@ -152,9 +155,18 @@ def _start(cells: DataFrame) -> DataFrame:
     n = F.col("n")
     medians = cells.groupBy("g").agg(F.sum(n).alias("all"), *(F.percentile(f"x{i}", 0.5, n).alias(f"m{i}") for i in range(P)))
     spread = _salted(cells, medians).groupBy("g").agg(
-        F.sum(n).alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, n).alias(f"d{i}") for i in range(P))
+        F.sum(n).alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(
+            F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, n).alias(f"d{i}") for i in range(P)
+        )
+    )
+    return spread.select(
+        "g", "n", *(f"m{i}" for i in range(P)),
+        *(
+            (
+                F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + FLOOR[i] ** 2) if i == j else F.lit(0.0)
+            ).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)
+        )
     )
-    return spread.select("g", "n", *(f"m{i}" for i in range(P)), *((F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)))
 
 
 def estimates(counted: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -182,7 +194,9 @@ def estimates(counted: DataFrame, steps: int = STEPS) -> DataFrame:
 def count_texts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, key (hash of id, text, language and source), the five counts and base_failed, one row for each of docs."""
     counted = docs.select("doc_id", "lang", "source", F.xxhash64("doc_id", "text", "lang", "source").alias("key"), text_stats(F.col("text")).alias("s"))
-    return durable(counted).select("doc_id", "lang", "source", "key", "s.*").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    return durable(counted).select("doc_id", "lang", "source", "key", "s.*").withColumn(
+        "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    )
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: float = PRIOR) -> DataFrame:

@@ -247,11 +247,16 @@ def _divided(rows: DataFrame, width: int) -> DataFrame:
     most, least = F.octet_length("left"), _REACH - F.octet_length("right")
     parts = rows.withColumn("o", F.explode(F.sequence(F.floor(least / width), F.floor(most / width)))).withColumn("o", (F.col("o") * width).cast("int"))
     top = F.least(F.col("o") + (width - 1), F.lit(_REACH))
-    tail = lambda n: F.expr("substring(left, octet_length(left) - o + 1, o)") if n is None else F.substring(F.col("left"), F.octet_length("left") - n + F.lit(1), n)
+    tail = lambda n: F.expr("substring(left, octet_length(left) - o + 1, o)") if n is None else F.substring(
+        F.col("left"), F.octet_length("left") - n + F.lit(1), n
+    )
     need_right = (F.lit(_REACH) - top).cast("int")
     group = F.xxhash64("anchor", "o", tail(None), F.substring(F.col("right"), F.lit(1), need_right))
     own_top, own_low = F.least(top, most).cast("int"), F.greatest(F.col("o"), least).cast("int")
-    return parts.select(group.alias("group"), "anchor", "look", tail(own_top).alias("left"), F.substring(F.col("right"), F.lit(1), (F.lit(_REACH) - own_low).cast("int")).alias("right"))
+    return parts.select(
+        group.alias("group"), "anchor", "look", tail(own_top).alias("left"),
+        F.substring(F.col("right"), F.lit(1), (F.lit(_REACH) - own_low).cast("int")).alias("right")
+    )
 
 
 def _repeats(several: DataFrame, limit: int) -> DataFrame:

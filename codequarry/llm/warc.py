@@ -283,7 +283,10 @@ def _page(page: int | None) -> str:
 def page_member(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _page(page_id)), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\r\n]", "", url or ""))]
+    headers = [
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _page(page_id)), ("WARC-Date", date),
+        ("WARC-Target-URI", re.sub(r"[\r\n]", "", url or ""))
+    ]
     if revisit:
         headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _page(refers_to))]
     headers += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
@@ -330,7 +333,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         if out is not None:
             out.close()
             done.append((path, records, size))
-        yield pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes"), d)) for d in done], schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(
+            [dict(zip(("path", "records", "bytes"), d)) for d in done],
+            schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+        )
 
     return durable(with_revisits(pages).mapInArrow(write, "path string, records long, bytes long"))
 
@@ -402,7 +408,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     remove_folder(spark, folder)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS bigint)")
     pages = records.where(F.col("kind").isin("response", "revisit"))
-    return pages.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"))
+    return pages.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        number("refers_to").alias("refers_to")
+    )
 
 
 #: The round trip's result from the table itself; a base-32 digit takes 5 bits, so 5 hex digits make 4 of them.

@@ -30,7 +30,9 @@ def test_large_ids_beside_nulls_stay_as_they_are(spark, tmp_path):  # noqa: ANN0
     labels = docs.select("doc_id", F.lit(1).alias("toxic"))
     model = secrets.learn(docs)
     found = [
-        langid.identify(docs, langid.fit(docs)), secrets.find_secrets(docs, model), pii.find_personal_data(docs), pii.sanitise(docs), toxicity.score(docs, toxicity.fit(docs, labels)),
+        langid.identify(docs, langid.fit(docs)), secrets.find_secrets(docs, model), pii.find_personal_data(docs), pii.sanitise(docs), toxicity.score(
+            docs, toxicity.fit(docs, labels)
+        ),
         jaccard.similar_classes(docs), repeats.remove_repeats(docs), quality.judge(docs),
     ]
     for df in found:
@@ -89,7 +91,12 @@ def test_language_model_is_plain_naive_bayes(spark, monkeypatch):  # noqa: ANN00
         b = buckets(text)
         if not b:
             return "und", 0.0
-        score = {x: math.log(1 / 4) + sum(n * math.log((c[k] + langid.ALPHA) / (sum(c.values()) + langid.ALPHA * langid.BUCKETS)) for k, n in b.items()) for x, c in counts.items()}
+        score = {
+            x: math.log(1 / 4) + sum(
+                n * math.log((c[k] + langid.ALPHA) / (sum(c.values()) + langid.ALPHA * langid.BUCKETS)) for k, n in b.items()
+            ) for x,
+            c in counts.items()
+        }
         best = min(score, key=lambda x: (-score[x], x))
         return best, 1 / sum(math.exp(v - score[best]) for v in score.values())
 

@@ -37,7 +37,9 @@ def plain_counts(text: str | None) -> tuple:
 
 
 def test_counts_match_plain_ones(spark):  # noqa: ANN001
-    texts = ["a b c a b c", "x x x x x", "a\na\n\n \na", "#*$ | é🎉 \x0b\x0c\r z", "", None, "a b c d a b c", "    w", " lead  trail "] + [prose(i, 60 * i) for i in range(1, 6)]
+    texts = [
+        "a b c a b c", "x x x x x", "a\na\n\n \na", "#*$ | é🎉 \x0b\x0c\r z", "", None, "a b c d a b c", "    w", " lead  trail "
+    ] + [prose(i, 60 * i) for i in range(1, 6)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: tuple(r.s) for r in docs.select("doc_id", quality.text_stats(F.col("text")).alias("s")).collect()}
     assert got == {i: plain_counts(t) for i, t in enumerate(texts)}
@@ -144,7 +146,10 @@ def test_permutation(spark, n):  # noqa: ANN001
 
 
 def test_shards_draw_counts_that_fill_them(spark):  # noqa: ANN001
-    goals = spark.createDataFrame([("a", 64_000, 96_000.0), ("b", 30_000, 60_000.0), (None, 6_400, 6_400.0), ("empty", 0, 0.0)], "source string, source_size long, target double")
+    goals = spark.createDataFrame(
+        [("a", 64_000, 96_000.0), ("b", 30_000, 60_000.0), (None, 6_400, 6_400.0), ("empty", 0, 0.0)],
+        "source string, source_size long, target double"
+    )
     slots = mixture.draw(goals, block=16, shard=100).toPandas()
     wanted = {"=a": 6000, "=b": 3750, "": 400}
     assert slots.groupby("name").size().to_dict() == wanted
@@ -210,7 +215,9 @@ def near_copies(seed: int, groups: int, copies: int, words: int, edits: int) ->
 
 @pytest.mark.parametrize(("percent", "n"), [(90, 3), (80, 5)])
 def test_classes_match_brute_force(spark, percent, n):  # noqa: ANN001
-    rows = near_copies(1, 6, 25, 120, 5) + near_copies(2, 20, 4, 15, 1) + near_copies(3, 3, 6, 400, 9) + [(9001, None), (9002, ""), (9003, "a b"), (9004, "A B"), (9005, "b a")]
+    rows = near_copies(1, 6, 25, 120, 5) + near_copies(2, 20, 4, 15, 1) + near_copies(3, 3, 6, 400, 9) + [
+        (9001, None), (9002, ""), (9003, "a b"), (9004, "A B"), (9005, "b a")
+    ]
     shared = prose(77, 50)
     rows += [(9100 + i, f"{shared} {prose(500 + i, 30)}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -238,7 +245,10 @@ def test_join_of_odd_rows(spark):  # noqa: ANN001
 def test_first_rows_are_told_apart_by_id_and_text(spark):  # noqa: ANN001
     base, other = prose(21, 120), prose(22, 120)
     near = lambda t, k: " ".join(t.split()[:-1] + [f"edit{k}"])
-    rows = [(1, base, 1), (2, near(base, 1), 2), (2, prose(23, 60), 3), (None, near(base, 2), 4), (None, other, 5), (None, near(other, 1), 6), (None, near(other, 2), 7), (None, None, 8)]
+    rows = [
+        (1, base, 1), (2, near(base, 1), 2), (2, prose(23, 60), 3), (None, near(base, 2), 4), (None, other, 5), (None, near(other, 1), 6),
+        (None, near(other, 2), 7), (None, None, 8)
+    ]
     rows += [(3, prose(24, 120), 9), (3, near(prose(24, 120), 1), 10), (4, prose(25, 50), 11), (4, prose(25, 50), 12), (4, prose(26, 50), 13), (None, prose(27, 50), 14)]
     kept = [r.row for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string, row int"), 80, 5).collect()]
     groups = [{1, 2, 4}, {3}, {5, 6, 7}, {8}, {9, 10}, {11, 12}, {13}, {14}]
@@ -276,7 +286,10 @@ def plain_repeats(rows: list[tuple], n: int = repeats.SPAN) -> list[tuple]:
 def repeat_rows() -> list[tuple]:
     a, b, c = prose(1, 60), prose(2, 60), prose(3, 200)
     rows = [(i, f"{prose(10 + i, 20)} {a} {prose(40 + i, 20)}") for i in range(12)] + [(20 + i, f"{b}{prose(70 + i, 9)}") for i in range(8)]
-    rows += [(40, c), (41, c), (42, c[50:]), (43, "ab" * 400), (44, "x" * 199), (45, "x" * 200), (46, "é" * 150), (47, ("line of words " * 3 + "\n") * 30), (48, None), (49, "")]
+    rows += [
+        (40, c), (41, c), (42, c[50:]), (43, "ab" * 400), (44, "x" * 199), (45, "x" * 200), (46, "é" * 150), (47, ("line of words " * 3 + "\n") * 30),
+        (48, None), (49, "")
+    ]
     rows += [(60 + i, c[:400] + f" edit{i} " + c[407:]) for i in range(10)]
     return rows
 
@@ -326,7 +339,9 @@ def test_contained_items(spark, in_plan):  # noqa: ANN001
     docs += [(30 + i, f"{prose(i, 60)} {items[i][1].upper()}! {prose(99 + i, 60)}") for i in range(8)]
     cut = [" ".join(items[i][1].split()[: int(len(items[i][1].split()) * 0.9)]) for i in range(8)]
     docs += [(50 + i, f"{prose(i + 7, 500)} {cut[i]} {prose(i + 70, 900)}") for i in range(8)] + [(70, "one two"), (71, None), (72, "")]
-    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), in_plan=in_plan)
+    got = decontaminate.contained_items(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), in_plan=in_plan
+    )
     assert {(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in got.collect()} == plain_contained(docs, items)
 
 
@@ -344,8 +359,13 @@ def test_decontamination_of_odd_rows(spark):  # noqa: ANN001
 @pytest.mark.parametrize("in_plan", [decontaminate.SIGNATURES_IN_PLAN, 0])
 def test_short_items_are_found_inside_long_documents(spark, in_plan):  # noqa: ANN001
     items = [(1, "zeta"), (2, "Alpha beta!"), (3, "one two three"), (4, "one two three four"), (5, prose(900, 20)), (6, "beta alpha"), (7, "")]
-    docs = [(1, f"{prose(1, 60)} alpha, Beta {prose(2, 60)}"), (2, f"{prose(3, 9)} one two three four {items[4][1]}"), (3, "zeta"), (4, "two three four"), (5, "one two three"), (6, f"zeta {prose(4, 30)} alpha"), (7, "beta alpha zeta x"), (8, None)]
-    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), in_plan=in_plan)
+    docs = [
+        (1, f"{prose(1, 60)} alpha, Beta {prose(2, 60)}"), (2, f"{prose(3, 9)} one two three four {items[4][1]}"), (3, "zeta"), (4, "two three four"),
+        (5, "one two three"), (6, f"zeta {prose(4, 30)} alpha"), (7, "beta alpha zeta x"), (8, None)
+    ]
+    got = decontaminate.contained_items(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), in_plan=in_plan
+    )
     want = {(1, 2), (2, 3), (2, 4), (2, 5), (3, 1), (5, 3), (6, 1), (7, 1), (7, 6)}
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and all(r.shared == r.item_shingles == 1 for r in got.collect() if r.item_id < 5)
 

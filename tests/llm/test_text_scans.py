@@ -47,7 +47,10 @@ TEXTS = [
 
 def plain_secrets(text: str) -> list[tuple]:
     out = []
-    for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+    for m in re.finditer(
+        r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+        text
+    ):
         if len(m[2]) >= 6:
             out.append((m.start(), 0, m.end(), "assign"))
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -142,8 +145,13 @@ def plain_telling(rows: list[tuple], threshold: float = pii.DISCLOSURE) -> set:
 
 def test_terms_of_single_texts_and_far_terms_tell(spark):  # noqa: ANN001
     far = " ".join(["reach me today"] * 10)
-    rows = [(1, f"Quillfeather {far} solo@mail.example.com {far} é"), (8, f"é Vantablack9 {far} lone@mail.example.com {far}"), (2, f"Quillfeather {far} solo@mail.example.com {far}"), (3, f"{far} 192.168.7.9 {far} Ombrello")]
-    rows += [(4, rows[3][1]), (5, rows[3][1]), (6, None), (7, "")] + [(i, f"{prose(i, 30)} {far} {prose(i + 50, 30)}") for i in range(10, 90)] + [(90, f"{far} Ombrello"), (91, f"solo@mail.example.com 192.168.7.9 {far}")]
+    rows = [
+        (1, f"Quillfeather {far} solo@mail.example.com {far} é"), (8, f"é Vantablack9 {far} lone@mail.example.com {far}"),
+        (2, f"Quillfeather {far} solo@mail.example.com {far}"), (3, f"{far} 192.168.7.9 {far} Ombrello")
+    ]
+    rows += [(4, rows[3][1]), (5, rows[3][1]), (6, None), (7, "")] + [(i, f"{prose(i, 30)} {far} {prose(i + 50, 30)}") for i in range(10, 90)] + [
+        (90, f"{far} Ombrello"), (91, f"solo@mail.example.com 192.168.7.9 {far}")
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, s.start, s.end) for r in pii.find_personal_data(docs).collect() for s in r.spans if s.kind == "term"}
     assert got == plain_telling(rows) and {i for i, *_ in got} >= {1, 2, 8}
@@ -244,14 +252,22 @@ def test_every_window_is_scored():
     owner, start, stop = toxicity.windows(words)
     many = lambda n: 1 + max(0, -(-(n - toxicity.WINDOW) // toxicity.STRIDE))
     assert [int((owner == k).sum()) for k in range(5)] == [many(200), 0, 1, 1, 2] and many(200) > 3
-    assert all(set(range(a, b)) <= set().union(*(range(s, min(s + toxicity.WINDOW, e)) for o, s, e in zip(owner, start, stop) if o == k)) for k, (a, b) in enumerate(zip(words.first, words.last)))
+    assert all(
+        set(range(a, b)) <= set().union(
+            *(range(s, min(s + toxicity.WINDOW, e)) for o, s, e in zip(owner, start, stop) if o == k)
+        ) for k, (a, b) in enumerate(zip(words.first, words.last))
+    )
 
 
 # ---- archives
 
 
 def members(n: int) -> list[bytes]:
-    return [warc.page_member(i, f"http://x/{i}", f"<p>{i}</p>".encode() * 60, warc.base32_sha1(f"<p>{i}</p>".encode() * 60), None, "2024-01-01T00:00:00Z") for i in range(n)]
+    return [
+        warc.page_member(
+            i, f"http://x/{i}", f"<p>{i}</p>".encode() * 60, warc.base32_sha1(f"<p>{i}</p>".encode() * 60), None, "2024-01-01T00:00:00Z"
+        ) for i in range(n)
+    ]
 
 
 def test_salvage_after_damage():
@@ -297,7 +313,10 @@ def test_records_before_the_damage_of_a_member_are_kept():
 
 
 def test_round_trip_of_odd_pages(spark, tmp_path):  # noqa: ANN001
-    rows = [(1, "http://a", "<p>one</p>", "k"), (2, None, "<p>one</p>", "k"), (3, "http://c\r\nX: y", "", "k"), (4, "http://d", None, "k"), (5, "http://e", "é" * 90_000, "k"), (None, "http://f", "<p>one</p>", "k"), (1, "http://a", "<p>one</p>", "k"), (0, "u", "z", "k")]
+    rows = [
+        (1, "http://a", "<p>one</p>", "k"), (2, None, "<p>one</p>", "k"), (3, "http://c\r\nX: y", "", "k"), (4, "http://d", None, "k"),
+        (5, "http://e", "é" * 90_000, "k"), (None, "http://f", "<p>one</p>", "k"), (1, "http://a", "<p>one</p>", "k"), (0, "u", "z", "k")
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string")
     files = warc.write_archives(pages, str(tmp_path))
     got = warc.read_archives(files, str(tmp_path)).collect()
