@@ -11,10 +11,15 @@ from codequarry.session import durable, numbered
 
 
 def matching_files(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, path: files(path) that a glob of docs(doc_id, patterns) matches. A map is made by hand and small; its patterns are grouped
-    first, and a file is tested against all in one pass."""
-    globs = docs.select("doc_id", F.explode("patterns").alias("pattern")).select("doc_id", glob_regex(F.col("pattern")).alias("regex"))
-    return files.join(F.broadcast(globs) if globs.count() <= 10_000 else globs, F.regexp("path", F.col("regex"))).select("doc_id", "path").distinct()
+    """doc_id, path: files(path) that a glob of docs(doc_id, patterns) matches. A file meets the globs whose folders before the first wildcard
+    are its own, by an equi-join, and is tested against those alone; globs that begin with a wildcard meet all files."""
+    globs = docs.select("doc_id", F.explode("patterns").alias("pattern"))
+    globs = globs.select("doc_id", F.regexp_extract("pattern", r"^[^*?\[]*/", 0).alias("folder"), glob_regex(F.col("pattern")).alias("regex")).distinct()
+    globs = F.broadcast(globs) if globs.count() <= 10_000 else globs
+    parts = F.split("path", "/")
+    folder = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.when(n > 0, "/").otherwise("")))
+    met = files.select("path", F.explode(folder).alias("folder")).join(globs, "folder")
+    return met.where(F.regexp("path", F.col("regex"))).select("doc_id", "path").distinct()
 
 
 def relevant_files(files: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -329,6 +329,17 @@ def test_default_map_and_lookups(spark):  # noqa: ANN001
     assert rows(chinese[0], "id") == [("API参考",), ("big-one",)] and rows(docmap.in_chinese(*chinese)[0], "id") == rows(chinese[0], "id")
 
 
+def test_globs(spark):  # noqa: ANN001
+    import fnmatch
+
+    paths = ["a.py", "src/a.py", "src/b/c.py", "src/b/c.txt", "/abs/x.py", "src/[x]/y.py", "lib/a.py", "src", "src/b/"]
+    globs = ["*.py", "src/*", "src/b/*.py", "src/b/c.py", "s?c/a.py", "/abs/*", "src/[[]x]/*", "src/[!b]*", "lib/", "src", "*/b/*", "src/b/", "", "src/[x*", "*[[]*"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    docs = spark.createDataFrame([(g, [g]) for g in globs] + [("two", ["lib/*", "lib/a*"])], "doc_id string, patterns array<string>")
+    want = {(g, p) for g in globs for p in paths if fnmatch.fnmatchcase(p, g)} | {("two", "lib/a.py")}
+    assert rows(docmap.matching_files(files, docs), "doc_id", "path") == sorted(want)
+
+
 def test_paths(spark):  # noqa: ANN001
     got = {
         r.path: r for r in spark.createDataFrame(
