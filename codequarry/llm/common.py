@@ -77,11 +77,12 @@ def discard(*tables: DataFrame) -> None:
             remove_folder(df.sparkSession, path)
 
 
-def sided(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def sided(df: DataFrame, most_rows: int = 500_000, size: Column | None = None) -> DataFrame:
     """df (a few columns of ids or spans) materialised for the small side of a join: marked for broadcast while it has
-    at most so many rows, left to a shuffle join beyond."""
+    at most so many rows, left to a shuffle join beyond. Where rows hold arrays, `size` tells their elements, which then count instead."""
     df = durable(df)
-    return F.broadcast(df) if df.count() <= most_rows else df
+    many = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] if size is not None else df.count()
+    return F.broadcast(df) if many <= most_rows else df
 
 
 def unused(name: str, columns: list[str]) -> str:

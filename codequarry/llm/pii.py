@@ -50,8 +50,9 @@ _LOCAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+
 DISCLOSURE = 0.8
 #: Bytes of text whose words are counted at once.
 BYTES_AT_ONCE = 1 << 20
-#: Rows of a small side that may be broadcast.
-BROADCAST_ROWS = 50_000
+#: Rows of a small side that may be broadcast, and spans of the side that holds them (some 64 bytes each).
+BROADCAST_ROWS, BROADCAST_SPANS = 50_000, 1_000_000
+
 
 def _emails(raw: bytes) -> list[tuple[int, int]]:
     out, done, at = [], 0, raw.find(b"@")
@@ -250,7 +251,7 @@ def sanitise(docs: DataFrame, **options: float) -> DataFrame:
     bracketed class, other telling terms are removed. Rows and other columns stay as they are."""
     found = find_personal_data(docs, **options).where(F.size("spans") > 0).dropDuplicates(["key"])
     key, own = unused("key", docs.columns), unused("spans", docs.columns)
-    spans = sided(found.select(F.col("key").alias(key), F.col("spans").alias(own)), 100_000)
+    spans = sided(found.select(F.col("key").alias(key), F.col("spans").alias(own)), BROADCAST_SPANS, F.size(own))
     columns, place = docs.columns, docs.columns.index("text")
     marked = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(spans, key, "left").select(*columns, own)
 
