@@ -11,8 +11,10 @@ from codequarry.llm.quality import op3_quality
 from codequarry.llm.repeats import op8_repeats
 from codequarry.llm.secrets import op2_secrets
 from codequarry.llm.toxicity import op7_toxicity
+from codequarry.llm.trie import ORACLE as TRIE_SQL
+from codequarry.llm.trie import op13_prefix_trie
 from codequarry.llm.warc import ORACLE as WARC_SQL
 from codequarry.llm.warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_mixture, op5_jaccard, op6_pii, op7_toxicity, op8_repeats, op9_warc, op10_decontaminate)}
-ORACLES: dict[str, str] = {"op5_jaccard": JACCARD_SQL, "op9_warc": WARC_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_mixture, op5_jaccard, op6_pii, op7_toxicity, op8_repeats, op9_warc, op10_decontaminate, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op5_jaccard": JACCARD_SQL, "op9_warc": WARC_SQL, "op10_decontaminate": DECONTAMINATE_SQL, "op13_prefix_trie": TRIE_SQL}
