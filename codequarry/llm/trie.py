@@ -150,7 +150,7 @@ class _Bucket:
 
     def _equal(self, group: list[int], k: int) -> Iterator[list[int]]:
         """Groups with the same turn at k, in its order: less, equal and greater than a pivot, until a group is equal."""
-        stack = [(group, False)]
+        stack = [(group, False)] if group else []
         while stack:
             some, done = stack.pop()
             if done or len(some) == 1:
@@ -230,11 +230,11 @@ def _finish(start: int):  # noqa: ANN202
 def _shared(a: Column, b: Column) -> Column:
     """How many first elements two arrays have in common."""
     differs = F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
-    return F.coalesce(F.element_at(differs, 1), F.least(F.size(a), F.size(b)))
+    return F.coalesce(F.get(differs, 0), F.least(F.size(a), F.size(b)))
 
 
 def _split(rows: DataFrame, start: int) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
-    """Rows of local buckets, and of each round the split buckets with the ends at their shared prefix's last node."""
+    """Rows of local buckets, and of each round the split buckets with the rows that end at their shared prefix's last node."""
     rows = rows.withColumns({"top_depth": F.lit(start).cast("long"), "digit": F.lit(-1).cast("long")})
     local, rounds = None, []
     while True:
@@ -252,18 +252,19 @@ def _split(rows: DataFrame, start: int) -> tuple[DataFrame, list[tuple[DataFrame
         kept = rows.join(large.select(*BUCKET), BUCKET, "left_anti")
         local = kept if local is None else local.unionByName(kept)
         inner = rows.join(large.select(*BUCKET, "shared", "depth", "node"), BUCKET)
-        at_node = durable(inner.where(F.size("ids") == F.col("shared")).select(F.col("depth").alias("top_depth"), F.col("node").alias("top"), "ends"))
+        at_node = durable(inner.where(F.size("ids") == F.col("shared")).select(F.col("depth").alias("top_depth"), F.col("node").alias("top"), "ends", "children", "leaves", "saved"))
         rounds.append((large, at_node))
-        digit = F.element_at("ids", F.col("shared") + 1)
+        digit = F.get("ids", F.col("shared"))
         inner = inner.where(F.size("ids") > F.col("shared")).withColumns({"top_depth": F.col("depth").cast("long"), "top": F.col("node"), "digit": digit})
         rows = durable(inner.drop("shared", "depth", "node"))
 
 
 def _up(summary: DataFrame, large: DataFrame, at_node: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
     """Nodes of the prefixes that split buckets share, and the summaries of those buckets, from the summaries of what they were split into."""
-    under = summary.groupBy("top_depth", "top").agg(*(F.sum(c).alias(c) for c in ("children", "leaves", "saved")))
-    known = under.join(at_node, ["top_depth", "top"], "left").withColumnsRenamed({"top_depth": "depth", "top": "node"})
-    whole = large.join(known, ["depth", "node"])
+    counts = ("children", "leaves", "saved")
+    under = summary.select("top_depth", "top", F.lit(None).cast("string").alias("ends"), *counts).unionByName(at_node)
+    known = under.groupBy(F.col("top_depth").alias("depth"), F.col("top").alias("node")).agg(F.max("ends").alias("ends"), *(F.sum(c).alias(c) for c in counts))
+    whole = large.join(known.withColumn("leaves", F.greatest("leaves", F.lit(1))), ["depth", "node"])
     # saved tokens at each depth of the prefix: all from there to its end, and what is under it
     levels = F.when(F.col("depth") > F.col("top_depth"), F.sequence(F.col("top_depth") + 1, F.col("depth"))).otherwise(F.array().cast("array<bigint>"))
     path_saved = lambda d: F.col("saved") + (F.col("n") - 1) * F.aggregate(F.slice("lo.sizes", d - start, F.col("depth") - d + 1), F.lit(0).cast("long"), lambda a, x: a + x)
