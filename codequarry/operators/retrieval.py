@@ -1,15 +1,15 @@
-"""Retrieval of text chunks by TF-IDF cosine similarity, all in joins and aggregates."""
+"""Weights of text chunks by TF-IDF, all in joins and aggregates; search.py ranks by them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.session import durable
-
 TOP_K = 5
 #: A token that stands in more than one of so many chunks is common.
 COMMON = 50
+#: Common tokens that are broadcast at most.
+BROADCAST = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -33,35 +33,17 @@ def norms(weights: DataFrame) -> DataFrame:
 
 
 def weighted(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """tf's rows with w = tf * idf; tokens that the corpus lacks or whose idf is 0 have no weight. Common tokens are few, as a chunk has
-    room for COMMON times its own number of them on average, and are broadcast, so that none of them is one task's key."""
+    """tf's rows with w = tf * idf and what else idf(token, idf, common) has; tokens that the corpus lacks or whose idf is 0 have no weight. Common
+    tokens are few, as a chunk has room for COMMON times its own number of them on average; so many as BROADCAST of them are broadcast, so that none
+    of them is one task's key."""
     known = idf.where("idf <> 0")
-    common, rare = F.broadcast(known.where("common").select("token", "idf")), known.where("not common").select("token", "idf")
+    common, rare = known.where("common").drop("common"), known.where("not common").drop("common")
+    if common.count() <= BROADCAST:
+        common = F.broadcast(common)
     both = tf.join(common, "token").unionByName(tf.join(common.select("token"), "token", "left_anti").join(rare, "token"))
     return both.withColumn("w", F.col("tf") * F.col("idf")).drop("tf", "idf")
 
 
-def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """query_id, rank, chunk_id, score for queries(query_id, content): the k best with a positive score, ties to the larger chunk_id.
-
-    Texts are cut into words once. Dot products take only the tokens that queries have, which are picked before they are
-    weighed; norms take all tokens of a chunk, in a partial aggregate. Ranking keeps k rows a query in every task before rows meet."""
-    tf = durable(term_frequencies(chunks))
-    idf = durable(inverse_frequencies(tf, chunks.agg(F.count("*").alias("n"))))
-    length = norms(weighted(tf, idf))
-    asked = weighted(term_frequencies(queries.select(F.col("query_id").alias("chunk_id"), "content")), idf).withColumnRenamed("chunk_id", "query_id")
-    asked = durable(asked)
-    asked_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("query_norm"))
-    picked = weighted(tf.join(asked.select("token").distinct(), "token", "left_semi"), idf)
-    dots = picked.join(
-        asked.select("query_id", "token", F.col("w").alias("qw")), "token"
-    ).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    score = F.round(F.col("dot") / (F.col("norm") * F.col("query_norm")), 6).alias("score")
-    scored = dots.join(length, "chunk_id").join(asked_norm, "query_id").select("query_id", "chunk_id", score)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").desc())
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
-
-
 def chat_context(hits: DataFrame) -> DataFrame:
     """query_id, context, refs for hits(query_id, rank, path, start_line, end_line, content): the blocks a prompt quotes, in rank order."""
     block = F.concat(

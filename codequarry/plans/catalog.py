@@ -5,22 +5,18 @@ suppliers for symbols. What needs source code runs on the small corpus of plans/
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import files as f
-from codequarry.operators import chunking, docmap, generation, graph, imports, index, metadata, patterns, render, retrieval, state, symbol_graph, symbols
+from codequarry.operators import chunking, docmap, generation, graph, imports, index, metadata, patterns, render, retrieval, search, state, symbol_graph, symbols
 from codequarry.operators import pages as wiki_pages
 from codequarry.plans import corpus
+from codequarry.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from codequarry.session import durable, table
 from codequarry.sources import files as sources
 from codequarry.sources import sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 #: documents as files, for the SQL side.
 FILES_SQL = "files AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, lang AS language, len(string_split(text, chr(10))) AS lines, length(text) AS size, text AS content FROM documents)"
 LINKS_SQL = """links AS (SELECT p.source_file, p.target_module, k.path AS target_file, k.path IS NULL AS is_external FROM
@@ -34,16 +30,6 @@ JOIN customer c ON c.c_custkey = o.o_custkey
   JOIN supplier s ON s.s_suppkey = l.l_suppkey)"""
 
 
-def query(name: str, sql: str | None = None) -> Callable:
-    def add(fn: Callable) -> Callable:
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return sources.document_files(table(spark, d, "documents"))
 
@@ -253,7 +239,7 @@ WHERE score > 0) SELECT * FROM r WHERE rank <= 5""",
 )
 def rag_topk(spark, d):  # noqa: ANN001, ANN201
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
-    return retrieval.top_chunks(_chunks(spark, d).select("chunk_id", "content"), asked)
+    return search.top_chunks(_chunks(spark, d).select("chunk_id", "content"), asked)
 
 
 @query(

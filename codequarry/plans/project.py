@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.config import Config
-from codequarry.operators import chunking, docmap, generation, index, prompts, render, retrieval
+from codequarry.operators import chunking, docmap, generation, index, prompts, render, retrieval, search
 from codequarry.plans import wiki
 from codequarry.session import durable
 from codequarry.sources import repositories
@@ -30,6 +30,7 @@ class Project:
         self.pages: DataFrame | None = None
         self.sidebar: DataFrame | None = None
         self._chunks: DataFrame | None = None
+        self._index: search.Index | None = None
 
     def _note(self, what: str) -> None:
         self.events.append((self.status, what))
@@ -100,13 +101,14 @@ class Project:
         return index.search_files(self.tables["files"], query, **filters)
 
     def ask(self, question: str, top: int = retrieval.TOP_K) -> DataFrame:
-        """answer, status, refs: the client's answer from the chunks most like the question. Chunks are made once."""
+        """answer, status, refs: the client's answer from the chunks most like the question. Chunks and their index are made once."""
         if self._chunks is None:
             rows = chunking.line_chunks(self.tables["files"].select("path", "content"))
             name = F.concat("path", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 6, "0"))
             self._chunks = durable(rows.withColumn("chunk_id", name))
+            self._index = search.index_of(self._chunks.select("chunk_id", "content"))
         asked = self.spark.createDataFrame([("q", question)], "query_id string, content string")
-        hits = retrieval.top_chunks(self._chunks.select("chunk_id", "content"), asked, top).join(self._chunks, "chunk_id")
+        hits = self._index.search(asked, top).join(self._chunks, "chunk_id")
         context = asked.select("query_id").join(retrieval.chat_context(hits), "query_id", "left")
         prompt = prompts.chat(F.lit(question), F.col("context"), self.config.language)
         answer = generation.complete(context.select(F.col("query_id").alias("id"), prompt.alias("prompt")), self.client, concurrency=1)

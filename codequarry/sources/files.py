@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import files as f
@@ -72,14 +72,27 @@ def document_files(documents: DataFrame) -> DataFrame:
     )
 
 
+def page_path(url: Column) -> Column:
+    """The path of an address, without host, query and fragment."""
+    return F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
+
+
+def page_targets(html: Column) -> Column:
+    """Addresses that a page links to, in order."""
+    return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
+
+
+def page_names(path: Column) -> Column:
+    """What links to a page may name: its path, and its first folder."""
+    return F.array(path, F.regexp_extract(path, "^/[^/]+", 0))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """source_file, target_module, target_file, is_external: the links of pages(page_id, url, html), pages being named by the path of their
     address. A link to the path of a known page, or to the first folder of one, is internal."""
-    path = lambda u: F.regexp_replace(F.regexp_replace(u, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
-    links = pages.select(path(F.col("url")).alias("source_file"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target_module"))
-    here = path(F.col("url"))
-    known = pages.select(F.explode(F.array(here, F.regexp_extract(here, "^/[^/]+", 0))).alias("target_file")).distinct()
-    out = links.withColumn("k", path(F.col("target_module"))).join(known, F.col("k") == F.col("target_file"), "left")
+    links = pages.select(page_path(F.col("url")).alias("source_file"), F.explode(page_targets(F.col("html"))).alias("target_module"))
+    known = pages.select(F.explode(page_names(page_path(F.col("url")))).alias("target_file")).distinct()
+    out = links.withColumn("k", page_path(F.col("target_module"))).join(known, F.col("k") == F.col("target_file"), "left")
     return out.select("source_file", "target_module", "target_file", F.col("target_file").isNull().alias("is_external"))
 
 

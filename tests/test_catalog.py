@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from codequarry.plans.catalog import ORACLES, QUERIES
+from codequarry.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
