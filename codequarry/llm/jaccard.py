@@ -169,7 +169,7 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, key (hash of id and text), rid (identity of the set), n, batch, bits, least, prefix: one row for each row of docs. Where
+    """doc_id, key (hash of id and text), rid (identity of the set), n, bits, least, prefix: one row for each row of docs. Where
     a batch has a set twice, the last three stand in one row."""
     shared = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, words, percent))
 
@@ -186,7 +186,6 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
         none = np.zeros(0, np.int64)
         for batch in batches:
             raws, seen = texts_of(batch), set()
-            name = batch.column("key")[0].as_py() if len(raws) else 0
             for begin, end in portions(raws, BYTES_AT_ONCE):
                 sets = Sets(raws[begin:end], words)
                 rid, bits, least, last = sets.digests(), sets.bitmaps(), sets.least(), frequent(sets.grams)
@@ -202,11 +201,11 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     mins.append(least[k])
                     prefix.append((np.concatenate((s[~late][:p], s[late]))[:p] if late.any() else s[:p]).view(np.int64))
                 own = [batch.column(c).slice(begin, end - begin) for c in ("doc_id", "key")]
-                made = [pa.array(rid), pa.array(sets.size), pa.array(np.full(len(rid), name, np.int64)), pa.array(bits, pa.binary()), _lists(mins), _lists(prefix)]
-                yield pa.RecordBatch.from_arrays([*own, *made], ["doc_id", "key", "rid", "n", "batch", "bits", "least", "prefix"])
+                made = [pa.array(rid), pa.array(sets.size), pa.array(bits, pa.binary()), _lists(mins), _lists(prefix)]
+                yield pa.RecordBatch.from_arrays([*own, *made], ["doc_id", "key", "rid", "n", "bits", "least", "prefix"])
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    shape = f"doc_id {type_of(docs, 'doc_id')}, key long, rid long, n long, batch long, bits binary, least array<long>, prefix array<long>"
+    shape = f"doc_id {type_of(docs, 'doc_id')}, key long, rid long, n long, bits binary, least array<long>, prefix array<long>"
     return durable(rows.mapInArrow(sign, shape))
 
 
@@ -243,13 +242,13 @@ def _meeting(heads: DataFrame, turn: int) -> tuple[DataFrame, bool]:
 
 
 def _routes(signed: DataFrame) -> DataFrame:
-    """token, rid, batch: shingles in the prefix of several sets, one for each different membership. A set is stated once a batch, so
-    (rid, batch) is different in each of a shingle's rows, and their exclusive or tells its members."""
-    rows = signed.select("rid", "batch", F.explode("prefix").alias("token")).where("token is not null and rid is not null").repartition("token")
-    look = F.bit_xor(F.xxhash64("rid", "batch"))
+    """token, rid: shingles in the prefix of several sets, one for each different membership. Batches may state a set again, so rows are
+    made different first; then the exclusive or of a shingle's rows, with their number, tells its members."""
+    rows = signed.select("rid", F.explode("prefix").alias("token")).where("token is not null and rid is not null").repartition("token").distinct()
+    look = F.bit_xor(F.xxhash64("rid"))
     tokens = rows.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), look.alias("look"), F.count("*").alias("rows")).where("lo <> hi")
     kept = tokens.groupBy("look", "lo", "hi", "rows").agg(F.min("token").alias("token")).select("token")
-    return rows.join(kept, "token").groupBy("token", "rid").agg(F.max("batch").alias("batch"))  # the same columns as above, so that the shuffle is reused
+    return rows.join(kept, "token").select("token", "rid")
 
 
 def _routed_tiles(routes: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:

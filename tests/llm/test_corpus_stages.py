@@ -225,6 +225,23 @@ def test_classes_match_brute_force(spark, percent, n):  # noqa: ANN001
     assert got == plain_classes(rows, percent, n)
 
 
+def test_repeated_tables_lose_no_link(spark, monkeypatch, tmp_path):  # noqa: ANN001
+    monkeypatch.setattr(jaccard, "MEETINGS", 0)
+    rows = [(None, None), (None, None), *near_copies(6, 8, 9, 90, 4), *near_copies(7, 12, 3, 20, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "a"))
+    docs.write.mode("append").parquet(str(tmp_path / "a"))
+    for twice in (docs.union(docs), spark.read.parquet(str(tmp_path / "a"))):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_classes(twice).collect())
+        assert got == plain_classes(rows + rows, 90, 3)
+
+
+def test_shingles_with_one_membership_are_told_once(spark):  # noqa: ANN001
+    signed = spark.createDataFrame([(r, [1, 2]) for r in (10, 20)] * 2 + [(30, [2, 3]), (40, [3])], "rid long, prefix array<long>")
+    got = sorted((r.token, r.rid) for r in jaccard._routes(signed).collect())
+    assert got == [(1, 10), (1, 20), (2, 10), (2, 20), (2, 30), (3, 30), (3, 40)]
+
+
 def test_large_tiles_are_cut(spark, monkeypatch):  # noqa: ANN001
     monkeypatch.setattr(jaccard, "TILE", 8)
     rows = near_copies(4, 2, 40, 60, 4)
