@@ -10,8 +10,8 @@ the block, weight) and the largest weight; and for each content the norm of what
 Search. The queries' tokens are broadcast, at most AT_ONCE of them at a time, and blocks pass by once. The largest weights bound what a block can give a query; a query that
 can't reach its k-th best score so far passes the block over. Otherwise its tokens are taken from rare to common, and a content is
 dropped as soon as its sum so far, with the smaller of two bounds of the rest (largest weights of the tokens left; Cauchy-Schwarz with the content's
-norm at that stage), is below. Before that, a join of rare tokens alone gives every query k lower bounds to start from. Scores that pass are complete sums:
-nothing is approximate, and k rows a query and task meet in the last ranking.
+norm at that stage), is below. A join of rare tokens alone gives every query k lower bounds to start from; a few blocks go first and
+raise them. Scores that pass are complete sums: nothing is approximate, and k rows a query and task meet in the last ranking.
 
 Defined results: null content has no tokens; contents or queries without a weighed token match nothing; equal scores (at six decimals) go to the larger
 chunk_id; a chunk_id that stands twice counts twice; an empty table or index gives no rows.
@@ -20,6 +20,7 @@ chunk_id; a chunk_id that stands twice counts twice; an empty table or index giv
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.operators import retrieval
-from codequarry.session import durable, numbered
+from codequarry.session import durable
 from codequarry.sources.versions import Versions
 
 #: Contents of a block; tokens of queries that are broadcast at once; a token of at most one in RARE chunks is rare.
-SIZE, AT_ONCE, RARE = 64, 1_000_000, 200
+SIZE, AT_ONCE, RARE = 32, 1_000_000, 500
 #: Shares of the chunks at which the norm of a content's more common tokens is kept.
 STAGES = (0.0, 0.01, 0.03, 0.06, 0.1, 0.13, 0.16, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.7)
+#: Blocks of the rounds of a search, in so many parts of the last number.
+ROUNDS = (1, 4, 16, 64)
+#: Blocks that a task orders by their bounds at once.
+GROUP = 64
 #: Scores are compared at six decimals; bounds are wider by this.
 MARGIN = 1e-6
 
@@ -47,38 +52,48 @@ def contents_of(chunks: DataFrame) -> DataFrame:
 
 
 def _weights(terms: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
-    """hash, token, w, share: weights over their norm for terms(hash, token, tf), and the share of the n chunks that have the token."""
+    """hash and terms(token, w, share) of each content of terms(hash, token, tf): weights over their norm, and the share of the n chunks that
+    have the token."""
     known = frequency.select("token", F.log(F.lit(n) / (F.col("df") + 1)).alias("idf"), (F.col("df") * retrieval.COMMON > n).alias("common"), (F.col("df") / n).alias("share"))
-    both = retrieval.weighted(terms, known)
-    norms = both.groupBy("hash").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return both.join(norms, "hash").select("hash", "token", F.abs(F.col("w") / F.col("norm")).alias("w"), "share")
-
-
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block's row from its contents' weights."""
-    names, place = np.unique(pdf["place"].to_numpy(), return_inverse=True)
-    first = pdf.drop_duplicates("place").sort_values("place")
-    stage = np.searchsorted(STAGES, pdf["share"].to_numpy(), side="left") - 1
-    squares = np.zeros((len(names), len(STAGES)))
-    np.add.at(squares, (place, stage), pdf["w"].to_numpy() ** 2)
-    tails = np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1])
-    order = np.argsort(pdf["token"].to_numpy(), kind="stable")
-    token, w = pdf["token"].to_numpy()[order], pdf["w"].to_numpy()[order]
-    starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    row = {
-        "hashes": list(first["hash"]), "lasts": list(first["last"]), "tokens": list(token[starts]), "starts": [*starts.tolist(), len(token)],
-        "places": place[order].astype(np.int32), "weights": w, "most": np.maximum.reduceat(w, starts), "tails": tails.ravel(),
+    both = retrieval.weighted(terms.select("hash", "token", "tf"), known)
+    held = both.groupBy("hash").agg(F.collect_list(F.struct("token", "w", "share")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return held.select("hash", F.transform("terms", lambda t: F.struct(t["token"].alias("token"), F.abs(t["w"] / F.col("norm")).alias("w"), t["share"].alias("share"))).alias("terms"))
+
+
+def _block(hashes: pa.Array, lasts: pa.Array, terms: pa.ListArray) -> dict:
+    """One block's row from its contents."""
+    flat = terms.flatten()
+    place = np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(terms.offsets.to_numpy()))
+    w, share = flat.field("w").to_numpy(), flat.field("share").to_numpy()
+    stage = np.searchsorted(STAGES, share, side="left") - 1
+    squares = np.bincount(place * len(STAGES) + stage, weights=w * w, minlength=len(terms) * len(STAGES)).reshape(len(terms), -1)
+    words = flat.field("token").dictionary_encode()
+    number = words.indices.to_numpy()
+    order = np.argsort(number, kind="stable")
+    number, w = number[order], w[order]
+    starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    return {
+        "hashes": hashes.to_pylist(), "lasts": lasts.to_pylist(), "tokens": words.dictionary.to_pylist(), "starts": [*starts.tolist(), len(number)], "places": place[order],
+        "weights": w, "most": np.maximum.reduceat(w, starts), "tails": np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1]).ravel(),
     }
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], **{k: [v] for k, v in row.items()}})
 
 
 def blocks_of(weights: DataFrame, lasts: DataFrame) -> DataFrame:
-    """The index: blocks of weights(hash, token, w, share); lasts(hash, last) tells the largest chunk_id of each content."""
-    sizes = weights.groupBy("hash").agg(F.count("*").alias("size")).join(lasts, "hash")
-    placed = numbered(sizes, ["size", "hash"], "number").select("hash", "last", F.floor((F.col("number") - 1) / SIZE).alias("block"), (F.col("number") % SIZE).cast("int").alias("place"))
+    """The index: blocks of weights(hash, terms), contents sorted by their number of terms; lasts(hash, last) tells the largest chunk_id of each."""
     kind = lasts.schema["last"].dataType.simpleString()
-    shape = f"block long, hashes array<string>, lasts array<{kind}>, tokens array<string>, starts array<int>, places array<int>, weights array<double>, most array<double>, tails array<double>"
-    return weights.join(placed, "hash").groupBy("block").applyInPandas(_block, shape)
+    names = ["block", "hashes", "lasts", "tokens", "starts", "places", "weights", "most", "tails"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [pa.int32(), pa.list_(pa.string()), pa.list_(batch.schema.field("last").type), pa.list_(pa.string()), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()))]
+            for k in range(0, batch.num_rows, SIZE):
+                row = _block(*(pa.concat_arrays([batch.column(c).slice(k, SIZE)]) for c in ("hash", "last", "terms")))
+                spread = zlib.crc32(row["hashes"][0].encode()) & 0x7FFFFFFF
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((spread, *row.values()), types, strict=True)], names)
+
+    sized = weights.join(lasts, "hash").withColumn("size", F.size("terms")).repartitionByRange("size", "hash").sortWithinPartitions("size", "hash")
+    shape = f"block int, hashes array<string>, lasts array<{kind}>, tokens array<string>, starts array<int>, places array<int>, weights array<double>, most array<double>, tails array<double>"
+    return sized.select("hash", "last", "terms").mapInArrow(cut, shape)
 
 
 class _Asked:
@@ -109,37 +124,48 @@ class _Best:
         if len(best) == self.k:
             self.floor[q] = max(self.floor[q], best[0][0])
 
-    def scan(self, row: dict) -> None:
-        """Score one block."""
-        asked = self.asked
-        at = pc.index_in(row["tokens"], value_set=asked.vocabulary)
-        here = np.flatnonzero(~at.is_null().to_numpy(zero_copy_only=False))
-        if not len(here):
-            return
-        number = at.take(pa.array(here)).to_numpy(zero_copy_only=False)
-        most, where = np.zeros(len(asked.vocabulary)), np.zeros(len(asked.vocabulary), dtype=np.int64)
-        most[number], where[number] = row["most"][here], here
-        tails = row["tails"].reshape(-1, len(STAGES))
-        bound = np.add.reduceat(asked.weight * most[asked.token], asked.start)
-        for q in np.flatnonzero((bound >= self.floor - MARGIN) & (bound > 0)).tolist():
-            a, b = asked.start[q], asked.end[q]
-            own = np.flatnonzero(most[asked.token[a:b]] > 0) + a
-            token, weight, stage = asked.token[own], asked.weight[own], asked.stage[own]
-            left = np.cumsum((weight * most[token])[::-1])[::-1]
-            size = np.sqrt(np.cumsum((weight * weight)[::-1])[::-1])
-            total, alive = np.zeros(len(tails)), np.ones(len(tails), dtype=bool)
-            for i in range(len(token)):
-                alive &= total + np.minimum(left[i], size[i] * tails[:, stage[i]]) >= self.floor[q] - MARGIN
-                s, e = row["starts"][where[token[i]]], row["starts"][where[token[i]] + 1]
-                place = row["places"][s:e]
-                keep = alive[place]
-                total[place[keep]] += weight[i] * row["weights"][s:e][keep]
-                self.products += int(keep.sum())
-                if not alive.any():
+    def scan(self, rows: list[dict]) -> None:
+        """Score some blocks, for each query from the most promising one on, until none can reach its floor."""
+        asked, buffer = self.asked, np.zeros(len(self.asked.vocabulary))
+        bounds, known = np.zeros((len(rows), len(asked.query))), []
+        for i, row in enumerate(rows):
+            at = pc.index_in(row["tokens"], value_set=asked.vocabulary)
+            here = np.flatnonzero(~at.is_null().to_numpy(zero_copy_only=False))
+            number = at.take(pa.array(here)).to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(number)
+            known.append((number[order], here[order]))
+            buffer[number] = row["most"][here]
+            bounds[i] = np.add.reduceat(asked.weight * buffer[asked.token], asked.start)
+            buffer[number] = 0
+        for q in np.flatnonzero((bounds >= self.floor - MARGIN).any(axis=0) & (bounds > 0).any(axis=0)).tolist():
+            for i in np.argsort(-bounds[:, q], kind="stable").tolist():
+                if bounds[i, q] < self.floor[q] - MARGIN or bounds[i, q] <= 0:
                     break
-            for p in np.flatnonzero(alive & (total > 0) & (total >= self.floor[q] - MARGIN)).tolist():
-                if (score := round(float(total[p]), 6)) > 0:
-                    self.add(q, score, row["lasts"][p].as_py(), row["hashes"][p].as_py())
+                self._score(q, rows[i], *known[i])
+
+    def _score(self, q: int, row: dict, number: np.ndarray, here: np.ndarray) -> None:
+        """Score the contents of a block for a query, token by token from rare to common."""
+        asked, floor = self.asked, self.floor[q] - MARGIN
+        own = np.arange(asked.start[q], asked.end[q])
+        place = np.minimum(np.searchsorted(number, asked.token[own]), len(number) - 1)
+        own, place = own[same := number[place] == asked.token[own]], place[same]
+        token, weight, stage = here[place], asked.weight[own], asked.stage[own]
+        left = np.cumsum((weight * row["most"][token])[::-1])[::-1]
+        size = np.sqrt(np.cumsum((weight * weight)[::-1])[::-1])
+        tails = row["tails"].reshape(-1, len(STAGES))
+        total, alive = np.zeros(len(tails)), np.ones(len(tails), dtype=bool)
+        for i, t in enumerate(token.tolist()):
+            alive &= total + np.minimum(left[i], size[i] * tails[:, stage[i]]) >= floor
+            if not alive.any():
+                return
+            s, e = row["starts"][t], row["starts"][t + 1]
+            at = row["places"][s:e]
+            keep = alive[at]
+            total[at[keep]] += weight[i] * row["weights"][s:e][keep]
+            self.products += int(keep.sum())
+        for p in np.flatnonzero(alive & (total > 0) & (total >= floor)).tolist():
+            if (score := round(float(total[p]), 6)) > 0:
+                self.add(q, score, row["lasts"][p].as_py(), row["hashes"][p].as_py())
 
 
 def _row(batch: pa.RecordBatch, i: int) -> dict:
@@ -158,8 +184,8 @@ def _scan(blocks: DataFrame, asked: _Asked, k: int) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.schema.field("lasts").type.value_type
-            for i in range(batch.num_rows):
-                best.scan(_row(batch, i))
+            for begin in range(0, batch.num_rows, GROUP):
+                best.scan([_row(batch, i) for i in range(begin, min(begin + GROUP, batch.num_rows))])
         if kind is not None:
             rows = [(int(best.asked.query[q]), h, x if known else None, s) for q, found in best.found.items() for s, known, x, h in found]
             columns = list(zip(*rows, (None, None, None, float(best.products)), strict=True))
@@ -186,33 +212,44 @@ class Index:
     def _asked(self, queries: DataFrame) -> DataFrame:
         """query, token, w, share for queries(query, content)."""
         terms = retrieval.term_frequencies(queries.select(F.col("query").alias("chunk_id"), "content")).withColumnRenamed("chunk_id", "hash")
+        terms = durable(terms)
         known = self.frequency.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi") if terms.count() <= AT_ONCE else self.frequency
-        return durable(_weights(terms, known, self.n).withColumnRenamed("hash", "query"))
+        return durable(_weights(terms, known, self.n).select(F.col("hash").alias("query"), F.inline("terms")))
+
+    def _rare_products(self, asked: DataFrame) -> DataFrame:
+        """query, hash, product: a row for each rare token that a query and a content share."""
+        rare = F.filter("terms", lambda t: t["share"] * RARE <= 1)
+        parts = self.weights.select("hash", F.inline(rare)).drop("share").join(asked.where(F.col("share") * RARE <= 1).select("query", "token", F.col("w").alias("qw")), "token")
+        return parts.select("query", "hash", (F.col("w") * F.col("qw")).alias("product"))
 
-    def _floors(self, asked: DataFrame, k: int) -> DataFrame:
-        """query, floor: the k-th best score by rare tokens alone, where k contents have one."""
-        rare = asked.where(F.col("share") * RARE <= 1)
-        parts = self.weights.where(F.col("share") * RARE <= 1).select("hash", "token", "w").join(rare.select("query", "token", F.col("w").alias("qw")), "token")
-        sums = parts.groupBy("query", "hash").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    @staticmethod
+    def _kth(scores: DataFrame, k: int) -> dict:
+        """The k-th best score of each query of scores(query, hash, score) that has k."""
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
-        return sums.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("query").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k).select("query", "floor")
+        best = scores.withColumn("rank", rank).where(F.col("rank") == k).select("query", "score")
+        return {r.query: r.score for r in best.collect()}
 
     def _found(self, queries: DataFrame, k: int) -> DataFrame:
-        """Best contents and counts of products, as _scan tells them, for queries(query, content)."""
+        """Best contents and counts of products, as _scan tells them, for queries(query, content). Blocks are scanned in ROUNDS, each of which starts from the
+        k-th best scores of those before."""
         asked = self._asked(queries)
-        floors = durable(self._floors(asked, k))
         parts = -(-asked.count() // AT_ONCE)
-        out = None
+        out = self.blocks.sparkSession.createDataFrame([], f"query long, hash string, last {self.blocks.schema['lasts'].dataType.elementType.simpleString()}, score double")
         for part in range(parts):
-            here = F.pmod(F.xxhash64("query"), F.lit(parts)) == part
-            floor = {r.query: r.floor for r in floors.where(here).collect()}
-            some = asked.where(here).select("query", "token", "w", "share").toPandas()  # AT_ONCE rows or about
-            if len(some):
-                found = _scan(self.blocks, _Asked(some, floor), k)
-                out = found if out is None else out.unionByName(found)
-        if out is None:
-            return self.blocks.sparkSession.createDataFrame([], f"query long, hash string, last {self.blocks.schema['lasts'].dataType.elementType.simpleString()}, score double")
-        return durable(out)
+            here = asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part)
+            some = here.select("query", "token", "w", "share").toPandas()  # AT_ONCE rows or about
+            if not len(some):
+                continue
+            floor = self._kth(self._rare_products(here).groupBy("query", "hash").agg(F.sum("product").alias("score")), k)
+            found, begin = None, 0
+            for end in ROUNDS:
+                blocks = self.blocks.where((F.col("block") % ROUNDS[-1] >= begin) & (F.col("block") % ROUNDS[-1] < end))
+                more = durable(_scan(blocks, _Asked(some, floor), k))
+                found, begin = more if found is None else found.unionByName(more), end
+                if end < ROUNDS[-1]:
+                    floor |= {q: x for q, x in self._kth(found.where("query is not null"), k).items() if x > floor.get(q, 0)}
+            out = out.unionByName(found)
+        return out
 
     def search(self, queries: DataFrame, k: int = retrieval.TOP_K) -> DataFrame:
         """query_id, rank, chunk_id, score for queries(query_id, content)."""
@@ -233,19 +270,18 @@ class Index:
         named = durable(queries.select("query_id", "content").withColumn("query", F.monotonically_increasing_id()))
         made = self._found(named, k).where("query is null").agg(F.sum("score")).first()[0] or 0
         asked = self._asked(named)
-        rare = self.weights.where(F.col("share") * RARE <= 1).join(asked.where(F.col("share") * RARE <= 1).select("query", "token"), "token").count()
+        rare = self._rare_products(asked).count()
         every = asked.select("token").join(self.frequency, "token").agg(F.sum("df")).first()[0] or 0
         return int(made) + rare, int(every)
 
 
 def index_of(chunks: DataFrame) -> Index:
-    """An index of chunks(chunk_id, content) for this session."""
-    held = durable(contents_of(chunks))
-    terms = durable(_terms(held.dropDuplicates(["hash"])))
+    """An index of chunks(chunk_id, content) for this session. Every copy of a content gives its tokens once more, in partial sums; so no text is shuffled."""
+    held = contents_of(chunks)
     own = durable(held.select("chunk_id", "hash"))
     copies = own.groupBy("hash").agg(F.count("*").alias("n"))
-    frequency = durable(terms.join(copies, "hash").groupBy("token").agg(F.sum("n").alias("df")))
-    return Index.of(terms, frequency, own)
+    terms = durable(_terms(held).join(copies, "hash").select("hash", "token", (F.col("tf") / F.col("n")).cast("long").alias("tf"), "n"))
+    return Index.of(terms, durable(terms.groupBy("token").agg(F.sum("n").alias("df"))), own)
 
 
 def _terms(contents: DataFrame) -> DataFrame:
