@@ -13,7 +13,7 @@ from codequarry.operators import chunking, docmap, generation, graph, imports, i
 from codequarry.operators import pages as wiki_pages
 from codequarry.plans import corpus
 from codequarry.plans.registry import ORACLES, QUERIES, query  # noqa: F401
-from codequarry.session import durable, table
+from codequarry.session import durable, numbered, table
 from codequarry.sources import files as sources
 from codequarry.sources import sinks
 
@@ -46,11 +46,15 @@ def _trade(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
 
 
-def _paths(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in corpus.PATHS], "path string")
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.paths(table(spark, d, "documents"))
 
 
-PATHS_SQL = corpus.values([(p,) for p in corpus.PATHS], "path")
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.code_files(table(spark, d, "documents"))
+
+
+PATHS_SQL = corpus.PATHS_SQL
 LANG_CASES = "CASE " + " ".join(f"WHEN ext = '{ext}' THEN '{lang}'" for ext, lang in f.LANGUAGES.items()) + " ELSE 'unknown' END"
 IN = lambda xs: "(" + ", ".join(corpus.quoted(x) for x in xs) + ")"
 
@@ -78,7 +82,7 @@ SELECT path, CASE WHEN name = 'dockerfile' OR name LIKE 'dockerfile.%' THEN 'doc
 AS language FROM e""",
 )
 def detect_language(spark, d):  # noqa: ANN001, ANN201
-    return _paths(spark).select("path", f.language(F.col("path")).alias("language"))
+    return _paths(spark, d).select("path", f.language(F.col("path")).alias("language"))
 
 
 @query(
@@ -92,7 +96,7 @@ SELECT path, name IN {IN(f.CONFIG_NAMES)} AS is_config,
 )
 def file_roles(spark, d):  # noqa: ANN001, ANN201
     p = F.col("path")
-    return _paths(spark).select(
+    return _paths(spark, d).select(
         "path", f.is_config(p).alias("is_config"), f.is_entrypoint(p).alias("is_entrypoint"), f.has_skipped_suffix(p).alias("skipped"),
         f.in_skipped_dir(p).alias("in_skipped_dir"), f.is_noise(p).alias("is_noise")
     )
@@ -105,9 +109,8 @@ SELECT path, row_number() OVER (ORDER BY CASE WHEN name IN {IN(f.CONFIG_NAMES)}
 parts[-2] IN {IN(f.ENTRY_DIRS)}) THEN 1 ELSE 2 END, path)::INTEGER AS place FROM p""",
 )
 def scan_order(spark, d):  # noqa: ANN001, ANN201
-    from pyspark.sql import Window
-
-    return _paths(spark).select("path", F.row_number().over(Window.orderBy(f.scan_rank(F.col("path")), "path")).alias("place"))
+    ranked = _paths(spark, d).withColumn("rank", f.scan_rank(F.col("path")))
+    return numbered(ranked, ["rank", "path"], "place").select("path", F.col("place").cast("int").alias("place"))
 
 
 @query("size_filter", f"WITH {FILES_SQL} SELECT path, size FROM files WHERE size > 0 AND size <= 10000")
@@ -139,7 +142,7 @@ FROM q GROUP BY ALL""",
 )
 def module_names(spark, d):  # noqa: ANN001, ANN201
     p = F.col("path")
-    every = _files(spark, d).select("path").union(_paths(spark))
+    every = _files(spark, d).select("path").union(_paths(spark, d))
     return every.groupBy(f.module_name(p).alias("module"), f.top_folder(p).alias("top"), f.first_part(p).alias("first")).agg(F.count("*").alias("n"))
 
 
@@ -155,15 +158,12 @@ def content_hashes(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "git_urls",
-    "SELECT * FROM " + corpus.values(
-        list(
-            zip(corpus.URLS, ("github.com", "gitlab.com", "", "bitbucket.org"), ("acme", "group", "", "team"), ("tool", "lib", "", "repo"))
-        ),
-        "url, host, owner, repo"
-    )
+    "SELECT doc_id, x.head || doc_id || x.tail AS url, x.host, x.owner, CASE WHEN x.repo = '' THEN '' ELSE x.repo || doc_id END AS repo FROM "
+    + corpus.dealt_sql([(i, *u) for i, u in enumerate(corpus.URLS)], "head, tail, host, owner, repo", len(corpus.URLS)),
 )
 def git_urls(spark, d):  # noqa: ANN001, ANN201
-    return spark.createDataFrame([(u,) for u in corpus.URLS], "url string").select("url", *f.git_url_parts(F.col("url")))
+    rows = corpus.dealt(table(spark, d, "documents"), [u[:2] for u in corpus.URLS], ["head", "tail"])
+    return rows.select("doc_id", F.concat("head", "doc_id", "tail").alias("url")).select("doc_id", "url", *f.git_url_parts(F.col("url")))
 
 
 @query("project_name", "SELECT 'acme-tool' AS name")
@@ -254,7 +254,7 @@ def chat_context(spark, d):  # noqa: ANN001, ANN201
     return retrieval.chat_context(turns).select("query_id", "context", F.size("refs").alias("n_refs"))
 
 
-CODE_SQL = "code AS (SELECT * FROM " + corpus.values(corpus.FILES, "path, language, content") + ")"
+CODE_SQL = corpus.CODE_SQL
 STRUCTURE_KIND = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{k}'" for p, k in chunking.STRUCTURES) + " END"
 STRUCTURE_NAME = "CASE " + " ".join(
     f"WHEN regexp_matches(x, '{p}') THEN " + (f"regexp_extract(x, '{p}', 1)" if r"(\w+)" in p else f"'{k}'") for p, k in chunking.STRUCTURES
@@ -263,7 +263,7 @@ STRUCTURE_NAME = "CASE " + " ".join(
 
 @query(
     "structural_chunks",
-    f"""WITH RECURSIVE {FILES_SQL}, {CODE_SQL}, every AS (SELECT path, content FROM code UNION ALL SELECT path, content
+    f"""WITH RECURSIVE {FILES_SQL}, {corpus.LISTED_SQL}, every AS (SELECT path, content FROM code UNION ALL SELECT path, content
 FROM files), s AS (SELECT path, string_split(content, chr(10)) AS l FROM every),
 t AS (SELECT path, i::INTEGER AS i, length(l[i + 1]) + 1 AS n, regexp_replace(l[i + 1], '^\\s+|\\s+$', '', 'g') AS x, len(l) AS lines
 FROM s, unnest(range(0, len(l))) AS u(i)), k AS (SELECT *, {STRUCTURE_KIND} AS kind, {STRUCTURE_NAME} AS name FROM t),
@@ -280,7 +280,7 @@ SELECT path, 'chunk-' || no AS chunk_id, (a + 1)::INTEGER AS start_line, (b + 1)
 CASE WHEN last THEN 'tail' ELSE 'block' END) AS chunk_type, coalesce(name, CASE WHEN last THEN 'tail' ELSE 'block-' || no END) AS chunk_name FROM n""",
 )
 def structural_chunks(spark, d):  # noqa: ANN001, ANN201
-    every = corpus.code_files(spark).select("path", "content").union(_files(spark, d).select("path", "content"))
+    every = corpus.listed_files(spark).select("path", "content").union(_files(spark, d).select("path", "content"))
     return chunking.structural_chunks(every).select("path", "chunk_id", "start_line", "end_line", "chunk_type", "chunk_name")
 
 
@@ -297,7 +297,7 @@ SELECT n.path, no::INTEGER AS chunk_no, c_start + 1 AS start_line, n.i + 1 AS en
 WHERE trim(array_to_string(l[c_start + 1:n.i + 1], ''), ' ' || chr(10)) <> ''""",
 )
 def line_chunks_code(spark, d):  # noqa: ANN001, ANN201
-    return chunking.line_chunks(corpus.code_files(spark)).select("path", "chunk_no", "start_line", "end_line")
+    return chunking.line_chunks(_code(spark, d)).select("path", "chunk_no", "start_line", "end_line")
 
 
 # ---- imports and their index ---------------------------------------------------------------------
@@ -313,26 +313,28 @@ SELECT path AS source_file, regexp_extract(raw, '^use\\s+([\\w:]+)', 1) AS modul
 UNION ALL SELECT path, regexp_extract(raw, '^mod\\s+(\\w+)', 1), 'mod', line, false, raw FROM c WHERE regexp_matches(raw, '^mod\\s+\\w')""",
 )
 def parse_imports_rust(spark, d):  # noqa: ANN001, ANN201
-    return imports.parse_imports(corpus.code_files(spark).where("language = 'rust'")).select("source_file", "module", "kind", "line", "is_external", "raw")
+    return imports.parse_imports(_code(spark, d).where("language = 'rust'")).select("source_file", "module", "kind", "line", "is_external", "raw")
 
 
 @query(
     "parse_imports",
-    "SELECT source_file, language, module, name, kind, line::INTEGER AS line, is_external, raw FROM "
-    + corpus.values(corpus.IMPORTED, "source_file, language, module, name, kind, line, is_external, raw"),
+    "SELECT folder || source_file AS source_file, language, module, name, kind, line::INTEGER AS line, is_external, raw FROM "
+    + corpus.by_file(corpus.IMPORTED, "source_file, language, module, name, kind, line, is_external, raw"),
 )
 def parse_imports(spark, d):  # noqa: ANN001, ANN201
-    return imports.parse_imports(corpus.code_files(spark))
+    return imports.parse_imports(_code(spark, d))
 
 
 @query(
     "resolve_imports",
-    "SELECT source_file, language, module, line::INTEGER AS line, target_file, is_external FROM " + corpus.values(
-        [(*r[:5], r[5] == "true") for r in corpus.RESOLVED], "source_file, language, module, line, target_file, is_external"
-    )
+    f"""WITH r AS (SELECT * FROM {corpus.by_file([(*i[:3], i[5], i[6], t[4], corpus.FILE_NUMBER.get(t[4], -1)) for i, t in zip(corpus.IMPORTED, corpus.RESOLVED, strict=True)], "source_file, language, module, line, is_external, target, number")}),
+t AS (SELECT r.*, CASE WHEN r.module LIKE '.%' AND d.doc_id IS NOT NULL THEN folder || target END AS target_file
+FROM r LEFT JOIN documents d ON d.doc_id = project * {len(corpus.FILES)} + number AND number >= 0)
+SELECT folder || source_file AS source_file, language, module, line::INTEGER AS line, target_file, is_external AND target_file IS NULL AS is_external FROM t""",
 )
 def resolve_imports(spark, d):  # noqa: ANN001, ANN201
-    code = corpus.code_files(spark)
+    """Each project's relative imports resolve to its own files."""
+    code = _code(spark, d)
     return imports.resolve_imports(imports.parse_imports(code), code).select("source_file", "language", "module", "line", "target_file", "is_external")
 
 
@@ -601,36 +603,32 @@ SELECT path AS file, fn || st || it AS name, CASE WHEN fn <> '' THEN 'function'
 CASE WHEN fn <> '' THEN 'func ' || fn || '(...)' ELSE 'type ' || st || it END AS signature FROM m WHERE fn || st || it <> ''""",
 )
 def symbols_go(spark, d):  # noqa: ANN001, ANN201
-    return symbols.parse_symbols(corpus.code_files(spark).where("language = 'go'")).select("file", "name", "kind", "line", "signature")
+    return symbols.parse_symbols(_code(spark, d).where("language = 'go'")).select("file", "name", "kind", "line", "signature")
 
 
-@query("symbols_all", "SELECT file, name, kind, line::INTEGER AS line FROM " + corpus.values(corpus.NAMED, "file, name, kind, line"))
+@query("symbols_all", "SELECT folder || file AS file, name, kind, line::INTEGER AS line FROM " + corpus.by_file(corpus.NAMED, "file, name, kind, line"))
 def symbols_all(spark, d):  # noqa: ANN001, ANN201
-    return symbols.parse_symbols(corpus.code_files(spark).where(~F.col("path").isin(*corpus.GENERATED))).select("file", "name", "kind", "line")
+    return symbols.parse_symbols(_code(spark, d).where(corpus.hand_written(F.col("path")))).select("file", "name", "kind", "line")
 
 
-@query("call_edges", "SELECT source, target, 'calls' AS edge_type, line::INTEGER AS line FROM " + corpus.values([
-    (
-        "src/core/main.py:start:11", "src/main/java/a/C.java:run:3", 12
-    ), ("src/core/main.py:run:7", "src/core/helper.py:show:2", 8), ("web/app.js:start:8", "web/lib/a.js:load:2", 9), ("web/lib/a.js:save:3", "web/lib/a.js:load:2", 4),
-], "source, target, line"))
+@query(
+    "call_edges",
+    f"""WITH s AS (SELECT folder || file AS file, name, folder || file || ':' || name || ':' || line AS id FROM {corpus.by_file(corpus.NAMED, "file, name, kind, line")}),
+c AS (SELECT folder || file AS file, caller, callee, line::INTEGER AS line FROM {corpus.by_file(corpus.CALLED, "file, caller, callee, line")})
+SELECT (SELECT max(id) FROM s WHERE s.file = c.file AND s.name = c.caller) AS source, (SELECT max(id) FROM s WHERE s.name = c.callee) AS target, 'calls' AS edge_type, line FROM c""",
+)
 def call_edges(spark, d):  # noqa: ANN001, ANN201
-    code = corpus.code_files(spark).where(~F.col("path").isin(*corpus.GENERATED))
+    code = _code(spark, d).where(corpus.hand_written(F.col("path")))
     return symbols.call_edges(code, symbols.parse_symbols(code))
 
 
 @query(
     "symbol_kinds",
-    "SELECT * FROM " + corpus.values(
-        [
-            ("function", 69), ("class", 9), ("module", 0), ("method", 2), ("interface", 1), ("variable", 102), ("constant", 0),
-            ("property", 0)
-        ],
-        "kind, n"
-    )
+    "SELECT y.kind, coalesce(sum(c.n), 0)::BIGINT AS n FROM (SELECT unnest(['function', 'class', 'module', 'method', 'interface', 'variable', 'constant', 'property']) AS kind) y LEFT JOIN "
+    + corpus.by_file(corpus.KINDS, "file, kind, n") + " c ON c.kind = y.kind GROUP BY y.kind",
 )
 def symbol_kinds(spark, d):  # noqa: ANN001, ANN201
-    return symbols.kind_counts(symbols.parse_symbols(corpus.code_files(spark)))
+    return symbols.kind_counts(symbols.parse_symbols(_code(spark, d)))
 
 
 ARCH_VALUES = corpus.values([(n.upper(), w, k) for n, (k, w, _) in patterns.ARCHITECTURE.items()], "pattern, weight, keywords")
@@ -1250,7 +1248,7 @@ def requested_files(spark, d):  # noqa: ANN001, ANN201
 @query("project_type", "SELECT 'full-stack' AS project_type")
 def project_type(spark, d):  # noqa: ANN001, ANN201
     extra = spark.createDataFrame([("package.json", "json", "{}")], "path string, language string, content string")
-    return generation.project_type(corpus.code_files(spark).union(extra).withColumn("is_config", f.is_config(F.col("path"))))
+    return generation.project_type(corpus.listed_files(spark).union(extra).withColumn("is_config", f.is_config(F.col("path"))))
 
 
 @query(

@@ -1,9 +1,10 @@
-"""A small code corpus as a table, the same in both dialects of the catalog: files of each parser's language, with resolvable, external,
+"""A code corpus dealt out over documents, the same in both dialects of the catalog: files of each parser's language, with resolvable, external,
 repeated and cyclic imports, comments, blank-line breaks, and a file long enough to be cut by structure."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LONG = "class Store {\n" + "".join(f"function load{i}(a, b) {{\n  const value{i} = a + b * {i};\n  return helper.run(value{i});\n}}\n" for i in range(60)) + "}\n"
 
@@ -124,6 +125,10 @@ NAMED: list[tuple] = [
     ),
 ]
 GENERATED = ("web/store.js", "utils.py")
+#: Calls in the hand-written files: file, caller, callee, line.
+CALLED: list[tuple] = [("src/core/main.py", "start", "run", 12), ("src/core/main.py", "run", "show", 8), ("web/app.js", "start", "load", 9), ("web/lib/a.js", "save", "load", 4)]
+#: Kinds of symbols of all files, with their numbers.
+KINDS: list[tuple] = [(r[0], r[2], 1) for r in NAMED] + [("web/store.js", "function", 60), ("web/store.js", "class", 1), ("web/store.js", "variable", 60), ("utils.py", "variable", 40)]
 
 CATEGORIES = [("root", "", "Docs"), ("guide", "root", "Guide"), ("api", "root", "API"), ("auth", "api", "Auth"), ("tokens", "auth", "Tokens"), ("alone", None, "Alone")]
 STEPS = [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("x", 6), ("y", 7), ("z", 8)]
@@ -138,7 +143,11 @@ MARKDOWN = [
         1, "# Title & more\n\ntext **bold** and `code` <tag>\n- item\n1. first\n> quote"
     ), (2, "```python\nx = \"<a>\"\n```\nafter"), (3, "```mermaid\ngraph TD\n```"), (4, "## Two [link](http://a?b=1&c=2)\n### Three\n```\nplain\n```\n```open\nlost"),
 ]
-URLS = ["https://github.com/acme/tool.git", "gitlab.com/group/lib/", "https://example.org/acme/tool", " http://www.bitbucket.org/team/repo?x=1 "]
+#: Address before and after a document's number; host, owner, and repository before the number.
+URLS = [
+    ("https://github.com/acme/tool", ".git", "github.com", "acme", "tool"), ("gitlab.com/group/lib", "/", "gitlab.com", "group", "lib"),
+    ("https://example.org/acme/tool", "", "", "", ""), (" http://www.bitbucket.org/team/repo", "?x=1 ", "bitbucket.org", "team", "repo"),
+]
 
 
 def quoted(text: str | None) -> str:
@@ -151,5 +160,65 @@ def values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows) + f") AS t({columns})"
 
 
-def code_files(spark: SparkSession) -> DataFrame:
+def listed_files(spark: SparkSession) -> DataFrame:
+    """The files as they are listed."""
     return spark.createDataFrame(FILES, "path string, language string, content string")
+
+
+LISTED_SQL = "code AS (SELECT * FROM " + values(FILES, "path, language, content") + ")"
+
+# ---- corpora dealt out over documents -------------------------------------------------------------
+# Document d takes row d % n of a list of n, under the folder p<d // n>, so a corpus has a row for each document, whole texts included.
+
+
+def dealt(documents: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:
+    """doc_id, text, folder, and the row that each document takes."""
+    n = len(rows)
+    options = F.array(*(F.struct(*(F.lit(v).cast("string").alias(c) for v, c in zip(r, names, strict=True))) for r in rows))
+    place = F.pmod(F.col("doc_id"), F.lit(n))
+    row = F.get(options, place.cast("int")).alias("row")
+    return documents.select("doc_id", "text", F.concat(F.lit("p"), F.floor(F.col("doc_id") / n).cast("string"), F.lit("/")).alias("folder"), row).select("doc_id", "text", "folder", "row.*")
+
+
+def dealt_sql(rows: list[tuple], names: str, n: int) -> str:
+    """documents with the rows (the first column tells the number of the row that they belong to) they take; a document may take several."""
+    return f"documents JOIN {values(rows, 'k, ' + names).replace(' AS t(', ' AS x(')} ON doc_id % {n} = x.k"
+
+
+FOLDER_SQL = "'p' || doc_id // {n} || '/'"
+
+
+def paths(documents: DataFrame) -> DataFrame:
+    return dealt(documents, [(p,) for p in PATHS], ["name"]).select(F.concat("folder", "name").alias("path"))
+
+
+PATHS_SQL = f"(SELECT {FOLDER_SQL.format(n=len(PATHS))} || x.name AS path FROM {dealt_sql([(i, p) for i, p in enumerate(PATHS)], 'name', len(PATHS))}) AS t"
+
+#: How lines of a document's text stand as comments at the end of a file.
+COMMENTS = {"python": "# ", "javascript": "// ", "java": "// ", "go": "// ", "rust": "// ", "sql": "-- ", "unknown": ""}
+
+
+def code_files(documents: DataFrame) -> DataFrame:
+    """path, language, content: the file that each document takes, with the document's text as comments behind it."""
+    rows = dealt(documents, [(p, x, c, COMMENTS[x]) for p, x, c in FILES], ["name", "language", "content", "mark"])
+    text = F.coalesce("text", F.lit(""))
+    comment = F.concat("mark", F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), "mark")), F.lit("\n"))
+    return rows.select(F.concat("folder", "name").alias("path"), "language", F.concat("content", comment).alias("content"))
+
+
+def hand_written(path: Column) -> Column:
+    """Whether a path is none of the generated files'."""
+    return ~F.substring_index(path, "/", -1).isin(*(p.split("/")[-1] for p in GENERATED))
+
+
+CODE_SQL = f"""code AS (SELECT {FOLDER_SQL.format(n=len(FILES))} || x.name AS path, x.language,
+x.content || x.mark || replace(coalesce(text, ''), chr(10), chr(10) || x.mark) || chr(10) AS content
+FROM {dealt_sql([(i, p, x, c, COMMENTS[x]) for i, (p, x, c) in enumerate(FILES)], 'name, language, content, mark', len(FILES))})"""
+#: Number of each file.
+FILE_NUMBER = {p: i for i, (p, _, _) in enumerate(FILES)}
+
+
+def by_file(rows: list[tuple], names: str) -> str:
+    """documents with the rows (file first) of the file that they take; `folder` stands before each file's name."""
+    n = len(FILES)
+    return f"(SELECT {FOLDER_SQL.format(n=n)} AS folder, doc_id // {n} AS project, x.* FROM {dealt_sql([(FILE_NUMBER[r[0]], *r) for r in rows], names, n)})"
