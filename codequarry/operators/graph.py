@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.session import durable
+from codequarry.session import durable, numbered
 
 
 #: Turns of a ranking between two cuts in the lineage, at which it also looks whether it has settled.
@@ -128,6 +128,27 @@ def levels(items: DataFrame, depends: DataFrame) -> DataFrame:
     return (rest if done is None else done.union(rest)).select("id", "level", "ord")
 
 
+def topological_ranks(items: DataFrame, depends: DataFrame) -> DataFrame:
+    """id, place (from 0): the first-in, first-out order of items(id, ord), as topological_order() tells it, without collecting anything. In that order
+    levels follow each other, and an item becomes ready with the last of what it depends on: so within a level items stand by the place of
+    that, then by their own order, and each level is ranked from the places of those before. What lies on or behind cycles comes last."""
+    leveled = durable(levels(items, depends))
+    needs = durable(depends.where("id <> on").join(items.select(F.col("id").alias("on")), "on", "left_semi").select("id", "on").distinct())
+    sizes = {r.level: r.n for r in leveled.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row a level
+    done, before = None, 0
+    for level in [*sorted(x for x in sizes if x is not None), *([None] if None in sizes else [])]:
+        own = leveled.where(F.col("level").eqNullSafe(F.lit(level))).select("id", "ord")
+        if done is None or level is None:
+            own = own.withColumn("last", F.lit(0).cast("long"))
+        else:
+            places = done.select(F.col("id").alias("on"), F.col("place").alias("at"))
+            own = own.join(needs, "id").join(places, "on").groupBy("id", "ord").agg(F.max("at").alias("last"))
+        ranked = numbered(own, ["last", "ord", "id"], "place").select("id", (F.col("place") - 1 + before).alias("place"))
+        done = durable(ranked if done is None else done.union(ranked))
+        before += sizes[level]
+    return items.select("id").withColumn("place", F.lit(0).cast("long")).limit(0) if done is None else done
+
+
 def topological_order(items: DataFrame, depends: DataFrame) -> list[str]:
     """First-in, first-out order of a document map, which fits the driver: items ready at once stand in their own order, the others as
     they become ready, and those on or behind cycles come last in their own order."""
