@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.functions.automaton import keyword_pairs
 from codequarry.functions.files import chinese_id, glob_regex, has_chinese, title_of
 from codequarry.operators.pages import category_page
 from codequarry.session import durable, numbered
 
+#: Globs of nothing but wildcards that are broadcast at most.
+MOST_BARE = 10_000
+
+
+def _literals(pattern: Column) -> Column:
+    """Texts that whatever a glob matches must contain: what stands between its wildcards and classes."""
+    return F.filter(F.split(F.regexp_replace(pattern, r"\[[^\]]*\]", "*"), r"[*?\[\]]+"), lambda x: x != "")
+
+
+def _tests(paths: DataFrame, globs: DataFrame) -> DataFrame:
+    """path, pattern: which globs each path is tested against. A glob is indexed by the rarest of its literals, as one automaton over all literals counts
+    them on the paths; only paths with that literal meet it. Globs of nothing but wildcards meet all."""
+    texts = paths.select(F.col("path").alias("id"), F.col("path").alias("text"))
+    pieces = durable(globs.select("pattern", F.explode(F.array_distinct(_literals(F.col("pattern")))).alias("keyword")))
+    counts = keyword_pairs(texts, pieces.select("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+    rarest = durable(pieces.join(counts, "keyword").groupBy("pattern").agg(F.min_by("keyword", F.struct("n", "keyword")).alias("keyword"), F.count("*").alias("found")))
+    whole = pieces.groupBy("pattern").agg(F.count("*").alias("found"))  # a literal that no path has rules its glob out
+    rarest = rarest.join(whole, ["pattern", "found"])
+    met = keyword_pairs(texts, rarest.select("keyword")).join(rarest.select("pattern", "keyword"), "keyword").select(F.col("id").alias("path"), "pattern")
+    bare = globs.where(F.size(_literals(F.col("pattern"))) == 0).select("pattern")
+    bare = F.broadcast(bare) if bare.count() <= MOST_BARE else bare
+    return met.union(paths.select("path", F.lit(1).alias("one")).join(bare.withColumn("one", F.lit(1)), "one").select("path", "pattern"))
+
 
 def matching_files(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, path: files(path) that a glob of docs(doc_id, patterns) matches. A file meets the globs whose folders before the first wildcard
-    are its own, by an equi-join, and is tested against those alone; globs that begin with a wildcard meet all files."""
-    globs = docs.select("doc_id", F.explode("patterns").alias("pattern"))
-    globs = globs.select("doc_id", F.regexp_extract("pattern", r"^[^*?\[]*/", 0).alias("folder"), glob_regex(F.col("pattern")).alias("regex")).distinct()
-    globs = F.broadcast(globs) if globs.count() <= 10_000 else globs
-    parts = F.split("path", "/")
-    folder = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.when(n > 0, "/").otherwise("")))
-    met = files.select("path", F.explode(folder).alias("folder")).join(globs, "folder")
-    return met.where(F.regexp("path", F.col("regex"))).select("doc_id", "path").distinct()
+    """doc_id, path: files(path) that a glob of docs(doc_id, patterns) matches."""
+    globs = durable(docs.select("doc_id", F.explode("patterns").alias("pattern")).distinct())
+    each = durable(globs.select("pattern").distinct())
+    hits = _tests(files.select("path").distinct(), each).where(F.regexp("path", glob_regex(F.col("pattern"))))
+    return hits.join(globs, "pattern").select("doc_id", "path").distinct()
 
 
 def relevant_files(files: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import files as f
-from codequarry.operators import chunking, docmap, generation, graph, imports, index, metadata, patterns, render, retrieval, search, state, symbol_graph, symbols
+from codequarry.operators import chunking, components, docmap, generation, graph, imports, index, metadata, patterns, render, retrieval, search, state, symbol_graph, symbols
 from codequarry.operators import pages as wiki_pages
 from codequarry.plans import corpus
 from codequarry.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -550,44 +550,72 @@ def pagerank_symbols(spark, d):  # noqa: ANN001, ANN201
 CALLS_SQL = "calls AS (SELECT * FROM " + corpus.values(corpus.CALLS, "src, dst") + ")"
 
 
+def _part_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that follow each other in an order with nearly the same quantity."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q"))
+    return lines.join(after, ["l_orderkey", "l_linenumber"]).where(F.abs(F.col("l_quantity") - F.col("q")) <= 1).select(F.col("l_partkey").alias("src"), "dst").distinct()
+
+
+PART_EDGES_SQL = """e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a
+JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE abs(a.l_quantity - b.l_quantity) <= 1 AND a.l_partkey <> b.l_partkey)"""
+
+
 @query(
     "call_chains",
-    f"""WITH RECURSIVE {CALLS_SQL}, p AS (SELECT ['a'] AS chain UNION ALL SELECT list_append(chain, dst) FROM p JOIN calls ON src = chain[-1]
-WHERE chain[-1] <> 'e' AND NOT list_contains(chain, dst) AND len(chain) <= 5) SELECT array_to_string(chain, '>') AS chain FROM p WHERE chain[-1] = 'e'""",
+    f"""WITH RECURSIVE {PART_EDGES_SQL}, s AS (SELECT min(src) AS s FROM e), ends AS (SELECT any_value(s) AS s, max(b.dst) AS t FROM s JOIN e a ON a.src = s JOIN e b ON b.src = a.dst
+WHERE b.dst <> s), p AS (SELECT [s] AS chain, t FROM ends UNION ALL SELECT list_append(chain, dst), t FROM p JOIN e ON src = chain[-1]
+WHERE chain[-1] <> t AND NOT list_contains(chain, dst) AND len(chain) <= 5) SELECT array_to_string(chain, '>') AS chain FROM p WHERE chain[-1] = t""",
 )
 def call_chains(spark, d):  # noqa: ANN001, ANN201
-    return graph.call_chains(spark.createDataFrame(corpus.CALLS, "src string, dst string"), "a", "e", 5).select(F.array_join("chain", ">").alias("chain"))
+    """Chains of at most five steps from the smallest part to the largest that lies two steps from it."""
+    edges = durable(_part_edges(spark, d).where("src <> dst"))
+    first = edges.agg(F.min("src")).first()[0]
+    two = edges.where(F.col("src") == first).select(F.col("dst").alias("src")).join(edges, "src").where(F.col("dst") != first)
+    return graph.call_chains(edges, first, two.agg(F.max("dst")).first()[0], 5).select(F.array_join("chain", ">").alias("chain"))
 
 
 @query(
     "cycles",
-    f"""WITH RECURSIVE {CALLS_SQL}, e AS (SELECT DISTINCT src, dst FROM calls WHERE src <> dst), p AS (SELECT [src, dst] AS path, false AS closed FROM e
+    f"""WITH RECURSIVE {PART_EDGES_SQL}, p AS (SELECT [src, dst] AS path, false AS closed FROM e
 WHERE dst > src UNION ALL SELECT list_append(path, dst), dst = path[1] FROM p JOIN e ON src = path[-1]
-WHERE NOT closed AND (dst = path[1] OR (dst > path[1] AND NOT list_contains(path, dst))) AND len(path) <= 10)
+WHERE NOT closed AND (dst = path[1] OR (dst > path[1] AND NOT list_contains(path, dst))) AND len(path) <= 6)
 SELECT array_to_string(path, '>') AS cycle FROM p WHERE closed""",
 )
 def cycles(spark, d):  # noqa: ANN001, ANN201
-    return graph.cycles(spark.createDataFrame(corpus.CALLS, "src string, dst string")).select(F.array_join("cycle", ">").alias("cycle"))
+    """Cycles of up to six parts; only edges inside components are walked."""
+    return graph.cycles(components.inner_edges(_part_edges(spark, d)), 6).select(F.array_join("cycle", ">").alias("cycle"))
 
 
-@query(
-    "topo_levels",
-    f"""WITH RECURSIVE i AS (SELECT * FROM {corpus.values(corpus.STEPS, 'id, ord')}), n AS (SELECT x.*
-FROM {corpus.values(corpus.NEEDS, 'id, need').replace(' AS t(', ' AS x(')} WHERE x.need IN (SELECT id FROM i)), bad AS (SELECT id FROM n
-WHERE id IN ('x', 'y', 'z')), l AS (SELECT id, 0 AS level FROM i WHERE id NOT IN (SELECT id FROM bad) UNION SELECT n.id, l.level + 1 FROM l
-JOIN n ON n.need = l.id WHERE n.id NOT IN (SELECT id FROM bad))
-SELECT i.id, coalesce(max(l.level), -1)::INTEGER AS level, any_value(i.ord)::INTEGER AS ord FROM i LEFT JOIN l USING (id) GROUP BY i.id""",
-)
+#: A map of regions, nations and suppliers: a nation needs its region, a supplier its nation and the supplier of half its number; suppliers
+#: that end in 8 and 9 need each other.
+def _map(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r, n, s = (table(spark, d, x) for x in ("region", "nation", "supplier"))
+    key = F.col("s_suppkey")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+    items = r.select(name("r", "r_regionkey").alias("id"), F.col("r_regionkey").cast("long").alias("ord"))
+    items = items.union(n.select(name("n", "n_nationkey"), F.col("n_nationkey").cast("long") + 100)).union(s.select(name("s", key), F.lit(10**9) - key))
+    half, other = F.when(key > 1, name("s", F.floor(key / 2))), F.when(key % 10 == 8, name("s", key + 1)).when(key % 10 == 9, name("s", key - 1))
+    needs = s.select(name("s", key).alias("id"), F.explode(F.array(name("n", "s_nationkey"), half, other)).alias("on")).where(F.col("on").isNotNull())
+    return items, needs.union(n.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+
+
+MAP_SQL = """bad AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 10 IN (8, 9) AND CASE WHEN s_suppkey % 10 = 8 THEN s_suppkey + 1 ELSE s_suppkey - 1 END IN (SELECT s_suppkey FROM supplier)
+UNION SELECT s.s_suppkey FROM supplier s JOIN bad ON s.s_suppkey // 2 = bad.k AND s.s_suppkey > 1),
+m AS (SELECT 'r' || r_regionkey AS id, r_regionkey::BIGINT AS ord, 0 AS level, 0::BIGINT AS a FROM region UNION ALL SELECT 'n' || n_nationkey, n_nationkey + 100, 1, n_regionkey FROM nation
+UNION ALL SELECT 's' || s_suppkey, 1000000000 - s_suppkey, CASE WHEN s_suppkey IN (SELECT k FROM bad) THEN NULL ELSE length(bin(s_suppkey)) + 1 END,
+  CASE WHEN s_suppkey < 2 THEN n_regionkey * 1000 + n_nationkey ELSE 0 END FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+@query("topo_levels", f"WITH RECURSIVE {MAP_SQL} SELECT id, coalesce(level, -1)::INTEGER AS level, ord FROM m")
 def topo_levels(spark, d):  # noqa: ANN001, ANN201
-    return graph.levels(
-        spark.createDataFrame(corpus.STEPS, "id string, ord int"), spark.createDataFrame(corpus.NEEDS, "id string, on string")
-    ).select("id", F.coalesce("level", F.lit(-1)).alias("level"), "ord")
+    return graph.levels(*_map(spark, d)).select("id", F.coalesce("level", F.lit(-1)).alias("level"), "ord")
 
 
-@query("topo_order", "SELECT * FROM " + corpus.values([("c", 0), ("e", 1), ("a", 2), ("b", 3), ("d", 4), ("x", 5), ("y", 6), ("z", 7)], "id, place"))
+@query("topo_order", f"WITH RECURSIVE {MAP_SQL} SELECT id, row_number() OVER (ORDER BY level NULLS LAST, CASE WHEN level IS NULL THEN 0 ELSE a END, ord) - 1 AS place FROM m")
 def topo_order(spark, d):  # noqa: ANN001, ANN201
-    order = graph.topological_order(spark.createDataFrame(corpus.STEPS, "id string, ord int"), spark.createDataFrame(corpus.NEEDS, "id string, on string"))
-    return spark.createDataFrame([(x, i) for i, x in enumerate(order)], "id string, place int")
+    """First in, first out: a supplier of a level stands behind the ones that its elders stand behind, and among siblings by its own order."""
+    return graph.topological_ranks(*_map(spark, d))
 
 
 # ---- symbols and patterns ------------------------------------------------------------------------

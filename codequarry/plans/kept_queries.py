@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators import chunking, components, graph, search
+from codequarry.functions.automaton import keyword_pairs
+from codequarry.operators import chunking, components, docmap, graph, search
 from codequarry.operators.kept_graph import KeptGraph
-from codequarry.plans.catalog import CHUNKS_SQL, LINKS_SQL, _chunks
+from codequarry.plans.catalog import CHUNKS_SQL, FILES_SQL, LINKS_SQL, PART_EDGES_SQL, _chunks, _files, _part_edges
 from codequarry.plans.registry import ORACLES, query
 from codequarry.session import own_folder, table, written
 from codequarry.sources import files as sources
@@ -150,17 +151,6 @@ def page_components(spark, d):  # noqa: ANN001, ANN201
     return components.strong_components(_page_edges(spark, d), vertices)
 
 
-def _part_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that follow each other in an order with nearly the same quantity."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q"))
-    return lines.join(after, ["l_orderkey", "l_linenumber"]).where(F.abs(F.col("l_quantity") - F.col("q")) <= 1).select(F.col("l_partkey").alias("src"), "dst")
-
-
-PART_EDGES_SQL = """e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a
-JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE abs(a.l_quantity - b.l_quantity) <= 1 AND a.l_partkey <> b.l_partkey)"""
-
-
 @query(
     "part_components",
     f"""WITH RECURSIVE {PART_EDGES_SQL}, reach AS (SELECT p_partkey AS a, p_partkey AS b FROM part UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b),
@@ -183,3 +173,42 @@ SELECT array_to_string([x, y, x], ' ') AS cycle FROM two UNION ALL SELECT array_
 def part_cycles(spark, d):  # noqa: ANN001, ANN201
     """Cycles of two or three parts; only edges inside components are walked."""
     return graph.cycles(components.inner_edges(_part_edges(spark, d)), 3).select(F.array_join("cycle", " ").alias("cycle"))
+
+
+# ---- many keywords, many globs ---------------------------------------------------------------------
+
+
+@query(
+    "keyword_documents",
+    """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]{6,}')) AS keyword FROM benchmark)
+SELECT keyword, count(*) AS n_documents FROM k JOIN documents ON contains(lower(text), keyword) GROUP BY keyword""",
+)
+def keyword_documents(spark, d):  # noqa: ANN001, ANN201
+    """In how many documents each word of six letters or more of the benchmark stands, as a part of a word too."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), F.lit(0))).alias("keyword"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return keyword_pairs(texts, words).groupBy("keyword").agg(F.count("*").alias("n_documents"))
+
+
+def _globs(files: DataFrame) -> DataFrame:
+    """A glob for each path: by its name, by the start of its name, by a class in its suffix, or by its folders."""
+    name = F.substring_index("path", "/", -1)
+    stem = F.substring_index(name, ".", 1)
+    n = F.length("path")
+    glob = F.when(n % 4 == 0, F.concat(F.lit("*/"), name)).when(n % 4 == 1, F.concat(F.lit("*"), F.left(stem, F.length(stem) - 1), F.lit("?.*")))
+    glob = glob.when(n % 4 == 2, F.concat(F.lit("src[0-9]*"), F.right(stem, F.lit(3)), F.lit(".t[xy]t"))).otherwise(F.concat(F.lit("?"), F.substring("path", 2, 100)))
+    return files.select(glob.alias("doc_id"), F.array(glob).alias("patterns")).distinct()
+
+
+@query(
+    "glob_matches",
+    f"""WITH {FILES_SQL}, p AS (SELECT path, string_split(path, '/')[-1] AS name, string_split(string_split(path, '/')[-1], '.')[1] AS stem, length(path) AS n FROM files),
+g AS (SELECT DISTINCT CASE n % 4 WHEN 0 THEN '*/' || name WHEN 1 THEN '*' || left(stem, length(stem) - 1) || '?.*' WHEN 2 THEN 'src[0-9]*' || right(stem, 3) || '.t[xy]t'
+ELSE '?' || substr(path, 2) END AS pattern FROM p)
+SELECT pattern, count(*) AS n_files, min(path) AS first_path FROM g JOIN p ON path GLOB pattern GROUP BY pattern""",
+)
+def glob_matches(spark, d):  # noqa: ANN001, ANN201
+    """Files that each of as many globs as there are paths matches."""
+    files = _files(spark, d).select("path")
+    hits = docmap.matching_files(files, _globs(files))
+    return hits.groupBy(F.col("doc_id").alias("pattern")).agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"))
