@@ -712,14 +712,20 @@ def relevant_files_glob(spark, d):  # noqa: ANN001, ANN201
     return docmap.relevant_files(files, _glob_rows(spark, d), same)
 
 
+CATEGORY_SQL = f"""c AS (SELECT {corpus.FOLDER_SQL.format(n=len(corpus.CATEGORIES))} || x.id AS id, CASE WHEN x.parent_id <> '' THEN {corpus.FOLDER_SQL.format(n=len(corpus.CATEGORIES))} || x.parent_id ELSE x.parent_id END AS parent_id, x.title
+FROM {corpus.dealt_sql([(i, *c) for i, c in enumerate(corpus.CATEGORIES)], "id, parent_id, title", len(corpus.CATEGORIES))})"""
+
+
 @query(
     "category_tree",
-    f"""WITH RECURSIVE c AS (SELECT * FROM {corpus.values(corpus.CATEGORIES, 'id, parent_id, title')}), t AS (SELECT id, 0 AS depth, title AS path FROM c
+    f"""WITH RECURSIVE {CATEGORY_SQL}, t AS (SELECT id, 0 AS depth, title AS path FROM c
 WHERE coalesce(parent_id, '') = '' UNION ALL SELECT c.id, t.depth + 1, t.path || '/' || c.title FROM t JOIN c ON c.parent_id = t.id)
 SELECT id, depth::INTEGER AS depth, path FROM t""",
 )
 def category_tree(spark, d):  # noqa: ANN001, ANN201
-    return docmap.tree_paths(spark.createDataFrame(corpus.CATEGORIES, "id string, parent_id string, title string"))
+    rows = corpus.dealt(table(spark, d, "documents"), corpus.CATEGORIES, ["id", "parent_id", "title"])
+    parent = F.when(F.col("parent_id") != "", F.concat("folder", "parent_id")).otherwise(F.col("parent_id"))
+    return docmap.tree_paths(rows.select(F.concat("folder", "id").alias("id"), parent.alias("parent_id"), "title"))
 
 
 @query(
@@ -788,6 +794,32 @@ def json_props(spark, d):  # noqa: ANN001, ANN201
 
 # ---- the symbol graph ----------------------------------------------------------------------------
 
+KIND_LIST = ("function", "class", "method", "variable")
+#: Nations as symbols in files of their regions, trade between them as edges of three types.
+GRAPH_SQL = f"""{TRADE_SQL}, edges AS (SELECT 'n' || src AS source, 'n' || dst AS target, CASE WHEN k < 3 THEN 'calls' WHEN k = 3 THEN 'imports' ELSE 'uses' END AS edge_type, src * 100 + dst AS line
+FROM (SELECT src, dst, (src * 7 + dst * 3) % 11 AS k FROM trade) WHERE k < 5),
+nodes AS (SELECT 'n' || n_nationkey AS id, n_name AS name, {list(KIND_LIST)}[n_nationkey % 4 + 1] AS kind, 'r' || n_regionkey || '/n' || n_nationkey % 3 || '.py' AS file, n_nationkey + 1 AS line FROM nation)"""
+RANK_SQL = """links AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'calls' AND source <> target), v AS (SELECT id FROM nodes UNION SELECT source
+FROM links UNION SELECT target FROM links), deg AS (SELECT source, count(*) AS n FROM links GROUP BY source),
+pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v UNION ALL
+  SELECT p.turn + 1, v.id, 0.85 * (sum(CASE WHEN e.target IS NOT NULL THEN p.score / deg.n ELSE 0 END) + sum(CASE WHEN deg.n IS NULL THEN p.score ELSE
+0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
+  FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.source = p.id LEFT JOIN links e ON e.source = p.id AND e.target = v.id WHERE p.turn < 24
+GROUP BY p.turn, v.id)"""
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = (F.col("src") * 7 + F.col("dst") * 3) % 11
+    kind = F.when(k < 3, "calls").when(k == 3, "imports").otherwise("uses").alias("edge_type")
+    sold = durable(_trade(spark, d).where(k < 5))
+    edges = sold.select(F.concat(F.lit("n"), "src").alias("source"), F.concat(F.lit("n"), "dst").alias("target"), kind, (F.col("src") * 100 + F.col("dst")).alias("line"), F.lit("").alias("raw"))
+    key = F.col("n_nationkey")
+    file = F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), (key % 3).cast("string"), F.lit(".py")).alias("file")
+    kinds = F.get(F.array(*(F.lit(x) for x in KIND_LIST)), (key % 4).cast("int")).alias("kind")
+    nodes = table(spark, d, "nation").select(F.concat(F.lit("n"), key).alias("id"), F.col("n_name").alias("name"), kinds, file, (key + 1).alias("line"))
+    return nodes.select("*", F.col("line").alias("end_line"), F.lit("").alias("signature"), F.lit("").alias("doc")), edges
+
+
 CALL_ROWS = [(a, b, "calls", n) for n, (a, b) in enumerate(corpus.CALLS, 1)] + [("a", "e", "imports", 20), ("f", "b", "uses", 21)]
 NODE_ROWS = [
     (x, x.upper(), k, p, n) for n, (x, k, p) in enumerate(
@@ -798,19 +830,9 @@ NODE_ROWS = [
         1
     )
 ]
-GRAPH_SQL = "edges AS (SELECT * FROM " + corpus.values(
-    CALL_ROWS, "source, target, edge_type, line"
-) + "), nodes AS (SELECT * FROM " + corpus.values(NODE_ROWS, "id, name, kind, file, line") + ")"
-RANK_SQL = """links AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'calls' AND source <> target), v AS (SELECT id FROM nodes UNION SELECT source
-FROM links UNION SELECT target FROM links), deg AS (SELECT source, count(*) AS n FROM links GROUP BY source),
-pr AS (SELECT 0 AS turn, id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v UNION ALL
-  SELECT p.turn + 1, v.id, 0.85 * (sum(CASE WHEN e.target IS NOT NULL THEN p.score / deg.n ELSE 0 END) + sum(CASE WHEN deg.n IS NULL THEN p.score ELSE
-0 END) / (SELECT count(*) FROM v)) + 0.15 / (SELECT count(*) FROM v)
-  FROM pr p CROSS JOIN v LEFT JOIN deg ON deg.source = p.id LEFT JOIN links e ON e.source = p.id AND e.target = v.id WHERE p.turn < 24
-GROUP BY p.turn, v.id)"""
 
 
-def _graph(spark):  # noqa: ANN001, ANN202
+def _listed_graph(spark):  # noqa: ANN001, ANN202
     edges = spark.createDataFrame(CALL_ROWS, "source string, target string, edge_type string, line int").withColumn("raw", F.lit(""))
     nodes = spark.createDataFrame(NODE_ROWS, "id string, name string, kind string, file string, line int")
     return nodes.select("*", F.col("line").alias("end_line"), F.lit("").alias("signature"), F.lit("").alias("doc")), edges
@@ -822,13 +844,13 @@ def _graph(spark):  # noqa: ANN001, ANN202
 SELECT id, rank::INTEGER AS rank, round(score, 6) AS score, name, kind FROM r JOIN nodes USING (id) WHERE rank <= 5""",
 )
 def core_symbols(spark, d):  # noqa: ANN001, ANN201
-    nodes, edges = _graph(spark)
+    nodes, edges = _graph(spark, d)
     return symbol_graph.core_symbols(nodes, edges, 5, most=24, tolerance=0).select("id", "rank", F.round("score", 6).alias("score"), "name", "kind")
 
 
 @query("symbol_ranks", f"WITH RECURSIVE {GRAPH_SQL}, {RANK_SQL} SELECT id, round(score, 6) AS score FROM pr WHERE turn = 24")
 def symbol_ranks(spark, d):  # noqa: ANN001, ANN201
-    return symbol_graph.rank_symbols(*_graph(spark), most=24, tolerance=0).select("id", F.round("score", 6).alias("score"))
+    return symbol_graph.rank_symbols(*_graph(spark, d), most=24, tolerance=0).select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -843,17 +865,17 @@ def symbol_ranks(spark, d):  # noqa: ANN001, ANN201
     )
 )
 def symbol_diagram(spark, d):  # noqa: ANN001, ANN201
-    return symbol_graph.symbol_diagram(*_graph(spark))
+    return symbol_graph.symbol_diagram(*_listed_graph(spark))
 
 
 @query(
     "related_symbols",
     f"""WITH RECURSIVE {GRAPH_SQL}, b AS (SELECT source AS x, target AS y FROM edges WHERE edge_type = 'calls' UNION SELECT target, source FROM edges
-WHERE edge_type = 'calls'), r AS (SELECT 'f' AS id, 0 AS depth UNION SELECT b.y, r.depth + 1 FROM r JOIN b ON b.x = r.id WHERE r.depth < 2)
-SELECT 'f' AS start, id, min(depth)::INTEGER AS depth FROM r WHERE id <> 'f' GROUP BY id""",
+WHERE edge_type = 'calls'), r AS (SELECT 'n1' AS id, 0 AS depth UNION SELECT b.y, r.depth + 1 FROM r JOIN b ON b.x = r.id WHERE r.depth < 2)
+SELECT 'n1' AS start, id, min(depth)::INTEGER AS depth FROM r WHERE id <> 'n1' GROUP BY id""",
 )
 def related_symbols(spark, d):  # noqa: ANN001, ANN201
-    return symbol_graph.related_symbols(_graph(spark)[1], spark.createDataFrame([("f",)], "id string"))
+    return symbol_graph.related_symbols(_graph(spark, d)[1], spark.createDataFrame([("n1",)], "id string"))
 
 
 @query(
@@ -885,20 +907,24 @@ def _purchases(spark, d):  # noqa: ANN001, ANN202
 
 @query(
     "symbol_graph_changes",
-    f"""WITH {GRAPH_SQL} SELECT id, name, kind, file FROM nodes WHERE id NOT IN ('a', 'g') UNION ALL SELECT 'a', 'NEW', 'class', 'x/y.py' UNION ALL
-SELECT 'z', 'Z', 'function', 'x/y.py'""",
+    f"""WITH {GRAPH_SQL} SELECT id, CASE WHEN id = 'n1' THEN 'NEW' ELSE name END AS name, CASE WHEN id = 'n1' THEN 'class' ELSE kind END AS kind,
+CASE WHEN id = 'n1' THEN 'x/y.py' ELSE file END AS file FROM nodes WHERE id <> 'n2' UNION ALL SELECT 'z', 'Z', 'function', 'x/y.py'""",
 )
 def symbol_graph_changes(spark, d):  # noqa: ANN001, ANN201
-    nodes, _ = _graph(spark)
-    new = spark.createDataFrame([("a", "NEW", "class", "x/y.py"), ("z", "Z", "function", "x/y.py")], "id string, name string, kind string, file string")
+    nodes, _ = _graph(spark, d)
+    new = spark.createDataFrame([("n1", "NEW", "class", "x/y.py"), ("z", "Z", "function", "x/y.py")], "id string, name string, kind string, file string")
     new = new.select("*", *(F.lit(1).alias(c) for c in ("line", "end_line")), *(F.lit("").alias(c) for c in ("signature", "doc")))
-    gone = spark.createDataFrame([("g",), ("none",)], "id string")
+    gone = spark.createDataFrame([("n2",), ("none",)], "id string")
     return symbol_graph.without_symbols(symbol_graph.with_symbols(nodes, new), gone).select("id", "name", "kind", "file")
 
 
-@query("symbol_import_graph", "SELECT 'one' AS src_module, 'root' AS dst_module")
+@query(
+    "symbol_import_graph",
+    f"""WITH {GRAPH_SQL}, m AS (SELECT id, string_split(file, '/')[1] AS module FROM nodes)
+SELECT DISTINCT a.module AS src_module, b.module AS dst_module FROM edges JOIN m a ON a.id = source JOIN m b ON b.id = target WHERE edge_type = 'imports' AND a.module <> b.module""",
+)
 def symbol_import_graph(spark, d):  # noqa: ANN001, ANN201
-    return symbol_graph.import_graph(*_graph(spark))
+    return symbol_graph.import_graph(*_graph(spark, d))
 
 
 @query(
@@ -907,7 +933,7 @@ def symbol_import_graph(spark, d):  # noqa: ANN001, ANN201
 SELECT 'edge', source, target, edge_type, line::INTEGER FROM edges""",
 )
 def symbol_json_round_trip(spark, d):  # noqa: ANN001, ANN201
-    nodes, edges = symbol_graph.from_json(symbol_graph.to_json(*_graph(spark)))
+    nodes, edges = symbol_graph.from_json(symbol_graph.to_json(*_graph(spark, d)))
     return nodes.select(
         F.lit("symbol").alias("what"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("kind").alias("c"), "line"
     ).union(edges.select(F.lit("edge"), "source", "target", "edge_type", "line"))
@@ -919,22 +945,25 @@ def symbol_json_round_trip(spark, d):  # noqa: ANN001, ANN201
 SELECT 'files', count(DISTINCT file) FROM nodes UNION ALL SELECT kind, count(*) FROM nodes GROUP BY kind""",
 )
 def symbol_summary(spark, d):  # noqa: ANN001, ANN201
-    return symbol_graph.summary(*_graph(spark))
+    return symbol_graph.summary(*_graph(spark, d))
 
 
 @query(
     "symbol_lookups",
-    f"""WITH {GRAPH_SQL} SELECT 'kind' AS what, id FROM nodes WHERE kind = 'function' UNION ALL SELECT 'file', id FROM nodes WHERE file = 'src/two/c.py'
-UNION ALL SELECT 'id', id FROM nodes WHERE id = 'e' UNION ALL SELECT 'uses', source || target FROM edges WHERE edge_type = 'uses' UNION ALL
-SELECT 'chain', 'fab'""",
+    f"""WITH {GRAPH_SQL}, c AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'calls' AND source <> target), t AS (SELECT max(target) AS t FROM c WHERE source = 'n1')
+SELECT 'kind' AS what, id FROM nodes WHERE kind = 'function' UNION ALL SELECT 'file', id FROM nodes WHERE file = 'r1/n1.py'
+UNION ALL SELECT 'id', id FROM nodes WHERE id = 'n3' UNION ALL SELECT 'uses', source || target FROM edges WHERE edge_type = 'uses'
+UNION ALL SELECT 'chain', source || target FROM c, t WHERE source = 'n1' AND target = t.t
+UNION ALL SELECT 'chain', a.source || a.target || b.target FROM c a JOIN c b ON b.source = a.target, t WHERE a.source = 'n1' AND a.target <> t.t AND b.target = t.t""",
 )
 def symbol_lookups(spark, d):  # noqa: ANN001, ANN201
-    nodes, edges = _graph(spark)
+    nodes, edges = _graph(spark, d)
     rows = lambda what, df, c="id": df.select(F.lit(what).alias("what"), F.col(c).alias("id"))
-    chains = symbol_graph.call_chain(edges, "f", "b", 2).select(F.array_join("chain", "").alias("id"))
+    last = edges.where("edge_type = 'calls' and source = 'n1' and target <> 'n1'").agg(F.max("target")).first()[0] or ""
+    chains = symbol_graph.call_chain(edges, "n1", last, 2).select(F.array_join("chain", "").alias("id"))
     out = rows("kind", symbol_graph.symbols_of_kind(nodes, "function")).union(
-        rows("file", symbol_graph.symbols_in(nodes, "src/two/c.py"))
-    ).union(rows("id", symbol_graph.symbol(nodes, "e")))
+        rows("file", symbol_graph.symbols_in(nodes, "r1/n1.py"))
+    ).union(rows("id", symbol_graph.symbol(nodes, "n3")))
     uses = symbol_graph.edges_of_type(edges, "uses").select(F.concat("source", "target").alias("id"))
     return out.union(rows("uses", uses)).union(rows("chain", chains))
 
@@ -1145,19 +1174,22 @@ def wanted_files(spark, d):  # noqa: ANN001, ANN201
     return generation.wanted_files(answers, known, docs.where("doc_id % 3 = 0").select("id", "path"))
 
 
-@query(
-    "import_kinds",
-    "SELECT * FROM " + corpus.values(
-        [("import", "import"), ("dynamic", "dynamic"), ("mod", "import"), ("sql_file", "sql_file"), ("", "import")], "kind, known"
-    )
-)
+IMPORT_KINDS = [("import", "import"), ("dynamic", "dynamic"), ("mod", "import"), ("sql_file", "sql_file"), ("", "import")]
+
+
+@query("import_kinds", f"SELECT doc_id, x.kind, x.known FROM {corpus.dealt_sql([(i, *r) for i, r in enumerate(IMPORT_KINDS)], 'kind, known', len(IMPORT_KINDS))}")
 def import_kinds(spark, d):  # noqa: ANN001, ANN201
-    return spark.createDataFrame([(k,) for k in ("import", "dynamic", "mod", "sql_file", "")], "kind string").select("kind", f.known_kind(F.col("kind")).alias("known"))
+    rows = corpus.dealt(table(spark, d, "documents"), [r[:1] for r in IMPORT_KINDS], ["kind"])
+    return rows.select("doc_id", "kind", f.known_kind(F.col("kind")).alias("known"))
+
 
+SHOWN_IDS = [("guide/Setup/x", "指南/安装配置/x"), ("API", "API参考"), ("none", "none"), ("core/PayPal", "核心组件/PayPal")]
 
-@query("chinese_ids", "SELECT * FROM " + corpus.values([("guide/Setup/x", "指南/安装配置/x"), ("API", "API参考"), ("none", "none"), ("core/PayPal", "核心组件/PayPal")], "id, shown"))
+
+@query("chinese_ids", f"SELECT x.id || '/' || doc_id AS id, x.shown || '/' || doc_id AS shown FROM {corpus.dealt_sql([(i, *r) for i, r in enumerate(SHOWN_IDS)], 'id, shown', len(SHOWN_IDS))}")
 def chinese_ids(spark, d):  # noqa: ANN001, ANN201
-    return spark.createDataFrame([(k,) for k in ("guide/Setup/x", "API", "none", "core/PayPal")], "id string").select("id", f.chinese_id(F.col("id")).alias("shown"))
+    rows = corpus.dealt(table(spark, d, "documents"), [r[:1] for r in SHOWN_IDS], ["id"]).select(F.concat("id", F.lit("/"), "doc_id").alias("id"))
+    return rows.select("id", f.chinese_id(F.col("id")).alias("shown"))
 
 
 @query(
@@ -1213,16 +1245,20 @@ def module_diagram(spark, d):  # noqa: ANN001, ANN201
     return render.module_diagram(_files(spark, d), module_dependencies(spark, d))
 
 
-@query("markdown_to_html", "SELECT * FROM " + corpus.values([
+HTML = [
     (
         1,
         "<h1>Title &amp; more</h1>\n<br>\n<p>text <strong>bold</strong> and <code>code</code> &lt;tag&gt;</p>\n<li>item</li>\n<li>first</li>\n<blockquote>quote</blockquote>"
     ),
     (2, '<pre><code class="language-python">x = &quot;&lt;a&gt;&quot;</code></pre>\n<p>after</p>'), (3, '<div class="mermaid">graph TD</div>'),
     (4, '<h2>Two <a href="http://a?b=1&amp;c=2">link</a></h2>\n<h3>Three</h3>\n<pre><code class="language-text">plain</code></pre>'),
-], "id, html"))
+]
+
+
+@query("markdown_to_html", f"SELECT doc_id, x.html || chr(10) || '<h1>' || doc_id || '</h1>' AS html FROM {corpus.dealt_sql([(i, h) for i, (_, h) in enumerate(HTML)], 'html', len(HTML))}")
 def markdown_to_html(spark, d):  # noqa: ANN001, ANN201
-    return spark.createDataFrame(corpus.MARKDOWN, "id int, text string").select("id", render.markdown_to_html(F.col("text")).alias("html"))
+    rows = corpus.dealt(table(spark, d, "documents"), [(m.removesuffix("\n```open\nlost"),) for _, m in corpus.MARKDOWN], ["markdown"])
+    return rows.select("doc_id", render.markdown_to_html(F.concat("markdown", F.lit("\n# "), "doc_id")).alias("html"))
 
 
 @query(
@@ -1263,11 +1299,12 @@ def sidebar(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "requested_files",
-    """WITH a AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, '[^a-z]', '', 'g') AS w FROM a)
+    """WITH b AS (SELECT doc_id, regexp_replace(md5(text), '[^a-z]', '', 'g') AS w FROM documents)
 SELECT doc_id, ['src/' || w || '.py', 'lib/' || w || '.ts'] AS files FROM b WHERE w <> ''""",
 )
 def requested_files(spark, d):  # noqa: ANN001, ANN201
-    w = F.regexp_replace(F.substring("text", 1, 40), "[^a-z]", "")
+    """Files named after the letters of each text's hash."""
+    w = F.regexp_replace(F.md5("text"), "[^a-z]", "")
     answer = F.concat(F.lit("More, please.\n## Files I Need\n- `x y`\n- src/"), w, F.lit(".py\n## Next\nplease show me lib\\"), w, F.lit(".ts and src/"), w, F.lit(".py"))
     rows = table(spark, d, "documents").where(w != "").select("doc_id", generation.requested_files(answer).alias("files"))
     return rows.select("doc_id", F.sort_array("files", asc=False).alias("files"))
@@ -1281,11 +1318,14 @@ def project_type(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "missing_dependencies",
-    f"""WITH {CALLS_SQL} SELECT dst AS target_file, min(src) AS source_file FROM calls WHERE src IN ('a', 'b') AND dst NOT IN ('a', 'b') GROUP BY dst""",
+    f"""WITH {LINKS_SQL}, m AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages WHERE page_id % 2 = 0)
+SELECT target_file, min(source_file) AS source_file FROM links WHERE source_file IN (SELECT path FROM m) AND target_file NOT IN (SELECT path FROM m) GROUP BY target_file""",
 )
 def missing_dependencies(spark, d):  # noqa: ANN001, ANN201
-    edges = spark.createDataFrame(corpus.CALLS, "source_file string, target_file string")
-    return docmap.missing_dependencies(edges, spark.createDataFrame([("a",), ("b",)], "path string"))
+    """What pages of even number link to outside of them."""
+    module = table(spark, d, "pages").where("page_id % 2 = 0").select(sources.page_path(F.col("url")).alias("path")).distinct()
+    return docmap.missing_dependencies(_links(spark, d), module)
+
 
 
 @query(
