@@ -35,13 +35,13 @@ from codequarry.session import durable
 from codequarry.sources.versions import Versions
 
 #: Contents of a block; tokens of queries that are broadcast at once; a token of at most one in RARE chunks is rare.
-SIZE, AT_ONCE, RARE = 32, 1_000_000, 500
+SIZE, AT_ONCE, RARE = 16, 1_000_000, 500
 #: Shares of the chunks at which the norm of a content's more common tokens is kept.
 STAGES = (0.0, 0.01, 0.03, 0.06, 0.1, 0.13, 0.16, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.7)
 #: Blocks of the rounds of a search, in so many parts of the last number.
-ROUNDS = (1, 4, 16, 64)
+ROUNDS = (1, 4, 16, 32, 64)
 #: Blocks that a task orders by their bounds at once.
-GROUP = 64
+GROUP = 128
 #: Scores are compared at six decimals; bounds are wider by this.
 MARGIN = 1e-6
 
