@@ -13,9 +13,10 @@ from codequarry.operators.state import TTL_SECONDS
 
 
 def stream_table(spark: SparkSession, folder: str, name: str = "*") -> DataFrame:
-    """Parquet files of a folder as they appear; the schema is that of those already there."""
+    """Parquet tables of a folder as they appear, each one file or a folder of part files; the schema is that of those already there. The path
+    is a pattern, since a stream takes a plain one for a folder."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -193,6 +193,20 @@ def test_export_modes(spark, tmp_path):  # noqa: ANN001
     ] and "children" not in last
 
 
+def test_stream_of_a_file_and_of_a_folder_of_parts(spark, tmp_path):  # noqa: ANN001
+    from codequarry.plans.queries import QUERIES
+
+    for d, parts in (("one", 1), ("several", 3)):
+        docs = spark.createDataFrame([(i, "en" if i % 3 else "de", i) for i in range(12)], "doc_id long, lang string, n_chars long").repartition(parts)
+        docs.write.parquet(str(tmp_path / d / "documents.parquet"))
+        docs.write.parquet(str(tmp_path / d / "documents_old.parquet"))
+    (part,) = (tmp_path / "one" / "documents.parquet").glob("part-*")
+    (tmp_path / "file").mkdir()
+    part.rename(tmp_path / "file" / "documents.parquet")
+    for d in ("file", "several"):
+        assert rows(QUERIES["streaming_file_ingest"](spark, str(tmp_path / d)), "lang", "n_docs", "n_chars") == [("de", 4, 18), ("en", 8, 48)]
+
+
 def test_cache_as_a_stream(spark, tmp_path):  # noqa: ANN001
     from codequarry.streaming import ingest
 
