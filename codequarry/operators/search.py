@@ -4,7 +4,8 @@ Contents. Chunks with equal contents score alike, so an index holds each content
 tf * idf, divided by the content's norm. As a token's weights in query and content carry the same sign of idf, every product adds to the score, and absolute
 values are kept.
 
-Blocks. Contents are sorted by their number of tokens and cut into blocks of SIZE. A block's row holds, for each of its tokens, the postings (place in
+Blocks. Contents are dealt out by their hashes, sorted by their number of tokens within a task and cut into blocks of SIZE. A content's tokens stay together
+as one row's array; the weights of frequent tokens are broadcast, only rows of others are joined. A block's row holds, for each of its tokens, the postings (place in
 the block, weight) and the largest weight; and for each content the norm of what it has of tokens at least as common as each of STAGES.
 
 Search. The queries' tokens are broadcast, at most AT_ONCE of them at a time, and blocks pass by once. The largest weights bound what a block can give a query; a query that
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.operators import retrieval
-from codequarry.session import durable
+from codequarry.session import discard, durable, written
 from codequarry.sources.versions import Versions
 
 #: Contents of a block; tokens of queries that are broadcast at once; a token of at most one in RARE chunks is rare.
@@ -44,6 +45,8 @@ ROUNDS = (1, 4, 16, 32, 64)
 GROUP = 128
 #: Scores are compared at six decimals; bounds are wider by this.
 MARGIN = 1e-6
+#: A content's tokens as a version stores them.
+TERMS = "hash string, terms array<struct<token:string,tf:bigint>>"
 
 
 def contents_of(chunks: DataFrame) -> DataFrame:
@@ -52,22 +55,19 @@ def contents_of(chunks: DataFrame) -> DataFrame:
 
 
 def _weights(terms: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
-    """hash and terms(token, w, share) of each content of terms(hash, token, tf): weights over their norm, and the share of the n chunks that
-    have the token."""
-    known = frequency.select("token", F.log(F.lit(n) / (F.col("df") + 1)).alias("idf"), (F.col("df") * retrieval.COMMON > n).alias("common"), (F.col("df") / n).alias("share"))
-    both = retrieval.weighted(terms.select("hash", "token", "tf"), known)
-    held = both.groupBy("hash").agg(F.collect_list(F.struct("token", "w", "share")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return held.select("hash", F.transform("terms", lambda t: F.struct(t["token"].alias("token"), F.abs(t["w"] / F.col("norm")).alias("w"), t["share"].alias("share"))).alias("terms"))
-
-
-def _block(hashes: pa.Array, lasts: pa.Array, terms: pa.ListArray) -> dict:
-    """One block's row from its contents."""
-    flat = terms.flatten()
-    place = np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(terms.offsets.to_numpy()))
-    w, share = flat.field("w").to_numpy(), flat.field("share").to_numpy()
+    """query, token, w and share for terms(query, token, tf): weights over the query's norm, and the share of the n chunks that have the token."""
+    known = durable(retrieval.inverse_frequencies(frequency, n)).withColumn("share", F.col("df") / n)
+    both = durable(retrieval.weighted(terms, known))
+    norms = both.groupBy("query").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return both.join(norms, "query").select("query", "token", F.abs(F.col("w") / F.col("norm")).alias("w"), "share")
+
+
+def _block(hashes: pa.Array, lasts: pa.Array, sizes: np.ndarray, tokens: pa.Array, w: np.ndarray, share: np.ndarray) -> dict:
+    """One block's row from its contents, with so many tokens each."""
+    place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     stage = np.searchsorted(STAGES, share, side="left") - 1
-    squares = np.bincount(place * len(STAGES) + stage, weights=w * w, minlength=len(terms) * len(STAGES)).reshape(len(terms), -1)
-    words = flat.field("token").dictionary_encode()
+    squares = np.bincount(place * len(STAGES) + stage, weights=w * w, minlength=len(sizes) * len(STAGES)).reshape(len(sizes), -1)
+    words = tokens.dictionary_encode()
     number = words.indices.to_numpy()
     order = np.argsort(number, kind="stable")
     number, w = number[order], w[order]
@@ -78,22 +78,56 @@ def _block(hashes: pa.Array, lasts: pa.Array, terms: pa.ListArray) -> dict:
     }
 
 
-def blocks_of(weights: DataFrame, lasts: DataFrame) -> DataFrame:
-    """The index: blocks of weights(hash, terms), contents sorted by their number of terms; lasts(hash, last) tells the largest chunk_id of each."""
-    kind = lasts.schema["last"].dataType.simpleString()
+def _blocks(part: pa.RecordBatch, words: pa.Array, idf: np.ndarray, share: np.ndarray) -> Iterator[dict]:
+    """Blocks of some contents: hash, last, terms(token, tf) whose weights are looked up, rest(token, w, share) of tokens that are not in words."""
+    terms, rest = (part.column(c) for c in ("terms", "rest"))
+    sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (terms, rest)]
+    place = [np.repeat(np.arange(part.num_rows), n) for n in sizes]
+    terms, rest = terms.flatten(), rest.flatten()
+    at = pc.fill_null(pc.index_in(terms.field("token"), value_set=words), -1).to_numpy(zero_copy_only=False)
+    here = np.flatnonzero(at >= 0)
+    at = at[here]
+    place = np.concatenate((place[0][here], place[1]))
+    order = np.argsort(place, kind="stable")
+    tokens = pa.concat_arrays([terms.field("token").take(pa.array(here)), rest.field("token")]).take(pa.array(order))
+    w = np.concatenate((terms.field("tf").to_numpy(zero_copy_only=False)[here] * idf[at], rest.field("w").to_numpy(zero_copy_only=False)))
+    norm = np.sqrt(np.bincount(place, weights=w * w, minlength=part.num_rows))
+    w, share = np.abs(w / norm[place])[order], np.concatenate((share[at], rest.field("share").to_numpy(zero_copy_only=False)))[order]
+    size = np.bincount(place, minlength=part.num_rows)
+    starts, filled = np.concatenate(([0], np.cumsum(size))), np.flatnonzero(size)
+    for k in range(0, len(filled), SIZE):
+        own = filled[k : k + SIZE]
+        s, e = starts[own[0]], starts[own[-1] + 1]
+        yield _block(part.column("hash").take(pa.array(own)), part.column("last").take(pa.array(own)), size[own], tokens.slice(s, e - s), w[s:e], share[s:e])
+
+
+def blocks_of(contents: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
+    """The index: blocks of contents(hash, last, terms), whose last is the largest chunk_id of each, by frequency(token, df) of n chunks."""
+    common, rare = retrieval.common_and_rare(durable(retrieval.inverse_frequencies(frequency, n)))
+    rest = F.lit(None).cast("array<struct<token:string,w:double,share:double>>")
+    if rare is None:
+        contents = contents.withColumn("rest", rest)
+    else:
+        left = contents.select("hash", F.inline("terms")).join(F.broadcast(common.select("token")), "token", "left_anti").join(rare, "token")
+        left = left.select("hash", F.struct("token", (F.col("tf") * F.col("idf")).alias("w"), (F.col("df") / n).alias("share")).alias("x"))
+        contents = contents.join(left.groupBy("hash").agg(F.collect_list("x").alias("rest")), "hash", "left")
+    known = common.select("token", "idf", (F.col("df") / n).alias("share")).toPandas()  # about retrieval.BROADCAST rows
+    shared = contents.sparkSession.sparkContext.broadcast((known["token"].tolist(), known["idf"].to_numpy(dtype=float), known["share"].to_numpy(dtype=float)))
     names = ["block", "hashes", "lasts", "tokens", "starts", "places", "weights", "most", "tails"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(shared.value[0], pa.string())
         for batch in batches:
             types = [pa.int32(), pa.list_(pa.string()), pa.list_(batch.schema.field("last").type), pa.list_(pa.string()), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()))]
-            for k in range(0, batch.num_rows, SIZE):
-                row = _block(*(pa.concat_arrays([batch.column(c).slice(k, SIZE)]) for c in ("hash", "last", "terms")))
-                spread = zlib.crc32(row["hashes"][0].encode()) & 0x7FFFFFFF
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((spread, *row.values()), types, strict=True)], names)
+            for k in range(0, batch.num_rows, SIZE * GROUP):
+                for row in _blocks(batch.slice(k, SIZE * GROUP), words, *shared.value[1:]):
+                    spread = zlib.crc32(row["hashes"][0].encode()) & 0x7FFFFFFF
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((spread, *row.values()), types, strict=True)], names)
 
-    sized = weights.join(lasts, "hash").withColumn("size", F.size("terms")).repartitionByRange("size", "hash").sortWithinPartitions("size", "hash")
+    kind = contents.schema["last"].dataType.simpleString()
     shape = f"block int, hashes array<string>, lasts array<{kind}>, tokens array<string>, starts array<int>, places array<int>, weights array<double>, most array<double>, tails array<double>"
-    return sized.select("hash", "last", "terms").mapInArrow(cut, shape)
+    sized = contents.withColumn("size", F.size("terms")).sortWithinPartitions("size", "hash")
+    return sized.select("hash", "last", "terms", "rest").mapInArrow(cut, shape)
 
 
 class _Asked:
@@ -195,32 +229,51 @@ def _scan(blocks: DataFrame, asked: _Asked, k: int) -> DataFrame:
     return blocks.mapInArrow(scan, f"query long, hash string, last {last.simpleString()}, score double")
 
 
-class Index:
-    """Blocks, weights and frequencies of n chunks; chunk ids by content."""
+def _postings(blocks: DataFrame, tokens: list[str]) -> DataFrame:
+    """token, hash, w: what blocks hold of some tokens."""
+    shared = blocks.sparkSession.sparkContext.broadcast(tokens)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(shared.value, pa.string())
+        for batch in batches:
+            for begin in range(0, batch.num_rows, GROUP):
+                part = batch.slice(begin, GROUP)
+                here = pc.is_in(part.column("tokens").flatten(), value_set=wanted).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(pc.list_value_length(part.column("tokens")).to_numpy(zero_copy_only=False))
+                found = [], [], []
+                for i, own in enumerate(np.split(here, ends[:-1])):
+                    row = _row(part, i)
+                    for t in np.flatnonzero(own).tolist():
+                        s, e = row["starts"][t], row["starts"][t + 1]
+                        for x, new in zip(found, ([row["tokens"][t].as_py()] * (e - s), [row["hashes"][p].as_py() for p in row["places"][s:e].tolist()], row["weights"][s:e].tolist()), strict=True):
+                            x.extend(new)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.string(), pa.string(), pa.float64()), strict=True)], ["token", "hash", "w"])
 
-    def __init__(self, blocks: DataFrame, weights: DataFrame, frequency: DataFrame, n: int, chunks: DataFrame):
-        self.blocks, self.weights, self.frequency, self.n, self.chunks = blocks, weights, frequency, n, chunks
+    return blocks.mapInArrow(pick, "token string, hash string, w double")
 
-    @staticmethod
-    def of(terms: DataFrame, frequency: DataFrame, chunks: DataFrame) -> Index:
-        """An index of terms(hash, token, tf), frequency(token, df) and chunks(chunk_id, hash)."""
-        n = chunks.count()
-        weights = durable(_weights(terms, frequency, n))
-        lasts = chunks.groupBy("hash").agg(F.max("chunk_id").alias("last"))
-        return Index(durable(blocks_of(weights, lasts)), weights, frequency, n, chunks)
+
+class Index:
+    """Blocks and frequencies of n chunks; chunk ids by content."""
+
+    def __init__(self, blocks: DataFrame, frequency: DataFrame, n: int, chunks: DataFrame):
+        self.blocks, self.frequency, self.n, self.chunks = blocks, frequency, n, chunks
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """query, token, w, share for queries(query, content)."""
-        terms = retrieval.term_frequencies(queries.select(F.col("query").alias("chunk_id"), "content")).withColumnRenamed("chunk_id", "hash")
-        terms = durable(terms)
+        terms = durable(retrieval.term_frequencies(queries.select(F.col("query").alias("chunk_id"), "content")).withColumnRenamed("chunk_id", "query"))
         known = self.frequency.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi") if terms.count() <= AT_ONCE else self.frequency
-        return durable(_weights(terms, known, self.n).select(F.col("hash").alias("query"), F.inline("terms")))
+        return durable(_weights(terms, known, self.n))
 
     def _rare_products(self, asked: DataFrame) -> DataFrame:
-        """query, hash, product: a row for each rare token that a query and a content share."""
-        rare = F.filter("terms", lambda t: t["share"] * RARE <= 1)
-        parts = self.weights.select("hash", F.inline(rare)).drop("share").join(asked.where(F.col("share") * RARE <= 1).select("query", "token", F.col("w").alias("qw")), "token")
-        return parts.select("query", "hash", (F.col("w") * F.col("qw")).alias("product"))
+        """query, hash, product: a row for each rare token that a query and a content share; asked has AT_ONCE rows or about."""
+        rare = asked.where(F.col("share") * RARE <= 1).select("query", "token", F.col("w").alias("qw"))
+        words = [r.token for r in rare.select("token").distinct().collect()]
+        return _postings(self.blocks, words).join(rare, "token").select("query", "hash", (F.col("w") * F.col("qw")).alias("product"))
+
+    def _parts(self, asked: DataFrame) -> list[DataFrame]:
+        """asked by its queries, in parts of AT_ONCE rows or about."""
+        parts = -(-asked.count() // AT_ONCE)
+        return [asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) for part in range(parts)]
 
     @staticmethod
     def _kth(scores: DataFrame, k: int) -> dict:
@@ -232,11 +285,8 @@ class Index:
     def _found(self, queries: DataFrame, k: int) -> DataFrame:
         """Best contents and counts of products, as _scan tells them, for queries(query, content). Blocks are scanned in ROUNDS, each of which starts from the
         k-th best scores of those before."""
-        asked = self._asked(queries)
-        parts = -(-asked.count() // AT_ONCE)
         out = self.blocks.sparkSession.createDataFrame([], f"query long, hash string, last {self.blocks.schema['lasts'].dataType.elementType.simpleString()}, score double")
-        for part in range(parts):
-            here = asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part)
+        for here in self._parts(self._asked(queries)):
             some = here.select("query", "token", "w", "share").toPandas()  # AT_ONCE rows or about
             if not len(some):
                 continue
@@ -270,23 +320,19 @@ class Index:
         named = durable(queries.select("query_id", "content").withColumn("query", F.monotonically_increasing_id()))
         made = self._found(named, k).where("query is null").agg(F.sum("score")).first()[0] or 0
         asked = self._asked(named)
-        rare = self._rare_products(asked).count()
+        rare = sum(self._rare_products(here).count() for here in self._parts(asked))
         every = asked.select("token").join(self.frequency, "token").agg(F.sum("df")).first()[0] or 0
         return int(made) + rare, int(every)
 
 
 def index_of(chunks: DataFrame) -> Index:
-    """An index of chunks(chunk_id, content) for this session. Every copy of a content gives its tokens once more, in partial sums; so no text is shuffled."""
-    held = contents_of(chunks)
-    own = durable(held.select("chunk_id", "hash"))
-    copies = own.groupBy("hash").agg(F.count("*").alias("n"))
-    terms = durable(_terms(held).join(copies, "hash").select("hash", "token", (F.col("tf") / F.col("n")).cast("long").alias("tf"), "n"))
-    return Index.of(terms, durable(terms.groupBy("token").agg(F.sum("n").alias("df"))), own)
-
-
-def _terms(contents: DataFrame) -> DataFrame:
-    """hash, token, tf for contents(hash, content)."""
-    return retrieval.term_frequencies(contents.select(F.col("hash").alias("chunk_id"), "content")).withColumnRenamed("chunk_id", "hash")
+    """An index of chunks(chunk_id, content) for this session. Rows are texts' tokens; copies go as they are gathered by hash, those of a task first."""
+    rows = written(retrieval.term_arrays(contents_of(chunks)))
+    frequency = durable(retrieval.frequencies(rows).select("token", "df"))
+    own = rows.select("chunk_id", "hash")
+    n = own.count()
+    contents = rows.groupBy("hash").agg(F.max("chunk_id").alias("last"), F.first("terms").alias("terms"))
+    return Index(written(blocks_of(contents, frequency, n)), frequency, n, own)
 
 
 def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = retrieval.TOP_K) -> DataFrame:
@@ -297,7 +343,7 @@ def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = retrieval.TOP_K)
 class KeptIndex:
     """An index in a folder, kept up by differences.
 
-    Each version holds live(chunk_id, hash), frequency(token, df), and the terms of the contents that it is the first to hold. An update compares ids and hashes
+    Each version holds live(chunk_id, hash), frequency(token, df), and the terms of the contents that it is the first to hold, a row a content. An update compares ids and hashes
     with the live ones, cuts only contents into words that no version holds, and moves frequencies by the words of contents that came or went, so removed
     chunks cost a look at their stored terms. merge() writes the terms of live contents as one segment and drops older versions. Blocks are made at
     the first search of a version and stay with it."""
@@ -318,24 +364,25 @@ class KeptIndex:
 
     def update(self, chunks: DataFrame) -> dict[str, int]:
         """Make the index one of chunks(chunk_id, content), whose ids are different; tells chunks added, changed and removed, and contents cut into words."""
-        now = durable(contents_of(chunks))
+        now = written(contents_of(chunks).withColumn("row", F.monotonically_increasing_id()))
         kind = now.schema["chunk_id"].dataType.simpleString()
         live = self._last("live", f"chunk_id {kind}, hash string")
-        pair = now.select(F.col("chunk_id").alias("id"), F.col("hash").alias("new")).join(live.select(F.col("chunk_id").alias("old_id"), F.col("hash").alias("old")), F.col("id") == F.col("old_id"), "full")
-        moved = durable(pair.where("not (new <=> old)").select("new", "old"))
-        came, gone = moved.where("new is not null").select(F.col("new").alias("hash"), F.lit(1).alias("n")), moved.where("old is not null").select(F.col("old").alias("hash"), F.lit(-1).alias("n"))
-        net = durable(came.union(gone).groupBy("hash").agg(F.sum("n").alias("n"), F.max("n").alias("sign")))
-        known = self._known("contents", "hash string")
-        fresh = net.where("sign > 0").join(known, "hash", "left_anti").select("hash")
-        cut = durable(now.join(fresh, "hash", "left_semi").dropDuplicates(["hash"]).select("hash", "content"))
-        terms = durable(_terms(cut))
-        every = self._known("terms", "hash string, token string, tf long").unionByName(terms)
-        delta = every.join(net.where("n <> 0").select("hash", "n"), "hash").groupBy("token").agg(F.sum("n").alias("df"))
+        pair = now.select("row", F.col("chunk_id").alias("id"), F.col("hash").alias("new")).join(live.select(F.col("chunk_id").alias("old_id"), F.col("hash").alias("old")), F.col("id") == F.col("old_id"), "full")
+        moved = durable(pair.where("not (new <=> old)").select("row", "new", "old"))
+        came = moved.where("new is not null").select(F.col("new").alias("hash"), F.lit(1).alias("n"), "row")
+        gone = moved.where("old is not null").select(F.col("old").alias("hash"), F.lit(-1).alias("n"), F.lit(None).cast("long").alias("row"))
+        net = durable(came.union(gone).groupBy("hash").agg(F.sum("n").alias("n"), F.max("n").alias("sign"), F.max("row").alias("row")))
+        fresh = durable(net.where("sign > 0").join(self._known("contents", "hash string"), "hash", "left_anti").select("row", "n"))
+        n_cut = fresh.count()
+        # one row of each fresh content is cut; contents that were there move frequencies by their stored terms
+        cut = now.join(F.broadcast(fresh) if n_cut <= retrieval.BROADCAST else fresh, "row").select("hash", "n", "content")
+        terms = written(retrieval.term_arrays(cut))
+        stored = self._known("terms", TERMS).join(net.where("n <> 0").select("hash", "n"), "hash").unionByName(terms)
+        delta = stored.select("n", F.inline("terms")).groupBy("token").agg(F.sum("n").alias("df"))
         frequency = self._last("frequency", "token string, df long").unionByName(delta).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
         counts = moved.agg(*(F.count_if(F.expr(x)).alias(k) for k, x in (("added", "old is null"), ("changed", "old is not null and new is not null"), ("removed", "new is null")))).first()
-        contents = cut.select("hash")
-        n_cut = contents.count()
-        self.versions.write(live=now.select("chunk_id", "hash"), frequency=frequency, contents=contents, terms=terms)
+        self.versions.write(live=now.select("chunk_id", "hash"), frequency=frequency, contents=terms.select("hash"), terms=terms.select("hash", "terms"))
+        discard(now, terms)
         return {**counts.asDict(), "contents_cut": n_cut}
 
     def merge(self) -> None:
@@ -345,7 +392,7 @@ class KeptIndex:
         live = self._last("live", "")
         hashes = live.select("hash").distinct()
         contents = self._known("contents", "hash string").join(hashes, "hash", "left_semi")
-        terms = self._known("terms", "hash string, token string, tf long").join(hashes, "hash", "left_semi")
+        terms = self._known("terms", TERMS).join(hashes, "hash", "left_semi")
         number = self.versions.write(live=live, frequency=self._last("frequency", ""), contents=contents, terms=terms)
         self.versions.remove(number)
 
@@ -356,11 +403,9 @@ class KeptIndex:
             raise ValueError("nothing was indexed")
         live, frequency = self.versions.read(n, "live"), self.versions.read(n, "frequency")
         if not self.versions.has(n, "blocks"):
-            terms = self._known("terms", "hash string, token string, tf long").join(live.select("hash").distinct(), "hash", "left_semi")
-            made = Index.of(terms, frequency, live)
-            self.versions.add(n, "weights", made.weights)
-            self.versions.add(n, "blocks", made.blocks)
-        return Index(self.versions.read(n, "blocks"), self.versions.read(n, "weights"), frequency, live.count(), live)
+            lasts = live.groupBy("hash").agg(F.max("chunk_id").alias("last"))
+            self.versions.add(n, "blocks", blocks_of(self._known("terms", TERMS).join(lasts, "hash"), frequency, live.count()))
+        return Index(self.versions.read(n, "blocks"), frequency, live.count(), live)
 
     def search(self, queries: DataFrame, k: int = retrieval.TOP_K) -> DataFrame:
         return self.index().search(queries, k)

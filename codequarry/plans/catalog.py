@@ -211,7 +211,7 @@ idf AS (SELECT token, ln((SELECT n FROM n) / (count(*) + 1)) AS idf FROM tf GROU
 
 @query("rag_tf", f"WITH {CHUNKS_SQL} SELECT token, sum(tf)::BIGINT AS tf, count(*) AS df FROM tf GROUP BY token")
 def rag_tf(spark, d):  # noqa: ANN001, ANN201
-    return retrieval.term_frequencies(_chunks(spark, d)).groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    return retrieval.frequencies(retrieval.chunk_terms(_chunks(spark, d))[0])
 
 
 @query(
@@ -219,10 +219,9 @@ def rag_tf(spark, d):  # noqa: ANN001, ANN201
     f"""WITH {CHUNKS_SQL} SELECT chunk_id, round(sqrt(sum(tf * idf * tf * idf)), 4) AS norm FROM tf JOIN idf USING (token) WHERE idf <> 0 GROUP BY chunk_id""",
 )
 def rag_norms(spark, d):  # noqa: ANN001, ANN201
-    chunks = _chunks(spark, d)
-    tf = durable(retrieval.term_frequencies(chunks))
-    idf = durable(retrieval.inverse_frequencies(tf, chunks.agg(F.count("*").alias("n"))))
-    return retrieval.norms(retrieval.weighted(tf, idf)).select("chunk_id", F.round("norm", 4).alias("norm"))
+    terms, n = retrieval.chunk_terms(_chunks(spark, d))
+    idf = durable(retrieval.inverse_frequencies(retrieval.frequencies(terms), n))
+    return retrieval.norms(retrieval.weighted(terms.select("chunk_id", F.inline("terms")), idf)).select("chunk_id", F.round("norm", 4).alias("norm"))
 
 
 @query(

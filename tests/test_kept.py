@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions.automaton import Automaton, keyword_pairs, with_keywords
-from codequarry.operators import components, graph, search
+from codequarry.operators import components, graph, retrieval, search
 from codequarry.operators.kept_graph import KeptGraph
 from codequarry.sources.versions import Versions
 
@@ -65,6 +65,29 @@ def test_bounded_search_is_exact(spark, monkeypatch, size, rounds, at_once):  #
     assert 0 < made < every
 
 
+def test_terms_are_counted_in_their_rows(spark):  # noqa: ANN001
+    chunks = spark.createDataFrame([("a", "x Y y"), ("a", "x z"), (None, "x"), (None, "q x"), ("b", "1 \n"), ("c", None)], "chunk_id string, content string")
+    terms = retrieval.term_arrays(chunks)
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+    found, n = retrieval.chunk_terms(chunks)
+    got = {(r.chunk_id, t.token, t.tf) for r in found.collect() for t in r.terms}
+    assert n == 6 and got == {("a", "x", 2), ("a", "y", 2), ("a", "z", 1), (None, "x", 2), (None, "q", 1)}
+    assert hits_of(retrieval.frequencies(found)) == {("x", 4, 2), ("y", 2, 1), ("z", 1, 1), ("q", 1, 1)}
+
+
+def hits_of(df) -> set[tuple]:  # noqa: ANN001
+    return {tuple(r) for r in df.collect()}
+
+
+def test_tokens_that_are_not_broadcast_keep_their_weights(spark, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(retrieval, "BROADCAST", 10)
+    chunks, queries = some_chunks(7, 120), asked(8)
+    index = search.index_of(spark.createDataFrame(chunks, "chunk_id string, content string"))
+    common, rare = retrieval.common_and_rare(retrieval.inverse_frequencies(index.frequency, index.n))
+    assert 0 < common.count() <= 12 and rare.count() > 50
+    assert hits(index.search(spark.createDataFrame(queries, "query_id long, content string"), 3)) == plain_top(chunks, queries, 3)
+
+
 def test_search_of_nothing(spark):  # noqa: ANN001
     none = spark.createDataFrame([], "chunk_id string, content string")
     some = spark.createDataFrame([("a", "x y")], "chunk_id string, content string")
