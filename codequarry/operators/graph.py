@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.session import durable, numbered
+from codequarry.session import discard, durable, numbered, written
 
 
-#: Turns of a ranking between two cuts in the lineage, at which it also looks whether it has settled.
-TURNS_A_CUT = 4
+#: Turns of a ranking after which it looks whether it has settled.
+TURNS_A_LOOK = 4
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -23,29 +23,29 @@ def simple_edges(edges: DataFrame) -> DataFrame:
 
 def page_rank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """id, score for vertices(id) and edges(src, dst); all vertices count, also those that edges alone name. Vertices without
-    out-edges spread their score over all. It stops when the scores' total change in a turn is below n * tolerance, or after `most` turns; it looks every few turns.
-    The edges stay partitioned and durable; a turn joins scores of vertices with them and sums by target with partial aggregates."""
+    out-edges spread their score over all. It stops when the scores' total change in a turn is below n * tolerance, or after `most` turns;
+    it looks every few turns. A turn's scores are written and the last turn's removed, so each turn reads the edges once: it joins scores with them and sums by target with partial
+    aggregates."""
     links = simple_edges(edges)
     ids = vertices.select("id").union(links.select("src")).union(links.select("dst")).distinct()
     n = ids.count()
     if n == 0:
         return ids.withColumn("score", F.lit(0.0))
     degree = links.groupBy("src").agg(F.count("*").alias("deg"))
-    links = durable(links.join(degree, "src"))
-    ranks = durable(ids.join(degree, ids["id"] == degree["src"], "left").select("id", F.col("deg").isNull().alias("sink"), F.lit(1.0 / n).alias("score")))
+    links = written(links)
+    ranks = written(ids.join(degree, ids["id"] == degree["src"], "left").select("id", "deg", F.lit(1.0 / n).alias("score")))
     for turn in range(1, most + 1):
-        loose = F.broadcast(ranks.where("sink").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose")))  # one row
-        given = links.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        new = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n
-        turned = ranks.join(given, ranks["id"] == given["dst"], "left").crossJoin(loose)
-        turned = turned.select("id", "sink", new.alias("score"), F.abs(new - F.col("score")).alias("moved"))
-        if turn % TURNS_A_CUT and turn < most:
-            ranks = turned.drop("moved")  # a plan of a few turns runs as one
-            continue
-        turned = durable(turned)
-        ranks = turned.drop("moved")
-        if tolerance and turned.agg(F.sum("moved")).first()[0] < n * tolerance:
+        loose = ranks.where("deg is null").agg(F.sum("score")).first()[0] or 0.0
+        given = links.join(ranks.where("deg is not null").select(F.col("id").alias("src"), (F.col("score") / F.col("deg")).alias("part")), "src")
+        given = given.groupBy(F.col("dst").alias("to")).agg(F.sum("part").alias("got"))
+        new = alpha * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - alpha) / n
+        turned = ranks.join(given, ranks["id"] == given["to"], "left").select("id", "deg", new.alias("score"), F.abs(new - F.col("score")).alias("moved"))
+        turned = written(turned)
+        discard(ranks)
+        ranks = turned
+        if tolerance and (turn % TURNS_A_LOOK == 0 or turn == most) and turned.agg(F.sum("moved")).first()[0] < n * tolerance:
             break
+    discard(links)
     return ranks.select("id", "score")
 
 

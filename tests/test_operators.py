@@ -193,6 +193,20 @@ def test_export_modes(spark, tmp_path):  # noqa: ANN001
     ] and "children" not in last
 
 
+def test_rank_reads_its_edges_once_a_turn(spark, monkeypatch):  # noqa: ANN001
+    seen = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [src")) or keep(df))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("a", "x")], "src string, dst string")
+    got = {r.id: r.score for r in graph.page_rank(edges.select(F.col("src").alias("id")), edges, most=5, tolerance=0).collect()}
+    score, out = dict.fromkeys("abcdx", 0.2), {"a": "bx", "b": "c", "c": "a", "d": "c"}
+    for _ in range(5):
+        given = {v: sum(score[u] / len(t) for u, t in out.items() if v in t) for v in score}
+        score = {v: 0.85 * (given[v] + score["x"] / 5) + 0.03 for v in score}
+    assert all(abs(got[v] - score[v]) < 1e-12 for v in score) and len(got) == 5
+    assert seen == [0, 0, 1, 1, 1, 1, 1]  # edges, first scores, turns
+
+
 def test_stream_of_a_file_and_of_a_folder_of_parts(spark, tmp_path):  # noqa: ANN001
     from codequarry.plans.queries import QUERIES
 
