@@ -40,35 +40,35 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
-    """id, colour: the smallest vertex that reaches each vertex of edges, itself included."""
-    colours = written(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("colour", F.col("id")))
-    front = colours
+    """id, colour: the smallest vertex that reaches each vertex of edges, itself included; each turn writes one table, which also tells whose colour changed."""
+    colours = written(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().select("id", F.col("id").alias("colour"), F.lit(True).alias("moved")))
     while True:
-        given = edges.join(front, edges["src"] == front["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("given"))
-        after = written(colours.join(given, "id", "left").select("id", F.least("colour", F.coalesce("given", "colour")).alias("colour"), (F.col("given") < F.col("colour")).alias("moved")))
-        if front is not colours:
-            discard(front)
+        front = colours.where("moved").select(F.col("id").alias("src"), "colour")
+        given = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("given"))
+        smaller = F.coalesce(F.col("given") < F.col("colour"), F.lit(False))
+        after = written(colours.join(given, "id", "left").select("id", F.when(smaller, F.col("given")).otherwise(F.col("colour")).alias("colour"), smaller.alias("moved")))
         discard(colours)
         colours = after
-        front = written(after.where("moved").select("id", "colour"))
-        if front.isEmpty():
-            discard(front)
-            return colours.select("id", "colour")
+        if colours.where("moved").isEmpty():
+            return colours
 
 
 def _backward(edges: DataFrame, colours: DataFrame) -> DataFrame:
     """id, component: vertices that reach the vertex their colour is named by, within the colour."""
     a, b = colours.select(F.col("id").alias("src"), F.col("colour").alias("c")), colours.select(F.col("id").alias("dst"), F.col("colour").alias("d"))
     inner = written(edges.join(a, "src").join(b, "dst").where("c = d").select("src", "dst"))
-    front = written(colours.where("id = colour").select("id", F.col("colour").alias("component")))
-    found = [front]
-    while True:
-        step = inner.join(front, inner["dst"] == front["id"]).select(F.col("src").alias("id"), "component").distinct()
-        front = written(step.join(reduce(DataFrame.union, found), ["id", "component"], "left_anti"))
-        if front.isEmpty():
-            discard(inner, front)
-            return reduce(DataFrame.union, found)
-        found.append(front)
+    top = F.col("id") == F.col("colour")
+    reached = written(colours.select("id", "colour", top.alias("reached"), top.alias("moved")))
+    discard(colours)
+    while not reached.where("moved").isEmpty():
+        step = inner.join(reached.where("moved").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), F.lit(True).alias("hit")).distinct()
+        new = ~F.col("reached") & F.col("hit").isNotNull()
+        after = written(reached.join(step, "id", "left").select("id", "colour", (F.col("reached") | new).alias("reached"), new.alias("moved")))
+        discard(reached)
+        reached = after
+    found = written(reached.where("reached").select("id", F.col("colour").alias("component")))
+    discard(inner, reached)
+    return found
 
 
 def strong_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def strong_components(edges: DataFrame, vertices: DataFrame | None = None) -> Da
         links = _trimmed(links)
         if links.isEmpty():
             break
-        some = written(_backward(links, _coloured(links)))
+        some = _backward(links, _coloured(links))
         found.append(some)
         rest = written(_both_ends(links, some, "left_anti"))
         discard(links)

@@ -232,3 +232,11 @@ def test_keywords_of_rows(spark, monkeypatch):  # noqa: ANN001
     words = spark.createDataFrame([(w,) for w in ("two", "one", "won", "three", "", "two", None)], "keyword string")
     assert {tuple(r) for r in keyword_pairs(rows, words).collect()} == {(1, "two"), (1, "one"), (4, "two"), (4, "one"), (4, "won")}
     assert np.array_equal(Automaton([]).contained([b"x"])[0], np.zeros(0))
+
+
+def test_a_turn_of_components_writes_one_table(spark, monkeypatch):  # noqa: ANN001
+    made, keep, n = [], components.written, 8
+    monkeypatch.setattr(components, "written", lambda df: made.append(1) or keep(df))
+    ring = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "src long, dst long")
+    assert {tuple(r) for r in components.strong_components(ring).collect()} == {(i, 0) for i in range(n)}
+    assert len(made) <= 2 * n + 9
