@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +125,9 @@ def sql_imports(text: str) -> Iterator[Import]:
             yield Import(f"{m[1]}.{m[2]}", None, "function", line, True, m[0])
 
 
+#: Texts that stand as Python strings at once.
+AT_ONCE = 64
+
 PARSERS: dict[str, Parser] = {
     "python": python_imports, "javascript": javascript_imports, "typescript": javascript_imports, "jsx": javascript_imports,
     "tsx": javascript_imports, "java": java_imports, "go": go_imports, "rust": rust_imports, "sql": sql_imports,
@@ -139,13 +142,18 @@ def parse_imports(files: DataFrame, parsers: dict[str, Parser] | None = None) ->
     """source_file, language and the import rows of files(path, language, content); languages without a parser have none."""
     table = dict(parsers or PARSERS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, lang, *row) for p, lang, text in zip(pdf["path"], pdf["language"], pdf["content"]) for row in table[lang](text or "")]
-            yield pd.DataFrame(rows, columns=["source_file", "language", *Import._fields])
+    names = ["source_file", "language", *Import._fields]
+    types = [pa.string()] * 5 + [pa.int32(), pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_ONCE):
+                texts = zip(*(batch.column(c).slice(k, AT_ONCE).to_pylist() for c in ("path", "language", "content")), strict=True)
+                rows = [(p, lang, *row) for p, lang, text in texts for row in table[lang](text or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     known = files.where(F.col("language").isin(*table)).select("path", "language", "content")
-    return known.mapInPandas(run, f"source_file string, language string, {IMPORT_ROWS}")
+    return known.mapInArrow(run, f"source_file string, language string, {IMPORT_ROWS}")
 
 
 def _dotted(module: Column) -> Column:
