@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.functions.automaton import keyword_pairs
 from codequarry.functions.files import chinese_id, glob_regex, has_chinese, title_of
 from codequarry.operators.pages import category_page
-from codequarry.session import durable, numbered
+from codequarry.session import durable, numbered, written
 
-#: Globs of nothing but wildcards that are broadcast at most.
-MOST_BARE = 10_000
+#: Globs of nothing but wildcards, and characters of globs that are broadcast at most.
+MOST_BARE, MOST_SHORT = 10_000, 100_000
+#: Paths or globs in a task that cuts them into windows, at least.
+A_TASK = 20_000
+#: Characters of the windows by which literals are looked up. A literal is cut into those of the largest size that it has.
+WIDTHS = (1, 2, 4, 8, 16, 32, 64)
 
 
 def _literals(pattern: Column) -> Column:
@@ -19,26 +22,48 @@ def _literals(pattern: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(pattern, r"\[[^\]]*\]", "*"), r"[*?\[\]]+"), lambda x: x != "")
 
 
+def _width(literal: Column) -> Column:
+    return F.greatest(*(F.when(F.length(literal) >= w, w) for w in WIDTHS))
+
+
+def _windows(text: Column, width: Column) -> Column:
+    """Hashes of all stretches of so many characters; none if the text is shorter."""
+    last = F.length(text) - width + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(text, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _dealt(rows: DataFrame, column: str) -> DataFrame:
+    """rows in tasks of bounded size, by count as each row becomes many."""
+    return rows.repartition(max(8, min(10_000, rows.count() // A_TASK)), column)
+
+
 def _tests(paths: DataFrame, globs: DataFrame) -> DataFrame:
-    """path, pattern: which globs each path is tested against. A glob is indexed by the rarest of its literals, as one automaton over all literals counts
-    them on the paths; only paths with that literal meet it. Globs of nothing but wildcards meet all."""
-    texts = paths.select(F.col("path").alias("id"), F.col("path").alias("text"))
-    pieces = durable(globs.select("pattern", F.explode(F.array_distinct(_literals(F.col("pattern")))).alias("keyword")))
-    counts = keyword_pairs(texts, pieces.select("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
-    rarest = durable(pieces.join(counts, "keyword").groupBy("pattern").agg(F.min_by("keyword", F.struct("n", "keyword")).alias("keyword"), F.count("*").alias("found")))
-    whole = pieces.groupBy("pattern").agg(F.count("*").alias("found"))  # a literal that no path has rules its glob out
-    rarest = rarest.join(whole, ["pattern", "found"])
-    met = keyword_pairs(texts, rarest.select("keyword")).join(rarest.select("pattern", "keyword"), "keyword").select(F.col("id").alias("path"), "pattern")
-    bare = globs.where(F.size(_literals(F.col("pattern"))) == 0).select("pattern")
+    """path, pattern, regex: which globs each path is tested against. A glob's literals are cut into windows, and so is every path, in the same sizes; a glob
+    meets the paths that hold the window of it that the fewest paths hold, none if one of its windows stands in no path. Both sides are joined by the
+    window's hash, so paths are passed over twice however many globs there are. Globs of nothing but wildcards meet all."""
+    pattern = F.col("pattern")
+    keys = F.flatten(F.transform(_literals(pattern), lambda x: _windows(x, _width(x))))
+    wanted = _dealt(globs, "pattern").select("pattern", F.explode(F.array_distinct(keys)).alias("key"))
+    widths = [r.w for r in globs.select(F.explode(F.transform(_literals(pattern), _width)).alias("w")).distinct().collect()]  # seven at most
+    held = F.concat(F.array().cast("array<bigint>"), *(_windows(F.col("path"), F.lit(w)) for w in sorted(widths)))
+    held = _dealt(paths, "path").select("path", F.explode(F.array_distinct(held)).alias("key"))
+    short = globs.agg(F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()[0] <= MOST_SHORT  # a glob has no more windows than characters
+    counts = held.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi") if short else held
+    counts = counts.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "key", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("x"))
+    rarest = written(rarest.where("x.n > 0").select("pattern", glob_regex(pattern).alias("regex"), "x.key"))
+    rarest = F.broadcast(rarest) if short else rarest.hint("merge")  # compressed files look small enough to broadcast when their rows are not
+    met = held.join(rarest, "key").select("path", "pattern", "regex")
+    bare = globs.where(F.size(_literals(pattern)) == 0).select("pattern", glob_regex(pattern).alias("regex"), F.lit(1).alias("one"))
     bare = F.broadcast(bare) if bare.count() <= MOST_BARE else bare
-    return met.union(paths.select("path", F.lit(1).alias("one")).join(bare.withColumn("one", F.lit(1)), "one").select("path", "pattern"))
+    return met.union(paths.select("path", F.lit(1).alias("one")).join(bare, "one").select("path", "pattern", "regex"))
 
 
 def matching_files(files: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, path: files(path) that a glob of docs(doc_id, patterns) matches."""
     globs = durable(docs.select("doc_id", F.explode("patterns").alias("pattern")).distinct())
     each = durable(globs.select("pattern").distinct())
-    hits = _tests(files.select("path").distinct(), each).where(F.regexp("path", glob_regex(F.col("pattern"))))
+    hits = _tests(written(files.select("path").distinct()), each).where(F.regexp("path", F.col("regex")))
     return hits.join(globs, "pattern").select("doc_id", "path").distinct()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions import files as f
@@ -368,6 +369,27 @@ def test_globs(spark):  # noqa: ANN001
     assert rows(docmap.matching_files(files, docs), "doc_id", "path") == sorted(want)
 
 
+@pytest.mark.parametrize("most_short", [0, 100_000])
+def test_globs_by_windows(spark, monkeypatch, most_short):  # noqa: ANN001
+    """However many globs there are, as many passes over the paths are made: an automaton for each 64 bytes of them was one more pass."""
+    import fnmatch
+
+    from codequarry.functions import automaton
+
+    monkeypatch.setattr(automaton, "STATES", 64)
+    monkeypatch.setattr(docmap, "MOST_SHORT", most_short, raising=False)
+    monkeypatch.setattr(docmap, "A_TASK", 50, raising=False)
+    paths = [f"src{i % 3}/é𝄞{i % 5}/doc_{i}.txt" for i in range(120)] + ["aaaa", "aaaaaaaa", "ab" * 40 + "c", "ab" * 40 + "cd", "𝄞", "a"]
+    globs = [*(f"*/doc_{i}.txt" for i in range(0, 130, 2)), *(f"*doc_{i}?.*" for i in range(15)), *(f"?rc[0-1]*{i}.t[xy]t" for i in range(9))]
+    globs += ["*é𝄞3/*", "𝄞", "*aaa*", "a*aaaaa", "*" + "ab" * 40 + "c", "*" + "ab" * 33 + "d", "*ba*b*c*", "*zz*doc_*", "?", "*", "??", "*/doc_1*/*"]
+    files = spark.createDataFrame([(p,) for p in paths] * 2 + [(None,)], "path string")
+    made = lambda some: docmap.matching_files(files, spark.createDataFrame([(g, [g]) for g in some], "doc_id string, patterns array<string>"))
+    want = sorted((g, p) for g in globs for p in paths if fnmatch.fnmatchcase(p, g))
+    assert rows(many := made(globs), "doc_id", "path") == want and rows(made([]), "path") == []
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves(many) == leaves(made(globs[:3]))
+
+
 def test_paths(spark):  # noqa: ANN001
     got = {
         r.path: r for r in spark.createDataFrame(
