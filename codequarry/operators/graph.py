@@ -6,9 +6,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.operators import vertices as vertices_by_number
+from codequarry.operators.vertices import Vertices
 from codequarry.session import discard, durable, numbered, written
 
 
@@ -24,29 +26,47 @@ def simple_edges(edges: DataFrame) -> DataFrame:
 def page_rank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """id, score for vertices(id) and edges(src, dst); all vertices count, also those that edges alone name. Vertices without
     out-edges spread their score over all. It stops when the scores' total change in a turn is below n * tolerance, or after `most` turns;
-    it looks every few turns. A turn's scores are written and the last turn's removed, so each turn reads the edges once: it joins scores with them and sums by target with partial
-    aggregates."""
-    links = simple_edges(edges)
-    ids = vertices.select("id").union(links.select("src")).union(links.select("dst")).distinct()
+    it looks every few turns. Edges are computed once and kept as pairs of numbers, scores as arrays of buckets of vertices. A turn reads the edges once, where
+    they lie: shares of scores are brought to them, and what is sent are sums by target. Its scores are written and the last turn's removed."""
+    named = vertices_by_number.written(edges.where("src <> dst").select(F.col("src").alias("tail"), F.col("dst").alias("head")))
+    ends = [x.select(F.col(c).alias("id"), F.lit(k).cast("long").alias("k")) for x, c, k in ((vertices, "id", 0), (named, "tail", 0), (named, "head", 1))]
+    ids = vertices_by_number.written(reduce(DataFrame.union, ends).groupBy("id").agg(F.sum("k").alias("wanted")))
     n = ids.count()
     if n == 0:
-        return ids.withColumn("score", F.lit(0.0))
-    degree = links.groupBy("src").agg(F.count("*").alias("deg"))
-    links = written(links)
-    ranks = written(ids.join(degree, ids["id"] == degree["src"], "left").select("id", "deg", F.lit(1.0 / n).alias("score")))
+        return ids.select("id", F.lit(0.0).alias("score"))
+    known = Vertices(ids, n)
+    links = written(known.numbered(named, named.count()))
+    discard(ids, named)
+    degree = known.by_bucket(links.groupBy("src").agg(F.count("*").alias("deg")), "src", "deg")
+    degree = vertices_by_number.written(known.names.join(degree, F.col("bucket") == F.col("to"), "left").select("bucket", F.transform("ids", lambda _, i: F.col("found")[i]).alias("deg")))
+    ranks = written(_shared(degree.withColumn("score", F.transform("deg", lambda _: F.lit(1.0 / n)))))
+    discard(degree)
     for turn in range(1, most + 1):
-        loose = ranks.where("deg is null").agg(F.sum("score")).first()[0] or 0.0
-        given = links.join(ranks.where("deg is not null").select(F.col("id").alias("src"), (F.col("score") / F.col("deg")).alias("part")), "src")
-        given = given.groupBy(F.col("dst").alias("to")).agg(F.sum("part").alias("got"))
-        new = alpha * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - alpha) / n
-        turned = ranks.join(given, ranks["id"] == given["to"], "left").select("id", "deg", new.alias("score"), F.abs(new - F.col("score")).alias("moved"))
-        turned = written(turned)
+        loose = ranks.agg(F.sum("loose")).first()[0]
+        shares = known.beside(ranks.select(F.col("bucket").alias("at"), "share"))
+        given = links.join(shares, known.bucket("src") == F.col("at")).select("dst", F.get("share", known.place("src")).alias("part"))
+        given = known.by_bucket(given.groupBy("dst").agg(F.sum("part").alias("got")), "dst", "got")
+        new = F.transform("deg", lambda _, i: alpha * (F.coalesce(F.col("found")[i], F.lit(0.0)) + loose / n) + (1 - alpha) / n)
+        turned = ranks.join(given, F.col("bucket") == F.col("to"), "left").select("bucket", "deg", F.col("score").alias("old"), new.alias("score"))
+        moved = [_total(F.zip_with("score", "old", lambda a, b: F.abs(a - b))).alias("moved")] if tolerance else []
+        turned = written(_shared(turned.select("bucket", "deg", "score", *moved)))
         discard(ranks)
         ranks = turned
         if tolerance and (turn % TURNS_A_LOOK == 0 or turn == most) and turned.agg(F.sum("moved")).first()[0] < n * tolerance:
             break
     discard(links)
-    return ranks.select("id", "score")
+    return known.names.join(ranks, "bucket").select(F.inline(F.arrays_zip(F.col("ids").alias("id"), "score"))).select("id", "score")
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+def _shared(ranks: DataFrame) -> DataFrame:
+    """ranks, a row a bucket, with each vertex's score for each of its edges, and the scores of those without."""
+    share = F.zip_with("score", "deg", lambda score, deg: score / deg)
+    loose = _total(F.zip_with("score", "deg", lambda score, deg: F.when(deg.isNull(), score).otherwise(0.0)))
+    return ranks.withColumns({"share": share, "loose": loose})
 
 
 def related(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:

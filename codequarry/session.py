@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of two numbers that a task takes, on average, of what is dealt out by counted rows.
+TASK = 1 << 19
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +68,11 @@ def discard(*tables: DataFrame) -> None:
             store.delete(where, True)
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows, about n, by their keys, over as many tasks as they need: a session's number of partitions holds for small tables too."""
+    return rows.repartition(-(-n // TASK) or 1, *keys)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with `name`, their number from 1 in the order of the columns. Rows are sorted into ranges, numbered within each, and moved up by
     the sizes of the ranges before; only those sizes, one a range, meet in one task."""

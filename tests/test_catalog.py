@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from codequarry.plans.queries import ORACLES, QUERIES
 
@@ -88,6 +89,47 @@ def test_ranking_stops_when_it_is_settled(spark, sf_dir):  # noqa: ANN001
         assert got.keys() == ids and sum(abs(got[i] - want[i]) for i in ids) < len(ids) * tolerance * 6
 
 
+def test_ranking_computes_edges_once_and_sends_sums_only(spark, monkeypatch):  # noqa: ANN001
+    from codequarry import session
+    from codequarry.operators import graph, vertices
+
+    pairs = [(f"a{i}", "hub") for i in range(60)] + [(f"a{i}", f"b{i % 7}") for i in range(60)] + [("hub", "a1"), ("b1", "b2"), ("b1", "b2"), ("b3", "b3")]
+    ids, made, plans = {"a1", "lone"}, spark.sparkContext.accumulator(0), []
+    want = plain_rank(ids, set(pairs), 6)
+
+    def check() -> None:
+        edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(lambda pair: made.add(1) or pair), "src string, dst string")
+        got = {r.id: r.score for r in graph.page_rank(spark.createDataFrame([(i,) for i in ids], "id string"), edges, most=6, tolerance=0).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+    keep, before = graph.written, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(graph, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check()
+        assert made.value == len(pairs)
+        assert len(plans) == 8 and not any("Exchange hashpartitioning(src" in p or "Exchange hashpartitioning(shiftright(src" in p for p in plans[2:])
+        # beyond what may be broadcast: the same rows by joins that shuffle
+        monkeypatch.setattr(vertices, "BROADCAST", 0)
+        plans.clear()
+        check()
+        assert all("SortMergeJoin [shiftright(src" in p for p in plans[2:])
+        # the edges of a much wanted vertex go to several tasks
+        monkeypatch.setattr(session, "TASK", 8)
+        monkeypatch.setattr(vertices, "BUCKET", 2)
+        tasks = []
+        monkeypatch.setattr(vertices.Vertices, "numbered", lambda self, *a, f=vertices.Vertices.numbered: tasks.append(self.names.selectExpr("inline(arrays_zip(ids, spreads))").where("ids = 'hub'").first()) or f(self, *a))
+        check()
+        assert tasks[0].spreads == 8
+        # ids of one hash
+        seeds = []
+        monkeypatch.setattr(vertices, "_hash", lambda key, seed, f=vertices._hash: seeds.append(seed) or (f(key, seed) if seed else F.pmod(f(key, seed), F.lit(5))))
+        check()
+        assert set(seeds) == {0, 1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_entry(spark):  # noqa: ANN001
     import __spark_entry__ as entry
 
